@@ -38,7 +38,9 @@ def rmse(actual: Column, predicted: Column) -> Column:
 
 
 def r_squared(actual: Column, predicted: Column) -> Column:
-    return F.pow(F.corr(actual, predicted), 2)
+    """Squared correlation; missing when either side does not vary."""
+    spread = F.var_pop(actual) * F.var_pop(predicted)
+    return F.try_divide(F.pow(F.covar_pop(actual, predicted), 2), spread)
 
 
 def mase(actual: Column, predicted: Column, previous_actual: Column) -> Column:
