@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
 
+from tidecast.operators.packing import by_series
+
 PERIOD = 12
 MAX_P, MAX_Q, MAX_SEASONAL_P = 3, 2, 1
 
@@ -32,7 +34,6 @@ def seasonal_strength(panel: DataFrame) -> DataFrame:
     Strength is the share of the variance around a centred twelve-month trend that the calendar
     month explains.
     """
-    partitions = int(panel.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     by_time = Window.partitionBy("series_id").orderBy("ds")
     half = PERIOD // 2
     early = F.avg("y").over(by_time.rowsBetween(-half, half - 1))
@@ -40,8 +41,7 @@ def seasonal_strength(panel: DataFrame) -> DataFrame:
     inside = F.count("y").over(by_time.rowsBetween(-half, half)) == PERIOD + 1
     same_month = Window.partitionBy("series_id", "month")
     rows = (
-        panel.filter(F.col("y").isNotNull())
-        .repartition(partitions, "series_id")
+        by_series(panel.filter(F.col("y").isNotNull()))
         .withColumn("around", F.when(inside, F.col("y") - (early + late) / 2))
         .withColumn("month", F.month("ds"))
         .withColumn("left", F.col("around") - F.avg("around").over(same_month))
@@ -139,13 +139,18 @@ def _stable(coefficients: np.ndarray) -> bool:
 
 
 def choose_order(w: np.ndarray, differences: int) -> dict:
-    """The stable, invertible candidate with the smallest corrected AIC on common months."""
-    shocks = _shocks(w)
-    start = min(PERIOD, len(w) // 5) + MAX_Q
-    seasonal_ps = range(MAX_SEASONAL_P + 1 if len(w) >= 3 * PERIOD else 1)
-    n, constant = len(w) - start, differences < 2
-    best = None
-    for p, q, seasonal_p in product(range(MAX_P + 1), range(MAX_Q + 1), seasonal_ps):
+    """The stable, invertible candidate with the smallest corrected AIC on common months.
+
+    A series without enough months for lags gets its mean, or no drift after two differences.
+    """
+    shocks, constant = _shocks(w), differences < 2
+    longest_p = MAX_SEASONAL_P if len(w) >= 3 * PERIOD else 0
+    start = max(min(PERIOD, len(w) // 5) + MAX_Q, MAX_P, PERIOD * longest_p)
+    orders = list(product(range(MAX_P + 1), range(MAX_Q + 1), range(longest_p + 1)))
+    if len(w) < start + 3:
+        start, orders = 0, [(0, 0, 0)]
+    n, best = len(w) - start, None
+    for p, q, seasonal_p in orders:
         ar_lags = list(range(1, p + 1)) + [PERIOD] * seasonal_p
         parts = [np.ones((n, 1))] if constant else []
         parts += [_lagged(w, ar_lags, start)] if ar_lags else []

@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidecast.functions.dates import date_literal
 from tidecast.functions.labels import MACRO_REGIONS, canonical_label, recode
 from tidecast.functions.numbers import as_number, round_half_even, strict_mean, strict_sum
 from tidecast.operators.reshape import (
@@ -94,8 +95,10 @@ def supply_by_year(supply: DataFrame, after: int = 2021) -> DataFrame:
     """Supply per year, region, level of care, profession and scenario.
 
     The level of care is a grouping key that the result does not show, so a result key can repeat.
+    The year is bounded on the stored date, which a scan can use.
     """
-    yearly = supply.withColumn("ano", F.year("mes_ano")).filter(F.col("ano") > after)
+    recent = supply.filter(F.col("mes_ano") >= date_literal(f"{after + 1}-01-01"))
+    yearly = recent.withColumn("ano", F.year("mes_ano"))
     totals = yearly.groupBy("macrorregiao", "ano", "nivel_atencao", "categoria", "cenario").agg(
         strict_sum("qtd_mensal").alias("total")
     )

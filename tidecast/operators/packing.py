@@ -1,4 +1,4 @@
-"""One row per series: months in order, for folds over time."""
+"""Placement of the panel by series, and one packed row per series."""
 
 from __future__ import annotations
 
@@ -6,18 +6,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def pack_series(panel: DataFrame) -> DataFrame:
-    """``(series_id, last, ys)`` with the values of a series in month order.
+def by_series(panel: DataFrame) -> DataFrame:
+    """All months of a series in one partition, series spread over all shuffle partitions.
 
-    A packed row holds one value per calendar month, so its size is bounded however many events the
-    months were counted from. The number of partitions is fixed explicitly: packed rows are small in
-    bytes but each one costs a whole model fit, and adaptive coalescing looks at bytes only.
+    One shuffle serves every window, fold and fit that follows. The number of partitions is given
+    explicitly, because adaptive coalescing looks at bytes only: a panel is small in bytes, but each
+    of its series costs several model fits. A series holds one row per calendar month, so no
+    partition depends on how many events were counted.
     """
     partitions = int(panel.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return panel.repartition(partitions, "series_id")
+
+
+def pack_series(panel: DataFrame) -> DataFrame:
+    """``(series_id, last, ys)`` with the values of a series in month order."""
     months = F.array_sort(F.collect_list(F.struct("ds", "y")))
-    return (
-        panel.filter(F.col("y").isNotNull())
-        .repartition(partitions, "series_id")
-        .groupBy("series_id")
-        .agg(F.max("ds").alias("last"), F.transform(months, lambda m: m["y"]).alias("ys"))
+    rows = by_series(panel.filter(F.col("y").isNotNull()))
+    return rows.groupBy("series_id").agg(
+        F.max("ds").alias("last"), F.transform(months, lambda m: m["y"]).alias("ys")
     )

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidecast.functions.dates import month_range
 from tidecast.functions.numbers import strict_sum
+from tidecast.operators.packing import by_series
 
 
 def month_totals(
@@ -41,9 +42,9 @@ def month_series(
 
 
 def with_total_series(panel: DataFrame, name: str = "ALL") -> DataFrame:
-    """Add one series that is the sum of all others per month."""
-    total = panel.groupBy("ds").agg(strict_sum("y").alias("y"))
-    return panel.unionByName(total.select(F.lit(name).alias("series_id"), "ds", "y"))
+    """Add one series that is the sum of all others per month, in one pass over the panel."""
+    both = F.explode(F.array("series_id", F.lit(name))).alias("series_id")
+    return panel.select(both, "ds", "y").groupBy("series_id", "ds").agg(strict_sum("y").alias("y"))
 
 
 def periods(panel: DataFrame) -> DataFrame:
@@ -56,11 +57,16 @@ def slice_series(panel: DataFrame, series: str) -> DataFrame:
 
 
 def complete_months(panel: DataFrame, fill: float | None = None) -> DataFrame:
-    """One row for every month between the first and the last of each series."""
-    span = panel.groupBy("series_id").agg(F.min("ds").alias("first"), F.max("ds").alias("last"))
-    calendar = span.select("series_id", F.explode(month_range("first", "last")).alias("ds"))
-    filled = calendar.join(panel, ["series_id", "ds"], "left")
-    return filled if fill is None else filled.fillna(fill, ["y"])
+    """One row for every month between the first and the last of each series.
+
+    Each month brings the missing ones up to the next, so the panel is read once and not joined.
+    """
+    following = F.lead("ds").over(Window.partitionBy("series_id").orderBy("ds"))
+    until = F.coalesce(F.add_months(following, -1), F.col("ds"))
+    rows = by_series(panel).select("series_id", F.col("ds").alias("known"), "y", until.alias("until"))
+    months = rows.select("series_id", F.explode(month_range("known", "until")).alias("ds"), "known", "y")
+    value = F.when(F.col("ds") == F.col("known"), F.col("y")).otherwise(F.lit(fill))
+    return months.select("series_id", "ds", value.alias("y"))
 
 
 def row_counts(df: DataFrame, *keys: str) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidecast.functions.dates import date_literal, month_range
+from tidecast.operators.packing import by_series
 
 TRAINING, TESTING = "training", "testing"
 
@@ -14,7 +15,7 @@ def split_by_duration(panel: DataFrame, months: int = 12) -> DataFrame:
     """Mark the last ``months`` months of each series as testing, all before as training."""
     last = F.max("ds").over(Window.partitionBy("series_id"))
     training = F.col("ds") <= F.add_months(last, -months)
-    return panel.withColumn("split_key", F.when(training, TRAINING).otherwise(TESTING))
+    return by_series(panel).withColumn("split_key", F.when(training, TRAINING).otherwise(TESTING))
 
 
 def split_by_date(panel: DataFrame, cut: str) -> DataFrame:

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidecast.operators.least_squares import DOUBLES, cross_products, unpack
+from tidecast.operators.packing import by_series
 
 # Prior scales and sizes that the published model uses by default.
 CHANGEPOINTS = 25
@@ -45,7 +46,7 @@ def design(panel: DataFrame) -> DataFrame:
     months = F.count(F.lit(1)).over(by)
     room = F.floor(months * CHANGEPOINT_SHARE).cast("int") - 1
     largest = F.max(F.abs("y")).over(by)
-    rows = panel.filter(F.col("y").isNotNull()).select(
+    rows = by_series(panel.filter(F.col("y").isNotNull())).select(
         "series_id",
         "ds",
         "y",

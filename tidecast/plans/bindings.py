@@ -63,14 +63,14 @@ def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def scopes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The panel with its total series, computed once: every model and split reads it."""
-    return with_total_series(stage(panel(spark, sf_dir)))
+    return stage(with_total_series(panel(spark, sf_dir)))
 
 
 def staged_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stage(panel(spark, sf_dir))
 
 
-def monthly_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+def monthly_lines(spark: SparkSession, sf_dir: str, since: str = "1900-01-01") -> DataFrame:
     """Line counts and quantities per supplier region, month, return flag and line status.
 
     Lines are totalled per supplier first, so a supplier with a large share of all lines reaches the
@@ -79,6 +79,7 @@ def monthly_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     keys = [month_start("l_shipdate").alias("data"), "l_returnflag", "l_linestatus"]
     per_supplier = (
         table(spark, sf_dir, "lineitem")
+        .filter(F.col("l_shipdate") >= date_literal(since))
         .groupBy("l_suppkey", *keys)
         .agg(F.count(F.lit(1)).alias("linhas"), F.sum("l_quantity").alias("quantidade"))
     )
@@ -89,19 +90,19 @@ def monthly_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def procedure_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
+def procedure_sheet(lines: DataFrame) -> DataFrame:
     """Mean quantity per month and region, one column per ``"flag,level"``."""
     cells = []
     for flag in FLAGS:
         for level, status in enumerate(STATUSES, start=1):
             here = (F.col("l_returnflag") == flag) & (F.col("l_linestatus") == status)
-            amount, lines = F.when(here, F.col("quantidade")), F.when(here, F.col("linhas"))
-            cells.append(F.try_divide(F.sum(amount), F.sum(lines)).alias(f"{flag},{level}"))
+            amount, count = F.when(here, F.col("quantidade")), F.when(here, F.col("linhas"))
+            cells.append(F.try_divide(F.sum(amount), F.sum(count)).alias(f"{flag},{level}"))
     months = [year_month_text("data").alias("mes_ano"), F.year("data").alias("ano"), "regiao"]
-    return monthly_lines(spark, sf_dir).groupBy(*months).agg(*cells)
+    return lines.groupBy(*months).agg(*cells)
 
 
-def time_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
+def time_sheet(lines: DataFrame) -> DataFrame:
     """Monthly times (``tempo_*``) and staff (one column per return flag) by region."""
 
     def total(flag: str, column: str):
@@ -111,10 +112,10 @@ def time_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
     times = [total(flag, "quantidade").alias(f"tempo_{flag.lower()}") for flag in FLAGS]
     staff = [(total(flag, "linhas") * 20.5).alias(flag) for flag in FLAGS]
     months = [year_month_text("data").alias("mes_ano"), F.year("data").alias("ano"), "regiao"]
-    return monthly_lines(spark, sf_dir).groupBy(*months).agg(*times, *staff)
+    return lines.groupBy(*months).agg(*times, *staff)
 
 
-def supply_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
+def supply_sheet(lines: DataFrame) -> DataFrame:
     """Monthly supply by region, level (line status), profession (return flag) and scenario."""
     scenarios = F.array(
         *[
@@ -122,8 +123,8 @@ def supply_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
             for name, hours in SCENARIO_HOURS.items()
         ]
     )
-    lines = monthly_lines(spark, sf_dir).select("*", F.inline(scenarios))
-    return lines.select(
+    planned = lines.select("*", F.inline(scenarios))
+    return planned.select(
         F.col("regiao").alias("macrorregiao"),
         F.col("data").alias("mes_ano"),
         F.col("l_linestatus").alias("nivel_atencao"),

@@ -112,7 +112,7 @@ path_{tag} AS (
 """
 
 
-CALIBRATED = f"""{SPLIT}, {ets("train", "a")}, {ets_path("a", 12)},
+CALIBRATED = f"""{SPLIT}, {ets("train", "a")}, {ets_path("a", 24)},
 calibrated AS (
     SELECT series_id, ds, y AS actual, value AS prediction, y - value AS residual
     FROM path_a JOIN test USING (series_id, ds))

@@ -21,7 +21,7 @@ from tidecast.operators import autoregression, capacity, evaluate, forecast, res
 from tidecast.operators import panel as panels
 from tidecast.operators import split as splits
 from tidecast.plans import bindings as b
-from tidecast.session import scratch_path
+from tidecast.session import scratch_path, stage
 from tidecast.sources import (
     clean_names,
     read_export_csv,
@@ -37,6 +37,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 HORIZON = 42
 CUT = "2000-07-01"
 NOTEBOOK_HORIZON = 12
+# Supply counts from the year after this one.
+LAST_PAST_YEAR = 1997
 DECIMALS = 6
 
 
@@ -415,15 +417,17 @@ def canonical_labels(spark, sf_dir):
 
 
 def procedure_times(spark, sf_dir):
-    return rounded(capacity.procedure_times(b.procedure_sheet(spark, sf_dir)))
+    sheet = b.procedure_sheet(b.monthly_lines(spark, sf_dir))
+    return rounded(capacity.procedure_times(sheet))
 
 
 def procedure_rank(spark, sf_dir):
-    return rounded(capacity.procedure_rank(capacity.procedure_times(b.procedure_sheet(spark, sf_dir))))
+    sheet = b.procedure_sheet(b.monthly_lines(spark, sf_dir))
+    return rounded(capacity.procedure_rank(capacity.procedure_times(sheet)))
 
 
 def yearly_demand(spark, sf_dir):
-    return capacity.yearly_demand(b.time_sheet(spark, sf_dir), b.FLAGS)
+    return capacity.yearly_demand(b.time_sheet(b.monthly_lines(spark, sf_dir)), b.FLAGS)
 
 
 def demand_long(spark, sf_dir):
@@ -431,12 +435,16 @@ def demand_long(spark, sf_dir):
 
 
 def supply_by_year(spark, sf_dir):
-    return capacity.supply_by_year(b.supply_sheet(spark, sf_dir), after=1997)
+    lines = b.monthly_lines(spark, sf_dir, since=f"{LAST_PAST_YEAR + 1}-01-01")
+    return capacity.supply_by_year(b.supply_sheet(lines), after=LAST_PAST_YEAR)
 
 
 def _both_sides(spark, sf_dir):
-    demand = demand_long(spark, sf_dir).filter(F.col("ano") > 1997)
-    return capacity.demand_and_supply(supply_by_year(spark, sf_dir), demand)
+    """Demand and supply from one pass over the lines, which both sides read."""
+    lines = stage(b.monthly_lines(spark, sf_dir, since=f"{LAST_PAST_YEAR + 1}-01-01"))
+    demand = capacity.yearly_demand(b.time_sheet(lines), b.FLAGS)
+    supply = capacity.supply_by_year(b.supply_sheet(lines), after=LAST_PAST_YEAR)
+    return capacity.demand_and_supply(supply, capacity.demand_long(demand, b.FLAGS))
 
 
 def demand_supply(spark, sf_dir):
@@ -495,7 +503,7 @@ def export_without_numbers(spark, sf_dir):
 def sheet_roundtrip(spark, sf_dir):
     """The time sheet landed as a named sheet of a bundle and read back from there."""
     bundle = scratch_path(spark, "bundle")
-    write_table(b.time_sheet(spark, sf_dir), f"{bundle}/tempo_de_procedimentos")
+    write_table(b.time_sheet(b.monthly_lines(spark, sf_dir)), f"{bundle}/tempo_de_procedimentos")
     sheet = read_sheet(spark, bundle, "tempo de procedimentos")
     times = sheet.select("ano", "regiao", *reshape.columns_with_prefix(sheet, "TEMPO_"))
     return reshape.sum_all(times, "ano", "regiao")

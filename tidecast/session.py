@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,6 +25,16 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8) -> SparkS
     )
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, which need not share the driver's search path."""
+    context = spark.sparkContext
+    if any(Path(name).name == "tidecast.zip" for name in context.listFiles):
+        return
+    package = Path(__file__).resolve().parent
+    target = Path(tempfile.mkdtemp(prefix="tidecast-")) / "tidecast"
+    context.addPyFile(shutil.make_archive(str(target), "zip", package.parent, package.name))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that every executor can reach, as named by ``spark.checkpoint.dir``.
 
