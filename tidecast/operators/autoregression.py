@@ -28,93 +28,91 @@ SEASONAL_STRENGTH = 0.64
 KPSS_CRITICAL = 0.463
 
 
-def seasonal_strength(panel: DataFrame) -> DataFrame:
-    """``(series_id, last, ys, strength)``: packed months and the strength of the yearly pattern.
+def _stable_rows(panel: DataFrame) -> DataFrame:
+    """Months with the strength of the yearly pattern and the values after a seasonal difference.
 
     Strength is the share of the variance around a centred twelve-month trend that the calendar
-    month explains.
+    month explains. ``centred`` is the deviation of the differenced value from its mean, and ``walk``
+    the running sum of these deviations.
     """
-    by_time = Window.partitionBy("series_id").orderBy("ds")
+    whole, by_time = Window.partitionBy("series_id"), Window.partitionBy("series_id").orderBy("ds")
+    same_month = Window.partitionBy("series_id", "month")
     half = PERIOD // 2
     early = F.avg("y").over(by_time.rowsBetween(-half, half - 1))
     late = F.avg("y").over(by_time.rowsBetween(1 - half, half))
     inside = F.count("y").over(by_time.rowsBetween(-half, half)) == PERIOD + 1
-    same_month = Window.partitionBy("series_id", "month")
-    rows = (
+    explained = 1 - F.try_divide(F.var_samp("left").over(whole), F.var_samp("around").over(whole))
+    seasonal = (F.col("strength") > SEASONAL_STRENGTH) & (F.col("n_obs") >= 3 * PERIOD)
+    year_before = F.lag("y", PERIOD).over(by_time)
+    stable = F.when(F.col("seasonal_d") == 1, F.col("y") - year_before).otherwise(F.col("y"))
+    so_far = by_time.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return (
         by_series(panel.filter(F.col("y").isNotNull()))
         .withColumn("around", F.when(inside, F.col("y") - (early + late) / 2))
         .withColumn("month", F.month("ds"))
         .withColumn("left", F.col("around") - F.avg("around").over(same_month))
-    )
-    months = F.array_sort(F.collect_list(F.struct("ds", "y")))
-    explained = 1 - F.try_divide(F.var_samp("left"), F.var_samp("around"))
-    return rows.groupBy("series_id").agg(
-        F.max("ds").alias("last"),
-        F.transform(months, lambda m: m["y"]).alias("ys"),
-        F.greatest(explained, F.lit(0.0)).alias("strength"),
+        .withColumn("strength", F.greatest(explained, F.lit(0.0)))
+        .withColumn("n_obs", F.count(F.lit(1)).over(whole).cast("int"))
+        .withColumn("seasonal_d", F.coalesce(seasonal, F.lit(False)).cast("int"))
+        .withColumn("stable", stable)
+        .withColumn("centred", F.col("stable") - F.avg("stable").over(whole))
+        .withColumn("walk", F.sum("centred").over(so_far))
     )
 
 
-def difference(values: Column, lag: int) -> Column:
-    """Array of ``v[t] - v[t - lag]``; empty when there are too few values."""
-    room = F.greatest(F.size(values) - lag, F.lit(0))
-    later, earlier = F.slice(values, lag + 1, room), F.slice(values, 1, room)
-    return F.zip_with(later, earlier, lambda a, b: a - b)
+def _in_order(column: str) -> Column:
+    """Values of a column in month order, without missing ones."""
+    present = F.when(F.col(column).isNotNull(), F.struct("ds", column))
+    return F.transform(F.array_sort(F.collect_list(present)), lambda m: m[column])
 
 
 def _total(values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda acc, v: acc + v)
 
 
-def kpss(centred: Column, n: Column) -> Column:
-    """KPSS statistic for a stable level, from deviations around the mean."""
+def _long_run_variance(centred: Column) -> Column:
+    """Variance with Bartlett weights on ``3 sqrt(n) / 13`` autocovariances."""
+    n = F.size(centred)
     lags = F.floor(3 * F.sqrt(n) / 13).cast("int")
 
-    def covariance(j: Column) -> Column:
-        pairs = F.zip_with(
-            F.slice(centred, j + 1, n - j), F.slice(centred, 1, n - j), lambda a, b: a * b
-        )
-        return _total(pairs) / n
+    def weighted_covariance(j: Column) -> Column:
+        later, earlier = F.slice(centred, j + 1, n - j), F.slice(centred, F.lit(1), n - j)
+        covariance = _total(F.zip_with(later, earlier, lambda a, b: a * b)) / n
+        return F.when(j == 0, 1.0).otherwise(2 * (1 - j / (lags + 1))) * covariance
 
-    weighted = F.transform(
-        F.filter(F.sequence(F.lit(0), lags), lambda j: j > 0),
-        lambda j: 2 * (1 - j / (lags + 1)) * covariance(j),
-    )
-    long_run = covariance(F.lit(0)) + _total(weighted)
-    start = F.struct(F.lit(0.0).alias("sum"), F.lit(0.0).alias("squares"))
-    walk = F.aggregate(
-        centred,
-        start,
-        lambda acc, v: F.struct(
-            (acc["sum"] + v).alias("sum"),
-            (acc["squares"] + (acc["sum"] + v) * (acc["sum"] + v)).alias("squares"),
-        ),
-    )
-    return F.try_divide(walk["squares"], n * n * F.when(long_run > 1e-12, long_run))
+    return _total(F.transform(F.sequence(F.lit(0), lags), weighted_covariance))
+
+
+def difference(values: Column) -> Column:
+    """Array of ``v[t] - v[t - 1]``; empty when there are too few values."""
+    room = F.greatest(F.size(values) - 1, F.lit(0))
+    later, earlier = F.slice(values, F.lit(2), room), F.slice(values, F.lit(1), room)
+    return F.zip_with(later, earlier, lambda a, b: a - b)
 
 
 def differencing_orders(panel: DataFrame) -> DataFrame:
     """Packed months with the seasonal and ordinary differencing orders and the statistics behind."""
-    packed = seasonal_strength(panel).withColumn("n_obs", F.size("ys"))
-    seasonal = (F.col("strength") > SEASONAL_STRENGTH) & (F.col("n_obs") >= 3 * PERIOD)
-    ordered = packed.withColumn("seasonal_d", F.coalesce(seasonal, F.lit(False)).cast("int"))
-    yearly = F.when(F.col("seasonal_d") == 1, difference(F.col("ys"), PERIOD)).otherwise(
-        F.col("ys")
+    packed = (
+        _stable_rows(panel)
+        .groupBy("series_id", "n_obs", "strength", "seasonal_d")
+        .agg(
+            F.max("ds").alias("last"),
+            _in_order("y").alias("ys"),
+            _in_order("stable").alias("stable"),
+            _in_order("centred").alias("centred"),
+            F.sum(F.col("walk") * F.when(F.col("stable").isNotNull(), F.col("walk"))).alias("squares"),
+        )
     )
-    mean = _total(F.col("stable")) / F.size("stable")
+    n, variance = F.size("stable"), F.col("variance")
+    statistic = F.try_divide(F.col("squares"), n * n * F.when(variance > 1e-12, variance))
+    once = F.coalesce(F.col("kpss") > KPSS_CRITICAL, F.lit(False))
+    shifted = F.when(F.col("d") == 1, difference(F.col("stable"))).otherwise(F.col("stable"))
     return (
-        ordered.withColumn("stable", yearly)
-        .withColumn("mean", mean)
-        .withColumn("centred", F.transform("stable", lambda v: v - F.col("mean")))
-        .withColumn("kpss", kpss(F.col("centred"), F.size("stable")))
-        .withColumn("d", F.coalesce(F.col("kpss") > KPSS_CRITICAL, F.lit(False)).cast("int"))
-        .withColumn(
-            "w",
-            F.when(F.col("d") == 1, difference(F.col("stable"), 1)).otherwise(F.col("stable")),
-        )
-        .select(
-            "series_id", "last", "n_obs", "ys", "w", "strength", "kpss", "d", "seasonal_d"
-        )
+        packed.withColumn("variance", _long_run_variance(F.col("centred")))
+        .withColumn("kpss", statistic)
+        .withColumn("d", once.cast("int"))
+        .withColumn("w", shifted)
+        .select("series_id", "last", "n_obs", "ys", "w", "strength", "kpss", "d", "seasonal_d")
     )
 
 

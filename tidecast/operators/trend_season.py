@@ -65,10 +65,13 @@ def posterior_mode(
     yy: float,
     n: int,
     changepoint_scale: float = CHANGEPOINT_SCALE,
-    steps: int = 500,
-    tolerance: float = 1e-7,
+    steps: int = 200,
+    tolerance: float = 1e-5,
 ) -> np.ndarray:
-    """Coefficients that minimise the negative log posterior, from cross products alone."""
+    """Coefficients that minimise the negative log posterior, from cross products alone.
+
+    Values are on the scale of the largest observation, so the tolerance is a share of that.
+    """
     width = len(xy)
     bends = slice(2, width - 2 * SEASON_ORDER)
     penalty = np.full(width, 1 / SEASON_SCALE**2)

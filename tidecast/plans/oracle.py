@@ -112,6 +112,118 @@ path_{tag} AS (
 """
 
 
+def _solved(system: str) -> str:
+    """Solution of rows ``[coefficients..., right side]`` by elimination, as a list of numbers.
+
+    Each step divides the first row by its first number, removes that column everywhere and moves
+    the row to the end; after one step per row, every row is its unknown.
+    """
+    return f"""
+    flatten(list_reduce(
+        list_transform(range(0, len({system})), lambda q: [[0.0::DOUBLE]]),
+        lambda m, x: list_transform(
+            [list_transform(m[1][2:], lambda v: v / m[1][1])],
+            lambda head: list_append(
+                list_transform(m[2:], lambda r: list_transform(r[2:], lambda v, j: v - r[1] * head[j])),
+                head))[1],
+        {system}))"""
+
+
+_WAVE_TERMS = " UNION ALL ".join(
+    f"SELECT {100 + 2 * k + j}, {f}(2 * pi() / 365.25 * epoch_days * {k})"
+    for k in range(1, 11)
+    for j, f in enumerate(("sin", "cos"))
+)
+
+
+def trend_terms(axis: str, dates: str, name: str) -> str:
+    """Regressors of the trend and season model for rows ``(series_id, ds)``."""
+    return f"""
+{name} AS (
+    SELECT series_id, ds, term, value
+    FROM (SELECT series_id, ds, bends, (ds - first) / span AS t,
+                 ds - DATE '1970-01-01' AS epoch_days
+          FROM {dates} JOIN {axis} USING (series_id)),
+         LATERAL (SELECT 0 AS term, 1.0::DOUBLE AS value UNION ALL SELECT 1, t
+                  UNION ALL SELECT 1 + j, greatest(t - 0.8::DOUBLE * j / bends, 0)
+                  FROM range(1, 26) AS steps(j) WHERE j <= bends
+                  UNION ALL {_WAVE_TERMS}) AS terms)
+"""
+
+
+def trend(source: str, tag: str) -> str:
+    """The trend and season model: repeated ridge solves until the coefficients settle."""
+    return f"""
+axis_{tag} AS (
+    SELECT series_id, min(ds) AS first, greatest(max(ds) - min(ds), 1) AS span,
+           max(abs(y)) AS scale, count(*) AS n,
+           greatest(least(25, floor(count(*) * 0.8::DOUBLE) - 1), 0) AS bends
+    FROM {source} GROUP BY series_id),
+{trend_terms(f"axis_{tag}", source, f"terms_{tag}")},
+columns_{tag} AS (
+    SELECT * FROM terms_{tag}
+    UNION ALL SELECT series_id, ds, 999, y / scale FROM {source} JOIN axis_{tag} USING (series_id)),
+products_{tag} AS (
+    SELECT a.series_id, a.term AS i, b.term AS j, sum(a.value * b.value) AS v
+    FROM columns_{tag} a JOIN columns_{tag} b USING (series_id, ds) GROUP BY ALL),
+matrices_{tag} AS (
+    SELECT series_id, list(line ORDER BY i) AS zz
+    FROM (SELECT series_id, i, list(v ORDER BY j) AS line FROM products_{tag} GROUP BY 1, 2)
+    GROUP BY series_id),
+mode_{tag} AS (
+    SELECT series_id, zz, n, bends, len(zz) - 1 AS p, 0 AS step,
+           list_transform(range(1, len(zz)), lambda i: 0.0::DOUBLE) AS beta,
+           greatest(zz[len(zz)][len(zz)] / n, 1e-12) AS noise,
+           list_transform(range(1, len(zz)), lambda i: CASE
+               WHEN i <= 2 THEN 1 / 5.0::DOUBLE ** 2 WHEN i <= 2 + bends THEN 1 / 0.05::DOUBLE ** 2
+               ELSE 1 / 10.0::DOUBLE ** 2 END) AS penalty,
+           1.0::DOUBLE AS change
+    FROM matrices_{tag} JOIN axis_{tag} USING (series_id)
+    UNION ALL
+    SELECT series_id, zz, n, bends, p, step + 1, fresh,
+           greatest((sqrt(n * n + 16 * greatest(sse, 1e-12)) - n) / 8, 1e-12),
+           list_transform(penalty, lambda v, i: CASE WHEN i > 2 AND i <= 2 + bends
+               THEN 1 / (0.05::DOUBLE * greatest(abs(fresh[i]), 1e-9)) ELSE v END),
+           list_max(list_transform(fresh, lambda v, i: abs(v - beta[i])))
+    FROM (
+        SELECT *, zz[p + 1][p + 1] - 2 * list_dot_product(fresh, zz[p + 1][1:p])
+               + list_sum(list_transform(fresh,
+                   lambda v, i: v * list_dot_product(zz[i][1:p], fresh))) AS sse
+        FROM (
+            SELECT *, list_transform({_solved("system")}, lambda v, i: v * root[i]) AS fresh
+            FROM (
+                SELECT *, list_transform(root, lambda a, i: list_append(
+                    list_transform(root, lambda b, j:
+                        a * zz[i][j] * b + CASE WHEN i = j THEN noise ELSE 0 END),
+                    a * zz[i][p + 1])) AS system
+                FROM (
+                    SELECT *, list_transform(penalty, lambda v: 1 / sqrt(v)) AS root
+                    FROM mode_{tag} WHERE step < 200 AND change >= 1e-5))))),
+betas_{tag} AS (
+    SELECT series_id, n, unnest(beta) AS coefficient, generate_subscripts(beta, 1) - 1 AS place
+    FROM mode_{tag} QUALIFY row_number() OVER (PARTITION BY series_id ORDER BY step DESC) = 1)
+"""
+
+
+def trend_path(tag: str, dates: str, name: str) -> str:
+    """Predictions of the trend and season model for rows ``(series_id, ds)``."""
+    return f"""
+{trend_terms(f"axis_{tag}", dates, f"ahead_terms_{tag}")},
+{name} AS (
+    SELECT series_id, ds, sum(t.value * coefficient) * any_value(scale) AS value
+    FROM (SELECT *, row_number() OVER (PARTITION BY series_id, ds ORDER BY term) - 1 AS place
+          FROM ahead_terms_{tag}) t
+    JOIN betas_{tag} USING (series_id, place) JOIN axis_{tag} USING (series_id)
+    GROUP BY series_id, ds)
+"""
+
+
+def future(source: str, months: int) -> str:
+    return f"""
+    (SELECT series_id, CAST(max(ds) + to_months(CAST(h AS INTEGER)) AS DATE) AS ds
+     FROM {source}, range(1, {months + 1}) AS months(h) GROUP BY series_id, h)"""
+
+
 CALIBRATED = f"""{SPLIT}, {ets("train", "a")}, {ets_path("a", 24)},
 calibrated AS (
     SELECT series_id, ds, y AS actual, value AS prediction, y - value AS residual
@@ -120,6 +232,8 @@ calibrated AS (
 REFIT = f"""{SCOPES}, {ets("scopes", "b")}, {ets_path("b", 42)}"""
 REGION_REFIT = f"""{PANEL}, {ets("p0", "b")}, {ets_path("b", 42)}"""
 
+REGION_TREND = f"""{PANEL}, {trend("p0", "b")}, {trend_path("b", future("p0", 42), "path_b")}"""
+
 ROLLUPS = """
 ahead AS (
     SELECT strftime(ds, '%Y-%m') AS mes_ano, CAST(year(ds) AS INTEGER) AS ano,
@@ -313,6 +427,32 @@ ORACLES: dict[str, str] = {
             UNION ALL SELECT 1, t
             UNION ALL SELECT 1 + j, greatest(t - 0.8::DOUBLE * j / 25, 0) FROM range(1, 26) AS bends(j)
             UNION ALL {_WAVES}) AS terms""",
+    "fit_trend_season": f"""WITH RECURSIVE {SPLIT}, {trend("train", "a")}
+        SELECT series_id, CAST(n AS INTEGER) AS n_obs, CAST(place AS INTEGER) AS term,
+               round(coefficient, 6) AS value
+        FROM betas_a""",
+    "calibration_of": f"""WITH RECURSIVE {SPLIT}, {trend("train", "a")},
+        {trend_path("a", "test", "path_a")}
+        SELECT series_id, 2 AS model_id, 'PROPHET' AS model_desc, ds, y AS actual,
+               round(value, 6) AS prediction, round(y - value, 6) AS residual
+        FROM path_a JOIN test USING (series_id, ds)""",
+    "in_sample_fit": f"""WITH RECURSIVE {CUT_SPLIT}, {trend("train", "a")},
+        {trend_path("a", "train", "path_a")}
+        SELECT series_id, ds, 2 AS model_id, 'PROPHET' AS model_desc, round(value, 6) AS value, y
+        FROM path_a JOIN train USING (series_id, ds)""",
+    "forecast_vs_observed": f"""WITH RECURSIVE {CUT_SPLIT}, {trend("train", "a")},
+        {trend_path("a", future("train", 12), "path_a")}
+        SELECT series_id, ds, round(value, 6) AS yhat, y
+        FROM path_a LEFT JOIN test USING (series_id, ds)""",
+    "mae_mape": f"""WITH RECURSIVE {CUT_SPLIT}, {trend("train", "a")},
+        {trend_path("a", future("train", 12), "path_a")}
+        SELECT series_id, round(avg(abs(y - value)), 6) AS mae,
+               round(avg(abs(y - value) / greatest(abs(value), 2.220446049250313e-16)), 6) AS mape
+        FROM path_a LEFT JOIN test USING (series_id, ds) GROUP BY series_id""",
+    "forecast_rollup": f"WITH RECURSIVE {REGION_TREND}, {ROLLUPS} SELECT * FROM ahead",
+    "forecast_combined": f"""WITH RECURSIVE {REGION_TREND}, {ROLLUPS}, {OBSERVED}
+        SELECT *, CAST(strptime(mes_ano || '-01', '%Y-%m-%d') AS DATE) AS mes_ano_data
+        FROM (SELECT * FROM seen UNION ALL SELECT * FROM ahead)""",
     "fit_ets": f"""WITH RECURSIVE {SPLIT}, {ets("train", "a")}
         SELECT series_id, CAST(n AS INTEGER) AS n_obs, CAST(grid_id AS INTEGER) AS grid_id,
                'ETS(A,' || trend || ',' || season || ')' AS form, round(l, 6) AS level,

@@ -237,7 +237,9 @@ def trend_season_design(spark, sf_dir):
 
 
 def fit_trend_season(spark, sf_dir):
-    return _fitted(spark, sf_dir, "PROPHET")
+    """Coefficients of the trend and season model, one row per regressor."""
+    fitted = _fitted(spark, sf_dir, "PROPHET")
+    return rounded(fitted.select("series_id", "n_obs", F.posexplode("beta").alias("term", "value")))
 
 
 def fit_ets(spark, sf_dir):
@@ -247,7 +249,8 @@ def fit_ets(spark, sf_dir):
 
 
 def fit_arima(spark, sf_dir):
-    return _fitted(spark, sf_dir, "ARIMA")
+    fitted = _fitted(spark, sf_dir, "ARIMA")
+    return rounded(fitted.select("series_id", "n_obs", "form", "offset", "sse", "aicc"))
 
 
 def differencing_orders(spark, sf_dir):
@@ -261,7 +264,7 @@ def model_table(spark, sf_dir):
 
 
 def calibrate(spark, sf_dir):
-    return _calibration(spark, sf_dir)
+    return rounded(_calibration(spark, sf_dir))
 
 
 def calibrate_ets(spark, sf_dir):
@@ -269,11 +272,11 @@ def calibrate_ets(spark, sf_dir):
 
 
 def calibration_of(spark, sf_dir):
-    return evaluate.calibration_of(_calibration(spark, sf_dir), "PROPHET")
+    return rounded(evaluate.calibration_of(_calibration(spark, sf_dir), "PROPHET"))
 
 
 def accuracy(spark, sf_dir):
-    return evaluate.accuracy(_calibration(spark, sf_dir))
+    return rounded(evaluate.accuracy(_calibration(spark, sf_dir)))
 
 
 def accuracy_ets(spark, sf_dir):
@@ -285,7 +288,7 @@ def _forecast(spark, sf_dir, panel, *descs):
 
 
 def refit_forecast(spark, sf_dir):
-    return _forecast(spark, sf_dir, b.scopes(spark, sf_dir))
+    return rounded(_forecast(spark, sf_dir, b.scopes(spark, sf_dir)))
 
 
 def refit_forecast_ets(spark, sf_dir):
@@ -302,7 +305,7 @@ def _calibrated_forecast(spark, sf_dir, *descs):
 
 
 def forecast_with_actuals(spark, sf_dir):
-    return _calibrated_forecast(spark, sf_dir)
+    return rounded(_calibrated_forecast(spark, sf_dir))
 
 
 def forecast_with_actuals_ets(spark, sf_dir):
@@ -318,13 +321,13 @@ def actual_rows(spark, sf_dir):
 
 def forecast_intervals(spark, sf_dir):
     table = _calibrated_forecast(spark, sf_dir, "PROPHET", "ETS")
-    return table.filter(F.col("key") == forecast.PREDICTION)
+    return rounded(table.filter(F.col("key") == forecast.PREDICTION))
 
 
 def in_sample_fit(spark, sf_dir):
     panel = splits.training(splits.split_by_date(b.scopes(spark, sf_dir), CUT))
     fitted = forecast.in_sample(evaluate.fit_models(panel, "PROPHET"), panel)
-    return fitted.join(panel, ["series_id", "ds"])
+    return rounded(fitted.join(panel, ["series_id", "ds"]))
 
 
 def _notebook(spark, sf_dir, desc):
@@ -338,7 +341,7 @@ def _notebook(spark, sf_dir, desc):
 
 
 def forecast_vs_observed(spark, sf_dir):
-    return _notebook(spark, sf_dir, "PROPHET")
+    return rounded(_notebook(spark, sf_dir, "PROPHET"))
 
 
 def forecast_vs_observed_ets(spark, sf_dir):
@@ -346,7 +349,7 @@ def forecast_vs_observed_ets(spark, sf_dir):
 
 
 def mae_mape(spark, sf_dir):
-    return evaluate.mae_mape(_notebook(spark, sf_dir, "PROPHET"))
+    return rounded(evaluate.mae_mape(_notebook(spark, sf_dir, "PROPHET")))
 
 
 def mae_mape_ets(spark, sf_dir):
@@ -359,7 +362,7 @@ def _region_table(spark, sf_dir, desc):
 
 
 def forecast_rollup(spark, sf_dir):
-    return forecast.forecast_rollup(_region_table(spark, sf_dir, "PROPHET"))
+    return rounded(forecast.forecast_rollup(_region_table(spark, sf_dir, "PROPHET")))
 
 
 def forecast_rollup_ets(spark, sf_dir):
@@ -384,7 +387,7 @@ def _combined(spark, sf_dir, desc):
 
 
 def forecast_combined(spark, sf_dir):
-    return _combined(spark, sf_dir, "PROPHET")
+    return rounded(_combined(spark, sf_dir, "PROPHET"))
 
 
 def forecast_combined_ets(spark, sf_dir):
