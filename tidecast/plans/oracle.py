@@ -224,6 +224,195 @@ def future(source: str, months: int) -> str:
      FROM {source}, range(1, {months + 1}) AS months(h) GROUP BY series_id, h)"""
 
 
+def differences(source: str, tag: str) -> str:
+    """Differencing orders of each series, and its differenced values ``(i, w)``."""
+    return f"""
+trends_{tag} AS (
+    SELECT series_id, ds, y, month(ds) AS month,
+           CASE WHEN count(*) OVER (near ROWS BETWEEN 6 PRECEDING AND 6 FOLLOWING) = 13
+                THEN y - (avg(y) OVER (near ROWS BETWEEN 6 PRECEDING AND 5 FOLLOWING)
+                    + avg(y) OVER (near ROWS BETWEEN 5 PRECEDING AND 6 FOLLOWING)) / 2
+           END AS around
+    FROM {source} WINDOW near AS (PARTITION BY series_id ORDER BY ds)),
+strengths_{tag} AS (
+    SELECT series_id, count(*) AS n, max(ds) AS last,
+           greatest(1 - var_samp(rest) / var_samp(around), 0) AS strength
+    FROM (SELECT *, around - avg(around) OVER (PARTITION BY series_id, month) AS rest
+          FROM trends_{tag})
+    GROUP BY series_id),
+yearly_{tag} AS (
+    SELECT *, CAST(strength > 0.64::DOUBLE AND n >= 36 AS INTEGER) AS seasonal_d
+    FROM strengths_{tag}),
+stable_{tag} AS (
+    SELECT series_id, v, row_number() OVER (PARTITION BY series_id ORDER BY ds) AS i,
+           count(*) OVER (PARTITION BY series_id) AS m,
+           v - avg(v) OVER (PARTITION BY series_id) AS e
+    FROM (SELECT series_id, ds, CASE WHEN seasonal_d = 0 THEN y
+                 ELSE y - lag(y, 12) OVER (PARTITION BY series_id ORDER BY ds) END AS v
+          FROM {source} JOIN yearly_{tag} USING (series_id))
+    WHERE v IS NOT NULL),
+spans_{tag} AS (
+    SELECT series_id, m, sum(walk * walk) AS squares, sum(e * e) / m AS variance,
+           CAST(floor(3 * sqrt(m) / 13) AS INTEGER) AS lags
+    FROM (SELECT *, sum(e) OVER (PARTITION BY series_id ORDER BY i) AS walk FROM stable_{tag})
+    GROUP BY series_id, m),
+covariances_{tag} AS (
+    SELECT a.series_id, c.i - a.i AS j, sum(a.e * c.e) / any_value(a.m) AS covariance
+    FROM stable_{tag} a JOIN stable_{tag} c ON c.series_id = a.series_id AND c.i > a.i
+    JOIN spans_{tag} s ON s.series_id = a.series_id AND c.i - a.i <= s.lags
+    GROUP BY 1, 2),
+orders_{tag} AS (
+    SELECT *, CAST(kpss > 0.463::DOUBLE AS INTEGER) AS d
+    FROM (SELECT series_id, squares / (m * m * long_run) AS kpss
+          FROM (SELECT series_id, m, squares, variance
+                       + coalesce(sum(2 * (1 - j / (lags + 1)) * covariance), 0) AS long_run
+                FROM spans_{tag} LEFT JOIN covariances_{tag} USING (series_id)
+                GROUP BY series_id, m, squares, variance))
+    JOIN yearly_{tag} USING (series_id)),
+differenced_{tag} AS (
+    SELECT series_id, w, row_number() OVER (PARTITION BY series_id ORDER BY i) AS i
+    FROM (SELECT s.series_id, i, CASE WHEN d = 0 THEN v
+                 ELSE v - lag(v) OVER (PARTITION BY s.series_id ORDER BY i) END AS w
+          FROM stable_{tag} s JOIN orders_{tag} USING (series_id))
+    WHERE w IS NOT NULL)
+"""
+
+
+def _systems(columns: str, name: str) -> str:
+    """Normal equations ``[X'X, X'y]`` per series from rows ``(series_id, i, term, value)``.
+
+    Terms are numbered from 1 without gaps; the target is the last one.
+    """
+    return f"""
+{name} AS (
+    SELECT series_id, list(line ORDER BY a) AS zz
+    FROM (SELECT series_id, a, list(v ORDER BY b) AS line
+          FROM (SELECT l.series_id, l.term AS a, r.term AS b, sum(l.value * r.value) AS v
+                FROM {columns} l JOIN {columns} r USING (series_id, i) GROUP BY 1, 2, 3)
+          GROUP BY 1, 2)
+    GROUP BY series_id)
+"""
+
+
+def _dies_out(weights: str) -> str:
+    """Whether ``x[t] = sum(weights[k] x[t - k])`` shrinks faster than 0.999 to the t.
+
+    Steps the weights down to order one; every last weight on the way must be inside (-1, 1). The
+    first number of the state tells whether that held so far.
+    """
+    scaled = f"list_transform({weights}, lambda v, k: v / 0.999::DOUBLE ** k)"
+    return f"""
+    (list_reduce(
+        list_transform(range(0, len({weights})), lambda q: [0.0::DOUBLE]),
+        lambda s, x: CASE
+            WHEN s[1] = 0 OR abs(s[len(s)]) >= 1 THEN list_transform(s[1:len(s) - 1], lambda v: 0)
+            ELSE list_prepend(1, list_transform(s[2:len(s) - 1],
+                lambda v, k: (v + s[len(s)] * s[len(s) - k]) / (1 - s[len(s)] * s[len(s)])))
+            END,
+        list_prepend(1.0::DOUBLE, {scaled}))[1] = 1)"""
+
+
+def arima(source: str, tag: str) -> str:
+    """The autoregressive moving-average search: long autoregression, then every candidate."""
+    return f"""
+{differences(source, tag)},
+sizes_{tag} AS (
+    SELECT series_id, n, last, d, seasonal_d, m, order_long, longest_p,
+           greatest(order_long + 2, 3, 12 * longest_p) AS start, d + seasonal_d < 2 AS constant
+    FROM (SELECT *, least(12, m // 5) AS order_long, CAST(m >= 36 AS INTEGER) AS longest_p
+          FROM orders_{tag}
+          JOIN (SELECT series_id, count(*) AS m FROM differenced_{tag} GROUP BY 1) USING (series_id))),
+long_columns_{tag} AS (
+    SELECT series_id, i, 1 AS term, 1.0::DOUBLE AS value
+    FROM differenced_{tag} JOIN sizes_{tag} USING (series_id) WHERE i > order_long
+    UNION ALL
+    SELECT t.series_id, t.i, CASE WHEN k = 0 THEN order_long + 2 ELSE k + 1 END, p.w
+    FROM differenced_{tag} t JOIN sizes_{tag} z USING (series_id),
+         range(0, 13) AS lags(k), differenced_{tag} p
+    WHERE t.i > order_long AND k <= order_long AND p.series_id = t.series_id AND p.i = t.i - k),
+{_systems(f"long_columns_{tag}", f"long_systems_{tag}")},
+long_fits_{tag} AS (
+    SELECT series_id, {_solved("aug")} AS beta
+    FROM (SELECT series_id, zz[1:len(zz) - 1] AS aug FROM long_systems_{tag})),
+shocks_{tag} AS (
+    SELECT series_id, i, coalesce(e, 0) AS e
+    FROM differenced_{tag} LEFT JOIN (
+        SELECT series_id, i, sum(CASE WHEN term = order_long + 2 THEN value
+                                      ELSE -value * beta[term] END) AS e
+        FROM long_columns_{tag} JOIN long_fits_{tag} USING (series_id)
+        JOIN sizes_{tag} USING (series_id) GROUP BY 1, 2) USING (series_id, i)),
+columns_{tag} AS (
+    SELECT series_id, i, 1 AS term, 1.0::DOUBLE AS value
+    FROM differenced_{tag} JOIN sizes_{tag} USING (series_id) WHERE i > start
+    UNION ALL
+    SELECT t.series_id, t.i, term, p.w
+    FROM differenced_{tag} t JOIN sizes_{tag} USING (series_id),
+         (VALUES (2, 1), (3, 2), (4, 3), (5, 12), (8, 0)) AS lags(term, k), differenced_{tag} p
+    WHERE t.i > start AND p.series_id = t.series_id AND p.i = t.i - k
+    UNION ALL
+    SELECT t.series_id, t.i, 5 + k, p.e
+    FROM differenced_{tag} t JOIN sizes_{tag} USING (series_id),
+         range(1, 3) AS lags(k), shocks_{tag} p
+    WHERE t.i > start AND p.series_id = t.series_id AND p.i = t.i - k),
+{_systems(f"columns_{tag}", f"systems_{tag}")},
+chosen_{tag} AS (
+    SELECT series_id, n, last, d, seasonal_d, constant, m - start AS rows, zz, p, q, sp,
+           list_filter([CASE WHEN constant THEN 1 END, CASE WHEN p >= 1 THEN 2 END,
+                        CASE WHEN p >= 2 THEN 3 END, CASE WHEN p >= 3 THEN 4 END,
+                        CASE WHEN sp = 1 THEN 5 END, CASE WHEN q >= 1 THEN 6 END,
+                        CASE WHEN q >= 2 THEN 7 END], lambda v: v IS NOT NULL) AS cols
+    FROM sizes_{tag} JOIN systems_{tag} USING (series_id),
+         range(0, 4) AS ps(p), range(0, 3) AS qs(q), range(0, 2) AS sps(sp)
+    WHERE sp <= longest_p),
+candidate_fits_{tag} AS (
+    SELECT *, zz[8][8] - coalesce(list_sum(list_transform(beta, lambda v, i: v * zz[8][cols[i]])), 0)
+              AS sse,
+           len(cols) + 1 AS k,
+           list_transform(range(1, 13), lambda a: CASE
+               WHEN a <= p THEN beta[list_position(cols, a + 1)]
+               WHEN a = 12 AND sp = 1 THEN beta[list_position(cols, 5)] ELSE 0 END) AS phi,
+           list_transform(range(1, 3), lambda a: CASE
+               WHEN a <= q THEN beta[list_position(cols, a + 5)] ELSE 0 END) AS theta
+    FROM (SELECT *, {_solved("aug")} AS beta
+          FROM (SELECT *, list_transform(cols, lambda a: list_append(
+                    list_transform(cols, lambda b: zz[a][b]), zz[a][8])) AS aug
+                FROM chosen_{tag}))),
+arima_{tag} AS (
+    SELECT *, CASE WHEN constant THEN beta[1] ELSE 0 END AS "offset",
+           rows * ln(greatest(sse, 1e-12) / rows) + 2 * k + 2.0::DOUBLE * k * (k + 1) / (rows - k - 1)
+               AS aicc
+    FROM candidate_fits_{tag}
+    WHERE rows - k - 1 > 0 AND {_dies_out("phi")}
+          AND {_dies_out("list_transform(theta, lambda v: -v)")}
+    QUALIFY row_number() OVER (PARTITION BY series_id ORDER BY aicc, p, q, sp) = 1)
+"""
+
+
+def arima_path(source: str, tag: str, horizon: int) -> str:
+    """Forecast months 1 to ``horizon``: the differenced recursion, summed back up."""
+    return f"""
+walked_{tag} AS (
+    SELECT series_id, last, d, seasonal_d, "offset", phi, theta, 0 AS h, ws, es, ys
+    FROM arima_{tag}
+    JOIN (SELECT series_id, list(w ORDER BY i DESC) AS ws FROM differenced_{tag} GROUP BY 1)
+        USING (series_id)
+    JOIN (SELECT series_id, list(e ORDER BY i DESC) AS es FROM shocks_{tag} GROUP BY 1)
+        USING (series_id)
+    JOIN (SELECT series_id, list(y ORDER BY ds DESC) AS ys FROM {source} GROUP BY 1)
+        USING (series_id)
+    UNION ALL
+    SELECT series_id, last, d, seasonal_d, "offset", phi, theta, h + 1, list_prepend(fresh, ws), es,
+           list_prepend(fresh + d * ys[1] + seasonal_d * ys[12] - d * seasonal_d * ys[13], ys)
+    FROM (SELECT *, "offset" + list_dot_product(phi, ws[1:12])
+                 + CASE h WHEN 0 THEN theta[1] * es[1] + theta[2] * es[2]
+                          WHEN 1 THEN theta[2] * es[1] ELSE 0 END AS fresh
+          FROM walked_{tag} WHERE h < {horizon})),
+arima_path_{tag} AS (
+    SELECT series_id, CAST(last + to_months(CAST(h AS INTEGER)) AS DATE) AS ds, ys[1] AS value
+    FROM walked_{tag} WHERE h > 0)
+"""
+
+
 CALIBRATED = f"""{SPLIT}, {ets("train", "a")}, {ets_path("a", 24)},
 calibrated AS (
     SELECT series_id, ds, y AS actual, value AS prediction, y - value AS residual
@@ -453,6 +642,11 @@ ORACLES: dict[str, str] = {
     "forecast_combined": f"""WITH RECURSIVE {REGION_TREND}, {ROLLUPS}, {OBSERVED}
         SELECT *, CAST(strptime(mes_ano || '-01', '%Y-%m-%d') AS DATE) AS mes_ano_data
         FROM (SELECT * FROM seen UNION ALL SELECT * FROM ahead)""",
+    "fit_arima": f"""WITH RECURSIVE {SPLIT}, {arima("train", "c")}
+        SELECT series_id, CAST(n AS INTEGER) AS n_obs,
+               printf('ARIMA(%d,%d,%d)(%d,%d,0)[12]', p, d, q, sp, seasonal_d) AS form,
+               round("offset", 6) AS "offset", round(sse, 6) AS sse, round(aicc, 6) AS aicc
+        FROM arima_c""",
     "fit_ets": f"""WITH RECURSIVE {SPLIT}, {ets("train", "a")}
         SELECT series_id, CAST(n AS INTEGER) AS n_obs, CAST(grid_id AS INTEGER) AS grid_id,
                'ETS(A,' || trend || ',' || season || ')' AS form, round(l, 6) AS level,
@@ -475,54 +669,10 @@ ORACLES: dict[str, str] = {
                round(CASE WHEN var_pop(actual) * var_pop(prediction) > 0
                      THEN corr(actual, prediction) ** 2 END, 6) AS rsq
         FROM errors GROUP BY series_id""",
-    "differencing_orders": f"""WITH {SCOPES},
-        trends AS (
-            SELECT series_id, ds, y, month(ds) AS month,
-                   CASE WHEN count(*) OVER (near ROWS BETWEEN 6 PRECEDING AND 6 FOLLOWING) = 13
-                        THEN y - (avg(y) OVER (near ROWS BETWEEN 6 PRECEDING AND 5 FOLLOWING)
-                            + avg(y) OVER (near ROWS BETWEEN 5 PRECEDING AND 6 FOLLOWING)) / 2
-                   END AS around
-            FROM scopes WINDOW near AS (PARTITION BY series_id ORDER BY ds)),
-        seasons AS (
-            SELECT *, around - avg(around) OVER (PARTITION BY series_id, month) AS rest FROM trends),
-        strengths AS (
-            SELECT series_id, count(*) AS n,
-                   greatest(1 - var_samp(rest) / var_samp(around), 0) AS strength
-            FROM seasons GROUP BY series_id),
-        yearly AS (
-            SELECT series_id, n, strength, CAST(strength > 0.64 AND n >= 36 AS INTEGER) AS seasonal_d
-            FROM strengths),
-        stable AS (
-            SELECT * FROM (
-                SELECT series_id, ds, seasonal_d, CASE WHEN seasonal_d = 0 THEN y
-                       ELSE y - lag(y, 12) OVER (PARTITION BY series_id ORDER BY ds) END AS v
-                FROM scopes JOIN yearly USING (series_id))
-            WHERE v IS NOT NULL),
-        centred AS (
-            SELECT series_id, v - avg(v) OVER (PARTITION BY series_id) AS e,
-                   row_number() OVER (PARTITION BY series_id ORDER BY ds) AS i,
-                   count(*) OVER (PARTITION BY series_id) AS m
-            FROM stable),
-        walks AS (
-            SELECT series_id, m, e, sum(e) OVER (PARTITION BY series_id ORDER BY i) AS walk
-            FROM centred),
-        spans AS (
-            SELECT series_id, m, sum(walk * walk) AS squares, sum(e * e) / m AS variance,
-                   CAST(floor(3 * sqrt(m) / 13) AS INTEGER) AS lags
-            FROM walks GROUP BY series_id, m),
-        products AS (
-            SELECT a.series_id, j, sum(a.e * c.e) / any_value(a.m) AS covariance
-            FROM spans JOIN centred a USING (series_id), range(1, 1000) AS steps(j), centred c
-            WHERE j <= lags AND c.series_id = a.series_id AND c.i = a.i + j GROUP BY 1, 2),
-        long_runs AS (
-            SELECT series_id, any_value(m) AS m, any_value(squares) AS squares,
-                   any_value(variance) + coalesce(sum(2 * (1 - j / (lags + 1)) * covariance), 0)
-                       AS long_run
-            FROM spans LEFT JOIN products USING (series_id) GROUP BY series_id)
+    "differencing_orders": f"""WITH {SCOPES}, {differences("scopes", "b")}
         SELECT series_id, CAST(n AS INTEGER) AS n_obs, round(strength, 6) AS strength,
-               round(squares / (m * m * long_run), 6) AS kpss,
-               CAST(squares / (m * m * long_run) > 0.463 AS INTEGER) AS d, seasonal_d
-        FROM yearly JOIN long_runs USING (series_id)""",
+               round(kpss, 6) AS kpss, d, seasonal_d
+        FROM orders_b""",
     "refit_forecast_ets": f"""WITH RECURSIVE {REFIT}
         SELECT series_id, 3 AS model_id, 'ETS' AS model_desc, ds, round(value, 6) AS value
         FROM path_b""",
