@@ -415,9 +415,65 @@ arima_path_{tag} AS (
 
 CALIBRATED = f"""{SPLIT}, {ets("train", "a")}, {ets_path("a", 24)},
 calibrated AS (
-    SELECT series_id, ds, y AS actual, value AS prediction, y - value AS residual
+    SELECT series_id, 3 AS model_id, 'ETS' AS model_desc, ds, y AS actual, value AS prediction,
+           y - value AS residual
     FROM path_a JOIN test USING (series_id, ds))
 """
+ERRORS = """
+errors AS (
+    SELECT *, abs(residual) AS miss,
+           abs(actual - lag(actual) OVER (PARTITION BY series_id, model_id ORDER BY ds)) AS change
+    FROM calibrated),
+scores AS (
+    SELECT series_id, model_id, model_desc, round(avg(miss), 6) AS mae,
+           round(100 * avg(miss / abs(actual)), 6) AS mape,
+           round(avg(miss) / avg(change), 6) AS mase,
+           round(100 * avg(miss / ((abs(actual) + abs(prediction)) / 2)), 6) AS smape,
+           round(sqrt(avg(residual * residual)), 6) AS rmse,
+           round(CASE WHEN var_pop(actual) * var_pop(prediction) > 0
+                 THEN corr(actual, prediction) ** 2 END, 6) AS rsq
+    FROM errors GROUP BY 1, 2, 3)
+"""
+
+def all_models(source: str, dates: str, tag: str, horizon: int) -> str:
+    """The three models fitted to ``source`` and their predictions as ``predicted_{tag}``."""
+    return f"""
+{arima(source, f"arima{tag}")}, {arima_path(source, f"arima{tag}", horizon)},
+{trend(source, f"trend{tag}")}, {trend_path(f"trend{tag}", dates, f"trend_path_{tag}")},
+{ets(source, f"ets{tag}")}, {ets_path(f"ets{tag}", horizon)},
+predicted_{tag} AS (
+    SELECT series_id, 1 AS model_id, 'ARIMA' AS model_desc, ds, value FROM arima_path_arima{tag}
+    UNION ALL SELECT series_id, 2, 'PROPHET', ds, value FROM trend_path_{tag}
+    UNION ALL SELECT series_id, 3, 'ETS', ds, value FROM path_ets{tag})
+"""
+
+
+ALL_CALIBRATED = f"""{SPLIT}, {all_models("train", "test", "t", 24)},
+calibrated AS (
+    SELECT series_id, model_id, model_desc, ds, y AS actual, value AS prediction,
+           y - value AS residual
+    FROM predicted_t JOIN test USING (series_id, ds))
+"""
+ALL_REFIT = all_models("scopes", future("scopes", 42), "f", 42)
+SPREADS = """
+spreads AS (
+    SELECT series_id, model_id, stddev_samp(residual) AS spread FROM calibrated GROUP BY 1, 2),
+ranged AS (
+    SELECT series_id, model_id, model_desc, 'prediction' AS key, ds AS index,
+           round(value, 6) AS value,
+           round(value - 1.959963984540054::DOUBLE * spread, 6) AS conf_lo,
+           round(value + 1.959963984540054::DOUBLE * spread, 6) AS conf_hi
+    FROM predicted_f LEFT JOIN spreads USING (series_id, model_id))
+"""
+
+
+def _times_difference(polynomial: str, lag: str) -> str:
+    """Coefficients of a lag polynomial times ``1 - B^lag``; unchanged when ``lag`` is 0."""
+    return f"""CASE WHEN {lag} = 0 THEN {polynomial} ELSE list_transform(
+        range(1, len({polynomial}) + {lag} + 1), lambda i: coalesce({polynomial}[i], 0)
+            - CASE WHEN i > {lag} THEN {polynomial}[i - {lag}] ELSE 0 END) END"""
+
+
 REFIT = f"""{SCOPES}, {ets("scopes", "b")}, {ets_path("b", 42)}"""
 REGION_REFIT = f"""{PANEL}, {ets("p0", "b")}, {ets_path("b", 42)}"""
 
@@ -652,23 +708,48 @@ ORACLES: dict[str, str] = {
                'ETS(A,' || trend || ',' || season || ')' AS form, round(l, 6) AS level,
                round(b, 6) AS slope, round(sse, 6) AS sse, round(aicc, 6) AS aicc
         FROM fit_a""",
+    "model_table": f"""WITH RECURSIVE {ALL_CALIBRATED},
+        forms AS (
+            SELECT series_id, 1 AS model_id, 'ARIMA' AS model_desc, n,
+                   printf('ARIMA(%d,%d,%d)(%d,%d,0)[12]', p, d, q, sp, seasonal_d) AS form,
+                   list_concat(list_concat(["offset"],
+                       list_transform(twice[2:], lambda v: -v)), theta) AS coefficients
+            FROM (SELECT *, {_times_difference("once", "(12 * seasonal_d)")} AS twice
+                  FROM (SELECT *, {_times_difference("ar", "d")} AS once
+                        FROM (SELECT *, list_prepend(1.0::DOUBLE, list_transform(phi, lambda v: -v))
+                                            AS ar
+                              FROM arima_arimat)))
+            UNION ALL
+            SELECT series_id, 2, 'PROPHET', n,
+                   printf('trend with %d changepoints and yearly season', CAST(bends AS INTEGER)),
+                   beta
+            FROM mode_trendt QUALIFY row_number() OVER (PARTITION BY series_id ORDER BY step DESC) = 1
+            UNION ALL
+            SELECT series_id, 3, 'ETS', n, 'ETS(A,' || trend || ',' || season || ')',
+                   list_concat([alpha, beta, gamma, phi, l, b], s)
+            FROM fit_etst)
+        SELECT series_id, model_id, model_desc, form, CAST(n AS INTEGER) AS n_obs,
+               CAST(generate_subscripts(coefficients, 1) - 1 AS INTEGER) AS term,
+               round(unnest(coefficients), 6) AS value
+        FROM forms""",
+    "calibrate": f"""WITH RECURSIVE {ALL_CALIBRATED}
+        SELECT series_id, model_id, model_desc, ds, actual, round(prediction, 6) AS prediction,
+               round(residual, 6) AS residual
+        FROM calibrated""",
+    "accuracy": f"""WITH RECURSIVE {ALL_CALIBRATED}, {ERRORS}
+        SELECT * FROM scores""",
+    "refit_forecast": f"""WITH RECURSIVE {SCOPES}, {ALL_REFIT}
+        SELECT series_id, model_id, model_desc, ds, round(value, 6) AS value FROM predicted_f""",
+    "forecast_with_actuals": f"""WITH RECURSIVE {ALL_CALIBRATED}, {ALL_REFIT}, {SPREADS}
+        SELECT * FROM ranged
+        UNION ALL SELECT series_id, NULL, 'ACTUAL', 'actual', ds, y, NULL, NULL FROM scopes""",
+    "forecast_intervals": f"""WITH RECURSIVE {ALL_CALIBRATED}, {ALL_REFIT}, {SPREADS}
+        SELECT * FROM ranged WHERE model_desc <> 'ARIMA'""",
     "calibrate_ets": f"""WITH RECURSIVE {CALIBRATED}
-        SELECT series_id, 3 AS model_id, 'ETS' AS model_desc, ds, actual,
-               round(prediction, 6) AS prediction, round(residual, 6) AS residual
+        SELECT series_id, model_id, model_desc, ds, actual, round(prediction, 6) AS prediction,
+               round(residual, 6) AS residual
         FROM calibrated""",
-    "accuracy_ets": f"""WITH RECURSIVE {CALIBRATED},
-        errors AS (
-            SELECT *, abs(residual) AS miss,
-                   abs(actual - lag(actual) OVER (PARTITION BY series_id ORDER BY ds)) AS change
-            FROM calibrated)
-        SELECT series_id, 3 AS model_id, 'ETS' AS model_desc, round(avg(miss), 6) AS mae,
-               round(100 * avg(miss / abs(actual)), 6) AS mape,
-               round(avg(miss) / avg(change), 6) AS mase,
-               round(100 * avg(miss / ((abs(actual) + abs(prediction)) / 2)), 6) AS smape,
-               round(sqrt(avg(residual * residual)), 6) AS rmse,
-               round(CASE WHEN var_pop(actual) * var_pop(prediction) > 0
-                     THEN corr(actual, prediction) ** 2 END, 6) AS rsq
-        FROM errors GROUP BY series_id""",
+    "accuracy_ets": f"""WITH RECURSIVE {CALIBRATED}, {ERRORS} SELECT * FROM scores""",
     "differencing_orders": f"""WITH {SCOPES}, {differences("scopes", "b")}
         SELECT series_id, CAST(n AS INTEGER) AS n_obs, round(strength, 6) AS strength,
                round(kpss, 6) AS kpss, d, seasonal_d

@@ -259,8 +259,11 @@ def differencing_orders(spark, sf_dir):
 
 
 def model_table(spark, sf_dir):
+    """All models of all series, one row per coefficient."""
     train, _ = _train_test(spark, sf_dir)
-    return evaluate.model_table(evaluate.fit_models(train))
+    table = evaluate.model_table(evaluate.fit_models(train))
+    columns = ["series_id", "model_id", "model_desc", "form", "n_obs"]
+    return rounded(table.select(*columns, F.posexplode("coefficients").alias("term", "value")))
 
 
 def calibrate(spark, sf_dir):
