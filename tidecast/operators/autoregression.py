@@ -63,7 +63,7 @@ def _stable_rows(panel: DataFrame) -> DataFrame:
 def _in_order(column: str) -> Column:
     """Values of a column in month order, without missing ones."""
     present = F.when(F.col(column).isNotNull(), F.struct("ds", column))
-    return F.transform(F.array_sort(F.collect_list(present)), lambda m: m[column])
+    return F.transform(F.sort_array(F.collect_list(present)), lambda m: m[column])
 
 
 def _total(values: Column) -> Column:
@@ -141,36 +141,40 @@ def choose_order(w: np.ndarray, differences: int) -> dict:
 
     A series without enough months for lags gets its mean, or no drift after two differences.
     """
-    shocks, constant = _shocks(w), differences < 2
+    shocks, constant = _shocks(w), int(differences < 2)
     longest_p = MAX_SEASONAL_P if len(w) >= 3 * PERIOD else 0
     start = max(min(PERIOD, len(w) // 5) + MAX_Q, MAX_P, PERIOD * longest_p)
     orders = list(product(range(MAX_P + 1), range(MAX_Q + 1), range(longest_p + 1)))
+    ar_lags, ma_lags = [*range(1, MAX_P + 1), PERIOD], list(range(1, MAX_Q + 1))
     if len(w) < start + 3:
-        start, orders = 0, [(0, 0, 0)]
-    n, best = len(w) - start, None
+        start, orders, ar_lags, ma_lags = 0, [(0, 0, 0)], [], []
+    elif not longest_p:
+        ar_lags.remove(PERIOD)
+    y, n = w[start:], len(w) - start
+    columns = [np.ones((n, 1))]
+    columns += [_lagged(w, ar_lags, start), _lagged(shocks, ma_lags, start)] if ar_lags else []
+    x = np.hstack(columns)
+    xx, xy = x.T @ x, x.T @ y
+    fits = []
     for p, q, seasonal_p in orders:
-        ar_lags = list(range(1, p + 1)) + [PERIOD] * seasonal_p
-        parts = [np.ones((n, 1))] if constant else []
-        parts += [_lagged(w, ar_lags, start)] if ar_lags else []
-        parts += [_lagged(shocks, list(range(1, q + 1)), start)] if q else []
-        x, y = np.hstack([np.empty((n, 0)), *parts]), w[start:]
-        k = x.shape[1] + 1
-        if n - k - 1 <= 0 and (p or q or seasonal_p):
-            continue
-        beta = np.linalg.lstsq(x, y, rcond=None)[0] if x.shape[1] else np.empty(0)
-        sse = float(np.sum((y - x @ beta) ** 2))
-        phi, theta = np.zeros(PERIOD), np.zeros(MAX_Q)
-        phi[[lag - 1 for lag in ar_lags]] = beta[int(constant) : int(constant) + len(ar_lags)]
-        theta[:q] = beta[len(beta) - q :]
-        if not (_stable(phi) and _stable(-theta)):
+        ar = [*range(1, p + 1), *[MAX_P + 1] * seasonal_p]
+        used = [0] * constant + ar + [1 + len(ar_lags) + j for j in range(q)]
+        k = len(used) + 1
+        if n - k - 1 <= 0 and len(orders) > 1:
             continue
+        beta = np.linalg.lstsq(xx[np.ix_(used, used)], xy[used], rcond=None)[0]
+        sse = float(np.sum((y - x[:, used] @ beta) ** 2))
         room = max(n - k - 1, 1)
         aicc = n * np.log(max(sse, 1e-12) / max(n, 1)) + 2 * k + 2 * k * (k + 1) / room
-        if best is None or aicc < best["aicc"]:
-            offset = float(beta[0]) if constant else 0.0
-            best = {"p": p, "q": q, "seasonal_p": seasonal_p, "offset": offset, "phi": phi}
-            best |= {"theta": theta, "shocks": shocks[-1 : -MAX_Q - 1 : -1], "sse": sse, "aicc": aicc}
-    return best
+        phi, theta = np.zeros(PERIOD), np.zeros(MAX_Q)
+        phi[[ar_lags[i - 1] - 1 for i in ar]] = beta[constant : constant + len(ar)]
+        theta[:q] = beta[len(beta) - q :]
+        offset = float(beta[0]) if constant else 0.0
+        fits.append((aicc, p, q, seasonal_p, sse, offset, phi, theta))
+    fits.sort(key=lambda fit: fit[:4])
+    best = next(fit for fit in fits if _stable(fit[6]) and _stable(-fit[7]))
+    names = ["aicc", "p", "q", "seasonal_p", "sse", "offset", "phi", "theta"]
+    return {**dict(zip(names, best)), "shocks": shocks[: -MAX_Q - 1 : -1]}
 
 
 def level_weights(phi: np.ndarray, d: int, seasonal_d: int) -> np.ndarray:

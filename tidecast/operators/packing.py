@@ -20,7 +20,7 @@ def by_series(panel: DataFrame) -> DataFrame:
 
 def pack_series(panel: DataFrame) -> DataFrame:
     """``(series_id, last, ys)`` with the values of a series in month order."""
-    months = F.array_sort(F.collect_list(F.struct("ds", "y")))
+    months = F.sort_array(F.collect_list(F.struct("ds", "y")))
     rows = by_series(panel.filter(F.col("y").isNotNull()))
     return rows.groupBy("series_id").agg(
         F.max("ds").alias("last"), F.transform(months, lambda m: m["y"]).alias("ys")

@@ -624,7 +624,8 @@ ORACLES: dict[str, str] = {
                round(sum(c_acctbal), 2) AS total
         FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey GROUP BY 1, 2""",
     "two_hop_join": """
-        SELECT n_name, CAST(year(o_orderdate) AS INTEGER) AS ano, count(*) AS total
+        SELECT n_name, CAST(date_trunc('month', o_orderdate) AS DATE) AS ds,
+               CAST(count(*) AS DOUBLE) AS total
         FROM orders LEFT JOIN customer ON o_custkey = c_custkey
         LEFT JOIN nation ON c_nationkey = n_nationkey GROUP BY 1, 2""",
     "distinct_periods": f"WITH {PANEL} SELECT DISTINCT ds FROM p0",
@@ -817,6 +818,11 @@ ORACLES: dict[str, str] = {
     "demand_long": f"WITH {GAP} SELECT * FROM demand_rows",
     "supply_by_year": f"WITH {GAP} SELECT * FROM supply",
     "demand_supply": f"WITH {GAP} SELECT * FROM both_sides",
+    "scenario_totals": f"""WITH {GAP}
+        SELECT CASE WHEN cenario = 'demanda' THEN 'demanda'
+                    ELSE 'oferta' || substring(cenario, 18, 1) END AS status,
+               count(*) AS n, sum(total) AS total
+        FROM both_sides GROUP BY 1""",
     "gap_labels": f"WITH {GAP} SELECT *, round_even(total, 0) AS rotulo FROM both_sides",
     "deficit": f"""WITH {MEAN_GAP}
         SELECT regiao, profissional, round(ano, 6) AS ano, {_ROUNDED}, {_RESULTS} FROM mean_gap""",

@@ -24,6 +24,7 @@ from tidecast.plans import bindings as b
 from tidecast.session import scratch_path, stage
 from tidecast.sources import (
     clean_names,
+    literal_table,
     read_export_csv,
     read_sheet,
     schemas,
@@ -114,16 +115,15 @@ def code_prefix_join(spark, sf_dir):
 
 
 def two_hop_join(spark, sf_dir):
-    """Yearly order totals per nation, reached over the customer."""
-    orders = b.table(spark, sf_dir, "orders")
-    totals = orders.groupBy("o_custkey", F.year("o_orderdate").alias("ano")).agg(
-        F.count(F.lit(1)).alias("n")
+    """Monthly order totals per nation, reached from the order over the customer."""
+    totals = panels.month_totals(
+        b.table(spark, sf_dir, "orders"), ["o_custkey"], month_start("o_orderdate")
     )
     customers, nations = b.table(spark, sf_dir, "customer"), b.table(spark, sf_dir, "nation")
     placed = totals.join(customers, totals.o_custkey == customers.c_custkey, "left").join(
         nations, customers.c_nationkey == nations.n_nationkey, "left"
     )
-    return placed.groupBy("n_name", "ano").agg(strict_sum("n").alias("total"))
+    return placed.groupBy("n_name", "ds").agg(strict_sum("y").alias("total"))
 
 
 def distinct_periods(spark, sf_dir):
@@ -457,6 +457,17 @@ def demand_supply(spark, sf_dir):
     return _both_sides(spark, sf_dir)
 
 
+def scenario_totals(spark, sf_dir):
+    """Gap rows labelled by a table of scenarios written in code, totalled per label."""
+    rows = list(capacity.SCENARIOS.items())
+    labels = literal_table(spark, rows, "cenario string, status string")
+    # As many rows as the code lists.
+    named = _both_sides(spark, sf_dir).join(F.broadcast(labels), "cenario", "left")
+    return named.groupBy("status").agg(
+        F.count(F.lit(1)).alias("n"), strict_sum("total").alias("total")
+    )
+
+
 def gap_labels(spark, sf_dir):
     return capacity.gap_labels(_both_sides(spark, sf_dir))
 
@@ -571,6 +582,7 @@ QUERIES: dict[str, Query] = {
         demand_long,
         supply_by_year,
         demand_supply,
+        scenario_totals,
         gap_labels,
         deficit,
         deficit_by_year,
