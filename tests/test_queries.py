@@ -4,6 +4,7 @@ import os
 
 import pytest
 from oracle_check import connect, spark_rows, sql_rows
+from test_plans import physical_plan
 
 from __spark_entry__ import entry, oracle_sql, queries
 
@@ -27,7 +28,10 @@ def test_every_oracle_has_a_query():
 
 @pytest.mark.parametrize("name", list(queries()))
 def test_query(spark, duck, name):
-    columns, rows = spark_rows(queries()[name](spark, SF_DIR))
+    df = queries()[name](spark, SF_DIR)
+    plan = physical_plan(df)
+    assert "CartesianProduct" not in plan and "NestedLoopJoin" not in plan
+    columns, rows = spark_rows(df)
     assert rows
     if name in oracle_sql():
         assert (columns, rows) == sql_rows(duck, oracle_sql()[name])

@@ -1,4 +1,5 @@
 import datetime
+from types import SimpleNamespace
 
 import pytest
 
@@ -73,8 +74,18 @@ def test_literal_table(spark):
 def test_staging_uses_the_shared_folder(spark):
     staged = stage(spark.range(5))
     assert staged.count() == 5
-    assert spark.sparkContext.getCheckpointDir()
-    assert shared_dir(spark)
+    assert all(f"{shared_dir(spark)}/stage-" in name for name in staged.inputFiles())
+
+
+def test_shared_folder_is_the_one_the_session_names():
+    named = SimpleNamespace(conf={"spark.checkpoint.dir": "hdfs://shared/work"})
+    assert shared_dir(named) == "hdfs://shared/work"
+
+
+def test_a_cluster_must_name_a_shared_folder():
+    context = SimpleNamespace(getCheckpointDir=lambda: None, master="yarn")
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_dir(SimpleNamespace(conf={}, sparkContext=context))
 
 
 def test_repeated_export_is_refused(spark):

@@ -59,12 +59,11 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def stage(df: DataFrame) -> DataFrame:
-    """Compute ``df`` once into reliable shared storage and cut its lineage.
+    """Compute ``df`` once into a table in the shared folder and read it from there.
 
-    Meant for the monthly panel and for fitted parameters, which several branches read: both are
-    far smaller than the event tables, and a lost executor must not send the job back to those.
+    Meant for the monthly panel and for monthly totals, which several branches read: they are far
+    smaller than the event tables, and a lost executor must not send the job back to those.
     """
-    spark = df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(shared_dir(spark))
-    return df.checkpoint()
+    spark, path = df.sparkSession, scratch_path(df.sparkSession, "stage")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
