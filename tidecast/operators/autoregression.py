@@ -139,9 +139,13 @@ def _stable(coefficients: np.ndarray) -> bool:
 def choose_order(w: np.ndarray, differences: int) -> dict:
     """The stable, invertible candidate with the smallest corrected AIC on common months.
 
-    A series without enough months for lags gets its mean, or no drift after two differences.
+    A series without enough months for lags gets its mean, or no drift after two differences. Fits
+    with a constant run on deviations from the mean, which keeps their cross products accurate.
     """
-    shocks, constant = _shocks(w), int(differences < 2)
+    constant = int(differences < 2)
+    mean = float(w.mean()) if constant and len(w) else 0.0
+    w = w - mean
+    shocks = _shocks(w)
     longest_p = MAX_SEASONAL_P if len(w) >= 3 * PERIOD else 0
     start = max(min(PERIOD, len(w) // 5) + MAX_Q, MAX_P, PERIOD * longest_p)
     orders = list(product(range(MAX_P + 1), range(MAX_Q + 1), range(longest_p + 1)))
@@ -169,7 +173,7 @@ def choose_order(w: np.ndarray, differences: int) -> dict:
         phi, theta = np.zeros(PERIOD), np.zeros(MAX_Q)
         phi[[ar_lags[i - 1] - 1 for i in ar]] = beta[constant : constant + len(ar)]
         theta[:q] = beta[len(beta) - q :]
-        offset = float(beta[0]) if constant else 0.0
+        offset = float(beta[0]) + mean * (1 - phi.sum()) if constant else 0.0
         fits.append((aicc, p, q, seasonal_p, sse, offset, phi, theta))
     fits.sort(key=lambda fit: fit[:4])
     best = next(fit for fit in fits if _stable(fit[6]) and _stable(-fit[7]))

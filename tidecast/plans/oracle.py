@@ -318,15 +318,17 @@ def arima(source: str, tag: str) -> str:
 {differences(source, tag)},
 sizes_{tag} AS (
     SELECT series_id, n, last, d, seasonal_d, m, order_long, longest_p,
-           greatest(order_long + 2, 3, 12 * longest_p) AS start, d + seasonal_d < 2 AS constant
+           greatest(order_long + 2, 3, 12 * longest_p) AS start, d + seasonal_d < 2 AS constant,
+           CASE WHEN d + seasonal_d < 2 THEN mean ELSE 0 END AS middle
     FROM (SELECT *, least(12, m // 5) AS order_long, CAST(m >= 36 AS INTEGER) AS longest_p
           FROM orders_{tag}
-          JOIN (SELECT series_id, count(*) AS m FROM differenced_{tag} GROUP BY 1) USING (series_id))),
+          JOIN (SELECT series_id, count(*) AS m, avg(w) AS mean FROM differenced_{tag} GROUP BY 1)
+              USING (series_id))),
 long_columns_{tag} AS (
     SELECT series_id, i, 1 AS term, 1.0::DOUBLE AS value
     FROM differenced_{tag} JOIN sizes_{tag} USING (series_id) WHERE i > order_long
     UNION ALL
-    SELECT t.series_id, t.i, CASE WHEN k = 0 THEN order_long + 2 ELSE k + 1 END, p.w
+    SELECT t.series_id, t.i, CASE WHEN k = 0 THEN order_long + 2 ELSE k + 1 END, p.w - middle
     FROM differenced_{tag} t JOIN sizes_{tag} z USING (series_id),
          range(0, 13) AS lags(k), differenced_{tag} p
     WHERE t.i > order_long AND k <= order_long AND p.series_id = t.series_id AND p.i = t.i - k),
@@ -345,7 +347,7 @@ columns_{tag} AS (
     SELECT series_id, i, 1 AS term, 1.0::DOUBLE AS value
     FROM differenced_{tag} JOIN sizes_{tag} USING (series_id) WHERE i > start
     UNION ALL
-    SELECT t.series_id, t.i, term, p.w
+    SELECT t.series_id, t.i, term, p.w - middle
     FROM differenced_{tag} t JOIN sizes_{tag} USING (series_id),
          (VALUES (2, 1), (3, 2), (4, 3), (5, 12), (8, 0)) AS lags(term, k), differenced_{tag} p
     WHERE t.i > start AND p.series_id = t.series_id AND p.i = t.i - k
@@ -356,7 +358,7 @@ columns_{tag} AS (
     WHERE t.i > start AND p.series_id = t.series_id AND p.i = t.i - k),
 {_systems(f"columns_{tag}", f"systems_{tag}")},
 chosen_{tag} AS (
-    SELECT series_id, n, last, d, seasonal_d, constant, m - start AS rows, zz, p, q, sp,
+    SELECT series_id, n, last, d, seasonal_d, constant, middle, m - start AS rows, zz, p, q, sp,
            list_filter([CASE WHEN constant THEN 1 END, CASE WHEN p >= 1 THEN 2 END,
                         CASE WHEN p >= 2 THEN 3 END, CASE WHEN p >= 3 THEN 4 END,
                         CASE WHEN sp = 1 THEN 5 END, CASE WHEN q >= 1 THEN 6 END,
@@ -378,7 +380,7 @@ candidate_fits_{tag} AS (
                     list_transform(cols, lambda b: zz[a][b]), zz[a][8])) AS aug
                 FROM chosen_{tag}))),
 arima_{tag} AS (
-    SELECT *, CASE WHEN constant THEN beta[1] ELSE 0 END AS "offset",
+    SELECT *, CASE WHEN constant THEN beta[1] + middle * (1 - list_sum(phi)) ELSE 0 END AS "offset",
            rows * ln(greatest(sse, 1e-12) / rows) + 2 * k + 2.0::DOUBLE * k * (k + 1) / (rows - k - 1)
                AS aicc
     FROM candidate_fits_{tag}
