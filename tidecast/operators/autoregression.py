@@ -46,13 +46,17 @@ def _stable_rows(panel: DataFrame) -> DataFrame:
     year_before = F.lag("y", PERIOD).over(by_time)
     stable = F.when(F.col("seasonal_d") == 1, F.col("y") - year_before).otherwise(F.col("y"))
     so_far = by_time.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    around = F.when(inside, F.col("y") - (early + late) / 2)
     return (
         by_series(panel.filter(F.col("y").isNotNull()))
-        .withColumn("around", F.when(inside, F.col("y") - (early + late) / 2))
-        .withColumn("month", F.month("ds"))
+        .withColumns({"around": around, "month": F.month("ds")})
         .withColumn("left", F.col("around") - F.avg("around").over(same_month))
-        .withColumn("strength", F.greatest(explained, F.lit(0.0)))
-        .withColumn("n_obs", F.count(F.lit(1)).over(whole).cast("int"))
+        .withColumns(
+            {
+                "strength": F.greatest(explained, F.lit(0.0)),
+                "n_obs": F.count(F.lit(1)).over(whole).cast("int"),
+            }
+        )
         .withColumn("seasonal_d", F.coalesce(seasonal, F.lit(False)).cast("int"))
         .withColumn("stable", stable)
         .withColumn("centred", F.col("stable") - F.avg("stable").over(whole))

@@ -28,16 +28,18 @@ NOISE_SCALE = 0.5
 YEAR_DAYS = 365.25
 
 
-def regressors(ds: Column, first: Column, span: Column, bends: Column) -> Column:
-    """The design row of a date: offset, slope, one hinge per changepoint, Fourier pairs."""
-    t = F.datediff(ds, first) / span
-    where = F.when(bends > 0, F.sequence(F.lit(1), bends)).otherwise(F.array().cast("array<int>"))
-    hinges = F.transform(
-        where, lambda j: F.greatest(t - F.lit(CHANGEPOINT_SHARE) * j / bends, F.lit(0.0))
-    )
-    angle = F.unix_date(ds) * (2 * np.pi / YEAR_DAYS)
-    waves = [f(angle * k) for k in range(1, SEASON_ORDER + 1) for f in (F.sin, F.cos)]
-    return F.concat(F.array(F.lit(1.0), t.cast("double")), hinges, F.array(*waves))
+def regressors() -> Column:
+    """The design row of a date: offset, slope, one hinge per changepoint, Fourier pairs.
+
+    Reads the columns ``ds, first, span, bends``. Written as SQL text, because some sixty terms are
+    much faster to hand over as one expression than one by one.
+    """
+    t = "(datediff(ds, first) / span)"
+    bend = f"greatest({t} - {CHANGEPOINT_SHARE}D * j / bends, 0D)"
+    hinges = f"transform(if(bends > 0, sequence(1, bends), cast(array() AS array<int>)), j -> {bend})"
+    angle = f"(unix_date(ds) * {2 * np.pi / YEAR_DAYS!r}D)"
+    waves = [f"{f}({angle} * {k})" for k in range(1, SEASON_ORDER + 1) for f in ("sin", "cos")]
+    return F.expr(f"concat(array(1D, {t}), {hinges}, array({', '.join(waves)}))")
 
 
 def design(panel: DataFrame) -> DataFrame:
@@ -55,8 +57,7 @@ def design(panel: DataFrame) -> DataFrame:
         F.when(largest > 0, largest).otherwise(1.0).alias("scale"),
         F.greatest(F.least(F.lit(CHANGEPOINTS), room), F.lit(0)).alias("bends"),
     )
-    x = regressors(F.col("ds"), F.col("first"), F.col("span"), F.col("bends"))
-    return rows.withColumn("x", x)
+    return rows.withColumn("x", regressors())
 
 
 def posterior_mode(
@@ -125,7 +126,6 @@ def fit(panel: DataFrame) -> DataFrame:
 def predict(fitted: DataFrame, dates: DataFrame) -> DataFrame:
     """``(series_id, ds, value)`` for rows ``(series_id, ds)``, past or future."""
     rows = dates.select("series_id", "ds").join(fitted, "series_id")
-    x = regressors(F.col("ds"), F.col("first"), F.col("span"), F.col("bends"))
-    terms = F.zip_with(x, F.col("beta"), lambda a, b: a * b)
+    terms = F.zip_with(regressors(), F.col("beta"), lambda a, b: a * b)
     total = F.aggregate(terms, F.lit(0.0), lambda acc, term: acc + term)
     return rows.select("series_id", "ds", (total * F.col("scale")).alias("value"))
