@@ -12,7 +12,11 @@ def rows(df):
 
 def test_procedure_times_and_rank(spark):
     sheet = spark.createDataFrame(
-        [("2022-01", 2022, "N", 2.0, 8.0, 1.0), ("2022-02", 2022, "N", 4.0, None, 1.0), ("2022-01", 2022, "S", 6.0, 2.0, 9.0)],
+        [
+            ("2022-01", 2022, "N", 2.0, 8.0, 1.0),
+            ("2022-02", 2022, "N", 4.0, None, 1.0),
+            ("2022-01", 2022, "S", 6.0, 2.0, 9.0),
+        ],
         "mes_ano string, ano int, regiao string, `consulta,1` double, `parto,2` double, `outro` double",
     )
     times = capacity.procedure_times(sheet)
@@ -28,7 +32,11 @@ def test_procedure_times_and_rank(spark):
 @pytest.fixture
 def sides(spark):
     sheet = spark.createDataFrame(
-        [(2022, "N", 10.0, 1.0, 2.0, 3.0), (2022, "N", 20.0, 1.0, 2.0, 3.5), (2023, "N", 5.0, 4.0, 4.0, 4.0)],
+        [
+            (2022, "N", 10.0, 1.0, 2.0, 3.0),
+            (2022, "N", 20.0, 1.0, 2.0, 3.5),
+            (2023, "N", 5.0, 4.0, 4.0, 4.0),
+        ],
         "ano int, regiao string, tempo_x double, medico_ab double, medico_esp double, enf_ab double",
     )
     labels = [s for s in capacity.SCENARIOS if s != "demanda"]
@@ -39,7 +47,9 @@ def sides(spark):
         for i, label in enumerate(labels)
     ]
     supply = spark.createDataFrame(
-        records, "macrorregiao string, mes_ano date, nivel_atencao string, categoria string, cenario string, qtd_mensal double"
+        records,
+        "macrorregiao string, mes_ano date, nivel_atencao string, categoria string, "
+        "cenario string, qtd_mensal double",
     )
     demand = capacity.demand_long(capacity.yearly_demand(sheet, capacity.STAFF))
     return capacity.supply_by_year(supply), demand
@@ -84,7 +94,8 @@ def test_unknown_scenario_is_dropped_from_the_columns(sides):
 
 
 def test_labels_are_rounded_half_even(spark):
-    df = spark.createDataFrame([(2022, "N", "enf_ab", 2.5, "demanda")], "ano int, regiao string, profissional string, total double, cenario string")
+    columns = "ano int, regiao string, profissional string, total double, cenario string"
+    df = spark.createDataFrame([(2022, "N", "enf_ab", 2.5, "demanda")], columns)
     assert capacity.gap_labels(df, ["enf_ab"]).first().rotulo == 2.0
     assert capacity.gap_labels(df, ["medico_ab"]).count() == 0
 

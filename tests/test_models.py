@@ -101,7 +101,8 @@ def test_search_finds_the_smallest_aicc(values):
     for c in grid.itertuples():
         error = fold_by_hand(y, c.trend, c.season, c.alpha, c.beta, c.gamma, c.phi)
         room = n - c.k - 1
-        score = n * math.log(max(error, 1e-12) / n) + 2 * c.k + 2 * c.k * (c.k + 1) / room if room > 0 else math.inf
+        fit = n * math.log(max(error, 1e-12) / n) + 2 * c.k
+        score = fit + 2 * c.k * (c.k + 1) / room if room > 0 else math.inf
         scores[c.grid_id] = (score, error)
     assert scores[number][0] == pytest.approx(min(s for s, _ in scores.values()), abs=1e-6)
     assert sse == pytest.approx(scores[number][1], rel=1e-9)
@@ -174,9 +175,8 @@ def test_arima_repeats_an_exact_season(monthly):
 @pytest.fixture
 def seasonal(monthly):
     rng = np.random.default_rng(11)
-    return monthly(
-        {name: [200 + i + 20 * math.sin(i * math.pi / 6) + rng.standard_normal() for i in range(72)] for name in "ab"}
-    )
+    wave = [200 + i + 20 * math.sin(i * math.pi / 6) for i in range(72)]
+    return monthly({name: [v + rng.standard_normal() for v in wave] for name in "ab"})
 
 
 def test_calibration_accuracy_and_intervals(seasonal):
@@ -199,7 +199,8 @@ def test_calibration_accuracy_and_intervals(seasonal):
     rolled = forecast.forecast_rollup(table)
     assert rolled.count() == 84 and rolled.columns == ["mes_ano", "ano", "total", "tipo", "regiao"]
     table_of_models = evaluate.model_table(models).collect()
-    assert sorted({(r.model_id, r.model_desc) for r in table_of_models}) == [(1, "ARIMA"), (2, "PROPHET"), (3, "ETS")]
+    found = sorted({(r.model_id, r.model_desc) for r in table_of_models})
+    assert found == [(1, "ARIMA"), (2, "PROPHET"), (3, "ETS")]
 
 
 def test_thirteen_held_out_months_and_twelve_predicted(monthly):

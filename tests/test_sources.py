@@ -62,9 +62,13 @@ def test_sheet_and_one_file(spark, tmp_path):
 
 
 def test_sql_extract_names_its_inputs(spark):
-    births = spark.createDataFrame([("1", "01092020"), ("1", "15092020"), ("2", "01092020")], "c string, d string")
-    query = "SELECT c, substring(d, 3, 6) AS m, count(*) AS n FROM {births} WHERE c = '1' GROUP BY 1, 2"
-    assert [tuple(r) for r in sources.sql_extract(spark, query, births=births).collect()] == [("1", "092020", 2)]
+    records = [("1", "01092020"), ("1", "15092020"), ("2", "01092020")]
+    births = spark.createDataFrame(records, "c string, d string")
+    query = """
+        SELECT c, substring(d, 3, 6) AS m, count(*) AS n FROM {births} WHERE c = '1' GROUP BY 1, 2
+    """
+    found = sources.sql_extract(spark, query, births=births).collect()
+    assert [tuple(r) for r in found] == [("1", "092020", 2)]
 
 
 def test_literal_table(spark):

@@ -23,7 +23,7 @@ def mape_percent(actual: Column, predicted: Column) -> Column:
 def mape_fraction(truth: Column, predicted: Column) -> Column:
     """Mean of ``|truth - predicted| / |truth|``: the first argument is the divisor.
 
-    The notebook variant of the score passes the forecast as ``truth``.
+    Fixed-date scores pass the forecast as ``truth``.
     """
     return F.avg(F.abs(predicted - truth) / F.greatest(F.abs(truth), F.lit(EPSILON)))
 

@@ -104,7 +104,7 @@ def differencing_orders(panel: DataFrame) -> DataFrame:
             _in_order("y").alias("ys"),
             _in_order("stable").alias("stable"),
             _in_order("centred").alias("centred"),
-            F.sum(F.col("walk") * F.when(F.col("stable").isNotNull(), F.col("walk"))).alias("squares"),
+            F.sum(F.col("walk") * F.col("walk")).alias("squares"),
         )
     )
     n, variance = F.size("stable"), F.col("variance")

@@ -141,7 +141,7 @@ def forecast_vs_observed(forecast: DataFrame, observed: DataFrame, since: Column
 
 
 def mae_mape(compared: DataFrame) -> DataFrame:
-    """MAE and fractional MAPE per series; as in the notebook, the forecast is the divisor."""
+    """MAE and fractional MAPE per series; the forecast takes the place of the truth as divisor."""
     y, yhat = F.col("y"), F.col("yhat")
     return compared.groupBy("series_id").agg(
         mae(y, yhat).alias("mae"), mape_fraction(truth=yhat, predicted=y).alias("mape")

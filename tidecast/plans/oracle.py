@@ -35,8 +35,14 @@ def _split(source: str, name: str = "parts") -> str:
 """
 
 
-SPLIT = f"{SCOPES}, {_split('scopes')}, train AS (SELECT series_id, ds, y FROM parts WHERE split_key = 'training'), test AS (SELECT series_id, ds, y FROM parts WHERE split_key = 'testing')"
-CUT_SPLIT = f"{SCOPES}, train AS (SELECT * FROM scopes WHERE ds < DATE '2000-07-01'), test AS (SELECT * FROM scopes WHERE ds >= DATE '2000-07-01')"
+SPLIT = f"""{SCOPES}, {_split("scopes")},
+train AS (SELECT series_id, ds, y FROM parts WHERE split_key = 'training'),
+test AS (SELECT series_id, ds, y FROM parts WHERE split_key = 'testing')
+"""
+CUT_SPLIT = f"""{SCOPES},
+train AS (SELECT * FROM scopes WHERE ds < DATE '2000-07-01'),
+test AS (SELECT * FROM scopes WHERE ds >= DATE '2000-07-01')
+"""
 
 
 def _ordered(column: str, values: tuple) -> str:

@@ -37,7 +37,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 HORIZON = 42
 CUT = "2000-07-01"
-NOTEBOOK_HORIZON = 12
+SHORT_HORIZON = 12
 # Supply counts from the year after this one.
 LAST_PAST_YEAR = 1997
 DECIMALS = 6
@@ -333,30 +333,30 @@ def in_sample_fit(spark, sf_dir):
     return rounded(fitted.join(panel, ["series_id", "ds"]))
 
 
-def _notebook(spark, sf_dir, desc):
+def _fixed_cut(spark, sf_dir, desc):
     """Fixed cut, thirteen held-out months, twelve forecast months joined to the observed ones."""
     split = splits.split_by_date(b.scopes(spark, sf_dir), CUT)
     train = splits.training(split)
     models = evaluate.fit_models(train, desc)
-    predicted = evaluate.predict_models(models, splits.future_frame(train, NOTEBOOK_HORIZON))
+    predicted = evaluate.predict_models(models, splits.future_frame(train, SHORT_HORIZON))
     observed = splits.testing(split)
     return evaluate.forecast_vs_observed(predicted, observed, date_literal(CUT))
 
 
 def forecast_vs_observed(spark, sf_dir):
-    return rounded(_notebook(spark, sf_dir, "PROPHET"))
+    return rounded(_fixed_cut(spark, sf_dir, "PROPHET"))
 
 
 def forecast_vs_observed_ets(spark, sf_dir):
-    return rounded(_notebook(spark, sf_dir, "ETS"))
+    return rounded(_fixed_cut(spark, sf_dir, "ETS"))
 
 
 def mae_mape(spark, sf_dir):
-    return rounded(evaluate.mae_mape(_notebook(spark, sf_dir, "PROPHET")))
+    return rounded(evaluate.mae_mape(_fixed_cut(spark, sf_dir, "PROPHET")))
 
 
 def mae_mape_ets(spark, sf_dir):
-    return rounded(evaluate.mae_mape(_notebook(spark, sf_dir, "ETS")))
+    return rounded(evaluate.mae_mape(_fixed_cut(spark, sf_dir, "ETS")))
 
 
 def _region_table(spark, sf_dir, desc):
