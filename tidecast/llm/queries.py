@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidecast.llm import ann, html_extract, packing, topk
+from tidecast.llm import ann, html_extract, jaccard_join, packing, topk, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -21,6 +22,17 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _remainder(column: str, by: int):
+    """crc32 of an id as text, modulo ``by``."""
+    return F.crc32(F.col(column).cast("string").cast("binary")) % by
+
+
+@query
+def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose sets of five words overlap by 80 percent."""
+    return jaccard_join.jaccard_components(_table(spark, sf_dir, "documents"), k=5, percent=80)
+
+
 @query
 def op4_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents packed into sequences of at most 1024 tokens."""
@@ -34,6 +46,22 @@ def op5_one_bit_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(table.filter("vec_id % 50 = 0"), table, k=5)
 
 
+@query
+def op6_toxic_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learnt from the labels of two thirds of them."""
+    documents = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.coalesce(_remainder("doc_id", 3) == 1, F.lit(False))
+    labels = _table(spark, sf_dir, "labels").select("doc_id", "toxic").filter(~held_out)
+    model = toxicity.train(documents, labels)
+    return toxicity.score(documents, model).select(
+        "doc_id",
+        held_out.alias("held_out"),
+        F.col("toxic_score").alias("score"),
+        (F.col("toxic_score") >= 0.7).cast("int").alias("predicted"),
+        F.size("toxic_spans").alias("n_spans"),
+    )
+
+
 @query
 def op7_norm_bucket_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ten largest integer inner products of every vector whose id is divisible by 100."""
