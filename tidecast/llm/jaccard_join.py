@@ -20,10 +20,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidecast.llm.components import connected
+from tidecast.llm.meeting import INDEX, MEETING, PROBE, apart, meeting_batch, met_rows, one_each, with_keys
 from tidecast.llm.textbytes import mix, ragged, shingle_hashes, text_blocks, word_hashes
 from tidecast.session import stage
 
@@ -36,10 +37,7 @@ DELETION_EVERY = 16
 #: An n-gram is frequent if it is in more than one of so many documents; only costs depend on it.
 FREQUENT_SHARE = 256
 FREQUENT_KEPT = 200_000
-#: Nodes of one block that may share a signature before they are joined to one of them on the spot.
-LOCAL_HOT = 16
 STAR_ROUNDS = 2
-INDEX, PROBE = 1, 2
 
 _DELETED = np.uint64(0x5851F42D4C957F2D)
 
@@ -85,7 +83,8 @@ def _nodes(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 def document_sets(documents: DataFrame, k: int) -> DataFrame:
     """``kind, id, number, hash``: for each document its id, set size and fingerprint (kind 0), and for each
-    n-gram that is frequent in a block of texts the number of documents there (kind 1)."""
+    n-gram that is frequent in a block of texts the number of documents there (kind 1).
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -197,54 +196,10 @@ def signatures(documents: DataFrame, k: int, bands: Bands, frequent: np.ndarray)
             for _, _, data, offsets in text_blocks(batch.column(0)):
                 sets = _sets(data, offsets, k)
                 sig, node, role = _signatures(sets, _nodes(sets)[1], *sent.value)
-                order = np.argsort(sig, kind="stable")
-                sig, node, role = sig[order], node[order], role[order].astype(np.int64)
-                start = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]])) if sig.size else np.zeros(0, np.int64)
-                size = np.diff(np.append(start, sig.size))
-                run_of = np.repeat(np.arange(start.size), size)
-                hot = (size > LOCAL_HOT)[run_of] if sig.size else np.zeros(0, bool)
-                head = np.zeros(sig.size, dtype=bool)
-                head[start] = True
-                if start.size:
-                    role = np.where(hot & head, np.bitwise_or.reduceat(role, start)[run_of], role)
-                aside = hot & ~head
-                salt = np.where(aside, 1 + (node.view(np.uint64) % np.uint64(64)).astype(np.int64), 0)
-                rep = node[start][run_of] if sig.size else node
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(sig.view(np.int64)),
-                        pa.array(salt, pa.int32()),
-                        pa.array(node),
-                        pa.array(role, pa.int32()),
-                        pa.array(rep, mask=~aside),
-                    ],
-                    names=["sig", "salt", "node", "role", "rep"],
-                )
+                yield meeting_batch(sig, node, role)
 
     rows = documents.select(F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "sig long, salt int, node long, role int, rep long")
-
-
-def _met(rows: DataFrame) -> DataFrame:
-    """Rows of signatures that more than one node has, one of them probing another one's index."""
-    meeting = Window.partitionBy("sig", "salt")
-    seen = rows.withColumns(
-        {
-            "low": F.min("node").over(meeting),
-            "high": F.max("node").over(meeting),
-            "probes": F.max(F.col("role").bitwiseAND(PROBE)).over(meeting),
-            "indexes": F.max(F.col("role").bitwiseAND(INDEX)).over(meeting),
-        }
-    )
-    kept = seen.filter("salt > 0 or (low < high and probes > 0 and indexes > 0)")
-    return kept.select("sig", "node", "role", F.coalesce("rep", "low").alias("rep"))
-
-
-def _one_each(pairs: DataFrame) -> DataFrame:
-    """For every node the other one that it shares most signatures with."""
-    counted = pairs.filter("a <> b").groupBy("a", "b").count()
-    best = counted.groupBy("a").agg(F.max_by("b", F.struct("count", "b")).alias("b"))
-    return best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return rows.mapInArrow(run, MEETING)
 
 
 def _common(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
@@ -289,7 +244,7 @@ class _Join:
                     )
 
         texts = self.documents.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("string").alias("text"))
-        made = texts.join(wanted.select("node"), "node").mapInArrow(run, "node long, hash long, elements binary")
+        made = with_keys(texts, "node", wanted.select("node")).mapInArrow(run, "node long, hash long, elements binary")
         # An id may stand for several texts; the right one has the node's fingerprint.
         return made.join(self.nodes.select("node", "hash"), ["node", "hash"]).dropDuplicates(["node"]).select("node", "elements")
 
@@ -316,12 +271,6 @@ class _Join:
         return joined.withColumn("label", F.coalesce("component", "node")).drop("component")
 
 
-def _apart(rows: DataFrame) -> DataFrame:
-    """Rows of signatures that nodes of several components share."""
-    mixed = rows.groupBy("sig").agg(F.min("label").alias("l"), F.max("label").alias("h")).filter("l < h")
-    return rows.join(mixed.select("sig"), "sig", "left_semi")
-
-
 def jaccard_components(documents: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """``doc_id, n_shingles, component_id, n_links`` of every row of ``documents(doc_id, text)``.
 
@@ -342,21 +291,21 @@ def jaccard_components(documents: DataFrame, k: int = 5, percent: int = 80) -> D
         often = often.filter(F.col("n") * FREQUENT_SHARE >= total).orderBy(F.desc("n"), "hash").limit(FREQUENT_KEPT)
         frequent = np.sort(often.select("hash").toArrow().column(0).to_numpy().view(np.uint64))
         rows = signatures(documents.filter("doc_id is not null"), k, Bands(percent, largest), frequent)
-        met = _met(rows)
+        met = met_rows(rows)
         names = join.nodes.select(F.col("hash").alias("node"), F.col("node").alias("id"))
         met = met.join(names, "node").drop("node").withColumnRenamed("id", "node")
         met = met.join(names.toDF("rep", "id"), "rep").drop("rep").withColumnRenamed("id", "rep")
         met = stage(met)
-        join.verify(_one_each(met.select(F.col("node").alias("a"), F.col("rep").alias("b"))))
+        join.verify(one_each(met.select(F.col("node").alias("a"), F.col("rep").alias("b"))))
         for turn in range(1, STAR_ROUNDS):
-            open_rows = stage(_apart(join.label(met)))
+            open_rows = stage(apart(join.label(met)))
             chosen = F.min(F.struct(F.xxhash64(F.lit(turn), "node"), "node", "label")).alias("best")
             heads = open_rows.groupBy("sig").agg(chosen)
             heads = heads.select("sig", F.col("best.node").alias("rep"), F.col("best.label").alias("at"))
             pairs = open_rows.drop("rep").join(heads, "sig").filter("label <> at")
-            join.verify(_one_each(pairs.select(F.col("node").alias("a"), F.col("rep").alias("b"))))
+            join.verify(one_each(pairs.select(F.col("node").alias("a"), F.col("rep").alias("b"))))
         # What is still apart is compared pair by pair: equal signature, one probing the other's index.
-        open_rows = stage(_apart(join.label(met)).groupBy("sig", "node", "label").agg(F.bit_or("role").alias("role")))
+        open_rows = stage(apart(join.label(met)).groupBy("sig", "node", "label").agg(F.bit_or("role").alias("role")))
         size = join.nodes.select("node", "size")
         left = open_rows.join(size, "node")
         right = left.select(*(F.col(c).alias(f"r_{c}") for c in left.columns)).withColumnRenamed("r_sig", "sig")
