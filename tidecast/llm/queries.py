@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidecast.llm import ann, html_extract, jaccard_join, mixing, packing, topk, toxicity
+from tidecast.llm import ann, html_extract, jaccard_join, line_dedup, mixing, packing, topk, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -75,6 +75,12 @@ def op7_norm_bucket_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.largest_products(table.filter("vec_id % 100 = 0"), table, k=10)
 
 
+@query
+def op8_line_edit_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of every document that are within two edits of an earlier line."""
+    return line_dedup.removed_lines(_table(spark, sf_dir, "documents"))
+
+
 @query
 def op10_consensus_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
