@@ -79,16 +79,15 @@ def apart(rows: DataFrame) -> DataFrame:
     return rows.join(mixed.select("sig"), "sig", "left_semi")
 
 
-def with_keys(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
-    """The rows whose ``key`` is in ``wanted``, which has one long column.
+def split_by_keys(rows: DataFrame, key: str, wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows whose ``key`` may be in ``wanted``, which has one long column, and those whose key is not.
 
-    A bit filter of the wanted keys is sent to the executors first, so that only rows that pass it are
-    shuffled. It has a fixed largest size; where the keys are too many for it, more rows pass, and the
-    join that follows is exact in any case. Null keys match nothing.
+    A bit filter of the wanted keys is sent to the executors, so that only rows that pass it need to be
+    shuffled for an exact join. It has a fixed largest size; where the keys are too many for it, more rows
+    pass. Rows with a null key do not pass.
     """
     wanted = wanted.toDF("wanted_key").distinct()
-    count = wanted.count()
-    words = max(64, min(FILTER_WORDS, 1 << max(count // 4, 1).bit_length()))
+    words = max(64, min(FILTER_WORDS, 1 << max(wanted.count() // 4, 1).bit_length()))
     hashed = F.xxhash64("wanted_key")
     bits = wanted.select(
         F.pmod(hashed, F.lit(words)).cast("int").alias("word"),
@@ -98,21 +97,31 @@ def with_keys(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
     got = bits.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
     table[got.column("word").to_numpy()] = got.column("bits").to_numpy()
     sent = rows.sparkSession.sparkContext.broadcast(table)
+    names = rows.columns
+    place = names.index(key)
     named = rows.withColumns(
         {
             "filter_word": F.pmod(F.xxhash64(key), F.lit(words)),
             "filter_bit": F.pmod(F.shiftright(F.xxhash64(key), 40), F.lit(64)),
         }
     )
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
 
-    def passing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            word, bit = (batch.column(c).to_numpy() for c in ("filter_word", "filter_bit"))
-            passes = (sent.value[word] >> bit) & 1 == 1
-            keep = pc.and_kleene(pa.array(passes), batch.column(batch.schema.names.index(key)).is_valid())
-            yield batch.filter(keep).select(names)
+    def side(passing: bool) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                word, bit = (batch.column(c).to_numpy() for c in ("filter_word", "filter_bit"))
+                hit = pa.array((sent.value[word] >> bit) & 1 == 1)
+                hit = pc.and_kleene(hit, batch.column(place).is_valid())
+                yield batch.filter(hit if passing else pc.invert(hit)).select(names)
 
-    names = rows.columns
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-    some = named.mapInArrow(passing, fields)
+        return named.mapInArrow(run, fields)
+
+    return side(True), side(False)
+
+
+def with_keys(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+    """The rows whose ``key`` is in ``wanted``, which has one long column; see ``split_by_keys``."""
+    wanted = wanted.toDF("wanted_key").distinct()
+    some, _ = split_by_keys(rows, key, wanted)
     return some.join(wanted, some[key] == wanted["wanted_key"], "left_semi")

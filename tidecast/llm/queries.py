@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidecast.llm import ann, html_extract, jaccard_join, line_dedup, mixing, packing, topk, toxicity
+from tidecast.llm import ann, html_extract, jaccard_join, line_dedup, mixing, packing, suffix_dedup, topk, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -33,6 +33,12 @@ def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(_table(spark, sf_dir, "documents"), k=5, percent=80)
 
 
+@query
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of every document that a string of 50 bytes of a smaller document covers."""
+    return suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents"), length=50)
+
+
 @query
 def op3_temperature_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Uses of documents in a mix of their sources that is nearly as even as the repetition limit allows."""
