@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidecast.llm import ann, html_extract, jaccard_join, line_dedup, mixing, packing, suffix_dedup, topk, toxicity
+from tidecast.llm import ann, html_extract, jaccard_join, line_dedup, lm, mixing, packing, suffix_dedup, topk, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -87,6 +87,24 @@ def op8_line_edit_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.removed_lines(_table(spark, sf_dir, "documents"))
 
 
+@query
+def op9_maxent_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probability of every document under a model of four fifths of them."""
+    documents = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    model, counts = lm.train(documents, lm.learnt_from(F.col("doc_id")))
+    scored = lm.score(documents, model, counts)
+    held_out = F.coalesce(_remainder("doc_id", 5) == 1, F.lit(False))
+    return scored.select(
+        "doc_id",
+        held_out.alias("held_out"),
+        "n_tokens",
+        "n_known",
+        F.lit(model.tokens).cast("long").alias("train_tokens"),
+        "base_score",
+        "score",
+    )
+
+
 @query
 def op10_consensus_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
