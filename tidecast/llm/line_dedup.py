@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidecast.llm.meeting import INDEX, MEETING, PROBE, meeting_batch, met_rows, with_keys
+from tidecast.llm.meeting import INDEX, MEETING, PROBE, fresh_name, meeting_batch, met_rows, split_by_keys, with_keys
 from tidecast.llm.textbytes import mix, prefix_hashes, span_hashes, text_blocks
 from tidecast.session import stage
 
@@ -273,13 +273,15 @@ def dedup_lines(documents: DataFrame, tau: int = TAU, min_bytes: int = MIN_BYTES
     earlier than its twin. An empty table gives no row.
     """
     gone = stage(removed_lines(documents, tau, min_bytes).filter(F.size("removed") > 0))
-    gone = gone.select(F.col("doc_id").alias("line_dedup_id"), "removed")
-    changed = documents.join(gone, documents["doc_id"] == gone["line_dedup_id"], "left")
+    twin, listed = (fresh_name(name, documents) for name in ("line_dedup_id", "line_dedup_removed"))
+    gone = gone.select(F.col("doc_id").alias(twin), F.col("removed").alias(listed))
+    some, rest = split_by_keys(documents, "doc_id", gone.select(F.col(twin).cast("long")))
+    changed = some.join(gone, some["doc_id"] == gone[twin], "left")
     numbered = F.transform(F.split("text", "\n", -1), lambda line, i: F.struct(line.alias("l"), i.cast("long").alias("i")))
-    kept = F.filter(numbered, lambda x: ~F.array_contains("removed", x["i"]))
-    text = F.when(F.col("removed").isNull(), F.col("text")).otherwise(F.concat_ws("\n", kept["l"]))
-    changed = changed.withColumn("text", text)
+    kept = F.filter(numbered, lambda x: ~F.array_contains(listed, x["i"]))
+    untouched = F.col(listed).isNull()
+    changed = changed.withColumn("text", F.when(untouched, F.col("text")).otherwise(F.concat_ws("\n", kept["l"])))
     if "n_chars" in documents.columns:
-        n_chars = F.when(F.col("removed").isNull(), F.col("n_chars")).otherwise(F.length("text"))
+        n_chars = F.when(untouched, F.col("n_chars")).otherwise(F.length("text"))
         changed = changed.withColumn("n_chars", n_chars.cast(documents.schema["n_chars"].dataType))
-    return changed.select(*documents.columns)
+    return changed.select(*documents.columns).unionByName(rest)

@@ -79,6 +79,14 @@ def apart(rows: DataFrame) -> DataFrame:
     return rows.join(mixed.select("sig"), "sig", "left_semi")
 
 
+def fresh_name(name: str, table: DataFrame) -> str:
+    """``name``, lengthened until no column of the table has it."""
+    taken = {column.lower() for column in table.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def split_by_keys(rows: DataFrame, key: str, wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The rows whose ``key`` may be in ``wanted``, which has one long column, and those whose key is not.
 
@@ -88,9 +96,8 @@ def split_by_keys(rows: DataFrame, key: str, wanted: DataFrame) -> tuple[DataFra
     """
     wanted = wanted.toDF("wanted_key").distinct()
     words = max(64, min(FILTER_WORDS, 1 << max(wanted.count() // 4, 1).bit_length()))
-    hashed = F.xxhash64("wanted_key")
     bits = wanted.select(
-        F.pmod(hashed, F.lit(words)).cast("int").alias("word"),
+        F.pmod(F.xxhash64("wanted_key"), F.lit(words)).cast("int").alias("word"),
         F.expr("shiftleft(1L, cast(pmod(shiftright(xxhash64(wanted_key), 40), 64) as int))").alias("bit"),
     )
     table = np.zeros(words, dtype=np.int64)
@@ -99,21 +106,21 @@ def split_by_keys(rows: DataFrame, key: str, wanted: DataFrame) -> tuple[DataFra
     sent = rows.sparkSession.sparkContext.broadcast(table)
     names = rows.columns
     place = names.index(key)
-    named = rows.withColumns(
-        {
-            "filter_word": F.pmod(F.xxhash64(key), F.lit(words)),
-            "filter_bit": F.pmod(F.shiftright(F.xxhash64(key), 40), F.lit(64)),
-        }
+    hashed = F.xxhash64(F.col(key).cast("long"))
+    named = rows.select(
+        *(F.col(f"`{name}`") for name in names),
+        F.pmod(hashed, F.lit(words)).alias(fresh_name("filter_word", rows)),
+        F.pmod(F.shiftright(hashed, 40), F.lit(64)).alias(fresh_name("filter_bit", rows)),
     )
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
 
     def side(passing: bool) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                word, bit = (batch.column(c).to_numpy() for c in ("filter_word", "filter_bit"))
+                word, bit = (batch.column(len(names) + i).to_numpy() for i in range(2))
                 hit = pa.array((sent.value[word] >> bit) & 1 == 1)
                 hit = pc.and_kleene(hit, batch.column(place).is_valid())
-                yield batch.filter(hit if passing else pc.invert(hit)).select(names)
+                yield batch.filter(hit if passing else pc.invert(hit)).select(list(range(len(names))))
 
         return named.mapInArrow(run, fields)
 

@@ -93,8 +93,8 @@ def exponent(totals: DataFrame, target: Target) -> float:
 def budgets(rows: DataFrame, target: Target) -> DataFrame:
     """``source, tokens, blocks, budget, epochs`` of every source of ``rows(doc_id, source, n_tokens)``.
 
-    A source without tokens has the budget 0 and one epoch, so that its documents stay once. A source whose
-    budget is 0 for another reason has no epoch.
+    A source without tokens has the budget 0 and one epoch, so that its documents stay once. Another source
+    whose budget is 0 has no epoch.
     """
     totals = stage(rows.groupBy("source").agg(F.sum("n_tokens").alias("tokens")))
     a, every = exponent(totals, target), totals.agg(F.sum("tokens")).head()[0] or 1
@@ -158,8 +158,8 @@ def _placed(rows: DataFrame, budget: DataFrame, target: Target) -> DataFrame:
 
 
 def _used() -> Column:
-    """The budget reaches the document; documents of a source without tokens stay once."""
-    return (F.col("start") < F.col("budget")) | ((F.col("budget") == 0) & (F.col("epochs") == 1))
+    """The budget reaches the document; one without tokens is also used where the budget ends."""
+    return (F.col("start") < F.col("budget")) | ((F.col("n_tokens") == 0) & (F.col("start") <= F.col("budget")))
 
 
 def mix(documents: DataFrame, target: Target = Target()) -> DataFrame:

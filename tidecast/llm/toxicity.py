@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidecast.llm.meeting import fresh_name
 from tidecast.llm.textbytes import mix, prefix_hashes, span_hashes, text_blocks, words
 
 #: Most labelled documents of each class, and most bytes of their texts, that the model is fitted on.
@@ -279,17 +280,19 @@ def train(documents: DataFrame, labels: DataFrame) -> Model:
     return fit(rows.column("text").to_pylist(), rows.column("toxic").to_pylist())
 
 
-def score(documents: DataFrame, model: Model) -> DataFrame:
-    """All columns of ``documents`` with ``toxic_score`` and ``toxic_spans`` instead of any of these names.
+def score(
+    documents: DataFrame, model: Model, score_name: str = "toxic_score", spans_name: str = "toxic_spans"
+) -> DataFrame:
+    """All columns of ``documents`` with a score and spans, in place of columns of these names.
 
-    ``toxic_score`` is between 0 and 1. ``toxic_spans`` lists ``start, end, probability`` of runs of toxic
+    The score is between 0 and 1. The spans list ``start, end, probability`` of runs of toxic
     tokens, in characters of the text, the probability being the largest of the run. A null or empty text
     scores as one without any toxic token and has no spans. Repeated rows score the same; an empty table
     gives no row. Nothing is shuffled; a task holds one block of texts at a time.
     """
     spark = documents.sparkSession
     sent = spark.sparkContext.broadcast(model)
-    kept = documents.drop("toxic_score", "toxic_spans")
+    kept = documents.drop(score_name, spans_name)
     place = kept.columns.index("text")
     span = "struct<start: int, end: int, probability: double>"
 
@@ -302,10 +305,10 @@ def score(documents: DataFrame, model: Model) -> DataFrame:
                 x = np.clip(_summary(toxic, found.first) @ sent.value.scale, -30, 30)
                 spans = _spans(data, offsets, found, toxic)
                 columns = [*part.columns, pa.array(1 / (1 + np.exp(-x))), spans]
-                yield pa.RecordBatch.from_arrays(columns, names=[*part.schema.names, "toxic_score", "toxic_spans"])
+                yield pa.RecordBatch.from_arrays(columns, names=[*part.schema.names, score_name, spans_name])
 
     fields = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in kept.schema)
-    return kept.mapInArrow(run, f"{fields}, toxic_score double, toxic_spans array<{span}>")
+    return kept.mapInArrow(run, f"{fields}, `{score_name}` double, `{spans_name}` array<{span}>")
 
 
 def _spans(data: np.ndarray, offsets: np.ndarray, found: Tokens, toxic: np.ndarray) -> pa.Array:
@@ -330,4 +333,5 @@ def _spans(data: np.ndarray, offsets: np.ndarray, found: Tokens, toxic: np.ndarr
 
 def reject(documents: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
     """The rows of ``documents`` that score below ``threshold``, with their own columns."""
-    return score(documents, model).filter(F.col("toxic_score") < threshold).select(*documents.columns)
+    names = [fresh_name(name, documents) for name in ("toxic_score", "toxic_spans")]
+    return score(documents, model, *names).filter(F.col(names[0]) < threshold).select(*documents.columns)
