@@ -1,10 +1,66 @@
-"""The corpus pipeline: documents to packed training sequences in stages, each written and read again."""
+"""The corpus pipeline: raw documents to packed training sequences.
+
+Each stage works on all that the one before it kept, and is written as Parquet and read again.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from tidecast.llm import jaccard_join, line_dedup, mixing, packing, toxicity
+from tidecast.session import ship_package, stage
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Leave out documents with a toxicity of 0.7 or more, as learnt from all labels."""
+    ship_package(spark)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return toxicity.reject(docs, toxicity.train(docs, labels), threshold=0.7)
+
+
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Take lines out of texts that are within two edits of an earlier line; all documents stay."""
+    ship_package(spark)
+    return line_dedup.dedup_lines(docs)
+
+
+def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep the document of the smallest id of each group of near copies."""
+    ship_package(spark)
+    return jaccard_join.keep_one(docs, k=5, percent=80)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeat documents of small sources, at most twice as often as others; every document is used."""
+    ship_package(spark)
+    return mixing.mixed_documents(docs)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents in sequences of at most 1024 tokens."""
+    ship_package(spark)
+    return packing.pack_documents(docs)
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("toxicity", drop_toxic),
+    ("line_dedup", drop_repeated_lines),
+    ("ngram_jaccard", keep_one_of_near_copies),
+    ("mixing", mix_sources),
+    ("packing", pack_sequences),
+]
+
+#: The classifier, the edit join and the tokenizer have no SQL; tests compare the stages with plain code.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents of a folder."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for _, step in STAGES:
+        docs = stage(step(spark, docs, sf_dir))
+    return docs
