@@ -1,5 +1,7 @@
 """Physical plans: what reaches the scan, and what meets a join or a fit."""
 
+import re
+
 import contextlib
 import io
 
@@ -32,13 +34,15 @@ def test_supply_years_reach_the_scan(spark):
     assert "GreaterThanOrEqual(l_shipdate" in plan
 
 
-def test_a_hot_code_is_counted_before_the_join(spark):
+def test_a_hot_code_can_be_counted_before_the_join(spark):
     """Nine of ten events carry one code; it must reach the join as one row per month."""
     hot = F.when(F.col("id") % 10 == 0, F.col("id")).otherwise(F.lit(-1))
     month = F.add_months(F.lit("2020-01-01").cast("date"), (F.col("id") % 3).cast("int"))
     events = spark.range(0, 30000, numPartitions=6).select(hot.alias("code"), month.alias("month"))
     regions = events.select(F.col("code").alias("cod"), F.lit("r").alias("name")).distinct()
-    found = panel.month_series(events, "code", F.col("month"), regions, "cod", "name")
+    found = panel.month_series(
+        events, "code", F.col("month"), regions, "cod", "name", count_codes_first=True
+    )
     assert [r.y for r in found.orderBy("ds").collect()] == [10000.0] * 3
     per_code = panel.month_totals(events, ["code"], F.col("month"))
     assert per_code.filter("code = -1").count() == 3
@@ -82,3 +86,37 @@ def test_series_are_spread_over_the_set_number_of_partitions(spark, monthly, par
         assert packed.rdd.getNumPartitions() == int(partitions)
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def _event_shuffles(spark, found) -> int:
+    """Exchanges below the partial count, that is of events and regions themselves."""
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    below = plan[plan.index("partial_count") :]
+    return len(re.findall(r"\bExchange hashpartitioning", below))
+
+
+def test_events_meet_the_regions_before_they_are_counted(spark):
+    hot = F.when(F.col("id") % 10 == 0, F.col("id")).otherwise(F.lit(-1))
+    month = F.add_months(F.lit("2020-01-01").cast("date"), (F.col("id") % 3).cast("int"))
+    events = spark.range(0, 30000, numPartitions=6).select(hot.alias("code"), month.alias("month"))
+    regions = spark.range(-1, 30000).select(F.col("id").alias("cod"), F.lit("r").alias("name"))
+
+    def totals(side):
+        return panel.month_series(events, "code", F.col("month"), side, "cod", "name")
+
+    small = totals(F.broadcast(regions))
+    assert _event_shuffles(spark, small) == 0
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        large = totals(regions)
+        assert _event_shuffles(spark, large) == 2  # one of each side
+        for found in (small, large):
+            assert [r.y for r in found.orderBy("ds").collect()] == [10000.0] * 3
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_a_series_named_like_the_total_is_an_error(monthly):
+    with pytest.raises(Exception, match="name of the total"):
+        panel.with_total_series(monthly({"ALL": [1.0], "a": [2.0]})).collect()

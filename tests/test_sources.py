@@ -1,4 +1,6 @@
+import csv
 import datetime
+from pathlib import Path
 from types import SimpleNamespace
 
 import pytest
@@ -52,15 +54,49 @@ def test_export_round_trip(spark):
     assert sorted(tuple(r) for r in back.collect()) == sorted(rows)
 
 
-def test_sheet_and_one_file(spark, tmp_path):
+def test_sheet(spark, tmp_path):
     df = spark.createDataFrame([(1, "x")], "a int, b string")
     sources.write_table(df, str(tmp_path / "tempo_de_procedimentos"))
     assert sources.read_sheet(spark, str(tmp_path), "Tempo de procedimentos").collect() == df.collect()
-    sources.write_table(df, str(tmp_path / "plain"), one_file=True)
-    assert len(list((tmp_path / "plain").glob("part-*.csv"))) == 1
+    df.write.option("header", True).csv(str(tmp_path / "plain"))
     assert sources.read_sheet(spark, str(tmp_path), "plain", df.schema).collect() == df.collect()
 
 
+def test_columns_are_found_by_their_header(spark, tmp_path):
+    path = tmp_path / "turned.csv"
+    path.write_text("macrorregiao,Cod Municipio\nNorte,521225\n,\n")
+    rows = sources.read_csv_table(spark, str(path), schemas.MUNICIPALITY_REGION).collect()
+    assert [tuple(r) for r in rows] == [(521225, "Norte"), (None, None)]
+
+
+def test_malformed_fields_and_missing_columns_are_errors(spark, tmp_path):
+    path = tmp_path / "bad.csv"
+    path.write_text("cod_municipio,macrorregiao\n52x,Norte\n")
+    with pytest.raises(Exception, match="cod_municipio is not of type int: 52x"):
+        sources.read_csv_table(spark, str(path), schemas.MUNICIPALITY_REGION).collect()
+    path.write_text("cod_municipio,regiao\n521225,Norte\n")
+    with pytest.raises(ValueError, match="macrorregiao"):
+        sources.read_csv_table(spark, str(path), schemas.MUNICIPALITY_REGION)
+
+
+def test_export_files_follow_the_row_numbers(spark):
+    df = spark.range(0, 4000, numPartitions=8).selectExpr("id AS k", "repeat('x', int(id % 90)) || '\"' AS v")
+    path = scratch_path(spark, "export")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        sources.write_export_csv(df, path, ["k"])
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    folder = Path(path.removeprefix("file:"))
+    numbers, files = [], sorted(folder.glob("part-*.csv"))
+    for file in files:
+        with file.open(newline="") as lines:
+            found = list(csv.reader(lines))[1:]
+        numbers += [int(row[0]) for row in found]
+        assert all(row[2].endswith('"') for row in found)
+    assert len(files) > 1 and numbers == list(range(1, 4001))
+
+
 def test_sql_extract_names_its_inputs(spark):
     records = [("1", "01092020"), ("1", "15092020"), ("2", "01092020")]
     births = spark.createDataFrame(records, "c string, d string")

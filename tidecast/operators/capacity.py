@@ -57,8 +57,6 @@ WORKLOAD = {
         "tempo_acoes_educativas": 0.5,
     },
 }
-# Half-year batches in order.
-BATCHES = ["1/22", "2/22", "1/23", "2/23", "1/24", "2/24"]
 
 
 def procedure_times(sheet: DataFrame) -> DataFrame:
@@ -111,8 +109,17 @@ def supply_by_year(supply: DataFrame, after: int = 2021) -> DataFrame:
     )
 
 
-def demand_and_supply(supply: DataFrame, demand: DataFrame) -> DataFrame:
-    return supply.unionByName(demand)
+def demand_and_supply(supply: DataFrame, demand: DataFrame, common_years: bool = False) -> DataFrame:
+    """Supply and demand in one table.
+
+    A year that only one side has stays, and its gap is missing, unless ``common_years`` asks for the
+    years of both.
+    """
+    if not common_years:
+        return supply.unionByName(demand)
+    # One row per calendar year.
+    years = supply.select("ano").distinct().join(demand.select("ano").distinct(), "ano")
+    return supply.unionByName(demand).join(years, "ano", "left_semi")
 
 
 def gap_labels(both: DataFrame, professionals: Sequence[str] | None = None) -> DataFrame:

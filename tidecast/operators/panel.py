@@ -28,22 +28,32 @@ def month_series(
     region_code: str,
     region: str,
     value: str | None = None,
+    count_codes_first: bool = False,
 ) -> DataFrame:
     """Monthly totals per region, for events that carry a code of that region.
 
-    Events are totalled per (code, month) before they meet ``regions``, so a code that holds a large
-    share of all events reaches the join as one row per month. Codes without a region, and regions
-    spelled ``NA``, are left out.
+    Events meet ``regions`` and are totalled per region and month in the same stage. Regions that fit
+    a broadcast cost no shuffle of the events; others cost one, and a code that holds a large share of
+    all events is split by adaptive execution. Where most codes hold very many events of a month,
+    ``count_codes_first`` totals them per (code, month) before the join. Codes without a region, and
+    regions spelled ``NA``, are left out.
     """
-    per_code = month_totals(events, [code], month, value)
-    labelled = per_code.join(regions, per_code[code] == regions[region_code], "left")
+    if count_codes_first:
+        events = month_totals(events, [code], month, value)
+        month, value = F.col("ds"), "y"
+    labelled = events.join(regions, events[code] == regions[region_code], "left")
     named = labelled.filter(F.col(region) != "NA")
-    return named.groupBy(F.col(region).alias("series_id"), "ds").agg(strict_sum("y").alias("y"))
+    return month_totals(named, [F.col(region).alias("series_id")], month, value)
 
 
 def with_total_series(panel: DataFrame, name: str = "ALL") -> DataFrame:
-    """Add one series that is the sum of all others per month, in one pass over the panel."""
-    both = F.explode(F.array("series_id", F.lit(name))).alias("series_id")
+    """Add one series that is the sum of all others per month, in one pass over the panel.
+
+    A series that has the name already is an error.
+    """
+    taken = F.raise_error(F.concat(F.lit("a series has the name of the total: "), F.col("series_id")))
+    own = F.when(F.col("series_id") == name, taken.cast("string")).otherwise(F.col("series_id"))
+    both = F.explode(F.array(own, F.lit(name))).alias("series_id")
     return panel.select(both, "ds", "y").groupBy("series_id", "ds").agg(strict_sum("y").alias("y"))
 
 

@@ -70,23 +70,20 @@ def staged_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stage(panel(spark, sf_dir))
 
 
-def monthly_lines(spark: SparkSession, sf_dir: str, since: str = "1900-01-01") -> DataFrame:
+def monthly_lines(spark: SparkSession, sf_dir: str, since: str | None = None) -> DataFrame:
     """Line counts and quantities per supplier region, month, return flag and line status.
 
-    Lines are totalled per supplier first, so a supplier with a large share of all lines reaches the
-    join as a few rows per month.
+    Lines meet the regions first and are totalled in the same stage, so what is shuffled are totals.
+    Without ``since`` every line counts, also one without a ship date.
     """
-    keys = [month_start("l_shipdate").alias("data"), "l_returnflag", "l_linestatus"]
-    per_supplier = (
-        table(spark, sf_dir, "lineitem")
-        .filter(F.col("l_shipdate") >= date_literal(since))
-        .groupBy("l_suppkey", *keys)
-        .agg(F.count(F.lit(1)).alias("linhas"), F.sum("l_quantity").alias("quantidade"))
-    )
+    lines = table(spark, sf_dir, "lineitem")
+    if since is not None:
+        lines = lines.filter(F.col("l_shipdate") >= date_literal(since))
     regions = supplier_regions(spark, sf_dir)
-    placed = per_supplier.join(regions, per_supplier.l_suppkey == regions.s_suppkey, "left")
-    return placed.groupBy("regiao", "data", "l_returnflag", "l_linestatus").agg(
-        F.sum("linhas").alias("linhas"), F.sum("quantidade").alias("quantidade")
+    placed = lines.join(regions, lines.l_suppkey == regions.s_suppkey, "left")
+    keys = ["regiao", month_start("l_shipdate").alias("data"), "l_returnflag", "l_linestatus"]
+    return placed.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("linhas"), F.sum("l_quantity").alias("quantidade")
     )
 
 

@@ -562,7 +562,7 @@ demand_rows AS (
     UNPIVOT INCLUDE NULLS (total FOR profissional IN ("A", "N", "R"))),
 both_sides AS (
     SELECT ano, regiao, profissional, total, cenario FROM supply
-    UNION ALL SELECT ano, regiao, profissional, total, cenario FROM demand_rows WHERE ano > 1997),
+    UNION ALL SELECT ano, regiao, profissional, total, cenario FROM demand_rows),
 wide AS (
     SELECT ano, regiao, profissional,
            sum(total) FILTER (cenario = 'demanda') AS demanda,
@@ -836,6 +836,15 @@ ORACLES: dict[str, str] = {
         SELECT regiao, profissional, round(ano, 6) AS ano, {_ROUNDED}, {_RESULTS} FROM mean_gap""",
     "deficit_by_year": f"""WITH {GAP}
         SELECT regiao, profissional, ano, {_ROUNDED}, {_RESULTS} FROM wide""",
+    "deficit_common_years": f"""WITH {GAP},
+        mean_gap AS (
+            SELECT regiao, profissional, avg(ano) AS ano, {_WIDE_MEANS} FROM wide
+            WHERE ano IN (SELECT ano FROM supply) AND ano IN (SELECT ano FROM demand_rows)
+            GROUP BY 1, 2)
+        SELECT regiao, profissional, round(ano, 6) AS ano, {_ROUNDED}, {_RESULTS} FROM mean_gap""",
+    "deficit_unique_keys": f"""WITH {GAP}
+        SELECT regiao, profissional, ano, {_ROUNDED}, {_RESULTS} FROM wide
+        WHERE ano IN (SELECT ano FROM supply) AND ano IN (SELECT ano FROM demand_rows)""",
     "deficit_long": f"""WITH {MEAN_GAP},
         results AS (SELECT round(ano, 6) AS ano, regiao, profissional, {_RESULTS} FROM mean_gap)
         SELECT ano, regiao, profissional, cenario, resultado FROM results
@@ -848,7 +857,7 @@ ORACLES: dict[str, str] = {
         SELECT ano, regiao, profissional, round(total, 6) AS total FROM shifts
         UNPIVOT INCLUDE NULLS (total FOR profissional IN (medico_ab, medico_esp, enf_ab))""",
     "export_roundtrip": f"""WITH {PANEL}, {OBSERVED}
-        SELECT CAST(row_number() OVER (ORDER BY regiao, mes_ano) AS INTEGER) AS row_id, *,
+        SELECT row_number() OVER (ORDER BY regiao, mes_ano) AS row_id, *,
                CAST(strptime(mes_ano || '-01', '%Y-%m-%d') AS DATE) AS mes_ano_data
         FROM seen""",
     "export_without_numbers": f"""WITH {PANEL}, {OBSERVED}

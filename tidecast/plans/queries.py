@@ -52,16 +52,18 @@ def rounded(df: DataFrame) -> DataFrame:
 # --- sources, projections, filters, joins, aggregates ------------------------------------------
 
 MONTH_COUNT = """
-    SELECT code, mes_ano, count(*) AS total FROM (
-        SELECT {code} AS code, substring(date_format({date}, 'ddMMyyyy'), 3, 6) AS mes_ano
-        FROM {{records}} WHERE {code} = '{value}')
-    GROUP BY code, mes_ano
+    SELECT first(IDENTIFIER(:code)) AS code,
+           substring(date_format(IDENTIFIER(:date), 'dd.MMyyyy') FROM 4) AS mes_ano,
+           count(*) AS total
+    FROM {records}
+    WHERE IDENTIFIER(:code) = :value
+    GROUP BY 2
 """
 
 
 def _extract(spark: SparkSession, records: DataFrame, code: str, date: str, value: str):
-    text = MONTH_COUNT.format(code=code, date=date, value=value)
-    return sql_extract(spark, text, records=records)
+    bound = {"code": code, "date": date, "value": value}
+    return sql_extract(spark, MONTH_COUNT, bound, records=records)
 
 
 def month_count_sql(spark, sf_dir):
@@ -116,14 +118,12 @@ def code_prefix_join(spark, sf_dir):
 
 def two_hop_join(spark, sf_dir):
     """Monthly order totals per nation, reached from the order over the customer."""
-    totals = panels.month_totals(
-        b.table(spark, sf_dir, "orders"), ["o_custkey"], month_start("o_orderdate")
-    )
+    orders = b.table(spark, sf_dir, "orders").select("o_custkey", "o_orderdate")
     customers, nations = b.table(spark, sf_dir, "customer"), b.table(spark, sf_dir, "nation")
-    placed = totals.join(customers, totals.o_custkey == customers.c_custkey, "left").join(
-        nations, customers.c_nationkey == nations.n_nationkey, "left"
-    )
-    return placed.groupBy("n_name", "ds").agg(strict_sum("y").alias("total"))
+    named = customers.join(nations, customers.c_nationkey == nations.n_nationkey, "left")
+    placed = orders.join(named, orders.o_custkey == named.c_custkey, "left")
+    totals = panels.month_totals(placed, ["n_name"], month_start("o_orderdate"))
+    return totals.withColumnRenamed("y", "total")
 
 
 def distinct_periods(spark, sf_dir):
@@ -162,7 +162,7 @@ def frame_profile(spark, sf_dir):
 
 
 def clean_names_scan(spark, sf_dir):
-    """Customers under untidy headers, tidied and totalled."""
+    """Customers under untidy headers, tidied."""
     customers = b.table(spark, sf_dir, "customer")
     messy = customers.toDF("C CustKey", "Nome (cliente)", "NationKey", "Saldo %", "Saldo_%")
     return clean_names(messy).select("c_cust_key", "nation_key", "saldo_percent", "saldo_percent_2")
@@ -176,17 +176,18 @@ def category_codes(spark, sf_dir):
     return panels.row_counts(coded, "o_orderpriority", "id")
 
 
+def _gapped(orders, customers):
+    """Orders per customers' nation, order priority and month; months without an order are missing."""
+    placed = orders.join(customers, orders.o_custkey == customers.c_custkey)
+    name = F.concat_ws("/", "c_nationkey", "o_orderpriority").alias("series_id")
+    return panels.month_totals(placed, [name], month_start("o_orderdate"))
+
+
 def complete_months(spark, sf_dir):
     """Customers' nations and order priorities as series, with every month of each present."""
     orders = b.table(spark, sf_dir, "orders")
     customers = b.table(spark, sf_dir, "customer")
-    per_code = panels.month_totals(
-        orders, ["o_custkey", "o_orderpriority"], month_start("o_orderdate")
-    )
-    placed = per_code.join(customers, per_code.o_custkey == customers.c_custkey)
-    name = F.concat_ws("/", "c_nationkey", "o_orderpriority").alias("series_id")
-    series = placed.groupBy(name, "ds").agg(strict_sum("y").alias("y"))
-    return panels.complete_months(series, fill=0.0)
+    return panels.complete_months(_gapped(orders, customers), fill=0.0)
 
 
 # --- splits and frames -------------------------------------------------------------------------
@@ -445,12 +446,15 @@ def supply_by_year(spark, sf_dir):
     return capacity.supply_by_year(b.supply_sheet(lines), after=LAST_PAST_YEAR)
 
 
-def _both_sides(spark, sf_dir):
-    """Demand and supply from one pass over the lines, which both sides read."""
-    lines = stage(b.monthly_lines(spark, sf_dir, since=f"{LAST_PAST_YEAR + 1}-01-01"))
-    demand = capacity.yearly_demand(b.time_sheet(lines), b.FLAGS)
+def _both_sides(spark, sf_dir, common_years=False):
+    """Demand and supply from one pass over the lines, which both sides read.
+
+    Only supply is bounded by year; demand has all its years.
+    """
+    lines = stage(b.monthly_lines(spark, sf_dir))
+    demand = capacity.demand_long(capacity.yearly_demand(b.time_sheet(lines), b.FLAGS), b.FLAGS)
     supply = capacity.supply_by_year(b.supply_sheet(lines), after=LAST_PAST_YEAR)
-    return capacity.demand_and_supply(supply, capacity.demand_long(demand, b.FLAGS))
+    return capacity.demand_and_supply(supply, demand, common_years)
 
 
 def demand_supply(spark, sf_dir):
@@ -472,14 +476,30 @@ def gap_labels(spark, sf_dir):
     return capacity.gap_labels(_both_sides(spark, sf_dir))
 
 
-def _deficit(spark, sf_dir, by_year=False):
-    return capacity.deficit(_both_sides(spark, sf_dir), by_year=by_year, duplicates="sum")
+def _deficit(spark, sf_dir, by_year=False, common_years=False):
+    both = _both_sides(spark, sf_dir, common_years)
+    return capacity.deficit(both, by_year=by_year, duplicates="sum")
 
 
 def deficit(spark, sf_dir):
     return rounded(_deficit(spark, sf_dir))
 
 
+def deficit_common_years(spark, sf_dir):
+    """The gap over the years that have both demand and supply."""
+    return rounded(_deficit(spark, sf_dir, common_years=True))
+
+
+def deficit_unique_keys(spark, sf_dir):
+    """The gap from supply without levels of care, where a key that repeats would be an error."""
+    lines = stage(b.monthly_lines(spark, sf_dir))
+    demand = capacity.demand_long(capacity.yearly_demand(b.time_sheet(lines), b.FLAGS), b.FLAGS)
+    one_level = b.supply_sheet(lines).withColumn("nivel_atencao", F.lit("total"))
+    supply = capacity.supply_by_year(one_level, after=LAST_PAST_YEAR)
+    both = capacity.demand_and_supply(supply, demand, common_years=True)
+    return rounded(capacity.deficit(both, by_year=True, duplicates="fail"))
+
+
 def deficit_by_year(spark, sf_dir):
     return rounded(_deficit(spark, sf_dir, by_year=True))
 
@@ -586,6 +606,8 @@ QUERIES: dict[str, Query] = {
         gap_labels,
         deficit,
         deficit_by_year,
+        deficit_common_years,
+        deficit_unique_keys,
         deficit_long,
         workload,
         export_roundtrip,

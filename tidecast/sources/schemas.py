@@ -16,14 +16,8 @@ def _schema(**fields) -> StructType:
 
 
 MUNICIPALITY_REGION = _schema(cod_municipio=IntegerType(), macrorregiao=StringType())
-MUNICIPALITY_HEALTH_REGION = _schema(co_municip=StringType(), co_regsaud=StringType())
-HEALTH_REGION_NAME = _schema(co_regsaud=StringType(), ds_nomepad=StringType())
-BIRTH_COUNT = _schema(
-    x1=IntegerType(), dtnasc=StringType(), codmunres=StringType(), contagem=LongType()
-)
-BIRTH_RECORD = _schema(CODMUNRES=StringType(), DTNASC=StringType())
 FORECAST_EXPORT = _schema(
-    row_id=IntegerType(),
+    row_id=LongType(),
     mes_ano=StringType(),
     ano=IntegerType(),
     total=DoubleType(),
@@ -31,11 +25,3 @@ FORECAST_EXPORT = _schema(
     regiao=StringType(),
     mes_ano_data=DateType(),
 )
-SUPPLY = _schema(
-    macrorregiao=StringType(),
-    mes_ano=DateType(),
-    nivel_atencao=StringType(),
-    categoria=StringType(),
-    cenario=StringType(),
-    qtd_mensal=DoubleType(),
-)

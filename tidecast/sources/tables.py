@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import re
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import DataType, StringType, StructType
 
 from tidecast.session import stage
-from tidecast.sources.names import snake_name
+from tidecast.sources.names import snake_name, unique_names
 
 ROW_ID = "row_id"
 
@@ -19,15 +20,42 @@ def read_parquet_table(spark: SparkSession, directory: str, name: str) -> DataFr
 
 
 def read_csv_table(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
-    """CSV with a header line under a fixed schema; ``NA`` and empty fields are missing."""
-    return (
-        spark.read.schema(schema)
-        .option("header", True)
+    """CSV with a header line under a fixed schema; ``NA`` and empty fields are missing.
+
+    Columns are found by their cleaned header names, whatever their order; a column that the file does
+    not have is an error, and so is a field that is not of its type. A header without a name is the
+    row number.
+    """
+    reader = (
+        spark.read.option("header", True)
         .option("nullValue", "NA")
+        .option("emptyValue", "")
+        .option("escape", '"')
         .option("ignoreLeadingWhiteSpace", True)
         .option("ignoreTrailingWhiteSpace", True)
-        .csv(path)
     )
+    text = reader.csv(path)
+    named = [ROW_ID if _nameless(c) else snake_name(c) for c in text.columns]
+    place = {name: i for i, name in enumerate(unique_names(named))}
+    missing = [f.name for f in schema if snake_name(f.name) not in place]
+    if missing:
+        raise ValueError(f"{path} has no column {', '.join(missing)}")
+    fields = text.toDF(*unique_names(named))
+    return fields.select(*(_typed(f.name, snake_name(f.name), f.dataType) for f in schema))
+
+
+def _nameless(header: str) -> bool:
+    return header.strip() == "" or re.fullmatch(r"_c\d+", header) is not None
+
+
+def _typed(name: str, column: str, kind: DataType) -> Column:
+    """The text of a column in its type; empty is missing, and malformed text fails the query."""
+    text = F.nullif(F.col(f"`{column}`"), F.lit(""))
+    if isinstance(kind, StringType):
+        return text.alias(name)
+    value = text.try_cast(kind)
+    fault = F.raise_error(F.concat(F.lit(f"{name} is not of type {kind.simpleString()}: "), text))
+    return F.when(text.isNotNull() & value.isNull(), fault.cast(kind)).otherwise(value).alias(name)
 
 
 def read_sheet(
@@ -41,9 +69,14 @@ def read_sheet(
     return spark.read.parquet(path) if schema is None else read_csv_table(spark, path, schema)
 
 
-def sql_extract(spark: SparkSession, query: str, **inputs) -> DataFrame:
-    """Run SQL text; ``{name}`` in the text stands for the DataFrame or value passed as ``name``."""
-    return spark.sql(query, **inputs)
+def sql_extract(
+    spark: SparkSession, query: str, bound: Mapping[str, object] | None = None, **inputs
+) -> DataFrame:
+    """Run SQL text.
+
+    ``{name}`` in the text stands for the DataFrame passed as ``name``, ``:name`` for a bound value.
+    """
+    return spark.sql(query, args=dict(bound or {}), **inputs)
 
 
 def warehouse_extract(
@@ -81,26 +114,35 @@ def literal_table(spark: SparkSession, rows: Sequence[tuple], schema: str) -> Da
 def number_rows(df: DataFrame, keys: Sequence[str], name: str = ROW_ID) -> DataFrame:
     """Number the rows 1, 2, 3 ... in the order of ``keys``.
 
-    A window without a partition would move all rows into one task. Here the rows are range-sorted,
-    each partition is counted, and only the counts (one per partition) are accumulated.
+    A window without a partition would move all rows into one task. Here the rows are range-sorted and
+    numbered inside their partition before they are staged, and only the counts (one per partition) are
+    accumulated.
     """
-    ordered = stage(df.orderBy(*keys).withColumn("_part", F.spark_partition_id()))
-    sizes = ordered.groupBy("_part").agg(F.count(F.lit(1)).alias("_rows"))
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(
-        "_part", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_offset")
-    )
-    inside = Window.partitionBy("_part").orderBy(*keys)
-    numbered = ordered.withColumn("_pos", F.row_number().over(inside))
-    row_id = (F.col("_pos") + F.col("_offset")).cast("int").alias(name)
+    # The identifier counts up in a partition, which its upper bits name.
+    place = F.monotonically_increasing_id()
+    ordered = stage(df.orderBy(*keys).withColumn("_place", place))
+    part = F.shiftright("_place", 33)
+    sizes = ordered.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_rows"))
     # One row per partition of the sort: bounded by spark.sql.shuffle.partitions.
-    return numbered.join(F.broadcast(offsets), "_part").select(row_id, *df.columns)
+    offsets, before = {}, 0
+    for row in sizes.orderBy("_part").collect():
+        offsets[row["_part"]], before = before, before + row["_rows"]
+    if not offsets:
+        return ordered.select(F.lit(0).cast("long").alias(name), *df.columns)
+    table = F.create_map(*(F.lit(x) for pair in offsets.items() for x in pair))
+    inside = F.col("_place").bitwiseAND(F.lit((1 << 33) - 1))
+    row_id = (inside + table[part] + 1).cast("long").alias(name)
+    return ordered.select(row_id, *df.columns)
 
 
 def write_export_csv(df: DataFrame, path: str, keys: Sequence[str]) -> None:
-    """CSV export: header, quoted text, and a leading row number in a column without a name."""
-    numbered = number_rows(df, keys).withColumnRenamed(ROW_ID, "")
-    numbered.write.mode("errorifexists").option("header", True).option("quoteAll", True).csv(path)
+    """CSV export: header, quoted text, and a leading row number in a column without a name.
+
+    Files follow one another in the order of the row numbers.
+    """
+    numbered = number_rows(df, keys).orderBy(ROW_ID).withColumnRenamed(ROW_ID, "")
+    writer = numbered.write.mode("errorifexists").option("header", True).option("quoteAll", True)
+    writer.option("escape", '"').csv(path)
 
 
 def read_export_csv(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
@@ -108,9 +150,6 @@ def read_export_csv(spark: SparkSession, path: str, schema: StructType) -> DataF
     return read_csv_table(spark, path, schema).drop(ROW_ID)
 
 
-def write_table(df: DataFrame, path: str, one_file: bool = False) -> None:
-    """Write a result table as Parquet, or as a single CSV file for small reports."""
-    if one_file:
-        df.coalesce(1).write.mode("errorifexists").option("header", True).csv(path)
-    else:
-        df.write.mode("errorifexists").parquet(path)
+def write_table(df: DataFrame, path: str) -> None:
+    """Write a result table as Parquet."""
+    df.write.mode("errorifexists").parquet(path)
