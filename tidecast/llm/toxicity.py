@@ -185,13 +185,12 @@ def sample(documents: DataFrame, labels: DataFrame) -> DataFrame:
     known = known.groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("other"))
     known = known.filter("toxic = other").select("doc_id", "toxic")
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
-    rows = documents.select("doc_id", "text").join(known, "doc_id").filter(F.length("text") > 0)
-    classes = [
-        rows.filter(F.col("toxic") == y).orderBy(*order, "text").limit(SAMPLE_DOCUMENTS) for y in (0, 1)
-    ]
+    classes = [known.filter(F.col("toxic") == y).orderBy(*order).limit(SAMPLE_DOCUMENTS) for y in (0, 1)]
+    # At most twice SAMPLE_DOCUMENTS ids, so the texts stay where they are.
+    ids = F.broadcast(classes[0].unionByName(classes[1]))
+    rows = documents.select("doc_id", "text").join(ids, "doc_id").filter(F.length("text") > 0)
     so_far = F.sum(F.octet_length("text")).over(Window.partitionBy("toxic").orderBy(*order, "text"))
-    chosen = classes[0].unionByName(classes[1]).withColumn("bytes", so_far)
-    return chosen.filter(F.col("bytes") <= SAMPLE_BYTES // 2).select("text", "toxic")
+    return rows.withColumn("bytes", so_far).filter(F.col("bytes") <= SAMPLE_BYTES // 2).select("text", "toxic")
 
 
 def _marking(found: Tokens, toxic_token: np.ndarray) -> np.ndarray:

@@ -4,7 +4,12 @@ Differencing orders come first, from Spark windows and folds: a seasonal differe
 seasonal pattern is strong, an ordinary one when the KPSS statistic rejects a stable level. The
 orders ``p``, ``q`` and ``P`` are then chosen by corrected AIC among least squares fits in the manner
 of Hannan and Rissanen (1982): a long autoregression supplies the shocks that the moving-average
-terms need. The seasonal autoregressive term is a plain lag of twelve months.
+terms need. The seasonal autoregressive term is a plain lag of twelve months. The search goes up to
+``MAX_P``, ``MAX_Q`` and ``MAX_SEASONAL_P``; a series that is too short for lags gets orders zero.
+
+Everything goes by the calendar: a month without a value keeps its place, and a design row that touches
+it is left out. Forecasts start from values in which such a month has the value of a year before, or else
+the last one known.
 """
 
 from __future__ import annotations
@@ -17,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
 
-from tidecast.operators.packing import by_series
+from tidecast.operators.panel import complete_months
 
 PERIOD = 12
 MAX_P, MAX_Q, MAX_SEASONAL_P = 3, 2, 1
@@ -47,14 +52,17 @@ def _stable_rows(panel: DataFrame) -> DataFrame:
     stable = F.when(F.col("seasonal_d") == 1, F.col("y") - year_before).otherwise(F.col("y"))
     so_far = by_time.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     around = F.when(inside, F.col("y") - (early + late) / 2)
+    latest = F.last("y", ignorenulls=True).over(by_time)
     return (
-        by_series(panel.filter(F.col("y").isNotNull()))
+        complete_months(panel.filter(F.col("y").isNotNull()))
         .withColumns({"around": around, "month": F.month("ds")})
+        .withColumn("filled", F.coalesce("y", year_before, latest))
+        .withColumn("place", F.row_number().over(by_time))
         .withColumn("left", F.col("around") - F.avg("around").over(same_month))
         .withColumns(
             {
                 "strength": F.greatest(explained, F.lit(0.0)),
-                "n_obs": F.count(F.lit(1)).over(whole).cast("int"),
+                "n_obs": F.count("y").over(whole).cast("int"),
             }
         )
         .withColumn("seasonal_d", F.coalesce(seasonal, F.lit(False)).cast("int"))
@@ -64,23 +72,27 @@ def _stable_rows(panel: DataFrame) -> DataFrame:
     )
 
 
-def _in_order(column: str) -> Column:
-    """Values of a column in month order, without missing ones."""
-    present = F.when(F.col(column).isNotNull(), F.struct("ds", column))
-    return F.transform(F.sort_array(F.collect_list(present)), lambda m: m[column])
+def _in_order(column: str, after: Column | int = 0) -> Column:
+    """Values of a column in month order, missing ones in place, without the first ``after`` months."""
+    kept = F.when(F.col("place") > after, F.struct("ds", column))
+    return F.transform(F.sort_array(F.collect_list(kept)), lambda m: m[column])
 
 
 def _total(values: Column) -> Column:
-    return F.aggregate(values, F.lit(0.0), lambda acc, v: acc + v)
+    return F.aggregate(values, F.lit(0.0), lambda acc, v: acc + F.coalesce(v, F.lit(0.0)))
+
+
+def _known(values: Column) -> Column:
+    return F.size(F.filter(values, lambda v: v.isNotNull()))
 
 
 def _long_run_variance(centred: Column) -> Column:
     """Variance with Bartlett weights on ``3 sqrt(n) / 13`` autocovariances."""
-    n = F.size(centred)
+    n, months = _known(centred), F.size(centred)
     lags = F.floor(3 * F.sqrt(n) / 13).cast("int")
 
     def weighted_covariance(j: Column) -> Column:
-        later, earlier = F.slice(centred, j + 1, n - j), F.slice(centred, F.lit(1), n - j)
+        later, earlier = F.slice(centred, j + 1, months - j), F.slice(centred, F.lit(1), months - j)
         covariance = _total(F.zip_with(later, earlier, lambda a, b: a * b)) / n
         return F.when(j == 0, 1.0).otherwise(2 * (1 - j / (lags + 1))) * covariance
 
@@ -96,18 +108,20 @@ def difference(values: Column) -> Column:
 
 def differencing_orders(panel: DataFrame) -> DataFrame:
     """Packed months with the seasonal and ordinary differencing orders and the statistics behind."""
+    skipped = PERIOD * F.col("seasonal_d")
+    walked = F.when(F.col("centred").isNotNull(), F.col("walk") * F.col("walk"))
     packed = (
         _stable_rows(panel)
         .groupBy("series_id", "n_obs", "strength", "seasonal_d")
         .agg(
             F.max("ds").alias("last"),
-            _in_order("y").alias("ys"),
-            _in_order("stable").alias("stable"),
-            _in_order("centred").alias("centred"),
-            F.sum(F.col("walk") * F.col("walk")).alias("squares"),
+            _in_order("filled").alias("ys"),
+            _in_order("stable", skipped).alias("stable"),
+            _in_order("centred", skipped).alias("centred"),
+            F.sum(walked).alias("squares"),
         )
     )
-    n, variance = F.size("stable"), F.col("variance")
+    n, variance = _known(F.col("stable")), F.col("variance")
     statistic = F.try_divide(F.col("squares"), n * n * F.when(variance > 1e-12, variance))
     once = F.coalesce(F.col("kpss") > KPSS_CRITICAL, F.lit(False))
     shifted = F.when(F.col("d") == 1, difference(F.col("stable"))).otherwise(F.col("stable"))
@@ -131,7 +145,10 @@ def _shocks(w: np.ndarray) -> np.ndarray:
     order = min(PERIOD, len(w) // 5)
     if order:
         x = np.column_stack([np.ones(len(w) - order), _lagged(w, list(range(1, order + 1)), order)])
-        shocks[order:] = w[order:] - x @ np.linalg.lstsq(x, w[order:], rcond=None)[0]
+        y, full = w[order:], ~np.isnan(np.column_stack([x, w[order:]])).any(axis=1)
+        if full.sum() > order:
+            beta = np.linalg.lstsq(x[full], y[full], rcond=None)[0]
+            shocks[order:][full] = y[full] - x[full] @ beta
     return shocks
 
 
@@ -145,9 +162,11 @@ def choose_order(w: np.ndarray, differences: int) -> dict:
 
     A series without enough months for lags gets its mean, or no drift after two differences. Fits
     with a constant run on deviations from the mean, which keeps their cross products accurate.
+    ``w`` may have missing values (NaN) in their places.
     """
     constant = int(differences < 2)
-    mean = float(w.mean()) if constant and len(w) else 0.0
+    known = ~np.isnan(w)
+    mean = float(w[known].mean()) if constant and known.any() else 0.0
     w = w - mean
     shocks = _shocks(w)
     longest_p = MAX_SEASONAL_P if len(w) >= 3 * PERIOD else 0
@@ -162,13 +181,19 @@ def choose_order(w: np.ndarray, differences: int) -> dict:
     columns = [np.ones((n, 1))]
     columns += [_lagged(w, ar_lags, start), _lagged(shocks, ma_lags, start)] if ar_lags else []
     x = np.hstack(columns)
+    full = ~np.isnan(np.column_stack([x, y])).any(axis=1)
+    if full.sum() < 3 and ar_lags:
+        # Gaps leave no design row to speak of: the level is all that can be had.
+        orders, ar_lags, ma_lags = [(0, 0, 0)], [], []
+        y, x, full = w, np.ones((len(w), 1)), known
+    x, y, n = x[full], y[full], int(full.sum())
     xx, xy = x.T @ x, x.T @ y
     fits = []
     for p, q, seasonal_p in orders:
         ar = [*range(1, p + 1), *[MAX_P + 1] * seasonal_p]
         used = [0] * constant + ar + [1 + len(ar_lags) + j for j in range(q)]
         k = len(used) + 1
-        if n - k - 1 <= 0 and len(orders) > 1:
+        if n - k - 1 <= 0 and (p, q, seasonal_p) != (0, 0, 0):
             continue
         beta = np.linalg.lstsq(xx[np.ix_(used, used)], xy[used], rcond=None)[0]
         sse = float(np.sum((y - x[:, used] @ beta) ** 2))

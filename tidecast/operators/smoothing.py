@@ -3,6 +3,9 @@
 Each candidate is a form (trend none, additive or damped; season none, additive or multiplicative)
 with its smoothing weights. All candidates of a series are carried through the months together, one
 vector operation per step; the smallest corrected AIC wins and ties go to the earlier candidate.
+A missing month moves the level along the trend and changes nothing else. Seasonal forms need two
+calendar years with values, multiplicative ones values above zero; ``left_out`` names the seasons that
+a series could not have.
 Packing, candidate columns, forecasts and everything after them are Spark expressions.
 """
 
@@ -61,28 +64,42 @@ def start_values(y: np.ndarray, trended: np.ndarray, season: np.ndarray) -> tupl
     """Months used up by the start, then level, slope and season terms of every candidate.
 
     With two years of data the slope is the change between the yearly means, and the season terms
-    are what the first year leaves around that line. A shorter series starts from its first months.
+    are what the first year leaves around that line. A month that is missing there takes its term from
+    the second year, or a neutral one. A shorter series starts from its first months.
     """
-    if len(y) < 2 * PERIOD:
-        slope = np.where(trended, y[1] - y[0] if len(y) > 1 else 0.0, 0.0)
+    if not two_years(y):
+        second = y[1] if len(y) > 1 and not np.isnan(y[1]) else y[0]
+        slope = np.where(trended, second - y[0], 0.0)
         return 1, np.full(len(trended), y[0]), slope, np.zeros((PERIOD, len(trended)))
-    first, second = y[:PERIOD].mean(), y[PERIOD : 2 * PERIOD].mean()
+    first, second = np.nanmean(y[:PERIOD]), np.nanmean(y[PERIOD : 2 * PERIOD])
     slope = np.where(trended, (second - first) / PERIOD, 0.0)
     middle = (PERIOD - 1) / 2
-    line = first + (np.arange(PERIOD)[:, None] - middle) * slope
-    year = y[:PERIOD, None]
+    line = first + (np.arange(2 * PERIOD)[:, None] - middle) * slope
+    years = y[: 2 * PERIOD, None]
     with np.errstate(divide="ignore", invalid="ignore"):
-        terms = np.where(season == "A", year - line, np.where(season == "M", year / line, 0.0))
-    return PERIOD, first + middle * slope, slope, terms
+        terms = np.where(season == "A", years - line, np.where(season == "M", years / line, 0.0))
+    terms = np.where(np.isnan(years), np.nan, terms)
+    neutral = np.where(season == "M", 1.0, 0.0)
+    start = np.where(np.isnan(terms[:PERIOD]), terms[PERIOD:], terms[:PERIOD])
+    return PERIOD, first + middle * slope, slope, np.where(np.isnan(start), neutral, start)
+
+
+def two_years(y: np.ndarray) -> bool:
+    """Whether each of the first two years has a value, which the seasonal forms need."""
+    known = ~np.isnan(y)
+    return len(y) >= 2 * PERIOD and bool(known[:PERIOD].any() and known[PERIOD : 2 * PERIOD].any())
+
+
+def left_out(y: np.ndarray) -> list[str]:
+    """Seasons that a series cannot have."""
+    if not two_years(y):
+        return ["A", "M"]
+    return ["M"] if np.nanmin(y) <= 0 else []
 
 
 def search(y: np.ndarray, grid: pd.DataFrame) -> tuple:
     """The best candidate of one series: its number, last state, squared error and AICc."""
-    season = grid["season"].to_numpy()
-    if len(y) < 2 * PERIOD:
-        grid = grid[season == "N"]
-    elif y.min() <= 0:
-        grid = grid[season != "M"]
+    grid = grid[~grid["season"].isin(left_out(y))]
     season, times = grid["season"].to_numpy(), (grid["season"] == "M").to_numpy()
     alpha, beta, gamma, phi = grid[["alpha", "beta", "gamma", "phi"]].to_numpy().T
     used, level, slope, terms = start_values(y, (grid["trend"] != "N").to_numpy(), season)
@@ -90,12 +107,15 @@ def search(y: np.ndarray, grid: pd.DataFrame) -> tuple:
     with np.errstate(all="ignore"):
         for month in range(used, len(y)):
             line, term = level + phi * slope, terms[month % PERIOD].copy()
+            if np.isnan(y[month]):
+                level, slope = line, phi * slope
+                continue
             error = y[month] - np.where(times, line * term, line + term)
             pull = np.where(times, error / term, error)
             level, slope = line + alpha * pull, phi * slope + beta * pull
             terms[month % PERIOD] = term + gamma * np.where(times, error / line, error)
             sse += error * error
-        n, k = len(y) - used, grid["k"].to_numpy()
+        n, k = int((~np.isnan(y[used:])).sum()), grid["k"].to_numpy()
         fit = n * np.log(np.maximum(sse, 1e-12) / max(n, 1)) + 2 * k
         aicc = np.where(n - k - 1 > 0, fit + 2 * k * (k + 1) / (n - k - 1), np.inf)
     best = int(np.argmin(np.where(np.isfinite(sse), aicc, np.inf)))
@@ -112,6 +132,7 @@ FITTED = StructType(
         *[StructField(c, DoubleType()) for c in ("level", "slope")],
         StructField("season_terms", ArrayType(DoubleType())),
         *[StructField(c, DoubleType()) for c in ("sse", "aicc")],
+        StructField("left_out", ArrayType(StringType())),
     ]
 )
 
@@ -128,14 +149,15 @@ def fit(panel: DataFrame, grid: pd.DataFrame | None = None) -> DataFrame:
     def best(series: pd.Series) -> pd.DataFrame:
         rows = []
         for values in series:
-            number, level, slope, terms, sse, aicc = search(np.asarray(values, dtype=float), grid)
+            y = np.asarray(values, dtype=float)
+            number, level, slope, terms, sse, aicc = search(y, grid)
             c = chosen.loc[number]
             form = f"ETS(A,{c.trend},{c.season})"
             weights = (c.alpha, c.beta, c.gamma, c.phi)
-            rows.append((number, form, c.season, *weights, level, slope, terms, sse, aicc))
+            rows.append((number, form, c.season, *weights, level, slope, terms, sse, aicc, left_out(y)))
         return pd.DataFrame(rows, columns=FITTED.fieldNames())
 
-    length = F.size("ys").alias("n_obs")
+    length = F.size(F.filter("ys", lambda y: y.isNotNull())).alias("n_obs")
     fitted = pack_series(panel).select("series_id", "last", length, best("ys").alias("best"))
     return fitted.select("series_id", "last", "n_obs", "best.*")
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from tidecast.operators import smoothing
-
 GEO = """
 geo AS (
     SELECT c_custkey, r_name FROM customer
@@ -61,45 +59,52 @@ grid_{tag} AS (
            3 + trend_size + CASE WHEN season = 'N' THEN 0 ELSE 12 END AS k
     FROM (VALUES (0, 'N', 0), (1, 'A', 2), (2, 'Ad', 3)) AS t(trend_at, trend, trend_size),
          (VALUES (0, 'N'), (1, 'A'), (2, 'M')) AS s(season_at, season),
-         {_ordered("alpha", smoothing.ALPHAS)},
-         {_ordered("beta", (0.0, *smoothing.BETA_SHARES))},
-         {_ordered("gamma", (0.0, *smoothing.GAMMA_SHARES))},
-         {_ordered("phi", (1.0, *smoothing.DAMPINGS))}
+         {_ordered("alpha", (0.01, 0.05, 0.1, 0.2, 0.35, 0.5, 0.7, 0.9))},
+         {_ordered("beta", (0.0, 0.02, 0.1, 0.3))},
+         {_ordered("gamma", (0.0, 0.05, 0.2, 0.5))},
+         {_ordered("phi", (1.0, 0.85, 0.95))}
     WHERE (beta = 0) = (trend = 'N') AND (gamma = 0) = (season = 'N') AND (phi = 1) = (trend <> 'Ad')),
+calendar_{tag} AS (
+    SELECT series_id, CAST(unnest(generate_series(min(ds)::TIMESTAMP, max(ds)::TIMESTAMP,
+                                                  INTERVAL 1 MONTH)) AS DATE) AS ds
+    FROM {source} WHERE y IS NOT NULL GROUP BY series_id),
 packed_{tag} AS (
-    SELECT series_id, max(ds) AS last, list(y ORDER BY ds) AS ys, count(*) AS n
-    FROM {source} GROUP BY series_id),
+    SELECT series_id, max(ds) AS last, list(y ORDER BY ds) AS ys, count(*) AS n, count(y) AS n_obs
+    FROM calendar_{tag} LEFT JOIN {source} USING (series_id, ds) GROUP BY series_id),
 means_{tag} AS (
     SELECT *, list_avg(ys[1:12]) AS year1, list_avg(ys[13:24]) AS year2 FROM packed_{tag}),
 lines_{tag} AS (
-    SELECT m.series_id, last, ys, n, year1, g.*,
+    SELECT m.series_id, last, ys, n, n_obs, year1, g.*,
            CASE WHEN trend = 'N' THEN 0.0::DOUBLE ELSE (year2 - year1) / 12 END AS b0
     FROM means_{tag} m, grid_{tag} g
     WHERE n >= 24 AND (season <> 'M' OR list_min(ys) > 0)),
 fold_{tag} AS (
-    SELECT series_id, last, ys, n, grid_id, trend, season, alpha, beta, gamma, phi, k,
+    SELECT series_id, last, ys, n, n_obs, grid_id, trend, season, alpha, beta, gamma, phi, k,
            12 AS i, year1 + 5.5 * b0 AS l, b0 AS b,
            list_transform(range(0, 12), lambda j:
-               CASE season WHEN 'A' THEN ys[j + 1] - (year1 + (j - 5.5) * b0)
-                           WHEN 'M' THEN ys[j + 1] / (year1 + (j - 5.5) * b0)
+               CASE season WHEN 'A' THEN coalesce(ys[j + 1] - (year1 + (j - 5.5) * b0),
+                                                  ys[j + 13] - (year1 + (j + 6.5) * b0), 0)
+                           WHEN 'M' THEN coalesce(ys[j + 1] / (year1 + (j - 5.5) * b0),
+                                                  ys[j + 13] / (year1 + (j + 6.5) * b0), 1)
                            ELSE 0.0::DOUBLE END) AS s,
            0.0::DOUBLE AS sse
     FROM lines_{tag}
     UNION ALL
-    SELECT series_id, last, ys, n, grid_id, trend, season, alpha, beta, gamma, phi, k, i + 1,
-           line + alpha * pull, phi * b + beta * pull,
-           list_append(s[2:12], term + gamma * CASE WHEN season = 'M' THEN error / line ELSE error END),
-           sse + error * error
+    SELECT series_id, last, ys, n, n_obs, grid_id, trend, season, alpha, beta, gamma, phi, k, i + 1,
+           line + coalesce(alpha * pull, 0), phi * b + coalesce(beta * pull, 0),
+           list_append(s[2:12], term + coalesce(
+               gamma * CASE WHEN season = 'M' THEN error / line ELSE error END, 0)),
+           sse + coalesce(error * error, 0)
     FROM (SELECT *, CASE WHEN season = 'M' THEN error / term ELSE error END AS pull
           FROM (SELECT *, ys[i + 1] - CASE WHEN season = 'M' THEN line * term ELSE line + term END
                           AS error
                 FROM (SELECT *, l + phi * b AS line, s[1] AS term FROM fold_{tag} WHERE i < n)))),
 scored_{tag} AS (
-    SELECT *, CASE WHEN n - 12 - k - 1 > 0
-                   THEN (n - 12) * ln(greatest(sse, 1e-12) / (n - 12)) + 2 * k
-                        + 2.0::DOUBLE * k * (k + 1) / (n - 12 - k - 1)
+    SELECT *, CASE WHEN m - k - 1 > 0
+                   THEN m * ln(greatest(sse, 1e-12) / m) + 2 * k + 2.0::DOUBLE * k * (k + 1) / (m - k - 1)
                    ELSE 'Infinity'::DOUBLE END AS aicc
-    FROM fold_{tag} WHERE i = n),
+    FROM (SELECT *, len(list_filter(ys[13:], lambda v: v IS NOT NULL)) AS m
+          FROM fold_{tag} WHERE i = n)),
 fit_{tag} AS (
     SELECT * FROM scored_{tag}
     QUALIFY row_number() OVER (PARTITION BY series_id ORDER BY aicc, grid_id) = 1)
@@ -712,6 +717,16 @@ ORACLES: dict[str, str] = {
                printf('ARIMA(%d,%d,%d)(%d,%d,0)[12]', p, d, q, sp, seasonal_d) AS form,
                round("offset", 6) AS "offset", round(sse, 6) AS sse, round(aicc, 6) AS aicc
         FROM arima_c""",
+    "fit_gapped": f"""WITH RECURSIVE gapped AS (
+            SELECT c_nationkey || '/' || o_orderpriority AS series_id,
+                   CAST(date_trunc('month', o_orderdate) AS DATE) AS ds,
+                   CAST(count(*) AS DOUBLE) AS y
+            FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2),
+        {ets("gapped", "g")}
+        SELECT series_id, CAST(n_obs AS INTEGER) AS n_obs, CAST(grid_id AS INTEGER) AS grid_id,
+               'ETS(A,' || trend || ',' || season || ')' AS form, round(l, 6) AS level,
+               round(b, 6) AS slope, round(sse, 6) AS sse, round(aicc, 6) AS aicc
+        FROM fit_g""",
     "fit_ets": f"""WITH RECURSIVE {SPLIT}, {ets("train", "a")}
         SELECT series_id, CAST(n AS INTEGER) AS n_obs, CAST(grid_id AS INTEGER) AS grid_id,
                'ETS(A,' || trend || ',' || season || ')' AS form, round(l, 6) AS level,

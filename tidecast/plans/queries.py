@@ -17,7 +17,15 @@ from tidecast.functions.dates import (
 )
 from tidecast.functions.labels import canonical_label, ordered_codes
 from tidecast.functions.numbers import as_number, strict_sum
-from tidecast.operators import autoregression, capacity, evaluate, forecast, reshape, trend_season
+from tidecast.operators import (
+    autoregression,
+    capacity,
+    evaluate,
+    forecast,
+    reshape,
+    smoothing,
+    trend_season,
+)
 from tidecast.operators import panel as panels
 from tidecast.operators import split as splits
 from tidecast.plans import bindings as b
@@ -249,6 +257,13 @@ def fit_ets(spark, sf_dir):
     return rounded(fitted.select(*columns))
 
 
+def fit_gapped(spark, sf_dir):
+    """Exponential smoothing of customers' nations and order priorities, which lack months."""
+    series = stage(_gapped(b.table(spark, sf_dir, "orders"), b.table(spark, sf_dir, "customer")))
+    columns = ["series_id", "n_obs", "grid_id", "form", "level", "slope", "sse", "aicc"]
+    return rounded(smoothing.fit(series).select(*columns))
+
+
 def fit_arima(spark, sf_dir):
     fitted = _fitted(spark, sf_dir, "ARIMA")
     return rounded(fitted.select("series_id", "n_obs", "form", "offset", "sse", "aicc"))
@@ -570,6 +585,7 @@ QUERIES: dict[str, Query] = {
         trend_season_design,
         fit_trend_season,
         fit_ets,
+        fit_gapped,
         fit_arima,
         differencing_orders,
         model_table,
