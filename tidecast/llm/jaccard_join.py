@@ -9,9 +9,12 @@ difference there and counts twice. The cost is judged by the elements of a segme
 in the corpus: empty segments and those made of a common passage are only probed when nothing else is left.
 Allocation changes the work, never the result.
 
-Sets that are equal are one node. Candidates are verified on the whole sets of 64-bit n-gram hashes.
-Groups of copies are joined by stars first, one candidate per node, and only pairs of still separate
-components are compared one by one, so a group costs about its size and no link between components is lost.
+Sets that are equal are one node. Nodes that meet by a signature are all compared with one of them, its
+hub, the node that meets most. That is exact on the whole sets of 64-bit n-gram hashes and joins a group of
+copies at about the cost of its size. Two nodes of which one is not near the hub may still be near each
+other. They differ from one another in what their differences from the hub differ in, so these differences,
+elements beyond the hub's first, are joined by a prefix filter: their first common element must stand early
+in both. Variants of one text share few such elements, and no link between components is lost.
 """
 
 from __future__ import annotations
@@ -24,20 +27,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidecast.llm.components import connected
-from tidecast.llm.meeting import INDEX, MEETING, PROBE, apart, meeting_batch, met_rows, one_each, with_keys
+from tidecast.llm.meeting import INDEX, MEETING, PROBE, meeting_batch, met_rows, node_ids, with_keys
 from tidecast.llm.textbytes import mix, ragged, shingle_hashes, text_blocks, word_hashes
 from tidecast.session import stage
 
 #: Sizes of a band grow by this ratio.
 BAND_RATIO = 1.5
 #: Segments beyond those that the pigeonhole needs, from which costly ones are left out.
-SLACK = 0.1
+SLACK = 0.03
 #: One of so many segments has a one-deletion neighbourhood.
-DELETION_EVERY = 16
+DELETION_EVERY = 32
 #: An n-gram is frequent if it is in more than one of so many documents; only costs depend on it.
 FREQUENT_SHARE = 256
 FREQUENT_KEPT = 200_000
-STAR_ROUNDS = 2
+#: Members of a hub that are compared with it in one run.
+MEMBERS = 256
 
 _DELETED = np.uint64(0x5851F42D4C957F2D)
 
@@ -78,7 +82,7 @@ def _nodes(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(flat, dtype=np.uint64)])
     ends = np.cumsum(sizes)
     prints = mix(total[ends] - total[ends - sizes] + mix(sizes.astype(np.uint64)))
-    return sizes, prints.view(np.int64)
+    return sizes, node_ids(prints)
 
 
 def document_sets(documents: DataFrame, k: int) -> DataFrame:
@@ -183,11 +187,7 @@ def _signatures(sets, prints, bands: Bands, frequent: np.ndarray) -> tuple[np.nd
 
 
 def signatures(documents: DataFrame, k: int, bands: Bands, frequent: np.ndarray) -> DataFrame:
-    """``sig, salt, node, role, rep``: rows to be met by their signature.
-
-    Where many nodes of a block share a signature, one of them stands for all in the meeting (salt 0, with
-    the roles of all); the others name it as ``rep`` and are kept aside, spread by a salt.
-    """
+    """The rows of all sets that are to meet by their signature."""
     spark = documents.sparkSession
     sent = spark.sparkContext.broadcast((bands, frequent))
 
@@ -202,73 +202,125 @@ def signatures(documents: DataFrame, k: int, bands: Bands, frequent: np.ndarray)
     return rows.mapInArrow(run, MEETING)
 
 
-def _common(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        keep = []
-        for left, right in zip(batch.column(2), batch.column(3)):
-            x, y = (np.frombuffer(v.as_buffer(), dtype=np.uint64) for v in (left, right))
-            both = np.intersect1d(x, y, assume_unique=True).size
-            keep.append(100 * both >= percent * (x.size + y.size - both))
-        yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
-
-
-class _Join:
-    """The state of one join: nodes with their sets' texts, and the links found so far."""
-
-    def __init__(self, documents: DataFrame, sized: DataFrame, k: int, percent: int):
-        self.documents, self.k, self.percent = documents, k, percent
-        # Nodes go by the smallest document that has the set.
-        self.nodes = stage(
-            sized.filter("id is not null and number > 0")
-            .groupBy("hash")
-            .agg(F.min("id").alias("node"), F.max("number").alias("size"))
-        )
-        self.links: DataFrame | None = None
-        self.labels: DataFrame | None = None
-
-    def sets(self, wanted: DataFrame) -> DataFrame:
-        """``node, elements`` of the wanted nodes: the texts are read again, the sets made anew."""
-        k = self.k
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for first, last, data, offsets in text_blocks(batch.column(1)):
-                    sets = _sets(data, offsets, k)
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            batch.column(0).slice(first, last - first),
-                            pa.array(_nodes(sets)[1]),
-                            pa.array([s.tobytes() for s in sets], pa.binary()),
-                        ],
-                        names=["node", "hash", "elements"],
-                    )
-
-        texts = self.documents.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("string").alias("text"))
-        made = with_keys(texts, "node", wanted.select("node")).mapInArrow(run, "node long, hash long, elements binary")
-        # An id may stand for several texts; the right one has the node's fingerprint.
-        return made.join(self.nodes.select("node", "hash"), ["node", "hash"]).dropDuplicates(["node"]).select("node", "elements")
-
-    def verify(self, pairs: DataFrame) -> None:
-        """Add the pairs ``a, b`` that reach the threshold to the links, and label the components."""
-        size = self.nodes.select("node", "size")
-        near = pairs.join(size.toDF("a", "x"), "a").join(size.toDF("b", "y"), "b")
-        near = stage(near.filter(F.least("x", "y") * 100 >= F.greatest("x", "y") * self.percent).select("a", "b"))
-        if near.isEmpty():
-            return
-        ends = near.select(F.col("a").alias("node")).union(near.select(F.col("b").alias("node"))).distinct()
-        sets = stage(self.sets(ends))
-        rows = near.join(sets.toDF("a", "left"), "a").join(sets.toDF("b", "right"), "b").select("a", "b", "left", "right")
-        percent = self.percent
-        found = rows.mapInArrow(lambda batches: _common(batches, percent), "a long, b long")
-        self.links = stage(found if self.links is None else found.unionByName(self.links))
-        self.labels = connected(self.links)
-
-    def label(self, rows: DataFrame) -> DataFrame:
-        """``rows`` with the component of their ``node``, as known so far."""
-        if self.labels is None:
-            return rows.withColumn("label", F.col("node"))
-        joined = rows.join(self.labels, "node", "left")
-        return joined.withColumn("label", F.coalesce("component", "node")).drop("component")
+class _Compare:
+    """Compares the sets of members with their hub's; a hub's rows come in a run, the hub first.
+
+    ``frequent`` n-grams come late among those that only the member has.
+    """
+
+    def __init__(self, k: int, percent: int, frequent: np.ndarray):
+        self.k, self.percent, self.frequent = k, percent, frequent
+        self.bands = Bands(percent, 1)
+
+    def member(self, hub: np.ndarray, own: np.ndarray, listed: bool) -> tuple[bool, int, np.ndarray]:
+        """Whether the sets link, the size of their difference, and the first elements of it, if ``listed``."""
+        beyond = np.setdiff1d(own, hub, assume_unique=True)
+        both = own.size - beyond.size
+        apart = own.size + hub.size - 2 * both
+        linked = 100 * both >= self.percent * (own.size + hub.size - both)
+        if not listed:
+            return linked, apart, own[:0]
+        if self.frequent.size and beyond.size:
+            at = np.minimum(np.searchsorted(self.frequent, beyond), self.frequent.size - 1)
+            late = self.frequent[at] == beyond
+            beyond = np.concatenate([beyond[~late], beyond[late]])
+        most = int(self.bands.differences(own.size, own.size * 100 // self.percent)) + 1
+        if beyond.size < most:
+            beyond = np.concatenate([beyond, np.setdiff1d(hub, own, assume_unique=True)])
+        return linked, apart, beyond[:most]
+
+    def run(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hub, hub_sets = None, []
+        for batch in batches:
+            for first, last, data, offsets in text_blocks(batch.column(6)):
+                part = batch.slice(first, last - first)
+                sets = _sets(data, offsets, self.k)
+                prints = _nodes(sets)[1]
+                hubs, salts, nodes, hashes, listed = (part.column(c).to_pylist() for c in (0, 1, 3, 4, 5))
+                members = part.column(2).to_pylist()
+                out = []
+                for i in range(len(sets)):
+                    if prints[i] != hashes[i]:
+                        continue  # another text with the same id
+                    at = hubs[i], salts[i]
+                    if not members[i]:
+                        hub, hub_sets = at, [*(hub_sets if hub == at else []), sets[i]]
+                        continue
+                    for hub_set in hub_sets if hub == at else []:
+                        linked, apart, prefix = self.member(hub_set, sets[i], listed[i])
+                        out.append((hubs[i], nodes[i], linked, sets[i].size, apart, prefix.view(np.int64)))
+                columns = zip(*out) if out else [[]] * 6
+                kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c, kind) for c, kind in zip(columns, kinds)],
+                    names=["hub", "node", "linked", "size", "apart", "prefix"],
+                )
+
+
+def compare(documents: DataFrame, nodes: DataFrame, pairs: DataFrame, compared: _Compare) -> DataFrame:
+    """``hub, node, linked, size, apart, prefix`` for ``pairs(hub, node, listed)`` of nodes.
+
+    Texts go to the hub's place, and the hub's own text with them, once for every ``MEMBERS`` members; so
+    neither a large group nor its texts come together in one task.
+    """
+    sizes = pairs.groupBy("hub").agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("salts"))
+    salted = pairs.join(sizes, "hub").withColumn("salt", F.pmod(F.xxhash64("node"), F.col("salts")).cast("int"))
+    salted = salted.select("hub", "salt", F.lit(True).alias("member"), "node", "listed")
+    heads = sizes.select("hub", F.explode(F.expr("sequence(0, salts - 1)")).alias("salt"), F.lit(False).alias("member"))
+    asked = salted.unionByName(heads.withColumns({"node": F.col("hub"), "listed": F.lit(False)}))
+    asked = stage(asked.join(nodes.select("node", "hash"), "node"))
+    texts = documents.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("string").alias("text"))
+    rows = with_keys(texts, "node", asked.select("node")).join(asked, "node")
+    rows = rows.select("hub", "salt", "member", "node", "hash", "listed", "text")
+    placed = rows.repartition("hub", "salt").sortWithinPartitions("hub", "salt", "member", "node")
+    schema = "hub long, node long, linked boolean, size long, apart long, prefix array<long>"
+    return placed.mapInArrow(compared.run, schema)
+
+
+def _beside_hub(found: DataFrame, percent: int) -> DataFrame:
+    """``hub, node``: pairs of members of one hub, one of them not near it, that may link.
+
+    In the order of ``prefix``, what stands before the first common element of two differences is in one
+    of them alone, and no more can be common than what stands from there on.
+    """
+    open_hubs = found.groupBy("hub").agg(F.count("*").alias("n"), F.bool_and("linked").alias("done"))
+    open_hubs = open_hubs.filter("n > 1 and not done").select("hub")
+    rows = found.join(open_hubs, "hub", "left_semi").select(
+        "hub", "node", "linked", "size", "apart", F.posexplode("prefix").alias("at", "element")
+    )
+    rows = stage(rows)
+    right = rows.select("hub", "element", *(F.col(c).alias(f"r_{c}") for c in ("node", "linked", "size", "apart", "at")))
+    most = F.floor((F.col("size") + F.col("r_size")) * (100 - percent) / (100 + percent))
+    rest = F.least(F.col("apart") - F.col("at"), F.col("r_apart") - F.col("r_at"))
+    left = rows.filter(~F.col("linked"))
+    pairs = left.join(right, ["hub", "element"]).filter(
+        (F.col("node") != F.col("r_node"))
+        & (F.col("r_linked") | (F.col("node") < F.col("r_node")))
+        & (F.col("at") + F.col("r_at") <= most)
+        & (F.col("apart") + F.col("r_apart") - 2 * rest <= most)
+        & (F.least("size", "r_size") * 100 >= F.greatest("size", "r_size") * percent)
+    )
+    return pairs.select(F.col("node").alias("hub"), F.col("r_node").alias("node")).distinct()
+
+
+def linked_nodes(documents: DataFrame, nodes: DataFrame, met: DataFrame, compared: _Compare) -> DataFrame:
+    """``a, b``: links that hold together every component of the nodes that meet."""
+    degrees = met.groupBy("node").agg(F.count("*").alias("degree"))
+    ranked = met.join(degrees, "node")
+    hubs = ranked.groupBy("sig").agg(F.max(F.struct("degree", "node")).alias("best")).select("sig", F.col("best.node").alias("hub"))
+    pairs = met.join(hubs, "sig").filter("node <> hub").select("hub", "node").distinct()
+    size = nodes.select("node", "size")
+    pairs = pairs.join(size, "node").join(size.toDF("hub", "hub_size"), "hub")
+    alone = pairs.groupBy("hub").agg((F.count("*") == 1).alias("alone"))
+    pairs = pairs.join(alone, "hub")
+    # A hub's only member matters only if the sizes allow a link.
+    near = F.least("size", "hub_size") * 100 >= F.greatest("size", "hub_size") * compared.percent
+    pairs = stage(pairs.filter(~F.col("alone") | near).select("hub", "node", (~F.col("alone")).alias("listed")))
+    found = stage(compare(documents, nodes, pairs, compared))
+    beside = stage(_beside_hub(found, compared.percent)).withColumn("listed", F.lit(False))
+    more = stage(compare(documents, nodes, beside, compared))
+    links = found.select("hub", "node", "linked").union(more.select("hub", "node", "linked")).filter("linked")
+    return stage(links.select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct())
 
 
 def jaccard_components(documents: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -285,50 +337,25 @@ def jaccard_components(documents: DataFrame, k: int = 5, percent: int = 80) -> D
     sized = stage(document_sets(documents, k))
     members = sized.filter("kind = 0").select("id", "number", "hash")
     total, largest = members.agg(F.count("*"), F.max("number")).head()
-    join = _Join(documents, members, k, percent)
-    if largest:
-        often = sized.filter("kind = 1").groupBy("hash").agg(F.sum("number").alias("n"))
-        often = often.filter(F.col("n") * FREQUENT_SHARE >= total).orderBy(F.desc("n"), "hash").limit(FREQUENT_KEPT)
-        frequent = np.sort(often.select("hash").toArrow().column(0).to_numpy().view(np.uint64))
-        rows = signatures(documents.filter("doc_id is not null"), k, Bands(percent, largest), frequent)
-        met = met_rows(rows)
-        names = join.nodes.select(F.col("hash").alias("node"), F.col("node").alias("id"))
-        met = met.join(names, "node").drop("node").withColumnRenamed("id", "node")
-        met = met.join(names.toDF("rep", "id"), "rep").drop("rep").withColumnRenamed("id", "rep")
-        met = stage(met)
-        join.verify(one_each(met.select(F.col("node").alias("a"), F.col("rep").alias("b"))))
-        for turn in range(1, STAR_ROUNDS):
-            open_rows = stage(apart(join.label(met)))
-            chosen = F.min(F.struct(F.xxhash64(F.lit(turn), "node"), "node", "label")).alias("best")
-            heads = open_rows.groupBy("sig").agg(chosen)
-            heads = heads.select("sig", F.col("best.node").alias("rep"), F.col("best.label").alias("at"))
-            pairs = open_rows.drop("rep").join(heads, "sig").filter("label <> at")
-            join.verify(one_each(pairs.select(F.col("node").alias("a"), F.col("rep").alias("b"))))
-        # What is still apart is compared pair by pair: equal signature, one probing the other's index.
-        open_rows = stage(apart(join.label(met)).groupBy("sig", "node", "label").agg(F.bit_or("role").alias("role")))
-        size = join.nodes.select("node", "size")
-        left = open_rows.join(size, "node")
-        right = left.select(*(F.col(c).alias(f"r_{c}") for c in left.columns)).withColumnRenamed("r_sig", "sig")
-        pairs = left.join(right, "sig").filter(
-            (F.col("node") < F.col("r_node"))
-            & (F.col("label") != F.col("r_label"))
-            & (F.col("role").bitwiseOR(F.col("r_role")) == (INDEX | PROBE))
-            & (F.least("size", "r_size") * 100 >= F.greatest("size", "r_size") * percent)
-        )
-        join.verify(pairs.select(F.col("node").alias("a"), F.col("r_node").alias("b")).distinct())
-    named = members.join(join.nodes.select("hash", "node"), "hash", "left")
+    # A node goes by the smallest document that has the set.
+    nodes = members.filter("id is not null and number > 0").groupBy("hash")
+    nodes = stage(nodes.agg(F.min("id").alias("node"), F.max("number").alias("size")))
+    often = sized.filter("kind = 1").groupBy("hash").agg(F.sum("number").alias("n"))
+    often = often.filter(F.col("n") * FREQUENT_SHARE >= total).orderBy(F.desc("n"), "hash").limit(FREQUENT_KEPT)
+    frequent = np.sort(often.select("hash").toArrow().column(0).to_numpy().view(np.uint64))
+    rows = signatures(documents.filter("doc_id is not null"), k, Bands(percent, largest or 1), frequent)
+    met = met_rows(rows).withColumnRenamed("node", "hash")
+    met = stage(met.join(nodes.select("hash", "node"), "hash").select("sig", "node").distinct())
+    links = linked_nodes(documents, nodes, met, _Compare(k, percent, frequent))
+    ends = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
+    labels = connected(links).join(ends, "node")
+    named = members.join(nodes.select("hash", "node"), "hash", "left")
     named = named.withColumn("node", F.when(F.col("number") > 0, F.col("node")).otherwise(F.col("id")))
-    named = named.withColumn("node", F.when(F.col("id").isNotNull(), F.col("node")))
-    if join.links is not None:
-        ends = join.links.select(F.explode(F.array("a", "b")).alias("node"))
-        named = named.join(ends.groupBy("node").agg(F.count("*").alias("n_links")), "node", "left")
-        named = join.label(named)
-    else:
-        named = named.withColumns({"label": F.col("node"), "n_links": F.lit(0).cast("long")})
+    named = named.withColumn("node", F.when(F.col("id").isNotNull(), F.col("node"))).join(labels, "node", "left")
     return named.select(
         F.col("id").alias("doc_id"),
         F.col("number").alias("n_shingles"),
-        F.col("label").alias("component_id"),
+        F.coalesce("component", "node").alias("component_id"),
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
     )
 

@@ -14,18 +14,25 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 INDEX, PROBE = 1, 2
-MEETING = "sig long, salt int, node long, role int, rep long"
-#: Nodes of one block that may share a signature before they are joined to one of them on the spot.
+MEETING = "sig long, salt int, node long"
+#: Nodes are hashes whose last two bits are free; on their way to the meeting they hold the role.
+ROLES = 3
+#: Nodes of one block that may share a signature before one of them goes for all.
 LOCAL_HOT = 16
 #: Largest key filter that is sent to the executors, in words of 64 bits.
 FILTER_WORDS = 1 << 20
 
 
+def node_ids(hashes: np.ndarray) -> np.ndarray:
+    """Hashes as nodes: signed, with free last bits."""
+    return (hashes & ~np.uint64(ROLES)).view(np.int64)
+
+
 def meeting_batch(sig: np.ndarray, node: np.ndarray, role: np.ndarray) -> pa.RecordBatch:
-    """The rows of a block of texts.
+    """The rows of a block of texts, the roles inside the nodes.
 
-    Where many nodes of the block share a signature, one of them stands for all in the meeting (salt 0,
-    with the roles of all); the others name it as ``rep`` and are kept aside, spread by a salt.
+    Where many nodes of the block share a signature, one of them goes to the meeting for all (salt 0, with
+    the roles of all). The others have met already and are spread by a salt.
     """
     order = np.argsort(sig, kind="stable")
     sig, node, role = sig[order], node[order], role[order].astype(np.int64)
@@ -37,46 +44,25 @@ def meeting_batch(sig: np.ndarray, node: np.ndarray, role: np.ndarray) -> pa.Rec
     hot = (size > LOCAL_HOT)[run_of]
     if start.size:
         role = np.where(hot & head, np.bitwise_or.reduceat(role, start)[run_of], role)
-    aside = hot & ~head
-    salt = np.where(aside, 1 + (node.view(np.uint64) % np.uint64(64)).astype(np.int64), 0)
-    return pa.RecordBatch.from_arrays(
-        [
-            pa.array(sig.view(np.int64)),
-            pa.array(salt, pa.int32()),
-            pa.array(node),
-            pa.array(role, pa.int32()),
-            pa.array(node[start][run_of], mask=~aside),
-        ],
-        names=["sig", "salt", "node", "role", "rep"],
-    )
+    salt = np.where(hot & ~head, 1 + ((node.view(np.uint64) >> np.uint64(8)) % np.uint64(64)).astype(np.int64), 0)
+    columns = [pa.array(sig.view(np.int64)), pa.array(salt, pa.int32()), pa.array(node | role)]
+    return pa.RecordBatch.from_arrays(columns, names=["sig", "salt", "node"])
 
 
 def met_rows(rows: DataFrame) -> DataFrame:
-    """Rows of signatures that more than one node has, one of them probing another one's index."""
+    """``sig, node, role`` of signatures that several nodes have, one of them probing another one's index."""
+    role = F.col("node").bitwiseAND(ROLES)
+    own = F.col("node") - role
     meeting = Window.partitionBy("sig", "salt")
     seen = rows.withColumns(
         {
-            "low": F.min("node").over(meeting),
-            "high": F.max("node").over(meeting),
-            "probes": F.max(F.col("role").bitwiseAND(PROBE)).over(meeting),
-            "indexes": F.max(F.col("role").bitwiseAND(INDEX)).over(meeting),
+            "low": F.min(own).over(meeting),
+            "high": F.max(own).over(meeting),
+            "roles": F.bit_or(role).over(meeting),
         }
     )
-    kept = seen.filter("salt > 0 or (low < high and probes > 0 and indexes > 0)")
-    return kept.select("sig", "node", "role", F.coalesce("rep", "low").alias("rep"))
-
-
-def one_each(pairs: DataFrame) -> DataFrame:
-    """For every node the other one that it shares most signatures with."""
-    counted = pairs.filter("a <> b").groupBy("a", "b").count()
-    best = counted.groupBy("a").agg(F.max_by("b", F.struct("count", "b")).alias("b"))
-    return best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-
-
-def apart(rows: DataFrame) -> DataFrame:
-    """Rows of signatures that nodes of several components share."""
-    mixed = rows.groupBy("sig").agg(F.min("label").alias("l"), F.max("label").alias("h")).filter("l < h")
-    return rows.join(mixed.select("sig"), "sig", "left_semi")
+    kept = seen.filter((F.col("salt") > 0) | ((F.col("low") < F.col("high")) & (F.col("roles") == ROLES)))
+    return kept.select("sig", own.alias("node"), role.alias("role"))
 
 
 def fresh_name(name: str, table: DataFrame) -> str:
