@@ -24,7 +24,7 @@ from tidecast.llm.textbytes import mix, prefix_hashes, span_hashes, text_blocks,
 
 #: Most labelled documents of each class, and most bytes of their texts, that the model is fitted on.
 SAMPLE_DOCUMENTS = 3000
-SAMPLE_BYTES = 6_000_000
+SAMPLE_BYTES = 4_000_000
 #: Weights of the hashed features.
 FEATURE_BITS = 18
 #: Bytes of the word starts that are features.
@@ -90,7 +90,7 @@ def _features(found: Tokens) -> np.ndarray:
         after[found.first[1:][found.first[:-1] < found.first[1:]] - 1] = 0
     salted = [found.own[:, k] for k in range(found.own.shape[1])]
     salted += [mix(found.before + np.uint64(101)), mix(after + np.uint64(211))]
-    return np.stack([h >> np.uint64(64 - FEATURE_BITS) for h in salted], axis=1).astype(np.int64)
+    return np.stack([h >> np.uint64(64 - FEATURE_BITS) for h in salted], axis=1).astype(np.int32)
 
 
 def forward_backward(
