@@ -116,8 +116,9 @@ def test_bands_leave_no_pair_out():
             assert bands.differences(low, high) < bands.segments[band]
 
 
-def test_removed_repeats(messy):
-    found = suffix_dedup.remove_repeats(messy, 50, texts=True).collect()
+@pytest.mark.parametrize("suffixes", [100, suffix_dedup.SUFFIXES])
+def test_removed_repeats(messy, suffixes):
+    found = suffix_dedup.remove_repeats(messy, 50, texts=True, suffixes=suffixes).collect()
     rows = [(r.doc_id, (r.text or "").encode()) for r in messy.collect()]
     first = {}
     for i, raw in rows:

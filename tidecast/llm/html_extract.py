@@ -12,7 +12,7 @@ import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -157,7 +157,7 @@ def containers(root: Node) -> dict[str, float]:
     """Score of every generalised container path: its share of running text, a little less if it is wide.
 
     Running text is what stands in blocks directly, links not counted. An outer container holds all that
-    an inner one holds, so each level above the text costs a tenth; article and main elements are credited.
+    an inner one holds, so each level above the text costs a fifth; article and main elements are credited.
     """
     own: dict[int, float] = {}
     nodes: list[Node] = []
@@ -178,7 +178,7 @@ def containers(root: Node) -> dict[str, float]:
     for node in reversed(nodes):
         if node.parent is not None:
             held[id(node.parent)] += held[id(node)]
-            step = 1.0 if node.tag in INLINE or node.tag == "p" else 0.9
+            step = 1.0 if node.tag in INLINE or node.tag == "p" else 0.8
             paragraphs[id(node.parent)] += step * (own[id(node)] + paragraphs[id(node)])
     for node in nodes:
         if node.tag in CONTAINERS and total and held[id(node)] > 0 and not _dropped(node):
@@ -241,17 +241,20 @@ def vote(pages: DataFrame) -> DataFrame:
     the last step as a few rows. Ties go to the smaller path.
     """
 
-    def score(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["host", "path", "score"]
+        for batch in batches:
             rows = [
                 (name, path, value)
-                for name, html in zip(part["host"], part["html"])
+                for name, html in zip(*(column.to_pylist() for column in batch.columns))
                 for path, value in containers(parse(html)).items()
             ]
-            yield pd.DataFrame(rows, columns=["host", "path", "score"])
+            columns = zip(*rows) if rows else [[]] * 3
+            kinds = (pa.string(), pa.string(), pa.float64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
 
     named = pages.select(host("url").alias("host"), "html").filter(F.col("html").isNotNull())
-    scored = named.mapInPandas(score, "host string, path string, score double")
+    scored = named.mapInArrow(score, "host string, path string, score double")
     # Sums of rounded scores do not depend on the order in which tasks end.
     votes = scored.groupBy("host", "path").agg(F.sum(F.round(F.col("score") * 1e6).cast("long")).alias("votes"))
     order = Window.partitionBy("host").orderBy(F.desc("votes"), "path")
@@ -271,12 +274,11 @@ def extract(pages: DataFrame, salts: int = 32) -> DataFrame:
     rows = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "html"), F.lit(salts)).cast("int"))
     joined = rows.join(winners, ["host", "salt"], "left").select("page_id", "url", "html", "path")
 
-    def text(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            found = [main_text(html, path) for html, path in zip(part["html"], part["path"])]
-            yield pd.DataFrame({"page_id": part["page_id"], "url": part["url"], "text": found}).assign(
-                n_chars=[len(x) for x in found]
-            )
+    def text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [main_text(html, path) for html, path in zip(*(batch.column(i).to_pylist() for i in (2, 3)))]
+            columns = [*batch.columns[:2], pa.array(found, pa.string()), pa.array([len(x) for x in found], pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["page_id", "url", "text", "n_chars"])
 
     kinds = dict(pages.dtypes)
-    return joined.mapInPandas(text, f"page_id {kinds['page_id']}, url string, text string, n_chars long")
+    return joined.mapInArrow(text, f"page_id {kinds['page_id']}, url string, text string, n_chars long")
