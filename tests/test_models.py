@@ -49,7 +49,8 @@ def test_posterior_mode_has_no_better_neighbour(seed):
     waves = [f(angles * k) for k in range(1, 11) for f in (np.sin, np.cos)]
     x = np.column_stack([np.ones(72), t, *hinges, *waves])
     y = 0.5 + 0.3 * t - 0.5 * np.maximum(t - 0.4, 0) + 0.05 * rng.standard_normal(72)
-    beta = trend_season.posterior_mode(x.T @ x, x.T @ y, y @ y, 72)
+    beta, steps, converged = trend_season.posterior_mode(x.T @ x, x.T @ y, y @ y, 72)
+    assert converged and steps < 200
     sse = float(np.sum((y - x @ beta) ** 2))
     noise = math.sqrt((math.sqrt(72**2 + 16 * sse) - 72) / 8)
     best = objective(beta, x, y, noise)

@@ -100,7 +100,12 @@ def predict_models(models: Models, dates: DataFrame) -> DataFrame:
 
 def calibrate(models: Models, test: DataFrame) -> DataFrame:
     """Observed, predicted and residual per model and held-out month."""
-    joined = predict_models(models, test).join(test, ["series_id", "ds"])
+    return residuals(predict_models(models, test), test)
+
+
+def residuals(predicted: DataFrame, test: DataFrame) -> DataFrame:
+    """Predictions beside what was observed in the same months."""
+    joined = predicted.join(test, ["series_id", "ds"])
     return joined.select(
         *MODEL_KEYS,
         "ds",

@@ -26,7 +26,13 @@ def forecast_future(models: Models, panel: DataFrame, horizon: int) -> DataFrame
 
 
 def in_sample(models: Models, panel: DataFrame) -> DataFrame:
-    """Fitted values on the months of the panel, for models defined on past dates."""
+    """Fitted values on the months of the panel, for models defined on past dates.
+
+    ARIMA and ETS predict only what comes after their last month, and asking them is an error.
+    """
+    ahead_only = [family.model_desc for family, _ in models if family.model_desc != "PROPHET"]
+    if ahead_only:
+        raise ValueError(f"no values on past months from {', '.join(ahead_only)}")
     return predict_models(models, panel)
 
 

@@ -13,6 +13,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, IntegerType, StructField, StructType
 
 from tidecast.operators.least_squares import DOUBLES, cross_products, unpack
 from tidecast.operators.packing import by_series
@@ -68,10 +69,11 @@ def posterior_mode(
     changepoint_scale: float = CHANGEPOINT_SCALE,
     steps: int = 200,
     tolerance: float = 1e-5,
-) -> np.ndarray:
+) -> tuple[np.ndarray, int, bool]:
     """Coefficients that minimise the negative log posterior, from cross products alone.
 
-    Values are on the scale of the largest observation, so the tolerance is a share of that.
+    Values are on the scale of the largest observation, so the tolerance is a share of that. Also returns
+    the steps taken and whether the last one moved less than the tolerance.
     """
     width = len(xy)
     bends = slice(2, width - 2 * SEASON_ORDER)
@@ -79,7 +81,8 @@ def posterior_mode(
     penalty[:2] = 1 / TREND_SCALE**2
     penalty[bends] = 1 / changepoint_scale**2
     noise, beta = max(yy / n, 1e-12), np.zeros(width)
-    for _ in range(steps):
+    taken, change = 0, np.inf
+    for taken in range(1, steps + 1):
         root = 1 / np.sqrt(penalty)
         # Scaling by the prior widths keeps the system well conditioned when a penalty is large.
         system = np.eye(width) * noise + root[:, None] * xx * root
@@ -93,12 +96,22 @@ def posterior_mode(
         beta = new
         if change < tolerance:
             break
-    return beta
+    return beta, taken, bool(change < tolerance)
 
 
-@F.pandas_udf(DOUBLES)
-def _solve(products: pd.Series, n: pd.Series) -> pd.Series:
-    return pd.Series([posterior_mode(*unpack(p), int(k)) for p, k in zip(products, n)])
+MODE = StructType(
+    [
+        StructField("beta", DOUBLES),
+        StructField("steps", IntegerType()),
+        StructField("converged", BooleanType()),
+    ]
+)
+
+
+@F.pandas_udf(MODE)
+def _solve(products: pd.Series, n: pd.Series) -> pd.DataFrame:
+    found = [posterior_mode(*unpack(p), int(k)) for p, k in zip(products, n)]
+    return pd.DataFrame(found, columns=["beta", "steps", "converged"])
 
 
 def fit(panel: DataFrame) -> DataFrame:
@@ -119,8 +132,8 @@ def fit(panel: DataFrame) -> DataFrame:
         "scale",
         "bends",
         "n_obs",
-        _solve("products", "n_obs").alias("beta"),
-    )
+        _solve("products", "n_obs").alias("mode"),
+    ).select("series_id", "first", "span", "scale", "bends", "n_obs", "mode.*")
 
 
 def predict(fitted: DataFrame, dates: DataFrame) -> DataFrame:

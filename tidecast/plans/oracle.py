@@ -211,7 +211,8 @@ mode_{tag} AS (
                     SELECT *, list_transform(penalty, lambda v: 1 / sqrt(v)) AS root
                     FROM mode_{tag} WHERE step < 200 AND change >= 1e-5))))),
 betas_{tag} AS (
-    SELECT series_id, n, unnest(beta) AS coefficient, generate_subscripts(beta, 1) - 1 AS place
+    SELECT series_id, n, change < 1e-5 AS converged, unnest(beta) AS coefficient,
+           generate_subscripts(beta, 1) - 1 AS place
     FROM mode_{tag} QUALIFY row_number() OVER (PARTITION BY series_id ORDER BY step DESC) = 1)
 """
 
@@ -687,7 +688,7 @@ ORACLES: dict[str, str] = {
             UNION ALL SELECT 1 + j, greatest(t - 0.8::DOUBLE * j / 25, 0) FROM range(1, 26) AS bends(j)
             UNION ALL {_WAVES}) AS terms""",
     "fit_trend_season": f"""WITH RECURSIVE {SPLIT}, {trend("train", "a")}
-        SELECT series_id, CAST(n AS INTEGER) AS n_obs, CAST(place AS INTEGER) AS term,
+        SELECT series_id, CAST(n AS INTEGER) AS n_obs, converged, CAST(place AS INTEGER) AS term,
                round(coefficient, 6) AS value
         FROM betas_a""",
     "calibration_of": f"""WITH RECURSIVE {SPLIT}, {trend("train", "a")},
@@ -768,7 +769,43 @@ ORACLES: dict[str, str] = {
         SELECT * FROM ranged
         UNION ALL SELECT series_id, NULL, 'ACTUAL', 'actual', ds, y, NULL, NULL FROM scopes""",
     "forecast_intervals": f"""WITH RECURSIVE {ALL_CALIBRATED}, {ALL_REFIT}, {SPREADS}
-        SELECT * FROM ranged WHERE model_desc <> 'ARIMA'""",
+        SELECT * FROM ranged""",
+    "holdout_forecast": f"""WITH RECURSIVE {ALL_CALIBRATED},
+        spreads AS (
+            SELECT series_id, model_id, stddev_samp(residual) AS spread FROM calibrated GROUP BY 1, 2)
+        SELECT series_id, model_id, model_desc, 'prediction' AS key, ds AS index,
+               round(prediction, 6) AS value,
+               round(prediction - 1.959963984540054::DOUBLE * spread, 6) AS conf_lo,
+               round(prediction + 1.959963984540054::DOUBLE * spread, 6) AS conf_hi
+        FROM calibrated JOIN spreads USING (series_id, model_id)
+        UNION ALL SELECT series_id, NULL, 'ACTUAL', 'actual', ds, y, NULL, NULL FROM scopes""",
+    "forecast_frame_80": f"""WITH RECURSIVE {CUT_SPLIT}, {trend("train", "a")},
+        {trend_path("a", "test", "path_t")},
+        frame AS (
+            SELECT series_id, ds FROM train
+            UNION ALL SELECT series_id, CAST(max(ds) + to_months(CAST(h AS INTEGER)) AS DATE)
+            FROM train, range(1, 13) AS months(h) GROUP BY series_id, h),
+        {trend_terms("axis_a", "frame", "frame_terms")},
+        framed AS (
+            SELECT series_id, ds, sum(t.value * coefficient) * any_value(scale) AS value
+            FROM (SELECT *, row_number() OVER (PARTITION BY series_id, ds ORDER BY term) - 1 AS place
+                  FROM frame_terms) t
+            JOIN betas_a USING (series_id, place) JOIN axis_a USING (series_id)
+            GROUP BY series_id, ds),
+        spreads AS (
+            SELECT series_id, 1.2815515655446004::DOUBLE * stddev_samp(y - value) AS half
+            FROM path_t JOIN test USING (series_id, ds) GROUP BY 1)
+        SELECT series_id, ds, round(value, 6) AS yhat, round(value - half, 6) AS yhat_lower,
+               round(value + half, 6) AS yhat_upper
+        FROM framed JOIN spreads USING (series_id)""",
+    "observed_and_forecast": f"""WITH RECURSIVE {REGION_TREND},
+        months AS (
+            SELECT series_id, ds, value AS total, 'previsto' AS status FROM path_b
+            UNION ALL SELECT series_id, ds, y, 'atual' FROM p0)
+        SELECT CASE series_id WHEN 'MIDDLE EAST' THEN 'Middle-East'
+               ELSE upper(series_id[1]) || lower(series_id[2:]) END AS macrorregiao,
+               ds AS data, round(total, 6) AS total, status
+        FROM months""",
     "calibrate_ets": f"""WITH RECURSIVE {CALIBRATED}
         SELECT series_id, model_id, model_desc, ds, actual, round(prediction, 6) AS prediction,
                round(residual, 6) AS residual

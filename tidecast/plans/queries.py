@@ -248,7 +248,8 @@ def trend_season_design(spark, sf_dir):
 def fit_trend_season(spark, sf_dir):
     """Coefficients of the trend and season model, one row per regressor."""
     fitted = _fitted(spark, sf_dir, "PROPHET")
-    return rounded(fitted.select("series_id", "n_obs", F.posexplode("beta").alias("term", "value")))
+    columns = ["series_id", "n_obs", "converged", F.posexplode("beta").alias("term", "value")]
+    return rounded(fitted.select(*columns))
 
 
 def fit_ets(spark, sf_dir):
@@ -339,10 +340,46 @@ def actual_rows(spark, sf_dir):
 
 
 def forecast_intervals(spark, sf_dir):
-    table = _calibrated_forecast(spark, sf_dir, "PROPHET", "ETS")
+    table = _calibrated_forecast(spark, sf_dir)
     return rounded(table.filter(F.col("key") == forecast.PREDICTION))
 
 
+def holdout_forecast(spark, sf_dir):
+    """Predictions of the held-out months by all models, with intervals, and the whole history."""
+    panel = b.scopes(spark, sf_dir)
+    split = stage(splits.split_by_duration(panel))
+    models, test = evaluate.fit_models(splits.training(split)), splits.testing(split)
+    predicted = stage(evaluate.predict_models(models, test))
+    calibration = evaluate.residuals(predicted, test)
+    return rounded(forecast.forecast_with_actuals(predicted, panel, calibration))
+
+
+def forecast_frame_80(spark, sf_dir):
+    """Fixed cut: fitted months and the twelve after them with bounds at 80 percent."""
+    split = splits.split_by_date(b.scopes(spark, sf_dir), CUT)
+    train, test = splits.training(split), splits.testing(split)
+    models = evaluate.fit_models(train, "PROPHET")
+    framed = evaluate.predict_models(models, splits.future_frame(train, SHORT_HORIZON, history=True))
+    ranged = evaluate.with_interval(framed, evaluate.calibrate(models, test), level=0.8)
+    return rounded(
+        ranged.select(
+            "series_id",
+            "ds",
+            F.col("value").alias("yhat"),
+            F.col("conf_lo").alias("yhat_lower"),
+            F.col("conf_hi").alias("yhat_upper"),
+        )
+    )
+
+
+def observed_and_forecast(spark, sf_dir):
+    """Observed and predicted months under canonical region names."""
+    panel = b.staged_panel(spark, sf_dir)
+    table = forecast.forecast_with_actuals(_forecast(spark, sf_dir, panel, "PROPHET"), panel)
+    ahead = forecast.combined([forecast.forecast_rollup(table)])
+    return rounded(capacity.observed_and_forecast(ahead, panel, b.REGION_NAMES))
+
+
 def in_sample_fit(spark, sf_dir):
     panel = splits.training(splits.split_by_date(b.scopes(spark, sf_dir), CUT))
     fitted = forecast.in_sample(evaluate.fit_models(panel, "PROPHET"), panel)
@@ -600,6 +637,9 @@ QUERIES: dict[str, Query] = {
         forecast_with_actuals_ets,
         actual_rows,
         forecast_intervals,
+        holdout_forecast,
+        forecast_frame_80,
+        observed_and_forecast,
         in_sample_fit,
         forecast_vs_observed,
         forecast_vs_observed_ets,
