@@ -34,8 +34,8 @@ def _plain(value):
     if isinstance(value, datetime.date):
         return value.isoformat()
     if isinstance(value, float):
-        if math.isnan(value):
-            return "nan"
+        if not math.isfinite(value):
+            return str(value)
         return int(value) if value == int(value) else value
     return value
 

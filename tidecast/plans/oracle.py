@@ -49,6 +49,17 @@ def _ordered(column: str, values: tuple) -> str:
     return f"(VALUES {rows}) AS {column}_values({column}_at, {column})"
 
 
+def calendar(source: str, tag: str) -> str:
+    """Every month between the first and the last value of a series; missing ones have no ``y``."""
+    return f"""
+calendar_{tag} AS (
+    SELECT series_id, ds, y
+    FROM (SELECT series_id, CAST(unnest(generate_series(
+                     min(ds)::TIMESTAMP, max(ds)::TIMESTAMP, INTERVAL 1 MONTH)) AS DATE) AS ds
+          FROM {source} WHERE y IS NOT NULL GROUP BY series_id)
+    LEFT JOIN {source} USING (series_id, ds))"""
+
+
 def ets(source: str, tag: str) -> str:
     """Exponential smoothing as a recursion over months, one state per series and candidate."""
     return f"""
@@ -64,23 +75,23 @@ grid_{tag} AS (
          {_ordered("gamma", (0.0, 0.05, 0.2, 0.5))},
          {_ordered("phi", (1.0, 0.85, 0.95))}
     WHERE (beta = 0) = (trend = 'N') AND (gamma = 0) = (season = 'N') AND (phi = 1) = (trend <> 'Ad')),
-calendar_{tag} AS (
-    SELECT series_id, CAST(unnest(generate_series(min(ds)::TIMESTAMP, max(ds)::TIMESTAMP,
-                                                  INTERVAL 1 MONTH)) AS DATE) AS ds
-    FROM {source} WHERE y IS NOT NULL GROUP BY series_id),
+{calendar(source, tag)},
 packed_{tag} AS (
     SELECT series_id, max(ds) AS last, list(y ORDER BY ds) AS ys, count(*) AS n, count(y) AS n_obs
-    FROM calendar_{tag} LEFT JOIN {source} USING (series_id, ds) GROUP BY series_id),
+    FROM calendar_{tag} GROUP BY series_id),
 means_{tag} AS (
     SELECT *, list_avg(ys[1:12]) AS year1, list_avg(ys[13:24]) AS year2 FROM packed_{tag}),
 lines_{tag} AS (
-    SELECT m.series_id, last, ys, n, n_obs, year1, g.*,
-           CASE WHEN trend = 'N' THEN 0.0::DOUBLE ELSE (year2 - year1) / 12 END AS b0
-    FROM means_{tag} m, grid_{tag} g
-    WHERE n >= 24 AND (season <> 'M' OR list_min(ys) > 0)),
+    SELECT m.series_id, last, ys, n, n_obs, start, year1, g.*,
+           CASE WHEN trend = 'N' THEN 0.0::DOUBLE WHEN start = 12 THEN (year2 - year1) / 12
+                ELSE coalesce(ys[2] - ys[1], 0) END AS b0
+    FROM (SELECT *, CASE WHEN n >= 24 AND year1 IS NOT NULL AND year2 IS NOT NULL THEN 12 ELSE 1 END
+                    AS start
+          FROM means_{tag}) m, grid_{tag} g
+    WHERE (season = 'N' OR start = 12) AND (season <> 'M' OR list_min(ys) > 0)),
 fold_{tag} AS (
-    SELECT series_id, last, ys, n, n_obs, grid_id, trend, season, alpha, beta, gamma, phi, k,
-           12 AS i, year1 + 5.5 * b0 AS l, b0 AS b,
+    SELECT series_id, last, ys, n, n_obs, start, grid_id, trend, season, alpha, beta, gamma, phi, k,
+           start AS i, CASE WHEN start = 12 THEN year1 + 5.5 * b0 ELSE ys[1] END AS l, b0 AS b,
            list_transform(range(0, 12), lambda j:
                CASE season WHEN 'A' THEN coalesce(ys[j + 1] - (year1 + (j - 5.5) * b0),
                                                   ys[j + 13] - (year1 + (j + 6.5) * b0), 0)
@@ -90,7 +101,8 @@ fold_{tag} AS (
            0.0::DOUBLE AS sse
     FROM lines_{tag}
     UNION ALL
-    SELECT series_id, last, ys, n, n_obs, grid_id, trend, season, alpha, beta, gamma, phi, k, i + 1,
+    SELECT series_id, last, ys, n, n_obs, start, grid_id, trend, season, alpha, beta, gamma, phi, k,
+           i + 1,
            line + coalesce(alpha * pull, 0), phi * b + coalesce(beta * pull, 0),
            list_append(s[2:12], term + coalesce(
                gamma * CASE WHEN season = 'M' THEN error / line ELSE error END, 0)),
@@ -103,7 +115,7 @@ scored_{tag} AS (
     SELECT *, CASE WHEN m - k - 1 > 0
                    THEN m * ln(greatest(sse, 1e-12) / m) + 2 * k + 2.0::DOUBLE * k * (k + 1) / (m - k - 1)
                    ELSE 'Infinity'::DOUBLE END AS aicc
-    FROM (SELECT *, len(list_filter(ys[13:], lambda v: v IS NOT NULL)) AS m
+    FROM (SELECT *, len(list_filter(ys[start + 1 :], lambda v: v IS NOT NULL)) AS m
           FROM fold_{tag} WHERE i = n)),
 fit_{tag} AS (
     SELECT * FROM scored_{tag}
@@ -239,15 +251,16 @@ def future(source: str, months: int) -> str:
 def differences(source: str, tag: str) -> str:
     """Differencing orders of each series, and its differenced values ``(i, w)``."""
     return f"""
+{calendar(source, tag)},
 trends_{tag} AS (
     SELECT series_id, ds, y, month(ds) AS month,
-           CASE WHEN count(*) OVER (near ROWS BETWEEN 6 PRECEDING AND 6 FOLLOWING) = 13
+           CASE WHEN count(y) OVER (near ROWS BETWEEN 6 PRECEDING AND 6 FOLLOWING) = 13
                 THEN y - (avg(y) OVER (near ROWS BETWEEN 6 PRECEDING AND 5 FOLLOWING)
                     + avg(y) OVER (near ROWS BETWEEN 5 PRECEDING AND 6 FOLLOWING)) / 2
            END AS around
-    FROM {source} WINDOW near AS (PARTITION BY series_id ORDER BY ds)),
+    FROM calendar_{tag} WINDOW near AS (PARTITION BY series_id ORDER BY ds)),
 strengths_{tag} AS (
-    SELECT series_id, count(*) AS n, max(ds) AS last,
+    SELECT series_id, count(y) AS n, max(ds) AS last,
            greatest(1 - var_samp(rest) / var_samp(around), 0) AS strength
     FROM (SELECT *, around - avg(around) OVER (PARTITION BY series_id, month) AS rest
           FROM trends_{tag})
@@ -257,14 +270,15 @@ yearly_{tag} AS (
     FROM strengths_{tag}),
 stable_{tag} AS (
     SELECT series_id, v, row_number() OVER (PARTITION BY series_id ORDER BY ds) AS i,
-           count(*) OVER (PARTITION BY series_id) AS m,
+           count(v) OVER (PARTITION BY series_id) AS m,
            v - avg(v) OVER (PARTITION BY series_id) AS e
-    FROM (SELECT series_id, ds, CASE WHEN seasonal_d = 0 THEN y
+    FROM (SELECT series_id, ds, seasonal_d, row_number() OVER (PARTITION BY series_id ORDER BY ds) AS place,
+                 CASE WHEN seasonal_d = 0 THEN y
                  ELSE y - lag(y, 12) OVER (PARTITION BY series_id ORDER BY ds) END AS v
-          FROM {source} JOIN yearly_{tag} USING (series_id))
-    WHERE v IS NOT NULL),
+          FROM calendar_{tag} JOIN yearly_{tag} USING (series_id))
+    WHERE place > 12 * seasonal_d),
 spans_{tag} AS (
-    SELECT series_id, m, sum(walk * walk) AS squares, sum(e * e) / m AS variance,
+    SELECT series_id, m, sum(walk * walk) FILTER (e IS NOT NULL) AS squares, sum(e * e) / m AS variance,
            CAST(floor(3 * sqrt(m) / 13) AS INTEGER) AS lags
     FROM (SELECT *, sum(e) OVER (PARTITION BY series_id ORDER BY i) AS walk FROM stable_{tag})
     GROUP BY series_id, m),
@@ -283,10 +297,10 @@ orders_{tag} AS (
     JOIN yearly_{tag} USING (series_id)),
 differenced_{tag} AS (
     SELECT series_id, w, row_number() OVER (PARTITION BY series_id ORDER BY i) AS i
-    FROM (SELECT s.series_id, i, CASE WHEN d = 0 THEN v
+    FROM (SELECT s.series_id, i, d, CASE WHEN d = 0 THEN v
                  ELSE v - lag(v) OVER (PARTITION BY s.series_id ORDER BY i) END AS w
           FROM stable_{tag} s JOIN orders_{tag} USING (series_id))
-    WHERE w IS NOT NULL)
+    WHERE d = 0 OR i > 1)
 """
 
 
@@ -337,13 +351,15 @@ sizes_{tag} AS (
           JOIN (SELECT series_id, count(*) AS m, avg(w) AS mean FROM differenced_{tag} GROUP BY 1)
               USING (series_id))),
 long_columns_{tag} AS (
-    SELECT series_id, i, 1 AS term, 1.0::DOUBLE AS value
-    FROM differenced_{tag} JOIN sizes_{tag} USING (series_id) WHERE i > order_long
-    UNION ALL
-    SELECT t.series_id, t.i, CASE WHEN k = 0 THEN order_long + 2 ELSE k + 1 END, p.w - middle
-    FROM differenced_{tag} t JOIN sizes_{tag} z USING (series_id),
-         range(0, 13) AS lags(k), differenced_{tag} p
-    WHERE t.i > order_long AND k <= order_long AND p.series_id = t.series_id AND p.i = t.i - k),
+    SELECT * FROM (
+        SELECT series_id, i, 1 AS term, 1.0::DOUBLE AS value
+        FROM differenced_{tag} JOIN sizes_{tag} USING (series_id) WHERE i > order_long
+        UNION ALL
+        SELECT t.series_id, t.i, CASE WHEN k = 0 THEN order_long + 2 ELSE k + 1 END, p.w - middle
+        FROM differenced_{tag} t JOIN sizes_{tag} z USING (series_id),
+             range(0, 13) AS lags(k), differenced_{tag} p
+        WHERE t.i > order_long AND k <= order_long AND p.series_id = t.series_id AND p.i = t.i - k)
+    QUALIFY bool_and(value IS NOT NULL) OVER (PARTITION BY series_id, i)),
 {_systems(f"long_columns_{tag}", f"long_systems_{tag}")},
 long_fits_{tag} AS (
     SELECT series_id, {_solved("aug")} AS beta
@@ -356,6 +372,7 @@ shocks_{tag} AS (
         FROM long_columns_{tag} JOIN long_fits_{tag} USING (series_id)
         JOIN sizes_{tag} USING (series_id) GROUP BY 1, 2) USING (series_id, i)),
 columns_{tag} AS (
+    SELECT * FROM (
     SELECT series_id, i, 1 AS term, 1.0::DOUBLE AS value
     FROM differenced_{tag} JOIN sizes_{tag} USING (series_id) WHERE i > start
     UNION ALL
@@ -367,10 +384,11 @@ columns_{tag} AS (
     SELECT t.series_id, t.i, 5 + k, p.e
     FROM differenced_{tag} t JOIN sizes_{tag} USING (series_id),
          range(1, 3) AS lags(k), shocks_{tag} p
-    WHERE t.i > start AND p.series_id = t.series_id AND p.i = t.i - k),
+    WHERE t.i > start AND p.series_id = t.series_id AND p.i = t.i - k)
+    QUALIFY bool_and(value IS NOT NULL) OVER (PARTITION BY series_id, i)),
 {_systems(f"columns_{tag}", f"systems_{tag}")},
 chosen_{tag} AS (
-    SELECT series_id, n, last, d, seasonal_d, constant, middle, m - start AS rows, zz, p, q, sp,
+    SELECT series_id, n, last, d, seasonal_d, constant, middle, zz[1][1] AS rows, zz, p, q, sp,
            list_filter([CASE WHEN constant THEN 1 END, CASE WHEN p >= 1 THEN 2 END,
                         CASE WHEN p >= 2 THEN 3 END, CASE WHEN p >= 3 THEN 4 END,
                         CASE WHEN sp = 1 THEN 5 END, CASE WHEN q >= 1 THEN 6 END,
@@ -405,15 +423,23 @@ arima_{tag} AS (
 def arima_path(source: str, tag: str, horizon: int) -> str:
     """Forecast months 1 to ``horizon``: the differenced recursion, summed back up."""
     return f"""
+filled_{tag} AS (
+    SELECT series_id, ds, coalesce(y, lag(y, 12) OVER months,
+               last_value(y IGNORE NULLS) OVER (months ROWS UNBOUNDED PRECEDING)) AS y
+    FROM calendar_{tag} WINDOW months AS (PARTITION BY series_id ORDER BY ds)),
+recent_{tag} AS (
+    SELECT series_id, list(w ORDER BY ds DESC) FILTER (w IS NOT NULL) AS ws, list(y ORDER BY ds DESC) AS ys
+    FROM (SELECT *, v - CASE WHEN d = 1 THEN lag(v) OVER (PARTITION BY series_id ORDER BY ds) ELSE 0 END AS w
+          FROM (SELECT f.series_id, ds, y, d, y - CASE WHEN seasonal_d = 1
+                           THEN lag(y, 12) OVER (PARTITION BY f.series_id ORDER BY ds) ELSE 0 END AS v
+                FROM filled_{tag} f JOIN orders_{tag} USING (series_id)))
+    GROUP BY series_id),
 walked_{tag} AS (
     SELECT series_id, last, d, seasonal_d, "offset", phi, theta, 0 AS h, ws, es, ys
     FROM arima_{tag}
-    JOIN (SELECT series_id, list(w ORDER BY i DESC) AS ws FROM differenced_{tag} GROUP BY 1)
-        USING (series_id)
+    JOIN recent_{tag} USING (series_id)
     JOIN (SELECT series_id, list(e ORDER BY i DESC) AS es FROM shocks_{tag} GROUP BY 1)
         USING (series_id)
-    JOIN (SELECT series_id, list(y ORDER BY ds DESC) AS ys FROM {source} GROUP BY 1)
-        USING (series_id)
     UNION ALL
     SELECT series_id, last, d, seasonal_d, "offset", phi, theta, h + 1, list_prepend(fresh, ws), es,
            list_prepend(fresh + d * ys[1] + seasonal_d * ys[12] - d * seasonal_d * ys[13], ys)
@@ -729,7 +755,7 @@ ORACLES: dict[str, str] = {
                round(b, 6) AS slope, round(sse, 6) AS sse, round(aicc, 6) AS aicc
         FROM fit_g""",
     "fit_ets": f"""WITH RECURSIVE {SPLIT}, {ets("train", "a")}
-        SELECT series_id, CAST(n AS INTEGER) AS n_obs, CAST(grid_id AS INTEGER) AS grid_id,
+        SELECT series_id, CAST(n_obs AS INTEGER) AS n_obs, CAST(grid_id AS INTEGER) AS grid_id,
                'ETS(A,' || trend || ',' || season || ')' AS form, round(l, 6) AS level,
                round(b, 6) AS slope, round(sse, 6) AS sse, round(aicc, 6) AS aicc
         FROM fit_a""",
@@ -750,7 +776,7 @@ ORACLES: dict[str, str] = {
                    beta
             FROM mode_trendt QUALIFY row_number() OVER (PARTITION BY series_id ORDER BY step DESC) = 1
             UNION ALL
-            SELECT series_id, 3, 'ETS', n, 'ETS(A,' || trend || ',' || season || ')',
+            SELECT series_id, 3, 'ETS', n_obs, 'ETS(A,' || trend || ',' || season || ')',
                    list_concat([alpha, beta, gamma, phi, l, b], s)
             FROM fit_etst)
         SELECT series_id, model_id, model_desc, form, CAST(n AS INTEGER) AS n_obs,
