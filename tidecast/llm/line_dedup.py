@@ -3,7 +3,9 @@
 Two lines within ``tau`` edits have, if the shorter one is cut into ``tau + 1`` segments, at least one
 segment whole in the longer one, near its own place. Every distinct line indexes its segments under its
 length and probes, for every length it may meet, the substrings that can align with a segment. Candidates
-are verified with a banded bit-parallel edit distance. Edits are of UTF-8 bytes.
+are verified with a banded bit-parallel edit distance. Edits are of UTF-8 bytes. Before that, the parities
+of hashed byte pairs are compared: an edit changes at most four, so near lines differ in few bits, and
+variants of one line with different words in many.
 
 A line of a document goes if the same or a near line stands earlier, by document id and then by place.
 That is judged on the input, whether or not the earlier line itself goes. Equal lines are one node of the
@@ -20,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidecast.llm.meeting import INDEX, MEETING, PROBE, fresh_name, meeting_batch, met_rows, split_by_keys, with_keys
+from tidecast.llm.meeting import INDEX, MEETING, PROBE, fresh_name, meeting_batch, met_rows, node_ids, split_by_keys, with_keys
 from tidecast.llm.textbytes import mix, prefix_hashes, span_hashes, text_blocks
 from tidecast.session import stage
 
@@ -44,10 +46,23 @@ def _lines(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return starts, ends, text
 
 
+def _parities(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """For each line 64 parities of its hashed pairs of neighbouring bytes; lines have two bytes or more."""
+    if not starts.size:
+        return np.zeros(0, np.int64)
+    pairs = data[:-1].astype(np.uint64) << np.uint64(8) | data[1:]
+    bits = np.uint64(1) << (mix(pairs + np.uint64(1)) & np.uint64(63))
+    # Every second run is a line's pairs, the others are what lies between.
+    edges = np.stack([starts, np.minimum(ends - 1, bits.size - 1)], axis=1).ravel()
+    found = np.bitwise_xor.reduceat(bits, edges)[::2]
+    whole = ends - 1 == bits.size  # the last pair of the block belongs to the last line
+    return np.where(whole, found ^ bits[-1], found).view(np.int64)
+
+
 def line_table(documents: DataFrame, min_bytes: int) -> DataFrame:
-    """``doc_id, line_no, line, n_bytes``: every line's place, hash and length.
+    """``doc_id, line_no, line, parity, n_bytes``: every line's place, hash, parities and length.
 
-    The hash is null for lines that are too short to take part.
+    Hash and parities are null for lines that are too short to take part.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -56,19 +71,22 @@ def line_table(documents: DataFrame, min_bytes: int) -> DataFrame:
                 starts, ends, text = _lines(data, offsets)
                 number = np.arange(text.size) - np.searchsorted(text, text)
                 short = ends - starts < min_bytes
-                hashes = span_hashes(prefix_hashes(data), starts, ends).view(np.int64)
+                hashes = node_ids(span_hashes(prefix_hashes(data), starts, ends))
+                parity = np.zeros(short.size, dtype=np.int64)
+                parity[~short] = _parities(data, starts[~short], ends[~short])
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).take(pa.array(first + text)),
                         pa.array(number, pa.int64()),
                         pa.array(hashes, mask=short),
+                        pa.array(parity, mask=short),
                         pa.array(ends - starts),
                     ],
-                    names=["doc_id", "line_no", "line", "n_bytes"],
+                    names=["doc_id", "line_no", "line", "parity", "n_bytes"],
                 )
 
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, line_no long, line long, n_bytes long")
+    return rows.mapInArrow(run, "doc_id long, line_no long, line long, parity long, n_bytes long")
 
 
 def _signatures(data: np.ndarray, offsets: np.ndarray, tau: int, min_bytes: int) -> tuple:
@@ -76,7 +94,7 @@ def _signatures(data: np.ndarray, offsets: np.ndarray, tau: int, min_bytes: int)
     long = ends - starts >= min_bytes
     starts, ends = starts[long], ends[long]
     prefix = prefix_hashes(data)
-    node = span_hashes(prefix, starts, ends).view(np.int64)
+    node = node_ids(span_hashes(prefix, starts, ends))
     _, once = np.unique(node, return_index=True)
     starts, size, node = starts[once], (ends - starts)[once], node[once]
     found = []
@@ -196,7 +214,7 @@ def _line_bytes(documents: DataFrame, wanted: DataFrame) -> DataFrame:
                     [k for k, (t, i) in enumerate(zip(text.tolist(), number.tolist())) if i in lists[t]], dtype=np.int64
                 )
                 raw = data.tobytes()
-                hashes = span_hashes(prefix_hashes(data), starts[pick], ends[pick]).view(np.int64)
+                hashes = node_ids(span_hashes(prefix_hashes(data), starts[pick], ends[pick]))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(hashes), pa.array([raw[a:b] for a, b in zip(starts[pick], ends[pick])], pa.binary())],
                     names=["line", "bytes"],
@@ -210,13 +228,18 @@ def _line_bytes(documents: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def near_lines(documents: DataFrame, lines: DataFrame, tau: int, min_bytes: int) -> DataFrame:
-    """``line, doc_id, line_no, near``: where each distinct line stands first, and whether an earlier line is near."""
+    """``line, first, near`` of the lines of which an occurrence goes.
+
+    ``first`` is the place of the first occurrence, which goes too if an earlier line is ``near``.
+    """
     place = F.struct("doc_id", "line_no")
-    firsts = lines.filter("line is not null and doc_id is not null").groupBy("line").agg(F.min(place).alias("first"))
+    firsts = lines.filter("line is not null and doc_id is not null").groupBy("line")
+    firsts = firsts.agg(F.min(place).alias("first"), F.min("parity").alias("parity"), F.count("*").alias("n"))
     firsts = stage(firsts)
     met = met_rows(signatures(documents.filter("doc_id is not null"), tau, min_bytes))
     met = met.groupBy("sig", "node").agg(F.bit_or("role").alias("role"))
-    met = stage(met.join(firsts, met["node"] == firsts["line"]).select("sig", "node", "role", "first"))
+    met = stage(met.join(firsts, met["node"] == firsts["line"]).select("sig", "node", "role", "first", "parity"))
+    few = lambda a, b: F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= 4 * tau
 
     def verify(pairs: DataFrame) -> DataFrame:
         """Of the pairs ``a, b`` with ``b`` earlier, the lines ``a`` that are near."""
@@ -228,19 +251,22 @@ def near_lines(documents: DataFrame, lines: DataFrame, tau: int, min_bytes: int)
         rows = rows.select("a", "b", "left", "right")
         return stage(rows.mapInArrow(lambda batches: _verified(batches, tau), "a long").distinct())
 
-    earliest = met.groupBy("sig").agg(F.min(F.struct("first", "node")).alias("head"))
-    stars = met.join(earliest, "sig").filter(F.col("first") > F.col("head.first"))
+    earliest = met.groupBy("sig").agg(F.min(F.struct("first", "node", "parity")).alias("head"))
+    stars = met.join(earliest, "sig").filter((F.col("first") > F.col("head.first")) & few("parity", "head.parity"))
     stars = stars.groupBy(F.col("node").alias("a"), F.col("head.node").alias("b")).count()
     stars = stars.groupBy("a").agg(F.max_by("b", F.struct("count", "b")).alias("b"))
     near = verify(stars)
     left = met.join(near, met["node"] == near["a"], "left_anti")
-    right = met.select("sig", *(F.col(c).alias(f"r_{c}") for c in ("node", "role", "first")))
+    right = met.select("sig", *(F.col(c).alias(f"r_{c}") for c in ("node", "role", "first", "parity")))
     rest = left.join(right, "sig").filter(
-        (F.col("r_first") < F.col("first")) & (F.col("role").bitwiseOR(F.col("r_role")) == (INDEX | PROBE))
+        (F.col("r_first") < F.col("first"))
+        & (F.col("role").bitwiseOR(F.col("r_role")) == (INDEX | PROBE))
+        & few("parity", "r_parity")
     )
     near = near.union(verify(rest.select(F.col("node").alias("a"), F.col("r_node").alias("b")).distinct()))
     marked = near.select(F.col("a").alias("line"), F.lit(True).alias("near"))
-    return firsts.join(marked, "line", "left").select("line", "first", F.coalesce("near", F.lit(False)).alias("near"))
+    known = firsts.join(marked, "line", "left").filter("n > 1 or near")
+    return known.select("line", "first", F.coalesce("near", F.lit(False)).alias("near"))
 
 
 def removed_lines(documents: DataFrame, tau: int = TAU, min_bytes: int = MIN_BYTES) -> DataFrame:
@@ -250,10 +276,11 @@ def removed_lines(documents: DataFrame, tau: int = TAU, min_bytes: int = MIN_BYT
     ``dedup_lines`` for the rules.
     """
     lines = stage(line_table(documents, min_bytes))
-    known = near_lines(documents, lines, tau, min_bytes)
+    known = stage(near_lines(documents, lines, tau, min_bytes))
     placed = lines.filter("line is not null and doc_id is not null").select("doc_id", "line_no", "line")
     later = F.col("near") | (F.struct("doc_id", "line_no") > F.col("first"))
-    gone = placed.join(known, "line").filter(later).groupBy("doc_id").agg(
+    some, _ = split_by_keys(placed, "line", known.select("line"))
+    gone = some.join(known, "line").filter(later).groupBy("doc_id").agg(
         F.array_sort(F.collect_set("line_no")).alias("removed")
     )
     whole = lines.filter("doc_id is not null").groupBy("doc_id").agg(
