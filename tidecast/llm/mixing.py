@@ -12,6 +12,7 @@ is spread over its blocks. Orders are MD5 sums of ids, epoch and seed, the same
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -87,7 +88,9 @@ def exponent(totals: DataFrame, target: Target) -> float:
                 low, high = holds[-1], min(high, holds[-1] + step)
         return high if rising else low
 
-    return round(max(bisect(0.0, 1.0, "even", False), bisect(0.0, 1.0, "rare", True)), 4)
+    # To four digits, on the side where the condition holds.
+    even, rare = bisect(0.0, 1.0, "even", False), bisect(0.0, 1.0, "rare", True)
+    return max(math.floor(even * 1e4 + 1e-6) / 1e4, math.ceil(rare * 1e4 - 1e-6) / 1e4)
 
 
 def budgets(rows: DataFrame, target: Target) -> DataFrame:

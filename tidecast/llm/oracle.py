@@ -2,4 +2,80 @@
 
 from __future__ import annotations
 
-ORACLES: dict[str, str] = {}
+#: Words without ASCII white space, A-Z lower-cased (fixed values of the queries' contract).
+_LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORD = r"[^\x20\x09-\x0D]+"
+
+JACCARD = f"""
+WITH RECURSIVE words AS (
+    SELECT doc_id, regexp_extract_all(coalesce({_LOWER}, ''), '{_WORD}') AS w FROM documents),
+sets AS (
+    SELECT doc_id, list_distinct(CASE
+        WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' '))
+        WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s
+    FROM words),
+elements AS (SELECT doc_id, len(s) AS n, unnest(s) AS e FROM sets),
+links AS (
+    SELECT a.doc_id AS a, b.doc_id AS b FROM elements a JOIN elements b ON a.e = b.e AND a.doc_id < b.doc_id
+    GROUP BY a.doc_id, b.doc_id, a.n, b.n
+    HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+edges AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reach AS (
+    SELECT a, b FROM edges
+    UNION SELECT reach.a, edges.b FROM reach JOIN edges ON reach.b = edges.a)
+SELECT doc_id, len(s) AS n_shingles, least(doc_id, coalesce(low, doc_id)) AS component_id
+FROM sets LEFT JOIN (SELECT a, min(b) AS low FROM reach GROUP BY a) ON a = doc_id"""
+
+TOP_PRODUCTS = """
+WITH vectors AS (
+    SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS v
+    FROM embeddings
+    WHERE vec_id IS NOT NULL AND len(embedding) > 0
+      AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+    SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score
+    FROM vectors q JOIN vectors c ON q.vec_id <> c.vec_id AND q.vec_id % 100 = 0),
+ranked AS (
+    SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE rank <= 10"""
+
+MIX = f"""
+WITH counted AS (
+    SELECT doc_id, coalesce(source, '') AS source,
+           len(regexp_extract_all(coalesce(text, ''), '{_WORD}')) AS n_tokens
+    FROM documents),
+totals AS (SELECT source, sum(n_tokens)::BIGINT AS tokens FROM counted GROUP BY source),
+shares AS (SELECT *, tokens / (SELECT sum(tokens) FROM totals) AS p FROM totals WHERE tokens > 0),
+tried AS (
+    SELECT i / 10000 AS a, ln(sum(p ** (i / 10000))) - i / 10000 * sum(p ** (i / 10000) * ln(p)) / sum(p ** (i / 10000))
+               >= 0.97 * ln(count(*)) AS even,
+           (max(p) / min(p)) ** (1 - i / 10000) <= 2.0 AS rare
+    FROM shares, range(0, 10001) AS grid(i) GROUP BY i),
+chosen AS (
+    SELECT greatest(coalesce(max(a) FILTER (even), 0), coalesce(min(a) FILTER (rare), 1)) AS a FROM tried),
+weighted AS (SELECT source, p ** a / sum(p ** a) OVER () AS weight FROM shares, chosen),
+budgets AS (
+    SELECT source, tokens, greatest(1, ceil(tokens / 1000000))::BIGINT AS blocks,
+           CASE WHEN tokens > 0 THEN greatest(round(weight * max(tokens / weight) OVER ())::BIGINT, tokens)
+                ELSE 0 END AS budget
+    FROM totals LEFT JOIN weighted USING (source)),
+dealt AS (
+    SELECT *, ('0x' || substr(md5(doc_id || ':1'), 1, 8))::BIGINT % blocks AS block,
+           CASE WHEN tokens > 0 THEN ceil(budget / tokens)::INTEGER ELSE 1 END AS epochs
+    FROM counted JOIN budgets USING (source)),
+visits AS (SELECT *, unnest(range(0, epochs))::INTEGER AS epoch FROM dealt),
+placed AS (
+    SELECT *, coalesce(sum(n_tokens) OVER (
+               PARTITION BY source
+               ORDER BY epoch, md5(source || ':' || block || ':' || epoch || ':1'),
+                        md5(doc_id || ':' || epoch || ':1'), n_tokens
+               ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start
+    FROM visits)
+SELECT doc_id, source, epoch, block, start, n_tokens FROM placed
+WHERE start < budget OR (n_tokens = 0 AND start <= budget)"""
+
+ORACLES: dict[str, str] = {
+    "op1_ngram_jaccard": JACCARD,
+    "op3_temperature_mix": MIX,
+    "op7_norm_bucket_topk": TOP_PRODUCTS,
+}

@@ -30,7 +30,8 @@ def _remainder(column: str, by: int):
 @query
 def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose sets of five words overlap by 80 percent."""
-    return jaccard_join.jaccard_components(_table(spark, sf_dir, "documents"), k=5, percent=80)
+    found = jaccard_join.jaccard_components(_table(spark, sf_dir, "documents"), k=5, percent=80)
+    return found.select("doc_id", "n_shingles", "component_id")
 
 
 @query
