@@ -225,7 +225,9 @@ def total_series(spark, sf_dir):
 
 
 def _train_test(spark, sf_dir):
-    split = splits.split_by_duration(b.scopes(spark, sf_dir))
+    """Training and testing months, split once for all models."""
+    panel = panels.with_total_series(b.panel(spark, sf_dir))
+    split = stage(splits.split_by_duration(panel))
     return splits.training(split), splits.testing(split)
 
 
@@ -316,8 +318,8 @@ def refit_forecast_ets(spark, sf_dir):
 
 
 def _calibrated_forecast(spark, sf_dir, *descs):
-    panel = b.scopes(spark, sf_dir)
-    split = splits.split_by_duration(panel)
+    split = stage(splits.split_by_duration(panels.with_total_series(b.panel(spark, sf_dir))))
+    panel = split.drop("split_key")
     models = evaluate.fit_models(splits.training(split), *descs)
     calibration = evaluate.calibrate(models, splits.testing(split))
     predictions = _forecast(spark, sf_dir, panel, *descs)
@@ -346,8 +348,8 @@ def forecast_intervals(spark, sf_dir):
 
 def holdout_forecast(spark, sf_dir):
     """Predictions of the held-out months by all models, with intervals, and the whole history."""
-    panel = b.scopes(spark, sf_dir)
-    split = stage(splits.split_by_duration(panel))
+    split = stage(splits.split_by_duration(panels.with_total_series(b.panel(spark, sf_dir))))
+    panel = split.drop("split_key")
     models, test = evaluate.fit_models(splits.training(split)), splits.testing(split)
     predicted = stage(evaluate.predict_models(models, test))
     calibration = evaluate.residuals(predicted, test)
