@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidecast.llm.components import connected
-from tidecast.llm.meeting import INDEX, MEETING, PROBE, meeting_batch, met_rows, node_ids, with_keys
+from tidecast.llm.meeting import INDEX, MEETING, PROBE, meeting_batch, met_rows, node_ids, split_by_keys, with_keys
 from tidecast.llm.textbytes import mix, ragged, shingle_hashes, text_blocks, word_hashes
 from tidecast.session import stage
 
@@ -366,5 +366,6 @@ def keep_one(documents: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     Of rows that repeat the staying id, all stay. Rows with a null id stay.
     """
     found = jaccard_components(documents, k, percent)
-    gone = found.filter("component_id <> doc_id").select("doc_id").distinct()
-    return documents.join(gone, "doc_id", "left_anti")
+    gone = stage(found.filter("component_id <> doc_id").select("doc_id").distinct())
+    some, rest = split_by_keys(documents, "doc_id", gone)
+    return some.join(gone, "doc_id", "left_anti").select(*documents.columns).unionByName(rest)
