@@ -5,7 +5,7 @@ A row says that a node indexes or probes a signature. Nodes that meet are candid
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -73,12 +73,15 @@ def fresh_name(name: str, table: DataFrame) -> str:
     return name
 
 
-def split_by_keys(rows: DataFrame, key: str, wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
+def split_by_keys(
+    rows: DataFrame, key: str, wanted: DataFrame, rest_with: tuple[Callable, str] | None = None
+) -> tuple[DataFrame, DataFrame]:
     """The rows whose ``key`` may be in ``wanted``, which has one long column, and those whose key is not.
 
     A bit filter of the wanted keys is sent to the executors, so that only rows that pass it need to be
     shuffled for an exact join. It has a fixed largest size; where the keys are too many for it, more rows
-    pass. Rows with a null key do not pass.
+    pass. Rows with a null key do not pass. ``rest_with`` is a function over the batches of the rows that do
+    not pass, and its schema; it runs in the Python worker that sorts them out.
     """
     wanted = wanted.toDF("wanted_key").distinct()
     words = max(64, min(FILTER_WORDS, 1 << max(wanted.count() // 4, 1).bit_length()))
@@ -108,7 +111,9 @@ def split_by_keys(rows: DataFrame, key: str, wanted: DataFrame) -> tuple[DataFra
                 hit = pc.and_kleene(hit, batch.column(place).is_valid())
                 yield batch.filter(hit if passing else pc.invert(hit)).select(list(range(len(names))))
 
-        return named.mapInArrow(run, fields)
+        if passing or rest_with is None:
+            return named.mapInArrow(run, fields)
+        return named.mapInArrow(lambda batches: rest_with[0](run(batches)), rest_with[1])
 
     return side(True), side(False)
 
