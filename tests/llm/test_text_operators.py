@@ -232,6 +232,21 @@ def test_a_hot_signature_stays_small_and_whole(spark):
     assert found == components(links, range(1200))
 
 
+def test_hot_signatures_of_one_block_keep_all_their_nodes(spark):
+    """Variants that differ at one place and lie in one block link with one another, none is left out."""
+    words = [f"w{i}" for i in range(80)]
+    texts = [" ".join([*words[:40], f"n{i}", *words[40:]]) for i in range(40)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    assert {r.component_id for r in jaccard_join.jaccard_components(docs).collect()} == {0}
+    letters = [chr(c) for c in (*range(65, 91), *range(97, 111))]
+    lines = [f"a line with one letter {c} that differs and a long rest after it" for c in letters]
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string").coalesce(1)
+    removed = {r.doc_id: r.removed for r in line_dedup.removed_lines(docs).collect()}
+    gone = [i for i, a in enumerate(lines) if any(line_dedup.within([a.encode()], [b.encode()], 2)[0] for b in lines[:i])]
+    assert gone == list(range(1, 40))
+    assert removed == {i: [0] if i in gone else [] for i in range(40)}
+
+
 @pytest.mark.parametrize("empty", ["", "   "])
 def test_tables_without_texts(spark, empty):
     nothing = spark.createDataFrame([], EXTRA)

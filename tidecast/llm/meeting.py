@@ -32,7 +32,8 @@ def meeting_batch(sig: np.ndarray, node: np.ndarray, role: np.ndarray) -> pa.Rec
     """The rows of a block of texts, the roles inside the nodes.
 
     Where many nodes of the block share a signature, one of them goes to the meeting for all (salt 0, with
-    the roles of all). The others have met already and are spread by a salt.
+    the roles of all). They have met already, so all of them, that one too, are spread by a salt: it stays
+    even if no other block has the signature. Rows of a signature and node may therefore repeat.
     """
     order = np.argsort(sig, kind="stable")
     sig, node, role = sig[order], node[order], role[order].astype(np.int64)
@@ -42,15 +43,21 @@ def meeting_batch(sig: np.ndarray, node: np.ndarray, role: np.ndarray) -> pa.Rec
     run_of = np.cumsum(head) - 1
     size = np.diff(np.append(start, sig.size))
     hot = (size > LOCAL_HOT)[run_of]
-    if start.size:
-        role = np.where(hot & head, np.bitwise_or.reduceat(role, start)[run_of], role)
-    salt = np.where(hot & ~head, 1 + ((node.view(np.uint64) >> np.uint64(8)) % np.uint64(64)).astype(np.int64), 0)
+    salt = np.where(hot, 1 + ((node.view(np.uint64) >> np.uint64(8)) % np.uint64(64)).astype(np.int64), 0)
+    for_all = np.flatnonzero(hot & head)
+    if for_all.size:
+        roles = np.bitwise_or.reduceat(role, start)[run_of[for_all]]
+        sig, node, role = (np.append(a, b) for a, b in ((sig, sig[for_all]), (node, node[for_all]), (role, roles)))
+        salt = np.append(salt, np.zeros(for_all.size, dtype=salt.dtype))
     columns = [pa.array(sig.view(np.int64)), pa.array(salt, pa.int32()), pa.array(node | role)]
     return pa.RecordBatch.from_arrays(columns, names=["sig", "salt", "node"])
 
 
 def met_rows(rows: DataFrame) -> DataFrame:
-    """``sig, node, role`` of signatures that several nodes have, one of them probing another one's index."""
+    """``sig, node, role`` of signatures that several nodes have, one of them probing another one's index.
+
+    A signature and node may come more than once, with roles of its own or of all nodes it went for.
+    """
     role = F.col("node").bitwiseAND(ROLES)
     own = F.col("node") - role
     meeting = Window.partitionBy("sig", "salt")
