@@ -95,6 +95,25 @@ def test_training_needs_both_classes_and_consistent_labels(spark):
     assert all(r.toxic_score < 0.5 for r in toxicity.score(docs, low).collect())
 
 
+@pytest.mark.parametrize("long_class", [0, 1])
+def test_a_long_text_does_not_end_the_sample(spark, long_class):
+    rows = labelled(3, 400)
+    order = [r.id for r in spark.range(1000).orderBy(F.xxhash64("id"), "id").limit(401).collect()]
+    long_text = "".join(f"w{k % 500} " + "idiot " * (long_class and k % 50 == 0) for k in range(640_000))
+    assert len(long_text) > 3_000_000
+    table = [(order[0], long_text, long_class)] + [(i, t, y) for i, (_, t, y) in zip(order[1:], rows)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in table], "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(i, y) for i, _, y in table], "doc_id long, toxic int")
+    taken = [(r.text, r.toxic) for r in toxicity.sample(docs, labels).collect()]
+    assert set(taken) >= {(t, y) for _, t, y in table[1:]} and len(taken) == len(table)
+    (windows,) = [t for t, _ in taken if len(t) > 10_000]
+    assert len(windows) <= toxicity.LONG_BYTES + toxicity.WINDOWS
+    assert windows.startswith(long_text[:1000]) and windows.endswith(long_text[-1000:])
+    model = toxicity.train(docs, labels)
+    kept = {r.doc_id for r in toxicity.reject(docs, model).collect()}
+    assert sum((i in kept) != bool(y) for i, _, y in table) >= 0.98 * len(table)
+
+
 def language(seed, n, words, length):
     rng = random.Random(seed)
     rows = []

@@ -25,6 +25,8 @@ from tidecast.llm.textbytes import mix, prefix_hashes, span_hashes, text_blocks,
 #: Most labelled documents of each class, and most bytes of their texts, that the model is fitted on.
 SAMPLE_DOCUMENTS = 3000
 SAMPLE_BYTES = 4_000_000
+#: Bytes from which a text takes part in the fit by windows spread over it, and their number.
+LONG_BYTES, WINDOWS = SAMPLE_BYTES // 128, 16
 #: Weights of the hashed features.
 FEATURE_BITS = 18
 #: Bytes of the word starts that are features.
@@ -178,8 +180,10 @@ def _summary(toxic: np.ndarray, first: np.ndarray) -> np.ndarray:
 def sample(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """``text, toxic`` of at most ``SAMPLE_DOCUMENTS`` labelled documents of each class.
 
-    Those with the smallest hash of their id are taken, whole, as long as their class fits into half of
-    ``SAMPLE_BYTES``. Documents whose id has contradictory labels are left out.
+    Those with the smallest hash of their id are taken as long as their class fits into half of
+    ``SAMPLE_BYTES``. A text beyond ``LONG_BYTES`` is taken by windows of about so many bytes in all, evenly
+    spread from its start to its end, so that a few long texts do not end the sample; others are whole.
+    Documents whose id has contradictory labels are left out.
     """
     known = labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull())
     known = known.groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("other"))
@@ -189,6 +193,12 @@ def sample(documents: DataFrame, labels: DataFrame) -> DataFrame:
     # At most twice SAMPLE_DOCUMENTS ids, so the texts stay where they are.
     ids = F.broadcast(classes[0].unionByName(classes[1]))
     rows = documents.select("doc_id", "text").join(ids, "doc_id").filter(F.length("text") > 0)
+    long = F.octet_length("text") > LONG_BYTES
+    width = F.floor(F.length("text") * (LONG_BYTES / WINDOWS) / F.octet_length("text")).cast("int")
+    step = (F.length("text") - width) / (WINDOWS - 1)
+    places = F.array(*(F.lit(i) for i in range(WINDOWS)))
+    windows = F.transform(places, lambda i: F.substring("text", F.floor(i * step).cast("int") + 1, width))
+    rows = rows.withColumn("text", F.when(long, F.array_join(windows, "\n")).otherwise(F.col("text")))
     so_far = F.sum(F.octet_length("text")).over(Window.partitionBy("toxic").orderBy(*order, "text"))
     return rows.withColumn("bytes", so_far).filter(F.col("bytes") <= SAMPLE_BYTES // 2).select("text", "toxic")
 
