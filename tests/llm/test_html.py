@@ -1,5 +1,6 @@
 """Extraction from pages with every kind of surroundings."""
 
+import pytest
 from tidecast.llm import html_extract as html
 
 TEXT = "A first sentence that is long enough to be running text of the page, with commas."
@@ -20,6 +21,32 @@ def test_blocks_are_those_of_the_article():
     assert html.main_text(page(body), None).split("\n") == expected
 
 
+@pytest.mark.parametrize(
+    "start, end",
+    [
+        ("<article class='node node--promoted'>", "</article>"),
+        ("<article class='related'>", "</article>"),
+        ("<main id='comments'>", "</main>"),
+        ("<div class='post comments-open'>", "</div>"),
+        ("<div class='content has-sidebar'>", "</div>"),
+        ("<div class='content with-header no-nav'>", "</div>"),
+        ("<div id='legal-affairs'>", "</div>"),
+        ("<div class='widget'><section class='social'>", "</section></div>"),
+    ],
+)
+def test_a_name_alone_does_not_drop_the_article(start, end):
+    text = page(f"<div class='sidebar--left'>Side</div>{start}<p>{TEXT}</p><p>{TEXT}</p>{end}<div class='comments'>first!</div>")
+    assert html.main_text(text, None) == f"{TEXT}\n{TEXT}"
+
+
+def test_states_in_names_do_not_drop_a_part():
+    names = ["note node--promoted", "post comments-open", "box has-sidebar", "with-header", "no_ads"]
+    parts = "".join(f"<div class='{name}'>Part {i}</div>" for i, name in enumerate(names))
+    asides = "".join(f"<div class='{name}'>Aside</div>" for name in ("site-header", "comments", "ad_box has-x", "nav--main"))
+    found = html.main_text(page(f"<article><p>{TEXT}</p>{parts}{asides}</article>"), None)
+    assert found.split("\n") == [TEXT, *(f"Part {i}" for i in range(5))]
+
+
 def test_odd_pages():
     assert html.main_text(None, None) == html.main_text("", "a>b") == ""
     assert html.main_text("just text", None) == "just text"

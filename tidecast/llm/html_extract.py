@@ -48,12 +48,14 @@ ASIDE_NAMES = re.compile(
     r"promo\w*|related|recommend\w*|replies|respond|share|sharing|sidebar|signup|skip|social|sponsor\w*|"
     r"subscribe|subscription|toolbar|widget)($|[-_\s])"
 )
+#: What a class name says about its element's state or surroundings, not about the element itself.
+STATES = re.compile(r"(?<!\S)(has|with|without|no|not|is)[-_]\S*|--\S*|\S*[-_](open|opened|closed|enabled|disabled|on|off)(?!\S)")
 ASIDE_ROLES = set("navigation banner contentinfo complementary search dialog alert form menu menubar".split())
 SPACES = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("tag", "names", "dropped", "children", "parent")
+    __slots__ = ("tag", "names", "dropped", "named", "children", "parent")
 
     def __init__(self, tag: str, attrs: dict, parent: "Node | None"):
         self.tag, self.parent, self.children = tag, parent, []
@@ -65,8 +67,15 @@ class Node:
             or (attrs.get("aria-hidden") or "").lower() == "true"
             or "display:none" in (attrs.get("style") or "").replace(" ", "").lower()
             or (attrs.get("role") or "").lower() in ASIDE_ROLES
-            or (tag not in ("html", "body") and ASIDE_NAMES.search(marks) is not None)
         )
+        # Dropped by its name alone; articles are not.
+        self.named = (
+            not self.dropped
+            and tag not in ("html", "body", "article", "main")
+            and ASIDE_NAMES.search(marks) is not None
+            and ASIDE_NAMES.search(STATES.sub("", marks)) is not None
+        )
+        self.dropped = self.dropped or self.named
 
     @property
     def path(self) -> str:
@@ -84,6 +93,7 @@ class _Tree(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.root = self.at = Node("#root", {}, None)
+        self.nodes = [self.root]
 
     def _close(self, tags: set, within: set) -> None:
         node = self.at
@@ -99,6 +109,7 @@ class _Tree(HTMLParser):
         if tag in CLOSES:
             self._close(CLOSES[tag], {"ul", "ol", "dl", "table", "select", "div"})
         node = Node(tag, dict(attrs), self.at)
+        self.nodes.append(node)
         self.at.children.append(node)
         if tag not in VOID:
             self.at = node
@@ -123,9 +134,27 @@ def parse(html: str) -> Node:
     tree = _Tree()
     tree.feed(html)
     tree.close()
+    _keep_most(tree.nodes)
     return tree.root
 
 
+def _keep_most(nodes: list[Node]) -> None:
+    """Keep containers with more than half of the page's running text, whatever their names."""
+    if not any(node.named for node in nodes):
+        return
+    held: dict[int, int] = dict.fromkeys(map(id, nodes), 0)
+    for node in reversed(nodes):  # what a node holds comes after it
+        if node.tag == "a" or (node.dropped and not node.named):
+            held[id(node)] = 0
+            continue
+        held[id(node)] += sum(len(child.strip()) for child in node.children if isinstance(child, str))
+        if node.parent is not None:
+            held[id(node.parent)] += held[id(node)]
+    for node in nodes:
+        if node.named and 2 * held[id(node)] > held[id(nodes[0])]:
+            node.named = node.dropped = False
+
+
 def blocks(top: Node) -> list[str]:
     """Text blocks below a node in page order, without what it drops; a loop, since pages nest deeply."""
     found, current, todo = [], [], [(top, False)]
