@@ -93,16 +93,10 @@ def span_hashes(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.
     return mix(spans + (ends - starts).astype(np.uint64))
 
 
-def words(
-    data: np.ndarray, offsets: np.ndarray, apart: np.ndarray = SPACE
-) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of the words, and for every text the index of its first word (and the total).
-
-    ``apart`` tells for each byte whether it separates words.
-    """
-    if data.size == 0:
+def runs(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the runs of marked bytes, which never cross texts, and every text's first run."""
+    if inside.size == 0:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(offsets.size, np.int64)
-    inside = ~apart[data]
     filled = offsets[:-1][offsets[:-1] < offsets[1:]]
     before = np.empty_like(inside)
     before[0], before[1:] = False, inside[:-1]
@@ -115,6 +109,16 @@ def words(
     return starts, ends, np.searchsorted(starts, offsets)
 
 
+def words(
+    data: np.ndarray, offsets: np.ndarray, apart: np.ndarray = SPACE
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the words, and for every text the index of its first word (and the total).
+
+    ``apart`` tells for each byte whether it separates words.
+    """
+    return runs(~apart[data], offsets)
+
+
 def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the lower-cased words (A-Z only), and every text's first index among them."""
     starts, ends, first = words(data, offsets)
