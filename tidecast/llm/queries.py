@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidecast.llm import ann, html_extract, jaccard_join, line_dedup, lm, mixing, packing, spelling, suffix_dedup, topk, toxicity
+from tidecast.llm import ann, centroids, html_extract, jaccard_join, line_dedup, lm, mixing, packing, spelling, suffix_dedup, topk, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -116,3 +116,9 @@ def op10_consensus_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op11_spelling_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of the documents with their more frequent neighbour at one edit."""
     return spelling.spelling_forms(_table(spark, sf_dir, "documents"))
+
+
+@query
+def op12_threshold_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors in 40 clusters after five rounds, in integers."""
+    return centroids.cluster_vectors(_table(spark, sf_dir, "embeddings"))
