@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidecast.llm import ann, centroids, html_extract, jaccard_join, line_dedup, lm, mixing, packing, spelling, suffix_dedup, topk, toxicity
+from tidecast.llm import ann, best_fit, centroids, html_extract, jaccard_join, line_dedup, lm, mixing, packing, spelling, suffix_dedup, topk, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -122,3 +122,9 @@ def op11_spelling_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op12_threshold_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vectors in 40 clusters after five rounds, in integers."""
     return centroids.cluster_vectors(_table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op13_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole documents in as few sequences of at most 4096 tokens as best fit finds."""
+    return best_fit.pack_whole(_table(spark, sf_dir, "documents"))
