@@ -27,7 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidecast.llm.packing import encoder
@@ -191,6 +191,10 @@ def _round(items: DataFrame, gaps: DataFrame, smallest: int, largest: int) -> tu
     return matched.select("item", "gap", "size"), gaps, still, left
 
 
+def _new_gaps(spark: SparkSession, opened: int, count: int, limit: int) -> DataFrame:
+    return spark.range(opened, opened + count).select((-1 - F.col("id")).alias("gap"), F.lit(limit).alias("free"))
+
+
 def best_fit(items: DataFrame, limit: int = LIMIT) -> DataFrame:
     """``item, gap, size``: the sequence ``gap`` of every row of ``items(item, size)``, sizes from 1 to ``limit``.
 
@@ -199,12 +203,15 @@ def best_fit(items: DataFrame, limit: int = LIMIT) -> DataFrame:
     """
     spark = items.sparkSession
     # At most ``limit`` rows: how many items there are of each size.
-    sizes = sorted((r["size"] for r in items.select("size").distinct().collect()), reverse=True)
-    half = limit // 2
+    counted = {r["size"]: r["count"] for r in items.groupBy("size").count().collect()}
+    sizes, half = sorted(counted, reverse=True), limit // 2
     alone = items.filter(F.col("size") > half)
     placed = [alone.select("item", F.col("item").alias("gap"), "size")]
     gaps = alone.filter(F.col("size") < limit).select(F.col("item").alias("gap"), (limit - F.col("size")).alias("free"))
-    opened = 0
+    # What the gaps cannot hold together needs new sequences in any case.
+    room = sum(n * (limit - size) for size, n in counted.items() if size > half)
+    opened = max(0, -(-(sum(n * size for size, n in counted.items() if size <= half) - room) // limit))
+    gaps = gaps.unionByName(_new_gaps(spark, 0, opened, limit))
     sizes = [size for size in sizes if size <= half]
     while sizes:
         largest = sizes[0]
@@ -215,7 +222,7 @@ def best_fit(items: DataFrame, limit: int = LIMIT) -> DataFrame:
         placed.append(matched)
         if left:
             needed = -(-left // (limit // largest))
-            new = spark.range(opened, opened + needed).select((-1 - F.col("id")).alias("gap"), F.lit(limit).alias("free"))
+            new = _new_gaps(spark, opened, needed, limit)
             opened += needed
             matched, gaps, _, left = _round(still, gaps.unionByName(new), smallest, largest)
             placed.append(matched)
