@@ -176,7 +176,8 @@ def _paths(words: DataFrame) -> DataFrame:
         F.min("next").alias("low"), F.max("next").alias("high"), F.bit_or(_bit(F.col("next"))).alias("letters")
     )
     parting = parting.filter("low < high").select("node", "letters")
-    at_parting = rows.join(parting, "node")
+    # One short row per node on the other side: looked up, so that the long rows need not be sorted.
+    at_parting = rows.join(parting.hint("shuffle_hash"), "node")
     at_end = rows.filter("depth = size").join(parting, "node", "left_anti").withColumn("letters", _bit(F.lit(0)))
     path = Window.partitionBy("way", "walk").orderBy("depth")
     ahead = {c: F.lead(c).over(path) for c in ("depth", "node", "letters")}
@@ -187,18 +188,21 @@ def _paths(words: DataFrame) -> DataFrame:
 
 
 def _edges(paths: DataFrame) -> DataFrame:
-    """``node, next, label, child, after, end``: one row per edge; ``end`` is the word that ends at the child.
+    """``node, next, label, child, after, end, second``: one row per edge; ``end`` is the word that ends at the child.
 
-    A word that ends at a node has an edge without a label and without a child there.
+    ``after`` has the bits of the letters that follow the child, ``second`` those that follow the edge's first
+    letter. A word that ends at a node has an edge without a label and without a child there.
     """
     end = F.struct("n", F.col("walk").alias("word"))
     ends_there = F.when(F.col("child").isNull() | (F.col("to") == F.col("size")), end)
-    return paths.groupBy("node", "next").agg(
+    edges = paths.groupBy("node", "next").agg(
         F.first("label").alias("label"),
         F.first("child").alias("child"),
         F.first("after").alias("after"),
         F.max(ends_there).alias("end"),
     )
+    second = F.when(F.length("label") > 1, _bit(_letter_at(F.col("label"), F.lit(1)))).otherwise(F.col("after"))
+    return edges.withColumn("second", F.coalesce(second, _bit(F.lit(0))))
 
 
 def _arrived(states: DataFrame) -> DataFrame:
@@ -227,9 +231,20 @@ def near_words(words: DataFrame) -> DataFrame:
         F.when(length > 0, after_edit(depth, rest)),  # the other word has a letter more
         F.when(depth < size, after_edit(depth + 1, label)),  # the other word has a letter less
     )
-    own = paths.filter(depth >= _half(size, F.col("way")))
-    own = own.select("way", "walk", "depth", "size", "node", F.col("next").alias("own_next"))
-    edited = own.join(edges, "node").filter("next <> own_next").withColumn("position", F.explode(F.filter(edits, lambda x: x.isNotNull())))
+    own = paths.filter(depth >= _half(size, F.col("way"))).select(
+        "way",
+        "walk",
+        "depth",
+        "size",
+        "node",
+        F.col("next").alias("own_next"),
+        _letter_at(walk, depth + 1).alias("own_second"),
+    )
+    own = own.withColumn("wanted", _bit(F.col("own_next")).bitwiseOR(_bit(F.col("own_second"))))
+    # Behind the edit, the next letters must agree; that is judged on bits before any text is compared.
+    agrees = (F.col("second").bitwiseAND(F.col("wanted")) != 0) | (F.col("next") == F.col("own_second"))
+    edited = own.join(edges, "node").filter((F.col("next") != F.col("own_next")) & agrees)
+    edited = edited.withColumn("position", F.explode(edits)).filter("position is not null")
     columns = ["way", "walk", "position", "child", "after", "end"]
     states = stage(_arrived(edited).select(columns))
     levels = [states]
