@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidecast.llm.packing import encoder
-from tidecast.llm.textbytes import text_blocks
+from tidecast.llm.textbytes import frugal, text_blocks
 from tidecast.session import stage
 
 #: The id that ends every document (fixed by the query's contract).
@@ -49,6 +49,7 @@ SWEPT = "state int, part int, first long, n int, gap long, free int, item long,
 def pieces(documents: DataFrame, tokenizer: str, limit: int) -> DataFrame:
     """One row per piece (``PIECES``): documents, those beyond the limit cut into pieces of that length."""
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
         serial = (context.partitionId() if context else 0) << 40
@@ -73,7 +74,6 @@ def pieces(documents: DataFrame, tokenizer: str, limit: int) -> DataFrame:
                     pa.array(checks, pa.int64()),
                 ]
                 yield pa.RecordBatch.from_arrays(columns, names=["item", "doc_id", "piece", "start", "length", "ids_crc32"])
-        encode.forget()
 
     rows = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     return rows.mapInArrow(run, PIECES)
@@ -87,6 +87,7 @@ def _sweep(rows: DataFrame, largest: int) -> DataFrame:
     the partition first.
     """
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
         stack: list[list[int]] = []  # [gap, slots left, size]
@@ -181,7 +182,8 @@ def _round(items: DataFrame, gaps: DataFrame, smallest: int, largest: int) -> tu
             offered, (F.col("part") == F.col("owner")) & (F.col("first") < F.col("high")) & (last > F.col("low"))
         )
         numbers = F.sequence(F.greatest("first", "low"), F.least(last, F.col("high")) - 1)
-        slots = slots.select("gap", "free", (F.explode(numbers) + F.col("shift")).alias("meeting"))
+        slots = slots.select("gap", "free", "shift", F.explode(numbers).alias("slot"))
+        slots = slots.select("gap", "free", (F.col("slot") + F.col("shift")).alias("meeting"))
         met = placed.filter("meeting is not null").join(slots, "meeting").select("item", "gap", "size", "free")
         matched = matched.unionByName(met)
     matched = stage(matched)
