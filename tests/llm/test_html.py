@@ -1,5 +1,7 @@
 """Extraction from pages with every kind of surroundings."""
 
+import time
+
 import pytest
 from tidecast.llm import html_extract as html
 
@@ -85,3 +87,39 @@ def test_a_host_agrees_on_a_container(spark):
     assert all(r.n_chars == len(r.text) for r in found)
     assert {r.url for r in found if r.page_id == 12} == {None}
     assert html.extract(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+@pytest.mark.parametrize("declaration", ["<![foo bar]>", "<![ x]>", "<![%x]>", "<![CDATA[z]]>", "<![if IE]>", "<!x>", "<?y?>"])
+def test_unknown_declarations_are_passed_over(declaration):
+    assert html.main_text(f"<p>a</p>{declaration}<p>b</p>", None) == "a\nb"
+
+
+@pytest.mark.parametrize(
+    "comments",
+    ["<div class='comments'>{}</div>", "<ol class='commentlist'><li>{}</ol>", "<div id='comments'>{}</div>", "<div class='sidebar'>{}</div>"],
+)
+def test_long_comments_are_no_article(comments):
+    text = " ".join([TEXT] * 8)
+    replies = comments.format("Reply. " * 400)
+    assert html.main_text(f"<article><p>{text}</p></article>{replies}", None) == text
+    assert html.main_text(f"<article><p>{text}</p>{replies}</article>", None) == text
+
+
+def test_deep_pages_take_time_in_proportion():
+    for deep in ("<div>text " * 20000, "<div class='a'><span>" * 20000 + "text" + "</b>" * 20000):
+        start = time.perf_counter()
+        assert "text" in html.main_text(deep, None)
+        assert time.perf_counter() - start < 20
+    keys = html.containers(html.parse("<div>text " * 3000))
+    assert max(map(len, keys)) < 2 * html.LONG_KEY and len(keys) == 3000
+
+
+def test_large_hosts_get_salts(spark):
+    rows = [(i, f"http://{'big' if i % 3 else f'h{i}'}.example/", f"<p>{i}</p>", "", "") for i in range(3000)]
+    pages = spark.createDataFrame(rows, SCHEMA)
+    named = pages.select("page_id", "html", html.host("url").alias("host"))
+    spread, hosts = html._salted(named, named.select("host").distinct())
+    assert spread.filter("host = 'big.example'").select("salt").distinct().count() > 500
+    assert hosts.filter("host <> 'big.example'").count() == 1000
+    assert spread.join(hosts, ["host", "salt"]).count() == 3000
+    assert {(r.page_id, r.text) for r in html.extract(pages).collect()} == {(i, str(i)) for i in range(3000)}

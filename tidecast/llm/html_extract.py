@@ -8,7 +8,9 @@ their host's path; a page without such a container uses its own best one.
 
 from __future__ import annotations
 
+import hashlib
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -16,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidecast.session import stage
+
 #: The roles that HTML gives its elements.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = set(
@@ -48,17 +52,25 @@ ASIDE_NAMES = re.compile(
     r"promo\w*|related|recommend\w*|replies|respond|share|sharing|sidebar|signup|skip|social|sponsor\w*|"
     r"subscribe|subscription|toolbar|widget)($|[-_\s])"
 )
+#: Names of readers' replies, menus and sidebars: they go however long they are.
+REPLY_NAMES = re.compile(
+    r"(^|[-_\s])(comments?|commentlist|disqus|menu|nav|navbar|navigation|replies|respond|sidebar)($|[-_\s])"
+)
 #: What a class name says about its element's state or surroundings, not about the element itself.
 STATES = re.compile(r"(?<!\S)(has|with|without|no|not|is)[-_]\S*|--\S*|\S*[-_](open|opened|closed|enabled|disabled|on|off)(?!\S)")
 ASIDE_ROLES = set("navigation banner contentinfo complementary search dialog alert form menu menubar".split())
 SPACES = re.compile(r"\s+")
 
 
+#: Path keys longer than this go on as a digest, so that their lengths do not add up in deep pages.
+LONG_KEY = 1000
+
+
 class Node:
-    __slots__ = ("tag", "names", "dropped", "named", "children", "parent")
+    __slots__ = ("tag", "names", "dropped", "named", "reply", "children", "parent", "_key")
 
     def __init__(self, tag: str, attrs: dict, parent: "Node | None"):
-        self.tag, self.parent, self.children = tag, parent, []
+        self.tag, self.parent, self.children, self._key = tag, parent, [], None
         self.names = (attrs.get("class") or "").lower()
         marks = f"{self.names} {(attrs.get('id') or '').lower()}"
         self.dropped = (
@@ -69,22 +81,28 @@ class Node:
             or (attrs.get("role") or "").lower() in ASIDE_ROLES
         )
         # Dropped by its name alone; articles are not.
-        self.named = (
-            not self.dropped
-            and tag not in ("html", "body", "article", "main")
-            and ASIDE_NAMES.search(marks) is not None
-            and ASIDE_NAMES.search(STATES.sub("", marks)) is not None
-        )
+        self.named = self.reply = False
+        if not self.dropped and tag not in ("html", "body", "article", "main") and ASIDE_NAMES.search(marks):
+            own = STATES.sub("", marks)
+            self.named = ASIDE_NAMES.search(own) is not None
+            self.reply = REPLY_NAMES.search(own) is not None
         self.dropped = self.dropped or self.named
 
     @property
     def path(self) -> str:
-        steps, node = [], self
-        while node is not None and node.tag != "#root":
-            classes = sorted({re.sub(r"\d+", "", c) for c in node.names.split()} - {""})
-            steps.append(".".join([node.tag, *classes]))
+        """Tags and classes from the root, digits removed; outer steps of a very long path as a digest."""
+        waiting, node = [], self
+        while node._key is None and node.tag != "#root":
+            waiting.append(node)
             node = node.parent
-        return ">".join(reversed(steps))
+        key = node._key or ""
+        for node in reversed(waiting):
+            classes = sorted({re.sub(r"\d+", "", c) for c in node.names.split()} - {""})
+            step = ".".join([node.tag, *classes])
+            if len(key) > LONG_KEY:
+                key = "#" + hashlib.blake2b(key.encode("utf-8", "surrogatepass"), digest_size=16).hexdigest()
+            key = node._key = f"{key}>{step}" if key else step
+        return key
 
 
 class _Tree(HTMLParser):
@@ -94,12 +112,21 @@ class _Tree(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.root = self.at = Node("#root", {}, None)
         self.nodes = [self.root]
+        self.open: Counter = Counter()
+
+    def _leave(self, node: Node) -> None:
+        """End a node and all that is open in it."""
+        while self.at is not node.parent:
+            self.open[self.at.tag] -= 1
+            self.at = self.at.parent
 
     def _close(self, tags: set, within: set) -> None:
+        if not any(self.open[tag] for tag in tags):
+            return
         node = self.at
         while node is not None and node.tag not in within | {"#root"}:
             if node.tag in tags:
-                self.at = node.parent
+                self._leave(node)
                 return
             node = node.parent
 
@@ -113,6 +140,7 @@ class _Tree(HTMLParser):
         self.at.children.append(node)
         if tag not in VOID:
             self.at = node
+            self.open[tag] += 1
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -120,11 +148,18 @@ class _Tree(HTMLParser):
             self.handle_endtag(tag)
 
     def handle_endtag(self, tag):
+        if self.open[tag] <= 0:
+            return
         node = self.at
-        while node is not None and node.tag != tag:
+        while node.tag != tag:
             node = node.parent
-        if node is not None and node.parent is not None:
-            self.at = node.parent
+        self._leave(node)
+
+    def parse_marked_section(self, i, report=1):
+        """Pass over ``<![...``, which HTML treats as a comment, whatever it holds."""
+        mark = "]]>" if self.rawdata.startswith("<![CDATA[", i) else ">"
+        end = self.rawdata.find(mark, i + 3)
+        return end + len(mark) if end >= 0 else -1
 
     def handle_data(self, data):
         self.at.children.append(data)
@@ -139,7 +174,10 @@ def parse(html: str) -> Node:
 
 
 def _keep_most(nodes: list[Node]) -> None:
-    """Keep containers with more than half of the page's running text, whatever their names."""
+    """Keep containers with more than half of the page's running text, whatever their names.
+
+    Readers' replies, menus and sidebars are kept only where the page has no other running text.
+    """
     if not any(node.named for node in nodes):
         return
     held: dict[int, int] = dict.fromkeys(map(id, nodes), 0)
@@ -150,8 +188,9 @@ def _keep_most(nodes: list[Node]) -> None:
         held[id(node)] += sum(len(child.strip()) for child in node.children if isinstance(child, str))
         if node.parent is not None:
             held[id(node.parent)] += held[id(node)]
+    whole = held[id(nodes[0])]
     for node in nodes:
-        if node.named and 2 * held[id(node)] > held[id(nodes[0])]:
+        if node.named and (held[id(node)] == whole > 0 if node.reply else 2 * held[id(node)] > whole):
             node.named = node.dropped = False
 
 
@@ -190,6 +229,7 @@ def containers(root: Node) -> dict[str, float]:
     """
     own: dict[int, float] = {}
     nodes: list[Node] = []
+    kept: list[bool] = []
     todo = [(root, False, False)]
     while todo:
         node, dropped, linked = todo.pop()
@@ -197,6 +237,7 @@ def containers(root: Node) -> dict[str, float]:
             continue
         dropped, linked = dropped or node.dropped, linked or node.tag == "a"
         nodes.append(node)
+        kept.append(not dropped)
         text = sum(len(child.strip()) for child in node.children if isinstance(child, str))
         own[id(node)] = 0.0 if dropped else -text if linked else text
         todo.extend((child, dropped, linked) for child in node.children)
@@ -209,8 +250,8 @@ def containers(root: Node) -> dict[str, float]:
             held[id(node.parent)] += held[id(node)]
             step = 1.0 if node.tag in INLINE or node.tag == "p" else 0.8
             paragraphs[id(node.parent)] += step * (own[id(node)] + paragraphs[id(node)])
-    for node in nodes:
-        if node.tag in CONTAINERS and total and held[id(node)] > 0 and not _dropped(node):
+    for node, stays in zip(nodes, kept):
+        if stays and node.tag in CONTAINERS and total and held[id(node)] > 0:
             credit = 1.5 if node.tag in ("article", "main") else 1.0
             score = credit * (own[id(node)] + paragraphs[id(node)]) / total
             if score > 0:
@@ -218,31 +259,17 @@ def containers(root: Node) -> dict[str, float]:
     return scores
 
 
-def _dropped(node: Node) -> bool:
-    while node is not None:
-        if node.dropped:
-            return True
-        node = node.parent
-    return False
-
-
 def _at_path(root: Node, path: str | None) -> list[Node]:
-    """The outermost kept nodes at a generalised path, in page order."""
-    if not path:
-        return []
-    found, steps = [], path.split(">")
-    todo = [(root, 0)]
+    """The kept containers at a generalised path, in page order."""
+    found, todo = [], [root] if path else []
     while todo:
-        node, depth = todo.pop()
-        if node.tag != "#root":
-            classes = sorted({re.sub(r"\d+", "", c) for c in node.names.split()} - {""})
-            if node.dropped or ".".join([node.tag, *classes]) != steps[depth - 1]:
-                continue
-            if depth == len(steps):
-                found.append(node)
-                continue
-        if depth < len(steps):
-            todo.extend((c, depth + 1) for c in reversed(node.children) if isinstance(c, Node))
+        node = todo.pop()
+        if node.dropped:
+            continue
+        if node.tag in CONTAINERS and node.path == path:
+            found.append(node)
+        else:
+            todo.extend(c for c in reversed(node.children) if isinstance(c, Node))
     return found
 
 
@@ -290,17 +317,36 @@ def vote(pages: DataFrame) -> DataFrame:
     return votes.withColumn("place", F.row_number().over(order)).filter("place = 1").select("host", "path")
 
 
-def extract(pages: DataFrame, salts: int = 32) -> DataFrame:
+def _salted(pages: DataFrame, hosts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pages, and one row per host, with a ``salt``: a large host's pages go to several tasks.
+
+    A host with more than one page in a thousand gets salts in proportion to its pages, the others one.
+    There are fewer than a thousand such hosts, however many pages there are.
+    """
+    counts = stage(pages.groupBy("host").count())
+    total = counts.agg(F.coalesce(F.sum("count"), F.lit(0))).first()[0]
+    large = counts.filter(F.col("count") * 1000 > total).collect()
+    rows = [(row["host"], -(-4000 * row["count"] // total)) for row in large]
+    salts = F.broadcast(pages.sparkSession.createDataFrame(rows, "host string, salts long"))
+    spread = F.coalesce("salts", F.lit(1).cast("long"))
+    at = F.pmod(F.xxhash64("page_id", "html"), spread).alias("salt")
+    each = F.explode(F.sequence(F.lit(0).cast("long"), spread - 1)).alias("salt")
+    return (
+        pages.join(salts, "host", "left").select(*pages.columns, at),
+        hosts.join(salts, "host", "left").select(*hosts.columns, each),
+    )
+
+
+def extract(pages: DataFrame) -> DataFrame:
     """``page_id, url, text, n_chars`` of every row of ``pages(page_id, url, html)``.
 
     A null or empty page, or one without text, has the empty text. Character references are decoded, white
-    space in a block becomes one space, blocks are joined by a line feed, nothing is cut. Pages with a null
+    space in a block becomes one space, blocks are joined by a line feed, nothing is cut. Malformed markup is
+    read as far as it goes; declarations that HTML does not know are passed over. Pages with a null
     URL share the empty host. Repeated rows stay; other columns are ignored; no page gives no row.
-    Winning paths are repeated ``salts`` times, so that the pages of one host go to as many tasks.
     """
-    winners = vote(pages).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     rows = pages.select("page_id", "url", "html", host("url").alias("host"))
-    rows = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "html"), F.lit(salts)).cast("int"))
+    rows, winners = _salted(rows, vote(pages))
     joined = rows.join(winners, ["host", "salt"], "left").select("page_id", "url", "html", "path")
 
     def text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
