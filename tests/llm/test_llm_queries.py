@@ -19,7 +19,7 @@ def test_sql(spark, name):
 
 def test_every_operator_has_one_query():
     numbers = [int(name[2:].split("_")[0]) for name in QUERIES]
-    assert sorted(numbers) == list(range(1, 11))
+    assert sorted(numbers) == list(range(1, 14))
 
 
 def test_stages_follow_one_another(spark):

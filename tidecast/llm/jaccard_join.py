@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from tidecast.llm.components import connected
 from tidecast.llm.meeting import INDEX, MEETING, PROBE, meeting_batch, met_rows, node_ids, split_by_keys, with_keys
-from tidecast.llm.textbytes import mix, ragged, shingle_hashes, text_blocks, word_hashes
+from tidecast.llm.textbytes import SMALL_BLOCK, frugal, mix, ragged, shingle_hashes, text_blocks, word_hashes
 from tidecast.session import stage
 
 #: Sizes of a band grow by this ratio.
@@ -90,9 +90,10 @@ def document_sets(documents: DataFrame, k: int) -> DataFrame:
     n-gram that is frequent in a block of texts the number of documents there (kind 1).
     """
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, last, data, offsets in text_blocks(batch.column(1)):
+            for first, last, data, offsets in text_blocks(batch.column(1), SMALL_BLOCK):
                 sets = _sets(data, offsets, k)
                 sizes, prints = _nodes(sets)
                 grams, counts = np.unique(np.concatenate([*sets, np.zeros(0, np.uint64)]), return_counts=True)
@@ -191,9 +192,10 @@ def signatures(documents: DataFrame, k: int, bands: Bands, frequent: np.ndarray)
     spark = documents.sparkSession
     sent = spark.sparkContext.broadcast((bands, frequent))
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, _, data, offsets in text_blocks(batch.column(0)):
+            for _, _, data, offsets in text_blocks(batch.column(0), SMALL_BLOCK):
                 sets = _sets(data, offsets, k)
                 sig, node, role = _signatures(sets, _nodes(sets)[1], *sent.value)
                 yield meeting_batch(sig, node, role)
@@ -232,7 +234,7 @@ class _Compare:
     def run(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hub, hub_sets = None, []
         for batch in batches:
-            for first, last, data, offsets in text_blocks(batch.column(6)):
+            for first, last, data, offsets in text_blocks(batch.column(6), SMALL_BLOCK):
                 part = batch.slice(first, last - first)
                 sets = _sets(data, offsets, self.k)
                 prints = _nodes(sets)[1]
@@ -274,7 +276,7 @@ def compare(documents: DataFrame, nodes: DataFrame, pairs: DataFrame, compared:
     rows = rows.select("hub", "salt", "member", "node", "hash", "listed", "text")
     placed = rows.repartition("hub", "salt").sortWithinPartitions("hub", "salt", "member", "node")
     schema = "hub long, node long, linked boolean, size long, apart long, prefix array<long>"
-    return placed.mapInArrow(compared.run, schema)
+    return placed.mapInArrow(frugal(compared.run), schema)
 
 
 def _beside_hub(found: DataFrame, percent: int) -> DataFrame:

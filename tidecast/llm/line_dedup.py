@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidecast.llm.meeting import INDEX, MEETING, PROBE, fresh_name, meeting_batch, met_rows, node_ids, split_by_keys, with_keys
-from tidecast.llm.textbytes import mix, prefix_hashes, span_hashes, text_blocks
+from tidecast.llm.textbytes import SMALL_BLOCK, frugal, mix, prefix_hashes, span_hashes, text_blocks
 from tidecast.session import stage
 
 #: Most edits between near lines.
@@ -65,9 +65,10 @@ def line_table(documents: DataFrame, min_bytes: int) -> DataFrame:
     Hash and parities are null for lines that are too short to take part.
     """
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, _, data, offsets in text_blocks(batch.column(1)):
+            for first, _, data, offsets in text_blocks(batch.column(1), SMALL_BLOCK):
                 starts, ends, text = _lines(data, offsets)
                 number = np.arange(text.size) - np.searchsorted(text, text)
                 short = ends - starts < min_bytes
@@ -126,9 +127,10 @@ def _signatures(data: np.ndarray, offsets: np.ndarray, tau: int, min_bytes: int)
 
 
 def signatures(documents: DataFrame, tau: int, min_bytes: int) -> DataFrame:
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, _, data, offsets in text_blocks(batch.column(0)):
+            for _, _, data, offsets in text_blocks(batch.column(0), SMALL_BLOCK):
                 yield meeting_batch(*_signatures(data, offsets, tau, min_bytes))
 
     return documents.select(F.col("text").cast("string").alias("text")).mapInArrow(run, MEETING)
@@ -203,9 +205,10 @@ def _verified(batches: Iterator[pa.RecordBatch], tau: int) -> Iterator[pa.Record
 def _line_bytes(documents: DataFrame, wanted: DataFrame) -> DataFrame:
     """``line, bytes`` of the wanted line hashes."""
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, _, data, offsets in text_blocks(batch.column(1)):
+            for first, _, data, offsets in text_blocks(batch.column(1), SMALL_BLOCK):
                 starts, ends, text = _lines(data, offsets)
                 number = np.arange(text.size) - np.searchsorted(text, text)
                 asked = batch.column(2).take(pa.array(np.arange(first, first + offsets.size - 1)))
@@ -249,7 +252,7 @@ def near_lines(documents: DataFrame, lines: DataFrame, tau: int, min_bytes: int)
         texts = stage(_line_bytes(documents, wanted))
         rows = pairs.join(texts.toDF("a", "left"), "a").join(texts.toDF("b", "right"), "b")
         rows = rows.select("a", "b", "left", "right")
-        return stage(rows.mapInArrow(lambda batches: _verified(batches, tau), "a long").distinct())
+        return stage(rows.mapInArrow(frugal(lambda batches: _verified(batches, tau)), "a long").distinct())
 
     earliest = met.groupBy("sig").agg(F.min(F.struct("first", "node", "parity")).alias("head"))
     stars = met.join(earliest, "sig").filter((F.col("first") > F.col("head.first")) & few("parity", "head.parity"))

@@ -13,6 +13,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidecast.llm.textbytes import frugal
+
 INDEX, PROBE = 1, 2
 MEETING = "sig long, salt int, node long"
 #: Nodes are hashes whose last two bits are free; on their way to the meeting they hold the role.
@@ -111,6 +113,7 @@ def split_by_keys(
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
 
     def side(passing: bool) -> DataFrame:
+        @frugal
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 word, bit = (batch.column(len(names) + i).to_numpy() for i in range(2))

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidecast.llm.textbytes import SPACE, prefix_hashes, ragged, span_hashes, text_blocks
+from tidecast.llm.textbytes import SPACE, frugal, prefix_hashes, ragged, span_hashes, text_blocks
 
 #: The id that ends every document (fixed by the query's contract).
 END_ID = 0
@@ -34,7 +34,7 @@ PIECES = (
 #: Unplaced items that a partition keeps to choose from.
 POOL = 1024
 #: Distinct pieces of text whose ids a worker remembers; beyond it the memory is emptied and filled anew.
-REMEMBERED = 2_000_000
+REMEMBERED = 1 << 19
 
 _CODES = [chr(i) for i in range(128)] + [" "] * 128
 _ALNUM = np.array([c.isalnum() for c in _CODES])
@@ -277,6 +277,7 @@ def pack_documents(
     limits = (tokens, segments, tokens if loss_tokens is None else loss_tokens)
     schema = pa.schema([(n.split()[0], pa.int64()) for n in PIECES.split(", ")])
 
+    @frugal
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer, ids_of, serial = Packer(limits, True, _first_sequence()), {}, 0
 
@@ -322,6 +323,7 @@ def pack_examples(
     schema = pa.schema([(n, pa.int64()) for n in names])
     limits = (tokens, segments, loss_tokens)
 
+    @frugal
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = Packer(limits, False, _first_sequence())
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidecast.llm.textbytes import LOWER, mix, prefix_hashes, ragged, runs, span_hashes, text_blocks
+from tidecast.llm.textbytes import LOWER, frugal, mix, prefix_hashes, ragged, runs, span_hashes, text_blocks
 from tidecast.session import stage
 
 #: Words have at least so many letters and occurrences.
@@ -103,6 +103,7 @@ def _block_words(doc_ids: list, data: np.ndarray, offsets: np.ndarray, letters:
 def vocabulary(documents: DataFrame, letters: int = MIN_LETTERS, count: int = MIN_COUNT) -> DataFrame:
     """``word, n`` of all words of the texts; see ``spelling_forms`` for what a word is."""
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_pylist()
@@ -127,6 +128,7 @@ def _prefixes(words: DataFrame) -> DataFrame:
     letter above the half is added for the sake of words that are a letter shorter.
     """
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             # All letters lie below U+0100: one byte each.

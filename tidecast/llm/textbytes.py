@@ -7,12 +7,16 @@ final mixing step; they are the same in every process.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
 
 BLOCK_BYTES = 1 << 20
+#: For work that keeps dozens of numbers a byte.
+SMALL_BLOCK = 1 << 19
 
 _BYTES = np.arange(256)
 #: Bytes that separate words: space and \x09 to \x0D (fixed values).
@@ -42,6 +46,31 @@ def _power(base: int, n: int) -> np.ndarray:
     return known[:n]
 
 
+def _return_memory() -> None:
+    """Hand what this process no longer uses back to the machine."""
+    _powers.clear()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def frugal(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable:
+    """``run`` over the batches of a task, after which the worker keeps no memory for the next one.
+
+    Workers outlive their tasks, and several of them share an executor with tasks of other kinds.
+    """
+
+    @wraps(run)
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            _return_memory()
+
+    return whole
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """Finish a hash so that all of its bits depend on all of its input (a multiply-xorshift step)."""
     h = h ^ (h >> np.uint64(30))

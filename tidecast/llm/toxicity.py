@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidecast.llm.meeting import fresh_name
-from tidecast.llm.textbytes import mix, prefix_hashes, span_hashes, text_blocks, words
+from tidecast.llm.textbytes import SMALL_BLOCK, frugal, mix, prefix_hashes, span_hashes, text_blocks, words
 
 #: Most labelled documents of each class, and most bytes of their texts, that the model is fitted on.
 SAMPLE_DOCUMENTS = 3000
@@ -305,9 +305,10 @@ def score(
     place = kept.columns.index("text")
     span = "struct<start: int, end: int, probability: double>"
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, last, data, offsets in text_blocks(batch.column(place)):
+            for first, last, data, offsets in text_blocks(batch.column(place), SMALL_BLOCK):
                 part = batch.slice(first, last - first)
                 found = tokens(data, offsets)
                 toxic = _probabilities(sent.value, found)
