@@ -261,3 +261,34 @@ def test_tables_without_texts(spark, empty):
     assert {r.n_removed for r in suffix_dedup.remove_repeats(blank).collect()} == {0}
     assert line_dedup.dedup_lines(blank).collect() == blank.collect()
     assert mixing.mix(blank).count() == mixing.mixed_documents(blank).count() == 2
+
+
+def test_clusters_that_meet_a_common_hub_are_not_paired_member_by_member(spark, monkeypatch):
+    """Two clusters of variants that share four fifths of their words: every variant meets the larger one's hub."""
+    rng = random.Random(1)
+    stem = [f"w{rng.randrange(10**9)}" for _ in range(400)]
+    mine, other = ([*stem[:320], *(f"{c}{rng.randrange(10**9)}" for _ in range(80))] for c in "ab")
+    n, rows = 60, []
+    for base, count in ((mine, n), (other, 2 * n)):
+        for _ in range(count):
+            words = list(base)
+            words[rng.randrange(400)] = f"v{rng.randrange(10**9)}"
+            rows.append((len(rows), " ".join(words)))
+    asked = []
+    before = jaccard_join.compare
+    monkeypatch.setattr(jaccard_join, "compare", lambda d, m, pairs, c: (asked.append(pairs.count()), before(d, m, pairs, c))[1])
+    found = jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sum(asked) <= 12 * len(rows)
+
+    def shingles(text):
+        words = text.split()
+        return {tuple(words[k : k + 5]) for k in range(len(words) - 4)}
+
+    sets = {i: shingles(text) for i, text in rows}
+    label = {i: i for i in sets}
+    for a in sets:
+        for b in sets:
+            if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]) and label[a] != label[b]:
+                old, low = max(label[a], label[b]), min(label[a], label[b])
+                label = {i: low if x == old else x for i, x in label.items()}
+    assert {r.doc_id: r.component_id for r in found} == label

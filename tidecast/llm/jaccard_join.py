@@ -279,24 +279,35 @@ def compare(documents: DataFrame, nodes: DataFrame, pairs: DataFrame, compared:
     return placed.mapInArrow(frugal(compared.run), schema)
 
 
-def _beside_hub(found: DataFrame, percent: int) -> DataFrame:
+def _beside_hub(found: DataFrame, links: DataFrame, percent: int) -> DataFrame:
     """``hub, node``: pairs of members of one hub, one of them not near it, that may link.
 
     In the order of ``prefix``, what stands before the first common element of two differences is in one
-    of them alone, and no more can be common than what stands from there on.
+    of them alone, and no more can be common than what stands from there on. Members that ``links(a, b)``
+    already hold together need no pair; nor does an element that only one such component has.
     """
+    held = connected(links).withColumnRenamed("component", "label")
     open_hubs = found.groupBy("hub").agg(F.count("*").alias("n"), F.bool_and("linked").alias("done"))
     open_hubs = open_hubs.filter("n > 1 and not done").select("hub")
-    rows = found.join(open_hubs, "hub", "left_semi").select(
-        "hub", "node", "linked", "size", "apart", F.posexplode("prefix").alias("at", "element")
+    labelled = found.join(open_hubs, "hub", "left_semi").join(held, "node", "left")
+    rows = labelled.select(
+        "hub",
+        "node",
+        "linked",
+        "size",
+        "apart",
+        F.coalesce("label", "node").alias("label"),
+        F.posexplode("prefix").alias("at", "element"),
     )
     rows = stage(rows)
-    right = rows.select("hub", "element", *(F.col(c).alias(f"r_{c}") for c in ("node", "linked", "size", "apart", "at")))
+    shared = rows.groupBy("hub", "element").agg(F.min("label").alias("low"), F.max("label").alias("high"))
+    rows = rows.join(shared.filter("low < high"), ["hub", "element"], "left_semi")
+    right = rows.select("hub", "element", *(F.col(c).alias(f"r_{c}") for c in ("node", "linked", "size", "apart", "label", "at")))
     most = F.floor((F.col("size") + F.col("r_size")) * (100 - percent) / (100 + percent))
     rest = F.least(F.col("apart") - F.col("at"), F.col("r_apart") - F.col("r_at"))
     left = rows.filter(~F.col("linked"))
     pairs = left.join(right, ["hub", "element"]).filter(
-        (F.col("node") != F.col("r_node"))
+        (F.col("label") != F.col("r_label"))
         & (F.col("r_linked") | (F.col("node") < F.col("r_node")))
         & (F.col("at") + F.col("r_at") <= most)
         & (F.col("apart") + F.col("r_apart") - 2 * rest <= most)
@@ -319,10 +330,11 @@ def linked_nodes(documents: DataFrame, nodes: DataFrame, met: DataFrame, compare
     near = F.least("size", "hub_size") * 100 >= F.greatest("size", "hub_size") * compared.percent
     pairs = stage(pairs.filter(~F.col("alone") | near).select("hub", "node", (~F.col("alone")).alias("listed")))
     found = stage(compare(documents, nodes, pairs, compared))
-    beside = stage(_beside_hub(found, compared.percent)).withColumn("listed", F.lit(False))
-    more = stage(compare(documents, nodes, beside, compared))
-    links = found.select("hub", "node", "linked").union(more.select("hub", "node", "linked")).filter("linked")
-    return stage(links.select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct())
+    ends = [F.col("hub").alias("a"), F.col("node").alias("b")]
+    first = stage(found.filter("linked").select(ends).distinct())
+    beside = stage(_beside_hub(found, first, compared.percent)).withColumn("listed", F.lit(False))
+    more = compare(documents, nodes, beside, compared).filter("linked").select(ends)
+    return stage(first.unionByName(more).distinct())
 
 
 def jaccard_components(documents: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
