@@ -175,7 +175,7 @@ def trend_terms(axis: str, dates: str, name: str) -> str:
 
 
 def trend(source: str, tag: str) -> str:
-    """The trend and season model: repeated ridge solves until the coefficients settle."""
+    """The trend and season model: slope changes enter and leave until none can improve the posterior."""
     return f"""
 axis_{tag} AS (
     SELECT series_id, min(ds) AS first, greatest(max(ds) - min(ds), 1) AS span,
@@ -195,37 +195,64 @@ matrices_{tag} AS (
     GROUP BY series_id),
 mode_{tag} AS (
     SELECT series_id, zz, n, bends, len(zz) - 1 AS p, 0 AS step,
-           list_transform(range(1, len(zz)), lambda i: 0.0::DOUBLE) AS beta,
-           greatest(zz[len(zz)][len(zz)] / n, 1e-12) AS noise,
+           list_transform(range(1, len(zz)), lambda i: 0.0::DOUBLE) AS u,
+           list_transform(range(1, len(zz)), lambda i: 0) AS signs,
            list_transform(range(1, len(zz)), lambda i: CASE
-               WHEN i <= 2 THEN 1 / 5.0::DOUBLE ** 2 WHEN i <= 2 + bends THEN 1 / 0.05::DOUBLE ** 2
-               ELSE 1 / 10.0::DOUBLE ** 2 END) AS penalty,
-           1.0::DOUBLE AS change
+               WHEN i <= 2 THEN 5.0::DOUBLE WHEN i <= 2 + bends THEN 0.05::DOUBLE ELSE 10.0::DOUBLE END) AS root,
+           greatest(zz[len(zz)][len(zz)] / n, 1e-12) AS noise, false AS settled
     FROM matrices_{tag} JOIN axis_{tag} USING (series_id)
     UNION ALL
-    SELECT series_id, zz, n, bends, p, step + 1, fresh,
-           greatest((sqrt(n * n + 16 * greatest(sse, 1e-12)) - n) / 8, 1e-12),
-           list_transform(penalty, lambda v, i: CASE WHEN i > 2 AND i <= 2 + bends
-               THEN 1 / (0.05::DOUBLE * greatest(abs(fresh[i]), 1e-9)) ELSE v END),
-           list_max(list_transform(fresh, lambda v, i: abs(v - beta[i])))
+    -- A turned slope change leaves, else the largest pull enters, else the noise follows the residuals.
+    SELECT series_id, zz, n, bends, p, step + 1, moved,
+           CASE WHEN turns THEN list_transform(signs, lambda s, i: CASE WHEN i = leaves THEN 0 ELSE s END)
+                WHEN strongest > 1 + 1e-9::DOUBLE
+                THEN list_transform(signs, lambda s, i: CASE WHEN i = enters THEN sign(pull[i])::INTEGER ELSE s END)
+                ELSE signs END,
+           root,
+           CASE WHEN turns OR strongest > 1 + 1e-9::DOUBLE THEN noise ELSE fresh_noise END,
+           NOT turns AND strongest <= 1 + 1e-9::DOUBLE AND abs(fresh_noise - noise) <= 1e-9::DOUBLE * noise
     FROM (
-        SELECT *, zz[p + 1][p + 1] - 2 * list_dot_product(fresh, zz[p + 1][1:p])
-               + list_sum(list_transform(fresh,
-                   lambda v, i: v * list_dot_product(zz[i][1:p], fresh))) AS sse
+        SELECT *, list_max(list_transform(pull, lambda v: abs(v))) AS strongest,
+               list_position(list_transform(pull, lambda v: abs(v)), list_max(list_transform(pull, lambda v: abs(v)))) AS enters,
+               greatest((sqrt(n * n + 16 * greatest(sse, 1e-12)) - n) / 8, 1e-12) AS fresh_noise
         FROM (
-            SELECT *, list_transform({_solved("system")}, lambda v, i: v * root[i]) AS fresh
+            SELECT *, list_transform(residual, lambda v, i:
+                       CASE WHEN i > 2 AND i <= 2 + bends AND signs[i] = 0 THEN root[i] * v / noise ELSE 0 END) AS pull,
+                   zz[p + 1][p + 1] - list_sum(list_transform(moved, lambda v, i:
+                       v * root[i] * (zz[p + 1][i] + residual[i]))) AS sse
             FROM (
-                SELECT *, list_transform(root, lambda a, i: list_append(
-                    list_transform(root, lambda b, j:
-                        a * zz[i][j] * b + CASE WHEN i = j THEN noise ELSE 0 END),
-                    a * zz[i][p + 1])) AS system
+                SELECT *, list_transform(moved, lambda v, i: zz[p + 1][i] - list_sum(
+                           list_transform(moved, lambda w, j: zz[i][j] * root[j] * w))) AS residual
                 FROM (
-                    SELECT *, list_transform(penalty, lambda v: 1 / sqrt(v)) AS root
-                    FROM mode_{tag} WHERE step < 200 AND change >= 1e-5))))),
+                    SELECT *, CASE WHEN turns THEN list_transform(u, lambda v, i:
+                               CASE WHEN i = leaves THEN 0 ELSE v + share[leaves] * (fresh[i] - v) END)
+                           ELSE fresh END AS moved
+                    FROM (
+                        SELECT *, list_min(share) IS NOT NULL AS turns, list_position(share, list_min(share)) AS leaves
+                        FROM (
+                            SELECT *, list_transform(fresh, lambda v, i: CASE
+                                       WHEN signs[i] <> 0 AND signs[i] * v <= 0 THEN u[i] / (u[i] - v) END) AS share
+                            FROM (
+                                SELECT *, {_solved("system")} AS fresh
+                                FROM (
+                                    SELECT *, list_transform(root, lambda a, i: list_append(
+                                        list_transform(root, lambda b, j: CASE
+                                            WHEN i > 2 AND i <= 2 + bends AND signs[i] = 0
+                                                 OR j > 2 AND j <= 2 + bends AND signs[j] = 0
+                                            THEN CASE WHEN i = j THEN 1.0::DOUBLE ELSE 0 END
+                                            ELSE a * zz[i][j] * b + CASE WHEN i <> j THEN 0
+                                                 WHEN i > 2 AND i <= 2 + bends THEN 1e-6::DOUBLE * noise
+                                                 ELSE noise END END),
+                                        CASE WHEN i > 2 AND i <= 2 + bends AND signs[i] = 0 THEN 0
+                                             ELSE a * zz[i][p + 1] - noise * signs[i] END)) AS system
+                                    FROM mode_{tag} WHERE step < 1000 AND NOT settled))))))))),
+ended_{tag} AS (
+    SELECT series_id, zz, n, bends, step, settled, list_transform(u, lambda v, i: v * root[i]) AS beta, noise
+    FROM mode_{tag} QUALIFY row_number() OVER (PARTITION BY series_id ORDER BY step DESC) = 1),
 betas_{tag} AS (
-    SELECT series_id, n, change < 1e-5 AS converged, unnest(beta) AS coefficient,
+    SELECT series_id, n, settled AS converged, unnest(beta) AS coefficient,
            generate_subscripts(beta, 1) - 1 AS place
-    FROM mode_{tag} QUALIFY row_number() OVER (PARTITION BY series_id ORDER BY step DESC) = 1)
+    FROM ended_{tag})
 """
 
 
@@ -774,7 +801,7 @@ ORACLES: dict[str, str] = {
             SELECT series_id, 2, 'PROPHET', n,
                    printf('trend with %d changepoints and yearly season', CAST(bends AS INTEGER)),
                    beta
-            FROM mode_trendt QUALIFY row_number() OVER (PARTITION BY series_id ORDER BY step DESC) = 1
+            FROM ended_trendt
             UNION ALL
             SELECT series_id, 3, 'ETS', n_obs, 'ETS(A,' || trend || ',' || season || ')',
                    list_concat([alpha, beta, gamma, phi, l, b], s)
