@@ -177,7 +177,7 @@ def choose_order(w: np.ndarray, differences: int) -> dict:
         start, orders, ar_lags, ma_lags = 0, [(0, 0, 0)], [], []
     elif not longest_p:
         ar_lags.remove(PERIOD)
-    y, n = w[start:], len(w) - start
+    y, n, place = w[start:], len(w) - start, np.arange(start, len(w))
     columns = [np.ones((n, 1))]
     columns += [_lagged(w, ar_lags, start), _lagged(shocks, ma_lags, start)] if ar_lags else []
     x = np.hstack(columns)
@@ -185,8 +185,8 @@ def choose_order(w: np.ndarray, differences: int) -> dict:
     if full.sum() < 3 and ar_lags:
         # Gaps leave no design row to speak of: the level is all that can be had.
         orders, ar_lags, ma_lags = [(0, 0, 0)], [], []
-        y, x, full = w, np.ones((len(w), 1)), known
-    x, y, n = x[full], y[full], int(full.sum())
+        y, x, full, place = w, np.ones((len(w), 1)), known, np.arange(len(w))
+    x, y, n, place = x[full], y[full], int(full.sum()), place[full]
     xx, xy = x.T @ x, x.T @ y
     fits = []
     for p, q, seasonal_p in orders:
@@ -196,18 +196,23 @@ def choose_order(w: np.ndarray, differences: int) -> dict:
         if n - k - 1 <= 0 and (p, q, seasonal_p) != (0, 0, 0):
             continue
         beta = np.linalg.lstsq(xx[np.ix_(used, used)], xy[used], rcond=None)[0]
-        sse = float(np.sum((y - x[:, used] @ beta) ** 2))
+        left = y - x[:, used] @ beta
+        sse = float(np.sum(left**2))
         room = max(n - k - 1, 1)
         aicc = n * np.log(max(sse, 1e-12) / max(n, 1)) + 2 * k + 2 * k * (k + 1) / room
         phi, theta = np.zeros(PERIOD), np.zeros(MAX_Q)
         phi[[ar_lags[i - 1] - 1 for i in ar]] = beta[constant : constant + len(ar)]
         theta[:q] = beta[len(beta) - q :]
         offset = float(beta[0]) + mean * (1 - phi.sum()) if constant else 0.0
-        fits.append((aicc, p, q, seasonal_p, sse, offset, phi, theta))
+        fits.append((aicc, p, q, seasonal_p, sse, offset, phi, theta, left))
     fits.sort(key=lambda fit: fit[:4])
     best = next(fit for fit in fits if _stable(fit[6]) and _stable(-fit[7]))
     names = ["aicc", "p", "q", "seasonal_p", "sse", "offset", "phi", "theta"]
-    return {**dict(zip(names, best)), "shocks": shocks[: -MAX_Q - 1 : -1]}
+    residuals = [None] * len(w)
+    for at, value in zip(place.tolist(), best[-1].tolist()):
+        residuals[at] = value
+    more = {"shocks": shocks[: -MAX_Q - 1 : -1], "residuals": residuals, "variance": best[4] / max(n, 1)}
+    return {**dict(zip(names, best)), **more}
 
 
 def level_weights(phi: np.ndarray, d: int, seasonal_d: int) -> np.ndarray:
@@ -223,8 +228,8 @@ FITTED = StructType(
     [
         *[StructField(c, IntegerType()) for c in ("p", "q", "seasonal_p")],
         StructField("offset", DoubleType()),
-        *[StructField(c, ArrayType(DoubleType())) for c in ("weights", "theta", "shocks")],
-        *[StructField(c, DoubleType()) for c in ("sse", "aicc")],
+        *[StructField(c, ArrayType(DoubleType())) for c in ("weights", "theta", "shocks", "residuals")],
+        *[StructField(c, DoubleType()) for c in ("sse", "aicc", "variance")],
     ]
 )
 
@@ -240,7 +245,11 @@ def _estimate(w: pd.Series, d: pd.Series, seasonal_d: pd.Series) -> pd.DataFrame
 
 
 def fit(panel: DataFrame) -> DataFrame:
-    """One row per series: orders, weights of past values and shocks, and the last months."""
+    """One row per series: orders, weights of past values and shocks, and the last months.
+
+    ``residuals`` are those of the design rows, the last one that of the last month, missing elsewhere;
+    ``variance`` is theirs.
+    """
     fitted = differencing_orders(panel).withColumn("best", _estimate("w", "d", "seasonal_d"))
     longest = 2 * PERIOD + 1
     orders = F.format_string(
@@ -251,10 +260,11 @@ def fit(panel: DataFrame) -> DataFrame:
     return fitted.select(*columns, orders.alias("form"), recent)
 
 
-def predict(fitted: DataFrame, dates: DataFrame) -> DataFrame:
-    """``(series_id, ds, value)`` for rows ``(series_id, ds)`` after the last fitted month.
+def predict(fitted: DataFrame, dates: DataFrame, spread: bool = False) -> DataFrame:
+    """``(series_id, ds, value)`` for rows ``(series_id, ds)`` after the last fitted month, ``spread`` if asked.
 
-    The recurrence runs once per series, up to its furthest month, and each month is then read off.
+    The recurrence runs once per series, up to its furthest month, and each month is then read off. So does
+    the response to a single shock, whose squares add up to the variance of a month around its prediction.
     """
     wanted = dates.groupBy("series_id").agg(
         F.max("ds").alias("furthest"), F.collect_list("ds").alias("months")
@@ -272,10 +282,28 @@ def predict(fitted: DataFrame, dates: DataFrame) -> DataFrame:
         pulls = F.zip_with("weights", past, lambda a, v: F.coalesce(a * v, F.lit(0.0)))
         return F.concat(F.array(F.col("offset") + _total(pulls) + shock(i)), past)
 
-    path = F.aggregate(F.sequence(F.lit(1), ahead), F.col("recent"), step)
-    months = rows.select("series_id", "last", ahead.alias("ahead"), path.alias("path"), "months")
-    each = months.select("series_id", "last", "ahead", "path", F.explode("months").alias("ds"))
-    position = F.col("ahead") - F.months_between("ds", "last").cast("int")
+    def response(past: Column, i: Column) -> Column:
+        pulls = F.zip_with("weights", past, lambda a, v: F.coalesce(a * v, F.lit(0.0)))
+        return F.concat(F.array(F.coalesce(F.get("theta", i - 1), F.lit(0.0)) + _total(pulls)), past)
+
+    months = F.sequence(F.lit(1), ahead)
+    columns = {"path": F.aggregate(months, F.col("recent"), step)}
+    if spread:
+        columns["responses"] = F.reverse(F.aggregate(months, F.array(F.lit(1.0)), response))
+    paths = [column.alias(name) for name, column in columns.items()]
+    each = rows.select("series_id", "last", "variance", ahead.alias("ahead"), *paths, F.explode("months").alias("ds"))
+    reached = F.months_between("ds", "last").cast("int")
+    squares = F.transform(F.slice("responses", F.lit(1), reached), lambda v: v * v)
+    more = [F.sqrt(F.col("variance") * _total(squares)).alias("spread")] if spread else []
     return each.filter(F.col("ds") > F.col("last")).select(
-        "series_id", "ds", F.get("path", position).alias("value")
+        "series_id", "ds", F.get("path", F.col("ahead") - reached).alias("value"), *more
     )
+
+
+def in_sample(fitted: DataFrame, panel: DataFrame) -> DataFrame:
+    """``(series_id, ds, value)``: the panel's values less the residuals of the fit, where it has them."""
+    rows = fitted.select("series_id", "last", F.size("residuals").alias("n"), F.posexplode("residuals").alias("at", "residual"))
+    ds = F.add_months("last", F.col("at") - F.col("n") + 1).alias("ds")
+    rows = rows.filter(F.col("residual").isNotNull()).select("series_id", ds, "residual")
+    joined = rows.join(panel.select("series_id", "ds", "y"), ["series_id", "ds"])
+    return joined.select("series_id", "ds", (F.col("y") - F.col("residual")).alias("value"))

@@ -19,7 +19,8 @@ class Family:
     model_id: int
     model_desc: str
     fit: Callable[[DataFrame], DataFrame]
-    predict: Callable[[DataFrame, DataFrame], DataFrame]
+    predict: Callable[..., DataFrame]
+    in_sample: Callable[[DataFrame, DataFrame], DataFrame]
     form: str
     coefficients: str
 
@@ -31,6 +32,7 @@ FAMILIES = (
         "ARIMA",
         autoregression.fit,
         autoregression.predict,
+        autoregression.in_sample,
         "form",
         "concat(array(offset), weights, theta)",
     ),
@@ -39,6 +41,7 @@ FAMILIES = (
         "PROPHET",
         trend_season.fit,
         trend_season.predict,
+        trend_season.in_sample,
         "format_string('trend with %d changepoints and yearly season', bends)",
         "beta",
     ),
@@ -47,6 +50,7 @@ FAMILIES = (
         "ETS",
         smoothing.fit,
         smoothing.predict,
+        smoothing.in_sample,
         "form",
         "concat(array(alpha, beta, gamma, phi, level, slope), season_terms)",
     ),
@@ -98,6 +102,40 @@ def predict_models(models: Models, dates: DataFrame) -> DataFrame:
     )
 
 
+def fitted_values(models: Models, panel: DataFrame) -> DataFrame:
+    """``(series_id, model_id, model_desc, ds, value)``: what every model makes of the months it was fitted to.
+
+    ARIMA and ETS tell what they expected of a month from the months before it, which the first months do not
+    have; PROPHET its curve.
+    """
+    return _stacked(
+        [_tagged(family.in_sample(fitted, panel), family, "ds", "value") for family, fitted in models]
+    )
+
+
+def model_intervals(models: Models, dates: DataFrame, level: float = 0.95) -> DataFrame:
+    """Predictions with normal intervals of the models' own, which widen with the months ahead.
+
+    ``closed`` tells whether the form has such an interval; ETS with a multiplicative season has none, and
+    its bounds are missing.
+    """
+    z = NormalDist().inv_cdf(0.5 + level / 2)
+    ahead = _stacked(
+        [
+            _tagged(family.predict(fitted, dates, spread=True), family, "ds", "value", "spread")
+            for family, fitted in models
+        ]
+    )
+    return ahead.select(
+        *MODEL_KEYS,
+        "ds",
+        "value",
+        (F.col("value") - z * F.col("spread")).alias("conf_lo"),
+        (F.col("value") + z * F.col("spread")).alias("conf_hi"),
+        F.col("spread").isNotNull().alias("closed"),
+    )
+
+
 def calibrate(models: Models, test: DataFrame) -> DataFrame:
     """Observed, predicted and residual per model and held-out month."""
     return residuals(predict_models(models, test), test)

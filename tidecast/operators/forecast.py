@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tidecast.functions.dates import date_literal, year_month, year_month_text
 from tidecast.functions.numbers import strict_sum
-from tidecast.operators.evaluate import Models, fit_models, predict_models, with_interval
+from tidecast.operators.evaluate import Models, fit_models, fitted_values, predict_models, with_interval
 from tidecast.operators.split import future_frame
 
 ACTUAL, PREDICTION = "actual", "prediction"
@@ -26,14 +26,8 @@ def forecast_future(models: Models, panel: DataFrame, horizon: int) -> DataFrame
 
 
 def in_sample(models: Models, panel: DataFrame) -> DataFrame:
-    """Fitted values on the months of the panel, for models defined on past dates.
-
-    ARIMA and ETS predict only what comes after their last month, and asking them is an error.
-    """
-    ahead_only = [family.model_desc for family, _ in models if family.model_desc != "PROPHET"]
-    if ahead_only:
-        raise ValueError(f"no values on past months from {', '.join(ahead_only)}")
-    return predict_models(models, panel)
+    """Fitted values on the months of the panel that a model has one for."""
+    return fitted_values(models, panel)
 
 
 def forecast_with_actuals(

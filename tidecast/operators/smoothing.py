@@ -1,8 +1,8 @@
 """Exponential smoothing with automatic choice of form, searched over a fixed candidate grid.
 
 Each candidate is a form (trend none, additive or damped; season none, additive or multiplicative)
-with its smoothing weights. All candidates of a series are carried through the months together, one
-vector operation per step; the smallest corrected AIC wins and ties go to the earlier candidate.
+with its smoothing weights. All candidates of many series are carried through the months together, one
+array operation per step; the smallest corrected AIC wins and ties go to the earlier candidate.
 A missing month moves the level along the trend and changes nothing else. Seasonal forms need two
 calendar years with values, multiplicative ones values above zero; ``left_out`` names the seasons that
 a series could not have.
@@ -15,7 +15,7 @@ from itertools import product
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import (
     ArrayType,
@@ -97,30 +97,87 @@ def left_out(y: np.ndarray) -> list[str]:
     return ["M"] if np.nanmin(y) <= 0 else []
 
 
-def search(y: np.ndarray, grid: pd.DataFrame) -> tuple:
-    """The best candidate of one series: its number, last state, squared error and AICc."""
-    grid = grid[~grid["season"].isin(left_out(y))]
-    season, times = grid["season"].to_numpy(), (grid["season"] == "M").to_numpy()
+#: Series that are searched side by side.
+TOGETHER = 32
+
+
+def search_many(series: list[np.ndarray], grid: pd.DataFrame) -> list[tuple]:
+    """The best candidate of each series: its number, last state, squared error and AICc.
+
+    Arrays are (series, candidate); a series takes part from the month after its start to its last one.
+    """
+    season, trended = grid["season"].to_numpy(), (grid["trend"] != "N").to_numpy()
+    product = np.flatnonzero(season == "M")
+    if product.size and product.size == product[-1] - product[0] + 1:
+        product = slice(product[0], product[-1] + 1)
     alpha, beta, gamma, phi = grid[["alpha", "beta", "gamma", "phi"]].to_numpy().T
-    used, level, slope, terms = start_values(y, (grid["trend"] != "N").to_numpy(), season)
-    sse = np.zeros(len(grid))
+    starts = [start_values(y, trended, season) for y in series]
+    used = np.array([start[0] for start in starts])
+    level, slope = (np.stack([start[i] for start in starts]) for i in (1, 2))
+    terms = np.stack([start[3] for start in starts], axis=1)  # (calendar month, series, candidate)
+    size = np.array([len(y) for y in series])
+    values = np.full((len(series), size.max()), np.nan)
+    for row, y in zip(values, series):
+        row[: len(y)] = y
+    sse = np.zeros(level.shape)
     with np.errstate(all="ignore"):
-        for month in range(used, len(y)):
-            line, term = level + phi * slope, terms[month % PERIOD].copy()
-            if np.isnan(y[month]):
-                level, slope = line, phi * slope
-                continue
-            error = y[month] - np.where(times, line * term, line + term)
-            pull = np.where(times, error / term, error)
-            level, slope = line + alpha * pull, phi * slope + beta * pull
-            terms[month % PERIOD] = term + gamma * np.where(times, error / line, error)
-            sse += error * error
-        n, k = int((~np.isnan(y[used:])).sum()), grid["k"].to_numpy()
-        fit = n * np.log(np.maximum(sse, 1e-12) / max(n, 1)) + 2 * k
+        for month in range(int(used.min()), values.shape[1]):
+            going = np.flatnonzero((month >= used) & (month < size))
+            if going.size == len(series):
+                going = slice(None)  # a view instead of a copy
+            y = values[going, month][:, None]
+            known = ~np.isnan(y)
+            line, term = level[going] + phi * slope[going], terms[month % PERIOD, going]
+            expected = line + term
+            expected[:, product] = line[:, product] * term[:, product]
+            error = y - expected
+            error[~known[:, 0]] = 0.0
+            pull, turn = error.copy(), error.copy()
+            pull[:, product] /= term[:, product]
+            turn[:, product] /= line[:, product]
+            if not known.all():
+                pull[~known[:, 0]] = turn[~known[:, 0]] = 0.0
+            level[going], slope[going] = line + alpha * pull, phi * slope[going] + beta * pull
+            terms[month % PERIOD, going] = term + gamma * turn
+            sse[going] += error * error
+        n = np.array([[(~np.isnan(y[first:])).sum()] for y, first in zip(series, used)])
+        k = grid["k"].to_numpy()
+        fit = n * np.log(np.maximum(sse, 1e-12) / np.maximum(n, 1)) + 2 * k
         aicc = np.where(n - k - 1 > 0, fit + 2 * k * (k + 1) / (n - k - 1), np.inf)
-    best = int(np.argmin(np.where(np.isfinite(sse), aicc, np.inf)))
-    ahead = np.roll(terms[:, best], -(len(y) % PERIOD))
-    return int(grid["grid_id"].iloc[best]), level[best], slope[best], ahead, sse[best], aicc[best]
+    allowed = np.array([~np.isin(season, left_out(y)) for y in series])
+    # Among candidates that the series may have, the first one if none has a finite score.
+    order = np.where(np.isfinite(sse) & allowed, aicc, np.inf)
+    best = [int(np.argmin(o)) if np.isfinite(o).any() else int(np.argmax(a)) for o, a in zip(order, allowed)]
+    found = []
+    for i, b in enumerate(best):
+        ahead = np.roll(terms[:, i, b], -(int(size[i]) % PERIOD))
+        found.append((int(grid["grid_id"].iloc[b]), level[i, b], slope[i, b], ahead, sse[i, b], aicc[i, b]))
+    return found
+
+
+def search(y: np.ndarray, grid: pd.DataFrame) -> tuple:
+    """The best candidate of one series; see ``search_many``."""
+    return search_many([y], grid)[0]
+
+
+def one_step(y: np.ndarray, candidate) -> list[float | None]:
+    """What a candidate expected of each month from the months before; none for those the start used up."""
+    times = candidate.season == "M"
+    used, levels, slopes, terms = start_values(
+        y, np.array([candidate.trend != "N"]), np.array([candidate.season], dtype=object)
+    )
+    level, slope, terms = float(levels[0]), float(slopes[0]), terms[:, 0].tolist()
+    expected: list[float | None] = [None] * used
+    for month in range(used, len(y)):
+        line, term = level + candidate.phi * slope, terms[month % PERIOD]
+        expected.append(line * term if times else line + term)
+        level, slope = line, candidate.phi * slope
+        if not np.isnan(y[month]):
+            error = y[month] - expected[-1]
+            pull = error / term if times else error
+            level, slope = level + candidate.alpha * pull, slope + candidate.beta * pull
+            terms[month % PERIOD] = term + candidate.gamma * (error / line if times else error)
+    return expected
 
 
 FITTED = StructType(
@@ -131,8 +188,9 @@ FITTED = StructType(
         *[StructField(c, DoubleType()) for c in ("alpha", "beta", "gamma", "phi")],
         *[StructField(c, DoubleType()) for c in ("level", "slope")],
         StructField("season_terms", ArrayType(DoubleType())),
-        *[StructField(c, DoubleType()) for c in ("sse", "aicc")],
+        *[StructField(c, DoubleType()) for c in ("sse", "aicc", "variance")],
         StructField("left_out", ArrayType(StringType())),
+        StructField("one_step", ArrayType(DoubleType())),
     ]
 )
 
@@ -140,7 +198,8 @@ FITTED = StructType(
 def fit(panel: DataFrame, grid: pd.DataFrame | None = None) -> DataFrame:
     """One row per series: the chosen form and weights, its last state and its corrected AIC.
 
-    ``season_terms`` starts with the term of the first month after the series.
+    ``season_terms`` starts with the term of the first month after the series, ``one_step`` holds what was
+    expected of each month, and ``variance`` is that of its errors.
     """
     grid = candidates() if grid is None else grid
     chosen = grid.set_index("grid_id")
@@ -148,13 +207,17 @@ def fit(panel: DataFrame, grid: pd.DataFrame | None = None) -> DataFrame:
     @F.pandas_udf(FITTED)
     def best(series: pd.Series) -> pd.DataFrame:
         rows = []
-        for values in series:
-            y = np.asarray(values, dtype=float)
-            number, level, slope, terms, sse, aicc = search(y, grid)
+        every = [np.asarray(values, dtype=float) for values in series]
+        parts = [every[i : i + TOGETHER] for i in range(0, len(every), TOGETHER)]
+        found = [one for part in parts for one in search_many(part, grid)]
+        for y, (number, level, slope, terms, sse, aicc) in zip(every, found):
             c = chosen.loc[number]
             form = f"ETS(A,{c.trend},{c.season})"
             weights = (c.alpha, c.beta, c.gamma, c.phi)
-            rows.append((number, form, c.season, *weights, level, slope, terms, sse, aicc, left_out(y)))
+            expected = one_step(y, c)
+            scored = sum(e is not None and not np.isnan(v) for e, v in zip(expected, y))
+            state = (level, slope, terms, sse, aicc, sse / max(scored, 1))
+            rows.append((number, form, c.season, *weights, *state, left_out(y), expected))
         return pd.DataFrame(rows, columns=FITTED.fieldNames())
 
     length = F.size(F.filter("ys", lambda y: y.isNotNull())).alias("n_obs")
@@ -162,15 +225,43 @@ def fit(panel: DataFrame, grid: pd.DataFrame | None = None) -> DataFrame:
     return fitted.select("series_id", "last", "n_obs", "best.*")
 
 
-def predict(fitted: DataFrame, dates: DataFrame) -> DataFrame:
-    """``(series_id, ds, value)`` for rows ``(series_id, ds)`` after the last fitted month."""
-    rows = dates.select("series_id", "ds").join(fitted, "series_id")
-    ahead = F.months_between("ds", "last").cast("int")
+def _reach(steps: Column) -> Column:
+    """``phi + phi^2 + ... + phi^steps``."""
     phi = F.col("phi")
-    # phi + phi^2 + ... + phi^ahead
-    damped = F.try_divide(phi * (1 - F.pow(phi, ahead)), 1 - phi)
-    reach = F.when(phi == 1.0, ahead.cast("double")).otherwise(damped)
-    line = F.col("level") + reach * F.col("slope")
+    damped = F.try_divide(phi * (1 - F.pow(phi, steps)), 1 - phi)
+    return F.when(phi == 1.0, steps.cast("double")).otherwise(damped)
+
+
+def _spread(ahead: Column) -> Column:
+    """Standard deviation of a month around its prediction; missing for the multiplicative season.
+
+    An error moves the prediction ``j`` months later by ``alpha + beta (phi + ... + phi^j)``, and by ``gamma``
+    more in the same calendar month.
+    """
+
+    def moved(j: Column) -> Column:
+        yearly = F.when((F.col("season") == "A") & (j % PERIOD == 0), F.col("gamma")).otherwise(0.0)
+        return F.when(j == 0, 1.0).otherwise(F.col("alpha") + F.col("beta") * _reach(j) + yearly)
+
+    responses = F.transform(F.sequence(F.lit(0), ahead - 1), moved)
+    squares = F.aggregate(responses, F.lit(0.0), lambda acc, c: acc + c * c)
+    return F.when(F.col("season") != "M", F.sqrt(F.col("variance") * squares))
+
+
+def predict(fitted: DataFrame, dates: DataFrame, spread: bool = False) -> DataFrame:
+    """``(series_id, ds, value)`` for rows ``(series_id, ds)`` after the last fitted month, ``spread`` if asked."""
+    rows = dates.select("series_id", "ds").join(fitted, "series_id").filter(F.col("ds") > F.col("last"))
+    ahead = F.months_between("ds", "last").cast("int")
+    line = F.col("level") + _reach(ahead) * F.col("slope")
     term = F.get("season_terms", F.pmod(ahead - 1, F.lit(PERIOD)))
     value = F.when(F.col("season") == "M", line * term).otherwise(line + term)
-    return rows.filter(F.col("ds") > F.col("last")).select("series_id", "ds", value.alias("value"))
+    more = [_spread(ahead).alias("spread")] if spread else []
+    return rows.select("series_id", "ds", value.alias("value"), *more)
+
+
+def in_sample(fitted: DataFrame, panel: DataFrame) -> DataFrame:
+    """``(series_id, ds, value)``: what was expected of each fitted month that the panel has."""
+    rows = fitted.select("series_id", "last", F.size("one_step").alias("n"), F.posexplode("one_step").alias("at", "value"))
+    ds = F.add_months("last", F.col("at") - F.col("n") + 1).alias("ds")
+    rows = rows.filter(F.col("value").isNotNull()).select("series_id", ds, "value")
+    return rows.join(panel.select("series_id", "ds"), ["series_id", "ds"], "left_semi")

@@ -13,7 +13,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, IntegerType, StructField, StructType
+from pyspark.sql.types import BooleanType, DoubleType, IntegerType, StructField, StructType
 
 from tidecast.operators.least_squares import DOUBLES, cross_products, unpack
 from tidecast.operators.packing import by_series
@@ -63,6 +63,12 @@ def design(panel: DataFrame) -> DataFrame:
     return rows.withColumn("x", regressors())
 
 
+def noise_variance(sse: float, n: int) -> float:
+    """Mode of ``n log(s) + sse / (2 s^2) + s^2 / (2 NOISE_SCALE^2)`` over the variance ``s^2``."""
+    c = 1 / NOISE_SCALE**2
+    return max((np.sqrt(n * n + 4 * c * max(sse, 1e-12)) - n) / (2 * c), 1e-12)
+
+
 def posterior_mode(
     xx: np.ndarray,
     xy: np.ndarray,
@@ -108,10 +114,7 @@ def posterior_mode(
         if abs(pull[enters]) > 1 + 1e-9:
             sign[enters] = np.sign(pull[enters])
             continue
-        sse = max(yy - 2 * u @ target + u @ gram @ u, 1e-12)
-        # Mode of n log(s) + sse / (2 s^2) + s^2 / (2 NOISE_SCALE^2) over the variance s^2.
-        c = 1 / NOISE_SCALE**2
-        before, noise = noise, max((np.sqrt(n * n + 4 * c * sse) - n) / (2 * c), 1e-12)
+        before, noise = noise, noise_variance(yy - 2 * u @ target + u @ gram @ u, n)
         if abs(noise - before) <= tolerance * before:
             return root * u, taken, True
     return root * u, steps, False
@@ -122,14 +125,20 @@ MODE = StructType(
         StructField("beta", DOUBLES),
         StructField("steps", IntegerType()),
         StructField("converged", BooleanType()),
+        StructField("noise", DoubleType()),
     ]
 )
 
 
 @F.pandas_udf(MODE)
 def _solve(products: pd.Series, n: pd.Series) -> pd.DataFrame:
-    found = [posterior_mode(*unpack(p), int(k)) for p, k in zip(products, n)]
-    return pd.DataFrame(found, columns=["beta", "steps", "converged"])
+    found = []
+    for flat, months in zip(products, n):
+        xx, xy, yy = unpack(flat)
+        beta, steps, converged = posterior_mode(xx, xy, yy, int(months))
+        noise = noise_variance(yy - 2 * beta @ xy + beta @ xx @ beta, int(months))
+        found.append((beta, steps, converged, noise))
+    return pd.DataFrame(found, columns=MODE.fieldNames())
 
 
 def fit(panel: DataFrame) -> DataFrame:
@@ -154,9 +163,28 @@ def fit(panel: DataFrame) -> DataFrame:
     ).select("series_id", "first", "span", "scale", "bends", "n_obs", "mode.*")
 
 
-def predict(fitted: DataFrame, dates: DataFrame) -> DataFrame:
-    """``(series_id, ds, value)`` for rows ``(series_id, ds)``, past or future."""
+def _spread() -> Column:
+    """Standard deviation of a month around its prediction, on the scale of ``y / scale``.
+
+    Slope changes go on after the series as often as there are changepoints within it, each Laplace with
+    the mean size of the fitted ones. A change at ``s`` moves the trend at ``t`` by ``t - s`` times its size, so
+    together they add ``rate * 2 size^2 * t^3 / 3`` to the variance of the noise.
+    """
+    ahead = F.greatest(F.datediff("ds", "first") / F.col("span") - 1, F.lit(0.0))
+    changes = F.aggregate(F.slice("beta", F.lit(3), F.col("bends")), F.lit(0.0), lambda acc, b: acc + F.abs(b))
+    size = F.when(F.col("bends") > 0, changes / F.col("bends")).otherwise(0.0)
+    return F.sqrt(F.col("noise") + F.col("bends") * 2 * size * size * ahead * ahead * ahead / 3)
+
+
+def predict(fitted: DataFrame, dates: DataFrame, spread: bool = False) -> DataFrame:
+    """``(series_id, ds, value)`` for rows ``(series_id, ds)``, past or future, and ``spread`` if asked."""
     rows = dates.select("series_id", "ds").join(fitted, "series_id")
     terms = F.zip_with(regressors(), F.col("beta"), lambda a, b: a * b)
     total = F.aggregate(terms, F.lit(0.0), lambda acc, term: acc + term)
-    return rows.select("series_id", "ds", (total * F.col("scale")).alias("value"))
+    more = [(_spread() * F.col("scale")).alias("spread")] if spread else []
+    return rows.select("series_id", "ds", (total * F.col("scale")).alias("value"), *more)
+
+
+def in_sample(fitted: DataFrame, panel: DataFrame) -> DataFrame:
+    """``(series_id, ds, value)`` on the months of the panel."""
+    return predict(fitted, panel)

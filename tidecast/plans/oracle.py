@@ -541,6 +541,53 @@ def _times_difference(polynomial: str, lag: str) -> str:
             - CASE WHEN i > {lag} THEN {polynomial}[i - {lag}] ELSE 0 END) END"""
 
 
+def arima_spread(tag: str, horizon: int) -> str:
+    """Standard deviations ahead: the response to one shock, squared and added up."""
+    return f"""
+levels_{tag} AS (
+    SELECT series_id, last, theta, sse / rows AS variance, list_transform(twice[2:], lambda v: -v) AS weights
+    FROM (SELECT *, {_times_difference("once", "(12 * seasonal_d)")} AS twice
+          FROM (SELECT *, {_times_difference("ar", "d")} AS once
+                FROM (SELECT *, list_prepend(1.0::DOUBLE, list_transform(phi, lambda v: -v)) AS ar
+                      FROM arima_{tag})))),
+responses_{tag} AS (
+    SELECT series_id, last, theta, variance, weights, 1 AS h, [1.0::DOUBLE] AS psi FROM levels_{tag}
+    UNION ALL
+    SELECT series_id, last, theta, variance, weights, h + 1, list_prepend(
+               coalesce(theta[h], 0) + list_sum(list_transform(psi, lambda v, k: v * coalesce(weights[k], 0))), psi)
+    FROM responses_{tag} WHERE h < {horizon}),
+spread_{tag} AS (
+    SELECT series_id, CAST(last + to_months(CAST(h AS INTEGER)) AS DATE) AS ds,
+           sqrt(variance * list_sum(list_transform(psi, lambda v: v * v))) AS spread
+    FROM responses_{tag})
+"""
+
+
+def ets_spread(tag: str, horizon: int) -> str:
+    """Standard deviations ahead from the weights; none for the multiplicative season."""
+    return f"""
+spread_{tag} AS (
+    SELECT series_id, CAST(last + to_months(CAST(h AS INTEGER)) AS DATE) AS ds,
+           CASE WHEN season <> 'M' THEN sqrt(sse / m * list_sum(list_transform(range(0, h), lambda j:
+               CASE WHEN j = 0 THEN 1 ELSE (alpha + gamma * (j % 12 = 0)::INTEGER + beta
+                   * CASE WHEN phi = 1 THEN j ELSE phi * (1 - phi ** j) / (1 - phi) END) ** 2 END))) END AS spread
+    FROM fit_{tag}, range(1, {horizon + 1}) AS months(h))
+"""
+
+
+def trend_spread(tag: str, dates: str) -> str:
+    """Standard deviations ahead: the noise, and slope changes as frequent and large as those before."""
+    return f"""
+spread_{tag} AS (
+    SELECT series_id, ds, scale * sqrt(noise + e.bends * 2 * size ** 2
+               * greatest((ds - first) / span - 1, 0) ** 3 / 3) AS spread
+    FROM {dates} JOIN axis_{tag} USING (series_id) JOIN (
+        SELECT series_id, noise, bends, CASE WHEN bends > 0 THEN list_sum(list_transform(
+                   beta[3 : 2 + bends::INTEGER], lambda v: abs(v))) / bends ELSE 0 END AS size
+        FROM ended_{tag}) e USING (series_id))
+"""
+
+
 REFIT = f"""{SCOPES}, {ets("scopes", "b")}, {ets_path("b", 42)}"""
 REGION_REFIT = f"""{PANEL}, {ets("p0", "b")}, {ets_path("b", 42)}"""
 
@@ -679,6 +726,10 @@ _WAVES = " UNION ALL ".join(
 
 ORACLES: dict[str, str] = {
     "month_count_sql": _extract("orders", "o_orderpriority", "o_orderdate", "1-URGENT"),
+    "priority_count_sql": """
+        SELECT split_part(o_orderpriority, '-', 2) AS priority, CAST(year(o_orderdate) AS INTEGER) AS ano,
+               count(*) AS total
+        FROM orders WHERE o_orderpriority NOT LIKE '%NOT SPECIFIED' GROUP BY 1, 2""",
     "month_series_by_region": f"WITH {PANEL} SELECT series_id, ds, y, 'atual' AS status FROM p0",
     "month_series_from_text": """
         SELECT n_name AS series_id, CAST(date_trunc('month', o_orderdate) AS DATE) AS ds,
@@ -753,6 +804,39 @@ ORACLES: dict[str, str] = {
         {trend_path("a", "train", "path_a")}
         SELECT series_id, ds, 2 AS model_id, 'PROPHET' AS model_desc, round(value, 6) AS value, y
         FROM path_a JOIN train USING (series_id, ds)""",
+    "fitted_values": f"""WITH RECURSIVE {SPLIT}, {ets("train", "a")}, {arima("train", "c")},
+        {trend("train", "b")}, {trend_path("b", "train", "path_b")},
+        ets_fits AS (
+            SELECT series_id, CAST(last - to_months(CAST(n - i - 1 AS INTEGER)) AS DATE) AS ds,
+                   CASE WHEN season = 'M' THEN (l + phi * b) * s[1] ELSE l + phi * b + s[1] END AS value
+            FROM fold_a JOIN (SELECT series_id, grid_id FROM fit_a) USING (series_id, grid_id) WHERE i < n),
+        places AS (
+            SELECT series_id, ds, y, row_number() OVER (PARTITION BY series_id ORDER BY ds) AS place
+            FROM calendar_c),
+        arima_fits AS (
+            SELECT series_id, ds, y - residual AS value
+            FROM (SELECT series_id, i + any_value(d + 12 * seasonal_d) AS place,
+                         sum(CASE WHEN term = 8 THEN value
+                                  WHEN list_contains(cols, term) THEN -value * beta[list_position(cols, term)]
+                                  ELSE 0 END) AS residual
+                  FROM columns_c JOIN arima_c USING (series_id) GROUP BY series_id, i)
+            JOIN places USING (series_id, place)),
+        every AS (
+            SELECT series_id, 1 AS model_id, 'ARIMA' AS model_desc, ds, value FROM arima_fits
+            UNION ALL SELECT series_id, 2, 'PROPHET', ds, value FROM path_b
+            UNION ALL SELECT series_id, 3, 'ETS', ds, value FROM ets_fits)
+        SELECT series_id, ds, model_id, model_desc, round(value, 6) AS value, y
+        FROM every JOIN train USING (series_id, ds)""",
+    "model_intervals": f"""WITH RECURSIVE {SCOPES}, {ALL_REFIT}, {arima_spread("arimaf", 42)},
+        {ets_spread("etsf", 42)}, {trend_spread("trendf", future("scopes", 42))},
+        spreads AS (
+            SELECT series_id, 1 AS model_id, ds, spread FROM spread_arimaf
+            UNION ALL SELECT series_id, 2, ds, spread FROM spread_trendf
+            UNION ALL SELECT series_id, 3, ds, spread FROM spread_etsf)
+        SELECT series_id, model_id, model_desc, ds, round(value, 6) AS value,
+               round(value - 1.959963984540054::DOUBLE * spread, 6) AS conf_lo,
+               round(value + 1.959963984540054::DOUBLE * spread, 6) AS conf_hi, spread IS NOT NULL AS closed
+        FROM predicted_f JOIN spreads USING (series_id, model_id, ds)""",
     "forecast_vs_observed": f"""WITH RECURSIVE {CUT_SPLIT}, {trend("train", "a")},
         {trend_path("a", future("train", 12), "path_a")}
         SELECT series_id, ds, round(value, 6) AS yhat, y

@@ -60,12 +60,14 @@ def rounded(df: DataFrame) -> DataFrame:
 # --- sources, projections, filters, joins, aggregates ------------------------------------------
 
 MONTH_COUNT = """
-    SELECT first(IDENTIFIER(:code)) AS code,
-           substring(date_format(IDENTIFIER(:date), 'dd.MMyyyy') FROM 4) AS mes_ano,
-           count(*) AS total
+    SELECT IDENTIFIER(:code) AS code, date_format(IDENTIFIER(:date), 'MMyyyy') AS mes_ano, count(*) AS total
     FROM {records}
     WHERE IDENTIFIER(:code) = :value
-    GROUP BY 2
+    GROUP BY ALL
+"""
+PRIORITY_COUNT = """
+    WITH named AS (SELECT substring(o_orderpriority FROM 3) AS priority, year(o_orderdate) AS ano FROM {orders})
+    SELECT priority, ano, count(*) AS total FROM named WHERE priority <> :left_out GROUP BY ALL
 """
 
 
@@ -79,6 +81,12 @@ def month_count_sql(spark, sf_dir):
     return _extract(spark, orders, "o_orderpriority", "o_orderdate", "1-URGENT")
 
 
+def priority_count_sql(spark, sf_dir):
+    """Orders per year and name of the priority, which is part of a text column."""
+    orders = b.table(spark, sf_dir, "orders")
+    return sql_extract(spark, PRIORITY_COUNT, {"left_out": "NOT SPECIFIED"}, orders=orders)
+
+
 def month_series_by_region(spark, sf_dir):
     return b.panel(spark, sf_dir).withColumn("status", F.lit("atual"))
 
@@ -388,6 +396,19 @@ def in_sample_fit(spark, sf_dir):
     return rounded(fitted.join(panel, ["series_id", "ds"]))
 
 
+def fitted_values(spark, sf_dir):
+    """What each model makes of the training months, beside the observed values."""
+    train, _ = _train_test(spark, sf_dir)
+    fitted = forecast.in_sample(evaluate.fit_models(train), train)
+    return rounded(fitted.join(train, ["series_id", "ds"]))
+
+
+def model_intervals(spark, sf_dir):
+    """Forecast months of all models with intervals that widen with the months ahead."""
+    panel = b.scopes(spark, sf_dir)
+    return rounded(evaluate.model_intervals(forecast.refit(panel), splits.future_frame(panel, HORIZON)))
+
+
 def _fixed_cut(spark, sf_dir, desc):
     """Fixed cut, thirteen held-out months, twelve forecast months joined to the observed ones."""
     split = splits.split_by_date(b.scopes(spark, sf_dir), CUT)
@@ -604,6 +625,7 @@ QUERIES: dict[str, Query] = {
     q.__name__: q
     for q in (
         month_count_sql,
+        priority_count_sql,
         month_series_by_region,
         month_series_from_text,
         code_prefix_join,
@@ -643,6 +665,8 @@ QUERIES: dict[str, Query] = {
         forecast_frame_80,
         observed_and_forecast,
         in_sample_fit,
+        fitted_values,
+        model_intervals,
         forecast_vs_observed,
         forecast_vs_observed_ets,
         mae_mape,
