@@ -98,7 +98,7 @@ def left_out(y: np.ndarray) -> list[str]:
 
 
 #: Series that are searched side by side.
-TOGETHER = 32
+TOGETHER = 128
 
 
 def search_many(series: list[np.ndarray], grid: pd.DataFrame) -> list[tuple]:
@@ -111,10 +111,13 @@ def search_many(series: list[np.ndarray], grid: pd.DataFrame) -> list[tuple]:
     if product.size and product.size == product[-1] - product[0] + 1:
         product = slice(product[0], product[-1] + 1)
     alpha, beta, gamma, phi = grid[["alpha", "beta", "gamma", "phi"]].to_numpy().T
-    starts = [start_values(y, trended, season) for y in series]
+    # Start values depend on the form alone.
+    _, example, of = np.unique([f"{t}{s}" for t, s in zip(trended, season)], return_index=True, return_inverse=True)
+    starts = [start_values(y, trended[example], season[example]) for y in series]
     used = np.array([start[0] for start in starts])
-    level, slope = (np.stack([start[i] for start in starts]) for i in (1, 2))
-    terms = np.stack([start[3] for start in starts], axis=1)  # (calendar month, series, candidate)
+    level, slope = (np.ascontiguousarray(np.stack([start[i] for start in starts])[:, of]) for i in (1, 2))
+    # (calendar month, series, candidate)
+    terms = np.ascontiguousarray(np.stack([start[3] for start in starts], axis=1)[:, :, of])
     size = np.array([len(y) for y in series])
     values = np.full((len(series), size.max()), np.nan)
     for row, y in zip(values, series):
@@ -162,21 +165,21 @@ def search(y: np.ndarray, grid: pd.DataFrame) -> tuple:
 
 def one_step(y: np.ndarray, candidate) -> list[float | None]:
     """What a candidate expected of each month from the months before; none for those the start used up."""
-    times = candidate.season == "M"
+    times, alpha, beta, gamma, phi = candidate.season == "M", candidate.alpha, candidate.beta, candidate.gamma, candidate.phi
     used, levels, slopes, terms = start_values(
         y, np.array([candidate.trend != "N"]), np.array([candidate.season], dtype=object)
     )
-    level, slope, terms = float(levels[0]), float(slopes[0]), terms[:, 0].tolist()
+    level, slope, terms, values = float(levels[0]), float(slopes[0]), terms[:, 0].tolist(), y.tolist()
     expected: list[float | None] = [None] * used
     for month in range(used, len(y)):
-        line, term = level + candidate.phi * slope, terms[month % PERIOD]
+        line, term = level + phi * slope, terms[month % PERIOD]
         expected.append(line * term if times else line + term)
-        level, slope = line, candidate.phi * slope
-        if not np.isnan(y[month]):
-            error = y[month] - expected[-1]
+        level, slope = line, phi * slope
+        error = values[month] - expected[-1]
+        if error == error:  # a missing month leaves no error
             pull = error / term if times else error
-            level, slope = level + candidate.alpha * pull, slope + candidate.beta * pull
-            terms[month % PERIOD] = term + candidate.gamma * (error / line if times else error)
+            level, slope = level + alpha * pull, slope + beta * pull
+            terms[month % PERIOD] = term + gamma * (error / line if times else error)
     return expected
 
 
@@ -202,7 +205,7 @@ def fit(panel: DataFrame, grid: pd.DataFrame | None = None) -> DataFrame:
     expected of each month, and ``variance`` is that of its errors.
     """
     grid = candidates() if grid is None else grid
-    chosen = grid.set_index("grid_id")
+    chosen = {c.grid_id: c for c in grid.itertuples(index=False)}
 
     @F.pandas_udf(FITTED)
     def best(series: pd.Series) -> pd.DataFrame:
@@ -211,7 +214,7 @@ def fit(panel: DataFrame, grid: pd.DataFrame | None = None) -> DataFrame:
         parts = [every[i : i + TOGETHER] for i in range(0, len(every), TOGETHER)]
         found = [one for part in parts for one in search_many(part, grid)]
         for y, (number, level, slope, terms, sse, aicc) in zip(every, found):
-            c = chosen.loc[number]
+            c = chosen[number]
             form = f"ETS(A,{c.trend},{c.season})"
             weights = (c.alpha, c.beta, c.gamma, c.phi)
             expected = one_step(y, c)
