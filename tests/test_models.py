@@ -221,3 +221,18 @@ def test_in_sample_values_cover_the_history(seasonal):
     fitted = forecast.in_sample(models, seasonal).join(seasonal, ["series_id", "ds"])
     assert fitted.count() == 144
     assert fitted.agg(F.max(F.abs(F.col("value") - F.col("y")))).first()[0] < 20
+
+
+def test_series_searched_together_are_found_as_one_by_one():
+    rng = np.random.default_rng(5)
+    series = [rng.normal(size=n).cumsum() * size for n in (1, 9, 30, 35, 36, 80) for size in (1e-2, 1.0, 1e4)]
+    series += [np.full(50, 3.0), np.full(4, np.nan), np.where(rng.random(60) < 0.3, np.nan, rng.normal(size=60))]
+    differences = [i % 3 for i in range(len(series))]
+    together = autoregression.choose_orders(series, differences)
+    for w, d, found in zip(series, differences, together):
+        alone = autoregression.choose_order(w, d)
+        assert [found[key] for key in ("p", "q", "seasonal_p")] == [alone[key] for key in ("p", "q", "seasonal_p")]
+        assert np.allclose(found["phi"], alone["phi"]) and np.allclose(found["theta"], alone["theta"])
+        assert found["aicc"] == pytest.approx(alone["aicc"])
+        known = [r for r in found["residuals"] if r is not None]
+        assert found["sse"] == pytest.approx(sum(r * r for r in known))

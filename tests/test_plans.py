@@ -8,7 +8,7 @@ import io
 import pytest
 from pyspark.sql import functions as F
 
-from tidecast.operators import packing, panel, reshape, smoothing, split
+from tidecast.operators import evaluate, packing, panel, reshape, smoothing, split
 from tidecast.plans import bindings
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -120,3 +120,14 @@ def test_events_meet_the_regions_before_they_are_counted(spark):
 def test_a_series_named_like_the_total_is_an_error(monthly):
     with pytest.raises(Exception, match="name of the total"):
         panel.with_total_series(monthly({"ALL": [1.0], "a": [2.0]})).collect()
+
+
+def test_calibration_joins_by_series_only(spark, monthly):
+    parts = split.split_by_duration(monthly({"a": range(40), "b": range(40)}))
+    models = evaluate.fit_models(split.training(parts))
+    rows = evaluate.calibrate(models, split.testing(parts))
+    joins = [line for line in rows._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Join " in line]
+    assert len(joins) == 3
+    assert not any("ds#" in line.split("(", 1)[1] and "= ds#" in line for line in joins)
+    assert rows.count() == 3 * 2 * 12
+    assert rows.filter("abs(residual - (actual - prediction)) > 1e-9 or actual is null").count() == 0

@@ -26,6 +26,20 @@ from tidecast.operators.panel import complete_months
 
 PERIOD = 12
 MAX_P, MAX_Q, MAX_SEASONAL_P = 3, 2, 1
+#: Series whose candidates are solved side by side.
+TOGETHER = 128
+
+#: Every candidate ``(p, q, P)``, and which columns it uses: constant, past values, past shocks.
+ORDERS = np.array(list(product(range(MAX_P + 1), range(MAX_Q + 1), range(MAX_SEASONAL_P + 1))))
+AR_LAGS, MA_LAGS = [*range(1, MAX_P + 1), PERIOD], list(range(1, MAX_Q + 1))
+USES = np.column_stack(
+    [
+        np.ones(len(ORDERS), dtype=bool),
+        ORDERS[:, :1] >= np.arange(1, MAX_P + 1),
+        ORDERS[:, 2:] == MAX_SEASONAL_P,
+        ORDERS[:, 1:2] >= np.array(MA_LAGS),
+    ]
+)
 
 # Seasonal strength above which a series is differenced over the year, and the 5 %
 # critical value of the KPSS statistic for a stable level.
@@ -157,62 +171,88 @@ def _stable(coefficients: np.ndarray) -> bool:
     return bool(np.all(np.abs(np.roots(np.r_[1.0, -coefficients])) < 0.999))
 
 
-def choose_order(w: np.ndarray, differences: int) -> dict:
-    """The stable, invertible candidate with the smallest corrected AIC on common months.
+def _design(w: np.ndarray, constant: bool) -> tuple:
+    """Design rows and their targets, the rows' places, the orders a series may have, its mean and shocks.
 
-    A series without enough months for lags gets its mean, or no drift after two differences. Fits
-    with a constant run on deviations from the mean, which keeps their cross products accurate.
-    ``w`` may have missing values (NaN) in their places.
+    Columns that a series cannot have are zero. A series without enough months for lags, or with too many
+    gaps between them, has its level only.
     """
-    constant = int(differences < 2)
     known = ~np.isnan(w)
     mean = float(w[known].mean()) if constant and known.any() else 0.0
     w = w - mean
     shocks = _shocks(w)
     longest_p = MAX_SEASONAL_P if len(w) >= 3 * PERIOD else 0
     start = max(min(PERIOD, len(w) // 5) + MAX_Q, MAX_P, PERIOD * longest_p)
-    orders = list(product(range(MAX_P + 1), range(MAX_Q + 1), range(longest_p + 1)))
-    ar_lags, ma_lags = [*range(1, MAX_P + 1), PERIOD], list(range(1, MAX_Q + 1))
-    if len(w) < start + 3:
-        start, orders, ar_lags, ma_lags = 0, [(0, 0, 0)], [], []
-    elif not longest_p:
-        ar_lags.remove(PERIOD)
-    y, n, place = w[start:], len(w) - start, np.arange(start, len(w))
-    columns = [np.ones((n, 1))]
-    columns += [_lagged(w, ar_lags, start), _lagged(shocks, ma_lags, start)] if ar_lags else []
-    x = np.hstack(columns)
-    full = ~np.isnan(np.column_stack([x, y])).any(axis=1)
-    if full.sum() < 3 and ar_lags:
-        # Gaps leave no design row to speak of: the level is all that can be had.
-        orders, ar_lags, ma_lags = [(0, 0, 0)], [], []
-        y, x, full, place = w, np.ones((len(w), 1)), known, np.arange(len(w))
-    x, y, n, place = x[full], y[full], int(full.sum()), place[full]
-    xx, xy = x.T @ x, x.T @ y
-    fits = []
-    for p, q, seasonal_p in orders:
-        ar = [*range(1, p + 1), *[MAX_P + 1] * seasonal_p]
-        used = [0] * constant + ar + [1 + len(ar_lags) + j for j in range(q)]
-        k = len(used) + 1
-        if n - k - 1 <= 0 and (p, q, seasonal_p) != (0, 0, 0):
-            continue
-        beta = np.linalg.lstsq(xx[np.ix_(used, used)], xy[used], rcond=None)[0]
-        left = y - x[:, used] @ beta
-        sse = float(np.sum(left**2))
-        room = max(n - k - 1, 1)
-        aicc = n * np.log(max(sse, 1e-12) / max(n, 1)) + 2 * k + 2 * k * (k + 1) / room
-        phi, theta = np.zeros(PERIOD), np.zeros(MAX_Q)
-        phi[[ar_lags[i - 1] - 1 for i in ar]] = beta[constant : constant + len(ar)]
-        theta[:q] = beta[len(beta) - q :]
-        offset = float(beta[0]) + mean * (1 - phi.sum()) if constant else 0.0
-        fits.append((aicc, p, q, seasonal_p, sse, offset, phi, theta, left))
-    fits.sort(key=lambda fit: fit[:4])
-    best = next(fit for fit in fits if _stable(fit[6]) and _stable(-fit[7]))
-    names = ["aicc", "p", "q", "seasonal_p", "sse", "offset", "phi", "theta"]
+    x, allowed = np.zeros((len(w), USES.shape[1])), ORDERS[:, 2] <= longest_p
+    x[:, 0], full = 1.0, np.zeros(len(w), dtype=bool)
+    if len(w) >= start + 3:
+        lags = AR_LAGS if longest_p else AR_LAGS[:MAX_P]
+        x[start:, 1 : 1 + len(lags)] = _lagged(w, lags, start)
+        x[start:, 1 + len(AR_LAGS) :] = _lagged(shocks, MA_LAGS, start)
+        full[start:] = ~np.isnan(np.column_stack([x, w])[start:]).any(axis=1)
+    if full.sum() < 3:
+        x[:, 1:], full, allowed = 0.0, known, ORDERS.sum(axis=1) == 0
+    return x[full], w[full], np.flatnonzero(full), allowed, mean, shocks
+
+
+def choose_orders(series: list[np.ndarray], differences: list[int]) -> list[dict]:
+    """For every series the stable, invertible candidate with the smallest corrected AIC on common months.
+
+    All candidates of all series are solved in one stack of normal equations, in which the columns that a
+    candidate leaves out are zero. Fits with a constant, that is after fewer than two differences, run on
+    deviations from the mean, which keeps their cross products accurate. A series may have missing values
+    (NaN) in their places.
+    """
+    constant = np.array([d < 2 for d in differences], dtype=bool)
+    designs = [_design(w, bool(c)) for w, c in zip(series, constant)]
+    uses = USES & (constant[:, None, None] | (np.arange(USES.shape[1]) > 0))
+    xx = np.array([x.T @ x for x, *_ in designs])[:, None]
+    xy = np.array([x.T @ y for x, y, *_ in designs])[:, None]
+    both = uses[:, :, :, None] & uses[:, :, None, :]
+    inverse = np.linalg.pinv(np.where(both, xx, 0.0), rcond=xx.shape[-1] * np.finfo(float).eps, hermitian=True)
+    betas = np.where(uses, (inverse @ xy[..., None])[..., 0], 0.0)
+    return [
+        _best(w, *design, beta, used.sum(axis=1) + 1)
+        for w, design, beta, used in zip(series, designs, betas, uses)
+    ]
+
+
+def _best(w, x, y, place, allowed, mean, shocks, beta, k) -> dict:
+    """The chosen one of a series' candidates, of which each has a row of ``beta`` and ``k`` parameters."""
+    n = len(y)
+    left = y[:, None] - x @ beta.T
+    sse, room = np.sum(left**2, axis=0), n - k - 1
+    allowed = allowed & ((room > 0) | (ORDERS.sum(axis=1) == 0))
+    fit = n * np.log(np.maximum(sse, 1e-12) / max(n, 1)) + 2 * k
+    aicc = np.where(allowed, fit + 2 * k * (k + 1) / np.maximum(room, 1), np.inf)
+    for c in np.argsort(aicc, kind="stable").tolist():
+        phi = np.zeros(PERIOD)
+        phi[np.array(AR_LAGS) - 1] = beta[c, 1 : 1 + len(AR_LAGS)]
+        theta = beta[c, 1 + len(AR_LAGS) :]
+        if _stable(phi) and _stable(-theta):
+            break
     residuals = [None] * len(w)
-    for at, value in zip(place.tolist(), best[-1].tolist()):
+    for at, value in zip(place.tolist(), left[:, c].tolist()):
         residuals[at] = value
-    more = {"shocks": shocks[: -MAX_Q - 1 : -1], "residuals": residuals, "variance": best[4] / max(n, 1)}
-    return {**dict(zip(names, best)), **more}
+    p, q, seasonal_p = ORDERS[c].tolist()
+    return {
+        "aicc": float(aicc[c]),
+        "p": p,
+        "q": q,
+        "seasonal_p": seasonal_p,
+        "sse": float(sse[c]),
+        "offset": float(beta[c, 0]) + mean * (1 - phi.sum()),
+        "phi": phi,
+        "theta": theta,
+        "shocks": shocks[: -MAX_Q - 1 : -1],
+        "residuals": residuals,
+        "variance": float(sse[c]) / max(n, 1),
+    }
+
+
+def choose_order(w: np.ndarray, differences: int) -> dict:
+    """The choice for one series; see ``choose_orders``."""
+    return choose_orders([w], [differences])[0]
 
 
 def level_weights(phi: np.ndarray, d: int, seasonal_d: int) -> np.ndarray:
@@ -237,10 +277,13 @@ FITTED = StructType(
 @F.pandas_udf(FITTED)
 def _estimate(w: pd.Series, d: pd.Series, seasonal_d: pd.Series) -> pd.DataFrame:
     rows = []
-    for values, once, yearly in zip(w, d, seasonal_d):
-        found = choose_order(np.asarray(values, dtype=float), once + yearly)
+    every = [np.asarray(values, dtype=float) for values in w]
+    differences = (d + seasonal_d).tolist()
+    for first in range(0, len(every), TOGETHER):
+        part = slice(first, first + TOGETHER)
+        rows += choose_orders(every[part], differences[part])
+    for found, once, yearly in zip(rows, d, seasonal_d):
         found["weights"] = level_weights(found["phi"], once, yearly)
-        rows.append(found)
     return pd.DataFrame(rows, columns=FITTED.fieldNames())
 
 
@@ -260,14 +303,14 @@ def fit(panel: DataFrame) -> DataFrame:
     return fitted.select(*columns, orders.alias("form"), recent)
 
 
-def predict(fitted: DataFrame, dates: DataFrame, spread: bool = False) -> DataFrame:
+def predict(fitted: DataFrame, dates: DataFrame, *kept: str, spread: bool = False) -> DataFrame:
     """``(series_id, ds, value)`` for rows ``(series_id, ds)`` after the last fitted month, ``spread`` if asked.
 
-    The recurrence runs once per series, up to its furthest month, and each month is then read off. So does
+    Columns of ``dates`` that are to be ``kept`` travel with their month and stand before the value. The recurrence runs once per series, up to its furthest month, and each month is then read off. So does
     the response to a single shock, whose squares add up to the variance of a month around its prediction.
     """
     wanted = dates.groupBy("series_id").agg(
-        F.max("ds").alias("furthest"), F.collect_list("ds").alias("months")
+        F.max("ds").alias("furthest"), F.collect_list(F.struct("ds", *kept)).alias("months")
     )
     rows = wanted.join(fitted, "series_id").filter(F.col("furthest") > F.col("last"))
     ahead = F.months_between("furthest", "last").cast("int")
@@ -291,12 +334,12 @@ def predict(fitted: DataFrame, dates: DataFrame, spread: bool = False) -> DataFr
     if spread:
         columns["responses"] = F.reverse(F.aggregate(months, F.array(F.lit(1.0)), response))
     paths = [column.alias(name) for name, column in columns.items()]
-    each = rows.select("series_id", "last", "variance", ahead.alias("ahead"), *paths, F.explode("months").alias("ds"))
+    each = rows.select("series_id", "last", "variance", ahead.alias("ahead"), *paths, F.inline("months"))
     reached = F.months_between("ds", "last").cast("int")
     squares = F.transform(F.slice("responses", F.lit(1), reached), lambda v: v * v)
     more = [F.sqrt(F.col("variance") * _total(squares)).alias("spread")] if spread else []
     return each.filter(F.col("ds") > F.col("last")).select(
-        "series_id", "ds", F.get("path", F.col("ahead") - reached).alias("value"), *more
+        "series_id", "ds", *kept, F.get("path", F.col("ahead") - reached).alias("value"), *more
     )
 
 

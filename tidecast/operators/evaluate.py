@@ -95,10 +95,16 @@ def model_table(models: Models) -> DataFrame:
     )
 
 
-def predict_models(models: Models, dates: DataFrame) -> DataFrame:
-    """``(series_id, model_id, model_desc, ds, value)`` for every model on the given months."""
+def predict_models(models: Models, dates: DataFrame, *kept: str) -> DataFrame:
+    """``(series_id, model_id, model_desc, ds, value)`` for every model on the given months.
+
+    Columns of ``dates`` that are to be ``kept`` stand before the value.
+    """
     return _stacked(
-        [_tagged(family.predict(fitted, dates), family, "ds", "value") for family, fitted in models]
+        [
+            _tagged(family.predict(fitted, dates, *kept), family, "ds", *kept, "value")
+            for family, fitted in models
+        ]
     )
 
 
@@ -137,14 +143,16 @@ def model_intervals(models: Models, dates: DataFrame, level: float = 0.95) -> Da
 
 
 def calibrate(models: Models, test: DataFrame) -> DataFrame:
-    """Observed, predicted and residual per model and held-out month."""
-    return residuals(predict_models(models, test), test)
+    """Observed, predicted and residual per model and held-out month.
+
+    What was observed travels with its month through the predictions, so that nothing is joined by month.
+    """
+    return residuals(predict_models(models, test, "y"))
 
 
-def residuals(predicted: DataFrame, test: DataFrame) -> DataFrame:
-    """Predictions beside what was observed in the same months."""
-    joined = predicted.join(test, ["series_id", "ds"])
-    return joined.select(
+def residuals(predicted: DataFrame) -> DataFrame:
+    """Residuals of predictions that kept the observed ``y``."""
+    return predicted.select(
         *MODEL_KEYS,
         "ds",
         F.col("y").alias("actual"),

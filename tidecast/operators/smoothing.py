@@ -251,15 +251,18 @@ def _spread(ahead: Column) -> Column:
     return F.when(F.col("season") != "M", F.sqrt(F.col("variance") * squares))
 
 
-def predict(fitted: DataFrame, dates: DataFrame, spread: bool = False) -> DataFrame:
-    """``(series_id, ds, value)`` for rows ``(series_id, ds)`` after the last fitted month, ``spread`` if asked."""
-    rows = dates.select("series_id", "ds").join(fitted, "series_id").filter(F.col("ds") > F.col("last"))
+def predict(fitted: DataFrame, dates: DataFrame, *kept: str, spread: bool = False) -> DataFrame:
+    """``(series_id, ds, value)`` for rows ``(series_id, ds)`` after the last fitted month, ``spread`` if asked.
+
+    Columns of ``dates`` that are to be ``kept`` stand before the value.
+    """
+    rows = dates.select("series_id", "ds", *kept).join(fitted, "series_id").filter(F.col("ds") > F.col("last"))
     ahead = F.months_between("ds", "last").cast("int")
     line = F.col("level") + _reach(ahead) * F.col("slope")
     term = F.get("season_terms", F.pmod(ahead - 1, F.lit(PERIOD)))
     value = F.when(F.col("season") == "M", line * term).otherwise(line + term)
     more = [_spread(ahead).alias("spread")] if spread else []
-    return rows.select("series_id", "ds", value.alias("value"), *more)
+    return rows.select("series_id", "ds", *kept, value.alias("value"), *more)
 
 
 def in_sample(fitted: DataFrame, panel: DataFrame) -> DataFrame:

@@ -176,13 +176,16 @@ def _spread() -> Column:
     return F.sqrt(F.col("noise") + F.col("bends") * 2 * size * size * ahead * ahead * ahead / 3)
 
 
-def predict(fitted: DataFrame, dates: DataFrame, spread: bool = False) -> DataFrame:
-    """``(series_id, ds, value)`` for rows ``(series_id, ds)``, past or future, and ``spread`` if asked."""
-    rows = dates.select("series_id", "ds").join(fitted, "series_id")
+def predict(fitted: DataFrame, dates: DataFrame, *kept: str, spread: bool = False) -> DataFrame:
+    """``(series_id, ds, value)`` for rows ``(series_id, ds)``, past or future, and ``spread`` if asked.
+
+    Columns of ``dates`` that are to be ``kept`` stand before the value.
+    """
+    rows = dates.select("series_id", "ds", *kept).join(fitted, "series_id")
     terms = F.zip_with(regressors(), F.col("beta"), lambda a, b: a * b)
     total = F.aggregate(terms, F.lit(0.0), lambda acc, term: acc + term)
     more = [(_spread() * F.col("scale")).alias("spread")] if spread else []
-    return rows.select("series_id", "ds", (total * F.col("scale")).alias("value"), *more)
+    return rows.select("series_id", "ds", *kept, (total * F.col("scale")).alias("value"), *more)
 
 
 def in_sample(fitted: DataFrame, panel: DataFrame) -> DataFrame:

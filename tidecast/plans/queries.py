@@ -359,9 +359,9 @@ def holdout_forecast(spark, sf_dir):
     split = stage(splits.split_by_duration(panels.with_total_series(b.panel(spark, sf_dir))))
     panel = split.drop("split_key")
     models, test = evaluate.fit_models(splits.training(split)), splits.testing(split)
-    predicted = stage(evaluate.predict_models(models, test))
-    calibration = evaluate.residuals(predicted, test)
-    return rounded(forecast.forecast_with_actuals(predicted, panel, calibration))
+    predicted = stage(evaluate.predict_models(models, test, "y"))
+    calibration = evaluate.residuals(predicted)
+    return rounded(forecast.forecast_with_actuals(predicted.drop("y"), panel, calibration))
 
 
 def forecast_frame_80(spark, sf_dir):
