@@ -3,6 +3,7 @@
 import math
 import random
 from collections import Counter
+from dataclasses import replace
 from itertools import product
 
 import numpy as np
@@ -150,15 +151,64 @@ def test_scores_of_a_language_model(spark):
     assert sorted((i or -1, n, k, round(b, 6)) for i, n, k, b, _ in found) == sorted(expected)
     held_out = [(b, s) for i, _, _, b, s in found if i is not None and i < 900 and i not in train]
     assert sum(s for _, s in held_out) > 0.9 * sum(b for b, _ in held_out)  # log probabilities are negative
-    assert np.allclose((10.0 ** model.log_class.astype(float)).sum(axis=1), 1, atol=1e-4)
-
-    # The joined counts and the classes by the definition of the score.
-    hashes, ending, first = lm._block_words(*list(textbytes.text_blocks(pa.array([rows[4][1]])))[0][2:])
-    label = model.classes[model.lexicon.unit(hashes, ending)]
-    context, after = lm._sequence(label, first)
-    score = model.log_class[context, after].sum(dtype=float) - model.log_total[label].sum()
-    score += sum(math.log10(seen[t] + 0.5) for t in tokens(rows[4][1])[:-1])
-    assert next(s for i, *_, s in found if i == 4) == pytest.approx(score, rel=1e-6)
+
+    # A score by its definition, token by token, over all words that there are.
+    text, tables = rows[4][1], model.tables
+    hashes, ending, first = lm._block_words(*list(textbytes.text_blocks(pa.array([text])))[0][2:])
+    units = [lm.END] * 3 + model.lexicon.unit(hashes, ending).tolist() + [lm.END]
+    score = 0.0
+    for at, token in enumerate(tokens(text), start=3):
+        before = [tables.classes[units[at - k]] for k in (1, 2, 3)]
+        label, outcome = tables.classes[units[at]], tables.outcomes[units[at]]
+        by_class = tables.log_class[(before[0] * lm.CLASSES + before[1]) * lm.CLASSES + before[2]].astype(float)
+        inner = tables.log_inner[label].astype(float)
+        for feature in lm._word_features(np.array(units), np.array([at])):
+            by_class = by_class + tables.class_words[lm._rows(feature, len(tables.class_words))[0]]
+            row = lm._rows(feature + np.uint64(label + 1), len(tables.inner_words))[0]
+            inner = inner + tables.inner_words[row]
+        score += by_class[label] - np.logaddexp.reduce(by_class) + inner[outcome] - np.logaddexp.reduce(inner)
+        if outcome == lm.OUTCOMES - 1:
+            score += math.log(seen[token] + 0.5) - model.log_rest[label] * math.log(10)
+    assert next(s for i, *_, s in found if i == 4) == pytest.approx(score / math.log(10), rel=1e-4)
+    # The shares of a class sum to one: its own outcomes, and a rest of known words and one unknown.
+    assert np.allclose(np.exp(tables.log_inner.astype(float)).sum(axis=1), 1, atol=1e-4)
+    for label in range(1, lm.CLASSES):
+        mine = [
+            seen[t] + 0.5
+            for t in seen
+            if t is not None
+            for h, e, _ in [lm._block_words(*list(textbytes.text_blocks(pa.array([t])))[0][2:])]
+            for u in model.lexicon.unit(h, e)
+            if tables.classes[u] == label and tables.outcomes[u] == lm.OUTCOMES - 1
+        ]
+        assert sum(mine) + 0.5 == pytest.approx(10 ** model.log_rest[label])
+
+
+def test_word_order_tells_texts_apart(spark):
+    """Words that go in pairs: a text in order scores better than its words shuffled, unlike by classes alone."""
+    rng = random.Random(3)
+    pairs = [(f"a{k}", f"b{k}") for k in range(40)]
+    rows = [(i, " ".join(w for _ in range(60) for w in rng.choice(pairs))) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    learnt = lm.learnt_from(F.col("doc_id"))
+    model, counts = lm.train(docs, learnt)
+    held_out = [r.doc_id for r in docs.filter(~learnt).collect()]
+    texts = dict(rows)
+    firsts = {i: texts[i].split()[::2] for i in held_out}
+    seconds = {i: texts[i].split()[1::2] for i in held_out}
+    mixed = {i: rng.sample(seconds[i], len(seconds[i])) for i in held_out}
+    other = [(i, " ".join(w for pair in zip(firsts[i], mixed[i]) for w in pair)) for i in held_out]
+    asked = spark.createDataFrame([(i, texts[i]) for i in held_out], "doc_id long, text string")
+    shuffled = spark.createDataFrame(other, "doc_id long, text string")
+    blank = replace(model.tables, class_words=0 * model.tables.class_words, inner_words=0 * model.tables.inner_words)
+
+    def total(docs, model):
+        got = lm.score(docs, model, counts).collect()
+        return sum(r.score for r in got), sum(r.base_score for r in got)
+
+    ordered, base = total(asked, model)
+    assert ordered > 0.8 * base and ordered > 0.9 * total(asked, replace(model, tables=blank))[0]
+    assert ordered > 0.9 * total(shuffled, model)[0]
 
 
 def test_a_language_model_of_nothing(spark):

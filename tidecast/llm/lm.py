@@ -1,11 +1,16 @@
 """Scoring texts with a hashed maximum-entropy language model.
 
-The softmax is factored by classes: a word's probability is that of its class, given the classes before it,
+The softmax is factored by classes: a word's probability is that of its class, given what stands before it,
 times that of the word in its class. Classes come from the company words keep: frequent words, and the last
-bytes of the others, are clustered by the most frequent words next to them. The class model is a log-linear
-one over hashed n-gram and skip features of the three classes before; its gradient is summed over the
-partitions of the corpus's class contexts, update by update. Inside a class words have their smoothed
-relative frequencies in the corpus.
+bytes of the others, are clustered by the most frequent words next to them. A first model is log-linear
+over hashed n-gram and skip features of the three classes before, with the words of a class by their smoothed
+relative frequencies. On top of it, both factors have weights of hashed n-grams and skips of the words before:
+one table for the classes, one for the outcomes inside a class. These are its frequent words and the rest of
+it, whose words keep their shares of the rest. So the probabilities of all words sum to one.
+
+Gradients are summed over the partitions: of class contexts for the first model, of tokens for the word
+weights, whose every update reads another part of the documents, so that all tokens take part once. A step
+is the observed count of a feature with an outcome less the expected one, in units of the larger of them.
 
 All counts cover all training texts. Only bounded tables are sent to the executors: the most frequent words,
 the classes, and the class model. Counts of all other words stay distributed; words of a text that are not
@@ -15,7 +20,7 @@ among the most frequent ones meet their counts in a join.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidecast.llm.textbytes import mix, prefix_hashes, span_hashes, text_blocks, words
+from tidecast.llm.textbytes import frugal, mix, prefix_hashes, span_hashes, text_blocks, words
 from tidecast.session import stage
 
 #: Words whose counts are sent to the executors.
@@ -39,6 +44,20 @@ CLASSES = 32
 FEATURES = 4096
 UPDATES = 20
 RATE = 0.5
+#: Outcomes inside a class: its most frequent named words, and last the rest.
+OUTCOMES = 64
+#: Rows of the word tables: as many as a power of two and a quarter of the distinct words, within these bounds.
+#: So what is sent to the executors is 6 MB at most.
+WORD_ROWS = (1 << 10, 1 << 14)
+#: Parts of the documents, each for one update of the word weights, the length of a step, and the count that
+#: is added to those of a feature with an outcome: what was seen rarely moves little.
+PARTS, PACE, CAUTION = 8, 0.5, 4.0
+#: Tokens that are computed at once, and ranges of rows by which gradients are added up.
+CHUNK, RANGES = 8192, 16
+#: The unit of a text's end, and of what stands before its start.
+END = NAMED + ENDINGS
+#: Log share of an outcome that a class does not have.
+NEVER = -60.0
 #: Words of a class that are added to every count, as in the base score.
 ADDED = 0.5
 
@@ -77,12 +96,46 @@ class Lexicon:
         return np.where(rank < NAMED, rank, NAMED + ending)
 
 
+@dataclass
+class Tables:
+    """The class of every unit, its outcome there, and the weights of both factors."""
+
+    classes: np.ndarray
+    outcomes: np.ndarray
+    log_class: np.ndarray  # log probability of a class (columns) after a context of classes (rows)
+    log_inner: np.ndarray  # log share of an outcome (columns) in a class (rows)
+    class_words: np.ndarray  # weights of classes (columns) by hashed words before (rows)
+    inner_words: np.ndarray  # weights of outcomes (columns) by hashed words before and class (rows)
+
+    def chunks(self, units: np.ndarray, first: np.ndarray) -> Iterator[tuple]:
+        """For some tokens at a time: place, class, outcome, and rows and log probabilities of both factors."""
+        line, at = _sequence(units, first)
+        classes = self.classes[line]
+        for begin in range(0, at.size, CHUNK):
+            some = at[begin : begin + CHUNK]
+            before = (classes[some - 1] * CLASSES + classes[some - 2]) * CLASSES + classes[some - 3]
+            label, outcome = classes[some], self.outcomes[line[some]]
+            words = _word_features(line, some)
+            class_rows = [_rows(w, len(self.class_words)) for w in words]
+            inner_rows = [_rows(w + label.astype(np.uint64) + np.uint64(1), len(self.inner_words)) for w in words]
+            by_class = self.log_class[before] + sum(self.class_words[r] for r in class_rows)
+            inner = self.log_inner[label] + sum(self.inner_words[r] for r in inner_rows)
+            yield begin, label, outcome, class_rows, _log_softmax(by_class), inner_rows, _log_softmax(inner)
+
+    def scores(self, units: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """Log10 probability of the class and outcome of every token, ends included."""
+        found = np.zeros(units.size + first.size - 1)
+        for begin, label, outcome, _, by_class, _, inner in self.chunks(units, first):
+            each = np.arange(label.size)
+            found[begin : begin + label.size] = by_class[each, label].astype(np.float64) + inner[each, outcome]
+        return found / np.log(10)
+
+
 @dataclass
 class Model:
     lexicon: Lexicon
-    classes: np.ndarray  # of every unit
-    log_class: np.ndarray  # log10 probability of a class (columns) after a context (rows)
-    log_total: np.ndarray  # log10 of the smoothed total of every class
+    tables: Tables
+    log_rest: np.ndarray  # log10 of the smoothed total of every class without its outcomes of their own
     tokens: int  # in training, ends included
     types: int
     texts: int
@@ -98,15 +151,20 @@ def learnt_from(doc_id: Column, folds: int = 5, held_out: int = 1) -> Column:
     return F.coalesce(remainder != held_out, F.lit(False))
 
 
-def _over_blocks(texts: DataFrame, schema: str, gather, finish) -> DataFrame:
-    """Run ``gather(state, data, offsets)`` over a partition's blocks and return ``finish(state)``'s columns."""
+def _text_parts(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    for _, _, data, offsets in text_blocks(column):
+        yield data, offsets
+
+
+def _over_blocks(texts: DataFrame, schema: str, gather, finish, blocks=_text_parts) -> DataFrame:
+    """Run ``gather(state, values, firsts)`` over a partition's blocks and return ``finish(state)``'s columns."""
     names = [field.split()[0] for field in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state: dict = {}
         for batch in batches:
-            for _, _, data, offsets in text_blocks(batch.column(0)):
-                gather(state, data, offsets)
+            for values, firsts in blocks(batch.column(0)):
+                gather(state, values, firsts)
         for columns in finish(state):
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
 
@@ -145,11 +203,11 @@ def _lexicon(counts: DataFrame) -> Lexicon:
     return Lexicon(hashes[order], n[order], place[order])
 
 
-def _cells(texts: DataFrame, size: int, gather) -> DataFrame:
-    """``cell, n``: sums over all texts of the cells that ``gather(data, offsets)`` lists for a block."""
+def _cells(texts: DataFrame, size: int, gather, blocks=_text_parts) -> DataFrame:
+    """``cell, n``: sums over all texts of the cells that ``gather(values, firsts)`` lists for a block."""
 
-    def collect(state, data, offsets):
-        cells = gather(data, offsets)
+    def collect(state, values, firsts):
+        cells = gather(values, firsts)
         state["n"] = state.get("n", 0) + np.bincount(cells, minlength=size)
 
     def finish(state):
@@ -157,7 +215,7 @@ def _cells(texts: DataFrame, size: int, gather) -> DataFrame:
             at = np.flatnonzero(state["n"])
             yield at, state["n"][at].astype(np.int64)
 
-    return _over_blocks(texts, "cell long, n long", collect, finish).groupBy("cell").agg(F.sum("n").alias("n"))
+    return _over_blocks(texts, "cell long, n long", collect, finish, blocks).groupBy("cell").agg(F.sum("n").alias("n"))
 
 
 def _classes(texts: DataFrame, lexicon: Lexicon) -> np.ndarray:
@@ -201,16 +259,26 @@ def _cluster(table: np.ndarray, k: int, rounds: int = 30) -> np.ndarray:
     return label
 
 
-def _sequence(classes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Context and class of every token, each text's end after its words; before its start there are ends."""
+def _sequence(units: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Texts in a row with three ends before each and one after it, and the places of their tokens."""
     texts = first.size - 1
     of = np.repeat(np.arange(texts), np.diff(first))
-    line = np.zeros(classes.size + 4 * texts, dtype=np.int64)
-    place = np.arange(classes.size) + 4 * of + 3
-    line[place] = classes
-    ends = first[1:] + 4 * np.arange(texts) + 3
-    at = np.sort(np.concatenate([place, ends]))
-    return (line[at - 1] * CLASSES + line[at - 2]) * CLASSES + line[at - 3], line[at]
+    line = np.full(units.size + 4 * texts, END, dtype=np.int64)
+    place = np.arange(units.size) + 4 * of + 3
+    line[place] = units
+    return line, np.sort(np.concatenate([place, first[1:] + 4 * np.arange(texts) + 3]))
+
+
+def _word_features(line: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
+    """Hashes of the word before, the one before that, and both: n-grams and a skip."""
+    one, two = line[at - 1].astype(np.uint64), line[at - 2].astype(np.uint64)
+    spread = np.uint64(END + 1)
+    kinds = [one, two, one * spread + two]
+    return [mix(value + np.uint64((kind + 1) << 44)) for kind, value in enumerate(kinds)]
+
+
+def _rows(hashes: np.ndarray, rows: int) -> np.ndarray:
+    return (mix(hashes) % np.uint64(rows)).astype(np.int64)
 
 
 def _features(context: np.ndarray) -> np.ndarray:
@@ -226,6 +294,68 @@ def _log_softmax(logits: np.ndarray) -> np.ndarray:
     return logits - np.log(np.exp(logits).sum(axis=1, keepdims=True))
 
 
+def _add_rows(table: np.ndarray, rows: np.ndarray, values: np.ndarray) -> None:
+    """Add every row of ``values`` to the row of the table that it belongs to."""
+    order = np.argsort(rows, kind="stable")
+    head = np.flatnonzero(np.diff(rows[order], prepend=-1))
+    table[rows[order[head]]] += np.add.reduceat(values[order], head, axis=0)
+
+
+def _fit_words(sequences: DataFrame, tables: Tables) -> Tables:
+    """The tables with word weights fitted to ``part, units``, the units of the training texts.
+
+    Observed and expected counts are added up by ranges of rows in the executors; the driver gets one table.
+    """
+    spark = sequences.sparkSession
+    rows, width = len(tables.class_words), CLASSES + OUTCOMES
+    span = rows // RANGES
+    for part in range(PARTS):
+        sent = spark.sparkContext.broadcast(tables)
+
+        def count(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            now = sent.value
+            observed, expected = (np.zeros((rows, width), dtype=np.float32) for _ in range(2))
+            for batch in batches:
+                sizes = batch.column(0).value_lengths().to_numpy(zero_copy_only=False)
+                units = batch.column(0).flatten().to_numpy().astype(np.int64)
+                first = np.concatenate([[0], np.cumsum(sizes)])
+                for _, label, outcome, class_rows, by_class, inner_rows, inner in now.chunks(units, first):
+                    by_class, inner = np.exp(by_class), np.exp(inner)
+                    for r, q in zip(class_rows, inner_rows):
+                        np.add.at(observed, (r, label), 1)
+                        np.add.at(observed, (q, CLASSES + outcome), 1)
+                        _add_rows(expected[:, :CLASSES], r, by_class)
+                        _add_rows(expected[:, CLASSES:], q, inner)
+            for k in range(RANGES):
+                mine = slice(k * span, (k + 1) * span)
+                if expected[mine].any():
+                    both = np.stack([observed[mine], expected[mine]]).tobytes()
+                    yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([both], pa.binary())], names=["range", "counts"])
+
+        def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            totals: dict[int, np.ndarray] = {}
+            for batch in batches:
+                for k, both in zip(batch.column(0).to_pylist(), batch.column(1)):
+                    counts = np.frombuffer(both.as_buffer(), dtype=np.float32).astype(np.float64)
+                    totals[k] = totals[k] + counts if k in totals else counts
+            for k, counts in totals.items():
+                observed, expected = counts.reshape(2, span, width)
+                step = PACE * (observed - expected) / (np.maximum(observed, expected) + CAUTION)
+                step = step.astype(np.float32).tobytes()
+                yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([step], pa.binary())], names=["range", "step"])
+
+        counted = sequences.filter(F.col("part") == part).select("units").mapInArrow(frugal(count), "range long, counts binary")
+        steps = counted.repartition(RANGES, "range").mapInArrow(frugal(add_up), "range long, step binary").toArrow()
+        moved = np.zeros((rows, width), dtype=np.float32)
+        for k, step in zip(steps.column("range").to_pylist(), steps.column("step").to_pylist()):
+            moved[k * span : (k + 1) * span] = np.frombuffer(step, dtype=np.float32).reshape(span, width)
+        tables = replace(
+            tables, class_words=tables.class_words + moved[:, :CLASSES], inner_words=tables.inner_words + moved[:, CLASSES:]
+        )
+        sent.unpersist()
+    return tables
+
+
 def _fit_classes(contexts: DataFrame) -> np.ndarray:
     """Weights of the class model from ``context, seen``, the counts of the classes after a context.
 
@@ -267,47 +397,105 @@ def _fit_classes(contexts: DataFrame) -> np.ndarray:
     return weights
 
 
+def _unit_table(known: DataFrame, lexicon: Lexicon) -> DataFrame:
+    """``part, units``: the units of the words of every text of ``text, part``."""
+    sent = known.sparkSession.sparkContext.broadcast(lexicon)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for begin, end, data, offsets in text_blocks(batch.column(0)):
+                hashes, ending, first = _block_words(data, offsets)
+                units = pa.array(sent.value.unit(hashes, ending).astype(np.int16))
+                lists = pa.ListArray.from_arrays(pa.array(first, pa.int32()), units)
+                yield pa.RecordBatch.from_arrays([batch.column(1).slice(begin, first.size - 1), lists], names=["part", "units"])
+
+    return known.mapInArrow(frugal(run), "part int, units array<short>")
+
+
+def _unit_blocks(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The units of all texts of a batch, and the texts' first ones."""
+    sizes = column.value_lengths().to_numpy(zero_copy_only=False)
+    yield column.flatten().to_numpy().astype(np.int64), np.concatenate([[0], np.cumsum(sizes)])
+
+
+def _outcomes(counts: DataFrame, lexicon: Lexicon, classes: np.ndarray, n_texts: int) -> tuple:
+    """Outcome of every unit, log shares of the outcomes of a class, and log10 totals of their rests."""
+    named = int((lexicon.ranks < NAMED).sum())
+    outcomes = np.full(END + 1, OUTCOMES - 1, dtype=np.int64)
+    order = np.argsort(classes[:named], kind="stable")
+    head = np.searchsorted(classes[:named][order], np.arange(CLASSES))
+    place = np.arange(named) - head[classes[:named][order]]
+    outcomes[order] = np.minimum(place, OUTCOMES - 1)
+    outcomes[END] = 0
+    by_rank = np.zeros(lexicon.ranks.size)
+    by_rank[lexicon.ranks] = lexicon.counts
+    own = outcomes[:named] < OUTCOMES - 1
+
+    # What has no outcome of its own: named words beyond the first ones of their class, and all other words.
+    total, types = np.zeros(CLASSES), np.zeros(CLASSES)
+    spark = counts.sparkSession
+    words = np.sort(lexicon.hashes[lexicon.ranks < NAMED].view(np.int64)).tolist()
+    known = spark.createDataFrame([(w,) for w in words], "word long")
+    tail = counts.join(F.broadcast(known), "word", "left_anti")
+    by_ending = tail.groupBy("ending").agg(F.sum("n").alias("n"), F.count("*").alias("types")).toArrow()
+    label = classes[NAMED + by_ending.column("ending").to_numpy()]
+    np.add.at(total, label, by_ending.column("n").to_numpy())
+    np.add.at(types, label, by_ending.column("types").to_numpy())
+    np.add.at(total, classes[:named][~own], by_rank[:named][~own])
+    np.add.at(types, classes[:named][~own], 1)
+    rest = total + ADDED * (types + 1)
+
+    inner = np.zeros((CLASSES, OUTCOMES))
+    inner[classes[:named][own], outcomes[:named][own]] = by_rank[:named][own] + ADDED
+    inner[:, -1] = rest
+    inner[0] = 0
+    inner[0, 0] = n_texts + ADDED  # the end is alone in its class
+    with np.errstate(divide="ignore"):
+        log_inner = np.maximum(np.log(inner / inner.sum(axis=1, keepdims=True)), NEVER)
+    return outcomes, log_inner, np.log10(rest)
+
+
 def train(documents: DataFrame, learnt: Column) -> tuple[Model, DataFrame]:
     """The model of the documents where ``learnt`` holds, and the table ``word, ending, n`` of their words."""
     spark = documents.sparkSession
-    texts = documents.filter(learnt).select(F.col("text").cast("string").alias("text"))
+    part = F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(PARTS)).cast("int").alias("part")
+    known = documents.filter(learnt).select(F.col("text").cast("string").alias("text"), part)
+    texts = known.select("text")
     counts = stage(_count_table(texts))
     n_texts = texts.count()
     n_words, n_types = counts.agg(F.sum("n"), F.count("*")).head()
     lexicon = _lexicon(counts)
-    classes = _classes(texts, lexicon)
-    sent = spark.sparkContext.broadcast((lexicon, classes))
+    classes = np.append(_classes(texts, lexicon), 0)
+    sequences = stage(_unit_table(known, lexicon))
+    sent = spark.sparkContext.broadcast(classes)
 
-    def gather(data, offsets):
-        lexicon, classes = sent.value
-        hashes, ending, first = _block_words(data, offsets)
-        context, label = _sequence(classes[lexicon.unit(hashes, ending)], first)
-        return context * CLASSES + label
+    def gather(units, first):
+        line, at = _sequence(units, first)
+        of = sent.value[line]
+        return ((of[at - 1] * CLASSES + of[at - 2]) * CLASSES + of[at - 3]) * CLASSES + of[at]
 
-    cells = _cells(texts, CLASSES**4, gather)
+    cells = _cells(sequences.select("units"), CLASSES**4, gather, _unit_blocks)
     pair = F.struct((F.col("cell") % CLASSES).alias("label"), "n")
     contexts = cells.groupBy(F.floor(F.col("cell") / CLASSES).alias("context")).agg(F.collect_list(pair).alias("seen"))
     weights = _fit_classes(stage(contexts.coalesce(8)))
     every = np.arange(CLASSES**3)
     log_class = np.concatenate(
-        [_log_softmax(weights[_features(part)].sum(axis=1)) for part in np.array_split(every, 16)]
-    ) / np.log(10)
+        [_log_softmax(weights[_features(some)].sum(axis=1)) for some in np.array_split(every, 16)]
+    )
 
-    # Smoothed totals of the classes: of named words by their rank, of the others by their ending.
-    named = np.sort(lexicon.hashes[lexicon.ranks < NAMED].view(np.int64)).tolist()
-    known = spark.createDataFrame([(w,) for w in named], "word long")
-    tail = counts.join(F.broadcast(known), "word", "left_anti")
-    by_ending = tail.groupBy("ending").agg(F.sum("n").alias("n"), F.count("*").alias("types")).toArrow()
-    total, types = np.zeros(CLASSES), np.zeros(CLASSES)
-    label = classes[NAMED + by_ending.column("ending").to_numpy()]
-    np.add.at(total, label, by_ending.column("n").to_numpy())
-    np.add.at(types, label, by_ending.column("types").to_numpy())
-    first = lexicon.ranks < NAMED
-    np.add.at(total, classes[lexicon.ranks[first]], lexicon.counts[first])
-    np.add.at(types, classes[lexicon.ranks[first]], 1)
-    log_total = np.log10(total + ADDED * (types + 1))
+    outcomes, log_inner, log_rest = _outcomes(counts, lexicon, classes, n_texts)
+    rows = int(min(max(1 << (int(n_types) // 4).bit_length(), WORD_ROWS[0]), WORD_ROWS[1]))
+    tables = Tables(
+        classes,
+        outcomes,
+        log_class.astype(np.float32),
+        log_inner.astype(np.float32),
+        np.zeros((rows, CLASSES), np.float32),
+        np.zeros((rows, OUTCOMES), np.float32),
+    )
+    tables = _fit_words(sequences, tables)
     tokens, distinct = int(n_words or 0) + n_texts, int(n_types) + (n_texts > 0)
-    return Model(lexicon, classes, log_class.astype(np.float32), log_total, tokens, distinct, n_texts), counts
+    return Model(lexicon, tables, log_rest, tokens, distinct, n_texts), counts
 
 
 def score(documents: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
@@ -330,19 +518,21 @@ def score(documents: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
         for batch in batches:
             for begin, end, data, offsets in text_blocks(batch.column(1)):
                 hashes, ending, first = _block_words(data, offsets)
-                label = m.classes[m.lexicon.unit(hashes, ending)]
-                before, after = _sequence(label, first)
+                units = m.lexicon.unit(hashes, ending)
+                label, rest = m.tables.classes[units], m.tables.outcomes[units] == OUTCOMES - 1
                 n = np.diff(first) + 1
                 texts = n.size
                 token_of = np.repeat(np.arange(texts), n)
-                total = np.bincount(token_of, m.log_class[before, after].astype(np.float64), texts)
+                total = np.bincount(token_of, m.tables.scores(units, first), texts)
                 of = np.repeat(np.arange(texts), np.diff(first))
                 at = m.lexicon.find(hashes)
                 common = at >= 0
                 known = np.bincount(of[common], minlength=texts) + (m.texts > 0)
                 base = np.bincount(of[common], log_common[at[common]], texts) + log_end - n * m.base_total
-                total += np.bincount(of[common], log_common[at[common]], texts)
-                total -= np.bincount(of, m.log_total[label], texts)
+                # Words without an outcome of their own have their shares of the rest of their class.
+                shared = common & rest
+                total += np.bincount(of[shared], log_common[at[shared]], texts)
+                total -= np.bincount(of[rest], m.log_rest[label[rest]], texts)
                 # The other words, once per text, to meet their counts.
                 rare = np.flatnonzero(~common)
                 order = rare[np.lexsort((hashes[rare], of[rare]))]
