@@ -386,13 +386,14 @@ def _fit_classes(contexts: DataFrame) -> np.ndarray:
             for batch in batches:
                 rows = _features(batch.column(0).to_numpy())
                 seen = np.zeros((batch.num_rows, CLASSES))
-                for i, pairs in enumerate(batch.column(1).to_pylist()):
-                    for pair in pairs:
-                        seen[i, pair["label"]] = pair["n"]
+                pairs, sizes = batch.column(1).flatten(), batch.column(1).value_lengths().to_numpy(zero_copy_only=False)
+                label, n = (pairs.field(name).to_numpy() for name in ("label", "n"))
+                seen[np.repeat(np.arange(batch.num_rows), sizes), label] = n
                 expected = np.exp(_log_softmax(sent.value[rows].sum(axis=1)))
                 rest = seen - seen.sum(axis=1, keepdims=True) * expected
                 for k in range(rows.shape[1]):
-                    np.add.at(slope, rows[:, k], rest)
+                    cells = rows[:, k, None] * CLASSES + np.arange(CLASSES)
+                    slope += np.bincount(cells.ravel(), rest.ravel(), slope.size).reshape(slope.shape)
                 total += seen.sum()
             yield pa.RecordBatch.from_arrays(
                 [pa.array([slope.tobytes()], pa.binary()), pa.array([float(total)])], names=["slope", "n"]
