@@ -3,6 +3,7 @@
 from pathlib import Path
 
 import corpus_pipeline
+import pyarrow as pa
 import pytest
 from oracle_check import connect, spark_rows, sql_rows
 from tidecast.llm import line_dedup, mixing, toxicity
@@ -74,3 +75,27 @@ def test_nothing_else_imports_the_package():
     root = Path(__file__).resolve().parent.parent.parent
     files = [f for f in (root / "tidecast").rglob("*.py") if "llm" not in f.parts]
     assert files and not any("tidecast.llm" in f.read_text() for f in files)
+
+
+def test_stages_get_their_texts_in_small_batches(spark):
+    """Long texts do not come ten thousand at a time; a limit that the session has stays."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    docs = spark.range(200).selectExpr("id doc_id", "repeat(uuid(), 2800) text").coalesce(1)
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes], pa.int64())], names=["n"])
+
+    before = spark.conf.get(name, None)
+    spark.conf.unset(name)
+    try:
+        corpus_pipeline.pack_sequences(spark, docs, SF_DIR)
+        found = [r.n for r in docs.mapInArrow(sizes, "n long").collect()]
+        assert sum(found) > 200 * 100_000 and max(found) < 5 << 20
+        spark.conf.set(name, "64m")
+        corpus_pipeline.pack_sequences(spark, docs, SF_DIR)
+        assert spark.conf.get(name) == "64m"
+    finally:
+        spark.conf.unset(name)
+        if before is not None:
+            spark.conf.set(name, before)

@@ -33,6 +33,17 @@ def test_ids_are_those_of_the_tokenizer(tokenizer, ranks):
             assert ids[ends[i] : ends[i + 1]].tolist() == e.ids
 
 
+def test_workers_keep_no_encoder_after_their_task(spark):
+    rows = [(i, f"text number {i}", 0, "x") for i in range(400)]
+    assert packing.pack_documents(spark.createDataFrame(rows, SCHEMA).repartition(16)).count() >= 400
+
+    def kept(batches):
+        for _ in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([len(packing._encoders)], pa.int64())], names=["n"])
+
+    assert {r.n for r in spark.range(64).repartition(16).mapInArrow(kept, "n long").collect()} == {0}
+
+
 def test_pieces_cover_every_document_once(spark, tokenizer):
     rng = random.Random(2)
     texts = [None, "", "one", "two words"]

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidecast.llm.textbytes import SPACE, frugal, prefix_hashes, ragged, span_hashes, text_blocks
+from tidecast.llm.textbytes import SMALL_BLOCK, SPACE, frugal, prefix_hashes, ragged, span_hashes, text_blocks
 
 #: The id that ends every document (fixed by the query's contract).
 END_ID = 0
@@ -35,12 +35,15 @@ PIECES = (
 POOL = 1024
 #: Distinct pieces of text whose ids a worker remembers; beyond it the memory is emptied and filled anew.
 REMEMBERED = 1 << 19
+#: The same where ids come from the faster library, which makes them again at little cost.
+REMEMBERED_FAST = 1 << 17
 
 _CODES = [chr(i) for i in range(128)] + [" "] * 128
 _ALNUM = np.array([c.isalnum() for c in _CODES])
 _PUNCTUATION = np.array([c.isprintable() and not c.isalnum() and c != " " for c in _CODES])
 
 _encoders: dict[tuple, "_Encoder"] = {}
+_special_tokens: dict[str, list[bytes]] = {}
 
 
 def tokenizer_path(name: str) -> str:
@@ -58,18 +61,31 @@ class _Encoder:
     The tokenizer's own split never joins characters across the places that ``_may_cut`` finds, so the
     ids of a text are those of the runs between them, one after the other. Runs are told apart by a
     64-bit hash. ``ranks`` names the same vocabulary for the faster library; without it, or where a text
-    holds the name of a special token, the tokenizer itself encodes.
+    holds the name of a special token, the tokenizer itself encodes; with ``ranks`` it is read from its
+    file only then.
     """
 
     def __init__(self, path: str, ranks: str | None):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.path, self._tokenizer = path, None
+        if path not in _special_tokens:
+            added = self.tokenizer.get_added_tokens_decoder().values()
+            _special_tokens[path] = [t.content.encode() for t in added]
+        self.special = _special_tokens[path]
         self.fast = _ranked(ranks) if ranks else None
+        if self.fast:
+            self._tokenizer = None
+        self.remembered = REMEMBERED_FAST if self.fast else REMEMBERED
         self.forget()
 
+    @property
+    def tokenizer(self):
+        if self._tokenizer is None:
+            from tokenizers import Tokenizer
+
+            self._tokenizer = Tokenizer.from_file(self.path)
+        return self._tokenizer
+
     def forget(self) -> None:
         self.keys = np.zeros(0, dtype=np.uint64)
         self.entry = np.zeros(0, dtype=np.int64)
@@ -109,7 +125,7 @@ class _Encoder:
         change = np.ones(hashes.size, dtype=bool)
         change[1:] = hashes[order[1:]] != hashes[order[:-1]]
         keys, example = hashes[order[change]], order[change]
-        if self.keys.size + keys.size > REMEMBERED:
+        if self.keys.size + keys.size > self.remembered:
             self.forget()
         if self.keys.size:
             at = np.minimum(np.searchsorted(self.keys, keys), self.keys.size - 1)
@@ -160,6 +176,11 @@ def encoder(name: str, ranks: str | None = None) -> _Encoder:
     return _encoders[name, ranks]
 
 
+def drop_encoder(name: str, ranks: str | None = None) -> None:
+    """Let go of this worker's encoder for a tokenizer file, as its worker will serve tasks of other kinds."""
+    _encoders.pop((name, ranks), None)
+
+
 class Packer:
     """Places items into sequences; ``limits`` are tokens, segments and loss-bearing tokens."""
 
@@ -293,20 +314,23 @@ def pack_documents(
             columns = zip(*out) if out else [[]] * len(schema)
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], schema=schema)
 
-        for batch in batches:
-            doc_ids = batch.column(0).to_pylist()
-            for first, last, data, offsets in text_blocks(batch.column(1)):
-                flat, ends = encoder(tokenizer, ranks).encode(data, offsets)
-                for i in range(last - first):
-                    ids = np.append(flat[ends[i] : ends[i + 1]], np.uint32(END_ID))
-                    ids_of[serial] = (doc_ids[first + i], ids)
-                    packer.add(serial, ids.size)
-                    serial += 1
-                if len(packer.items) > 2 * POOL:
-                    packer.pack(POOL)
-                yield rows()
-        packer.pack()
-        yield rows()
+        try:
+            for batch in batches:
+                doc_ids = batch.column(0).to_pylist()
+                for first, last, data, offsets in text_blocks(batch.column(1), SMALL_BLOCK):
+                    flat, ends = encoder(tokenizer, ranks).encode(data, offsets)
+                    for i in range(last - first):
+                        ids = np.append(flat[ends[i] : ends[i + 1]], np.uint32(END_ID))
+                        ids_of[serial] = (doc_ids[first + i], ids)
+                        packer.add(serial, ids.size)
+                        serial += 1
+                    if len(packer.items) > 2 * POOL:
+                        packer.pack(POOL)
+                    yield rows()
+            packer.pack()
+            yield rows()
+        finally:
+            drop_encoder(tokenizer, ranks)
 
     return documents.select("doc_id", "text").mapInArrow(pack, PIECES)
 

@@ -36,6 +36,19 @@ def ship_package(spark: SparkSession) -> None:
     context.addPyFile(shutil.make_archive(str(target), "zip", package.parent, package.name))
 
 
+#: Largest size of an Arrow batch on its way to a Python worker.
+_BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def limit_batches(spark: SparkSession, size: str = "4m") -> None:
+    """Let Arrow batches hold ``size`` bytes instead of 10000 rows, however long, unless the session has a limit.
+
+    Both sides of a worker hold a batch, and Spark's side doubles its buffers to make one.
+    """
+    if spark.conf.get(_BATCH_BYTES, None) is None:
+        spark.conf.set(_BATCH_BYTES, size)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that every executor can reach, as named by ``spark.checkpoint.dir``.
 
