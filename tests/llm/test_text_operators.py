@@ -292,3 +292,35 @@ def test_clusters_that_meet_a_common_hub_are_not_paired_member_by_member(spark,
                 old, low = max(label[a], label[b]), min(label[a], label[b])
                 label = {i: low if x == old else x for i, x in label.items()}
     assert {r.doc_id: r.component_id for r in found} == label
+
+
+def test_only_shared_differences_from_a_hub_are_kept(spark, monkeypatch):
+    """What one member alone has beyond the hub goes through one shuffle and no further."""
+    rows = [
+        (1, 2, False, 100, 40, [7, 8, 100]),
+        (1, 3, False, 100, 40, [9, 8, 101]),
+        (1, 4, True, 100, 10, [102, 103]),
+        (1, 5, True, 100, 10, [103, 104]),
+        (6, 7, False, 100, 40, [7, 105]),
+    ]
+    schema = "hub long, node long, linked boolean, size long, apart long, prefix array<long>"
+    links = spark.createDataFrame([(1, 4), (1, 5)], "a long, b long")
+    staged, before = [], jaccard_join.stage
+    monkeypatch.setattr(jaccard_join, "stage", lambda df: (staged.append(before(df)), staged[-1])[1])
+    pairs = jaccard_join._beside_hub(spark.createDataFrame(rows, schema), links, 80).collect()
+    assert [tuple(r) for r in pairs] == [(2, 3)]
+    kept = [r for df in staged if "element" in df.columns for r in df.select("hub", "node", "element").collect()]
+    assert sorted(map(tuple, kept)) == [(1, 2, 8), (1, 3, 8)]
+
+
+def test_meeting_rows_hold_two_numbers(spark):
+    """Signatures that meet by the hundred in one block are spread, and one node goes for all."""
+    sig = np.repeat(np.array([5 << 40, 6 << 40, 7 << 40], np.uint64), [100, 2, 1])
+    node = np.arange(1, 104, dtype=np.int64) << 10
+    batch = meeting.meeting_batch(sig, node, np.full(103, meeting.INDEX | meeting.PROBE))
+    assert [f.type for f in batch.schema] == [pa.int64(), pa.int64()]
+    assert meeting.MEETING == ", ".join(f"{name} long" for name in batch.schema.names)
+    places = batch.column(0).to_pylist()
+    assert max(map(places.count, places)) < 50
+    met = meeting.met_rows(spark.createDataFrame(batch.to_pylist(), meeting.MEETING)).collect()
+    assert {(r.sig, r.node) for r in met} == set(zip(sig[:102].tolist(), node[:102].tolist()))

@@ -23,11 +23,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidecast.llm.components import connected
-from tidecast.llm.meeting import INDEX, MEETING, PROBE, meeting_batch, met_rows, node_ids, split_by_keys, with_keys
+from tidecast.llm.meeting import INDEX, MEETING, PROBE, meeting_batch, met_rows, node_ids, split_by_keys
 from tidecast.llm.textbytes import SMALL_BLOCK, frugal, mix, ragged, shingle_hashes, text_blocks, word_hashes
 from tidecast.session import stage
 
@@ -272,7 +272,8 @@ def compare(documents: DataFrame, nodes: DataFrame, pairs: DataFrame, compared:
     asked = salted.unionByName(heads.withColumns({"node": F.col("hub"), "listed": F.lit(False)}))
     asked = stage(asked.join(nodes.select("node", "hash"), "node"))
     texts = documents.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("string").alias("text"))
-    rows = with_keys(texts, "node", asked.select("node")).join(asked, "node")
+    some, _ = split_by_keys(texts, "node", asked.select("node"))
+    rows = some.join(asked, "node")
     rows = rows.select("hub", "salt", "member", "node", "hash", "listed", "text")
     placed = rows.repartition("hub", "salt").sortWithinPartitions("hub", "salt", "member", "node")
     schema = "hub long, node long, linked boolean, size long, apart long, prefix array<long>"
@@ -299,9 +300,10 @@ def _beside_hub(found: DataFrame, links: DataFrame, percent: int) -> DataFrame:
         F.coalesce("label", "node").alias("label"),
         F.posexplode("prefix").alias("at", "element"),
     )
-    rows = stage(rows)
-    shared = rows.groupBy("hub", "element").agg(F.min("label").alias("low"), F.max("label").alias("high"))
-    rows = rows.join(shared.filter("low < high"), ["hub", "element"], "left_semi")
+    # Most elements are one member's own: they are shuffled once, and only what is shared meets itself.
+    meeting = Window.partitionBy("hub", "element")
+    rows = rows.withColumns({"low": F.min("label").over(meeting), "high": F.max("label").over(meeting)})
+    rows = stage(rows.filter("low < high").drop("low", "high"))
     right = rows.select("hub", "element", *(F.col(c).alias(f"r_{c}") for c in ("node", "linked", "size", "apart", "label", "at")))
     most = F.floor((F.col("size") + F.col("r_size")) * (100 - percent) / (100 + percent))
     rest = F.least(F.col("apart") - F.col("at"), F.col("r_apart") - F.col("r_at"))

@@ -16,9 +16,12 @@ from pyspark.sql import functions as F
 from tidecast.llm.textbytes import frugal
 
 INDEX, PROBE = 1, 2
-MEETING = "sig long, salt int, node long"
+MEETING = "place long, node long"
 #: Nodes are hashes whose last two bits are free; on their way to the meeting they hold the role.
 ROLES = 3
+#: The last bits of a place hold the salt, those before them the signature. Signatures that differ in these
+#: bits alone meet in vain, which costs a look at one candidate more.
+SALTS = 127
 #: Nodes of one block that may share a signature before one of them goes for all.
 LOCAL_HOT = 16
 #: Largest key filter that is sent to the executors, in words of 64 bits.
@@ -35,8 +38,10 @@ def meeting_batch(sig: np.ndarray, node: np.ndarray, role: np.ndarray) -> pa.Rec
 
     Where many nodes of the block share a signature, one of them goes to the meeting for all (salt 0, with
     the roles of all). They have met already, so all of them, that one too, are spread by a salt: it stays
-    even if no other block has the signature. Rows of a signature and node may therefore repeat.
+    even if no other block has the signature. Rows of a signature and node may therefore repeat. Most of what
+    a join shuffles are these rows, so they have no column that can be done without.
     """
+    sig = sig & ~np.uint64(SALTS)
     order = np.argsort(sig, kind="stable")
     sig, node, role = sig[order], node[order], role[order].astype(np.int64)
     head = np.ones(sig.size, dtype=bool)
@@ -51,8 +56,8 @@ def meeting_batch(sig: np.ndarray, node: np.ndarray, role: np.ndarray) -> pa.Rec
         roles = np.bitwise_or.reduceat(role, start)[run_of[for_all]]
         sig, node, role = (np.append(a, b) for a, b in ((sig, sig[for_all]), (node, node[for_all]), (role, roles)))
         salt = np.append(salt, np.zeros(for_all.size, dtype=salt.dtype))
-    columns = [pa.array(sig.view(np.int64)), pa.array(salt, pa.int32()), pa.array(node | role)]
-    return pa.RecordBatch.from_arrays(columns, names=["sig", "salt", "node"])
+    columns = [pa.array(sig.view(np.int64) | salt), pa.array(node | role)]
+    return pa.RecordBatch.from_arrays(columns, names=["place", "node"])
 
 
 def met_rows(rows: DataFrame) -> DataFrame:
@@ -62,7 +67,7 @@ def met_rows(rows: DataFrame) -> DataFrame:
     """
     role = F.col("node").bitwiseAND(ROLES)
     own = F.col("node") - role
-    meeting = Window.partitionBy("sig", "salt")
+    meeting = Window.partitionBy("place")
     seen = rows.withColumns(
         {
             "low": F.min(own).over(meeting),
@@ -70,8 +75,9 @@ def met_rows(rows: DataFrame) -> DataFrame:
             "roles": F.bit_or(role).over(meeting),
         }
     )
-    kept = seen.filter((F.col("salt") > 0) | ((F.col("low") < F.col("high")) & (F.col("roles") == ROLES)))
-    return kept.select("sig", own.alias("node"), role.alias("role"))
+    salt = F.col("place").bitwiseAND(SALTS)
+    kept = seen.filter((salt > 0) | ((F.col("low") < F.col("high")) & (F.col("roles") == ROLES)))
+    return kept.select((F.col("place") - salt).alias("sig"), own.alias("node"), role.alias("role"))
 
 
 def fresh_name(name: str, table: DataFrame) -> str:
