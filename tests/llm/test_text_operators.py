@@ -7,6 +7,7 @@ import re
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 from tidecast.llm import jaccard_join, line_dedup, meeting, mixing, suffix_dedup, textbytes
 
 EXTRA = "doc_id long, text string, source string, sig long, label string, n_chars long"
@@ -324,3 +325,32 @@ def test_meeting_rows_hold_two_numbers(spark):
     assert max(map(places.count, places)) < 50
     met = meeting.met_rows(spark.createDataFrame(batch.to_pylist(), meeting.MEETING)).collect()
     assert {(r.sig, r.node) for r in met} == set(zip(sig[:102].tolist(), node[:102].tolist()))
+
+
+def test_variants_of_a_text_that_none_of_them_is_are_not_paired_for_what_their_hub_lacks(spark, monkeypatch):
+    """All variants share what the hub, a variant itself, has lost; only copies of a variant are near each other."""
+    rng = random.Random(5)
+    stem = [f"w{i}" for i in range(200)]
+
+    def variant(words, times):
+        words = list(words)
+        for _ in range(times):
+            words[rng.randrange(len(words))] = f"v{rng.randrange(10**9)}"
+        return words
+
+    bases = [variant(stem, 14) for _ in range(300)]
+    texts = [" ".join(words) for words in [*bases, *(variant(words, 1) for words in bases[::10])]]
+    asked = []
+    before = jaccard_join.compare
+    monkeypatch.setattr(jaccard_join, "compare", lambda d, m, pairs, c: (asked.append(pairs.count()), before(d, m, pairs, c))[1])
+    # All variants meet one of them, and too few of many documents have a word of theirs for it to be frequent.
+    monkeypatch.setattr(jaccard_join, "FREQUENT_KEPT", 0)
+    node = (F.col("node") - F.col("node").bitwiseAND(meeting.ROLES)).alias("node")
+    monkeypatch.setattr(jaccard_join, "met_rows", lambda rows: rows.select(F.lit(1).alias("sig"), node).distinct())
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    found = {r.doc_id: r.component_id for r in jaccard_join.jaccard_components(docs).collect()}
+    sets = [plain_set(t) for t in texts]
+    n = range(len(texts))
+    links = [(a, b) for a in n for b in n if a < b and 9 * len(sets[a] & sets[b]) >= 4 * (len(sets[a]) + len(sets[b]))]
+    assert len(links) >= 30 and found == components(links, n)
+    assert len(asked) == 2 and asked[1] <= 2 * len(texts)

@@ -13,8 +13,10 @@ Sets that are equal are one node. Nodes that meet by a signature are all compare
 hub, the node that meets most. That is exact on the whole sets of 64-bit n-gram hashes and joins a group of
 copies at about the cost of its size. Two nodes of which one is not near the hub may still be near each
 other. They differ from one another in what their differences from the hub differ in, so these differences,
-elements beyond the hub's first, are joined by a prefix filter: their first common element must stand early
-in both. Variants of one text share few such elements, and no link between components is lost.
+are joined by a prefix filter: their first common element must stand early in both. A hub that is a variant
+itself lacks what most of its members share, so elements that a few of its members, its guides, differ from it
+in come last, the most frequent at the end. What stands early then is a member's own, and no link between
+components is lost.
 """
 
 from __future__ import annotations
@@ -42,6 +44,10 @@ FREQUENT_SHARE = 256
 FREQUENT_KEPT = 200_000
 #: Members of a hub that are compared with it in one run.
 MEMBERS = 256
+#: Most members of a hub that tell what its members often differ from it in, and the members for each.
+GUIDES, GUIDED = 32, 8
+#: What a row is to its hub, in the order in which a run needs them.
+HUB, GUIDE, MEMBER = 0, 1, 2
 
 _DELETED = np.uint64(0x5851F42D4C957F2D)
 
@@ -205,17 +211,24 @@ def signatures(documents: DataFrame, k: int, bands: Bands, frequent: np.ndarray)
 
 
 class _Compare:
-    """Compares the sets of members with their hub's; a hub's rows come in a run, the hub first.
+    """Compares the sets of members with their hub's; a hub's rows come in a run, the hub first, then its guides.
 
-    ``frequent`` n-grams come late among those that only the member has.
+    Elements of a difference are ordered by the guides that differ from the hub in them; then come those that
+    only the member has, ``frequent`` n-grams late, before those that only the hub has. All runs of a hub have
+    the same guides, so the order is one for all its members.
     """
 
     def __init__(self, k: int, percent: int, frequent: np.ndarray):
         self.k, self.percent, self.frequent = k, percent, frequent
         self.bands = Bands(percent, 1)
 
-    def member(self, hub: np.ndarray, own: np.ndarray, listed: bool) -> tuple[bool, int, np.ndarray]:
-        """Whether the sets link, the size of their difference, and the first elements of it, if ``listed``."""
+    def member(
+        self, hub: np.ndarray, own: np.ndarray, listed: bool, usual: tuple[np.ndarray, np.ndarray]
+    ) -> tuple[bool, int, np.ndarray]:
+        """Whether the sets link, the size of their difference, and the first elements of it, if ``listed``.
+
+        ``usual`` are the elements in which guides differ from the hub, sorted, and the number of these guides.
+        """
         beyond = np.setdiff1d(own, hub, assume_unique=True)
         both = own.size - beyond.size
         apart = own.size + hub.size - 2 * both
@@ -227,34 +240,45 @@ class _Compare:
             late = self.frequent[at] == beyond
             beyond = np.concatenate([beyond[~late], beyond[late]])
         most = int(self.bands.differences(own.size, own.size * 100 // self.percent)) + 1
-        if beyond.size < most:
+        often, times = usual
+        if often.size or beyond.size < most:
             beyond = np.concatenate([beyond, np.setdiff1d(hub, own, assume_unique=True)])
+        if often.size:
+            at = np.minimum(np.searchsorted(often, beyond), often.size - 1)
+            beyond = beyond[np.argsort(np.where(often[at] == beyond, times[at], 0), kind="stable")]
         return linked, apart, beyond[:most]
 
     def run(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hub, hub_sets = None, []
+        hub, hub_sets, guides, usual = None, [], [], None
         for batch in batches:
             for first, last, data, offsets in text_blocks(batch.column(6), SMALL_BLOCK):
                 part = batch.slice(first, last - first)
                 sets = _sets(data, offsets, self.k)
                 prints = _nodes(sets)[1]
                 hubs, salts, nodes, hashes, listed = (part.column(c).to_pylist() for c in (0, 1, 3, 4, 5))
-                members = part.column(2).to_pylist()
+                kinds = part.column(2).to_pylist()
                 out = []
                 for i in range(len(sets)):
                     if prints[i] != hashes[i]:
                         continue  # another text with the same id
                     at = hubs[i], salts[i]
-                    if not members[i]:
-                        hub, hub_sets = at, [*(hub_sets if hub == at else []), sets[i]]
+                    if kinds[i] == HUB:
+                        hub, hub_sets, guides, usual = at, [*(hub_sets if hub == at else []), sets[i]], [], None
+                        continue
+                    if kinds[i] == GUIDE:
+                        if hub == at:
+                            guides.append(np.setxor1d(hub_sets[0], sets[i], assume_unique=True))
                         continue
+                    if usual is None:
+                        usual = np.unique(np.concatenate([*guides, np.zeros(0, np.uint64)]), return_counts=True)
+                        guides = []
                     for hub_set in hub_sets if hub == at else []:
-                        linked, apart, prefix = self.member(hub_set, sets[i], listed[i])
+                        linked, apart, prefix = self.member(hub_set, sets[i], listed[i], usual)
                         out.append((hubs[i], nodes[i], linked, sets[i].size, apart, prefix.view(np.int64)))
                 columns = zip(*out) if out else [[]] * 6
-                kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
+                types = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, kind) for c, kind in zip(columns, kinds)],
+                    [pa.array(c, type) for c, type in zip(columns, types)],
                     names=["hub", "node", "linked", "size", "apart", "prefix"],
                 )
 
@@ -262,20 +286,30 @@ class _Compare:
 def compare(documents: DataFrame, nodes: DataFrame, pairs: DataFrame, compared: _Compare) -> DataFrame:
     """``hub, node, linked, size, apart, prefix`` for ``pairs(hub, node, listed)`` of nodes.
 
-    Texts go to the hub's place, and the hub's own text with them, once for every ``MEMBERS`` members; so
-    neither a large group nor its texts come together in one task.
+    Texts go to the hub's place, and the hub's own text and its guides' with them, once for every ``MEMBERS``
+    members; so neither a large group nor its texts come together in one task. Guides are picked by hash
+    among the listed members, one for every ``GUIDED`` of them up to ``GUIDES``.
     """
-    sizes = pairs.groupBy("hub").agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("salts"))
-    salted = pairs.join(sizes, "hub").withColumn("salt", F.pmod(F.xxhash64("node"), F.col("salts")).cast("int"))
-    salted = salted.select("hub", "salt", F.lit(True).alias("member"), "node", "listed")
-    heads = sizes.select("hub", F.explode(F.expr("sequence(0, salts - 1)")).alias("salt"), F.lit(False).alias("member"))
-    asked = salted.unionByName(heads.withColumns({"node": F.col("hub"), "listed": F.lit(False)}))
+    sizes = pairs.groupBy("hub").agg(
+        F.ceil(F.count("*") / MEMBERS).cast("int").alias("salts"),
+        F.least(F.floor(F.count_if("listed") / GUIDED), F.lit(GUIDES)).cast("int").alias("guides"),
+    )
+    hashed = F.xxhash64("node")
+    salted = pairs.join(sizes, "hub").withColumn("salt", F.pmod(hashed, F.col("salts")).cast("int"))
+    salted = salted.select("hub", "salt", F.lit(MEMBER).alias("kind"), "node", "listed")
+    every = F.explode(F.expr("sequence(0, salts - 1)")).alias("salt")
+    heads = sizes.select("hub", every, F.lit(HUB).alias("kind"), F.col("hub").alias("node"), F.lit(False).alias("listed"))
+    guides = pairs.filter("listed").join(sizes.filter("guides > 0"), "hub")
+    guides = guides.groupBy("hub", "salts", F.pmod(F.shiftright(hashed, 32), F.col("guides")).alias("place"))
+    guides = guides.agg(F.min_by("node", hashed).alias("node"))
+    guides = guides.select("hub", every, F.lit(GUIDE).alias("kind"), "node", F.lit(False).alias("listed"))
+    asked = salted.unionByName(heads).unionByName(guides)
     asked = stage(asked.join(nodes.select("node", "hash"), "node"))
     texts = documents.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("string").alias("text"))
     some, _ = split_by_keys(texts, "node", asked.select("node"))
     rows = some.join(asked, "node")
-    rows = rows.select("hub", "salt", "member", "node", "hash", "listed", "text")
-    placed = rows.repartition("hub", "salt").sortWithinPartitions("hub", "salt", "member", "node")
+    rows = rows.select("hub", "salt", "kind", "node", "hash", "listed", "text")
+    placed = rows.repartition("hub", "salt").sortWithinPartitions("hub", "salt", "kind", "node")
     schema = "hub long, node long, linked boolean, size long, apart long, prefix array<long>"
     return placed.mapInArrow(frugal(compared.run), schema)
 
