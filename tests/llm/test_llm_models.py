@@ -218,3 +218,36 @@ def test_a_language_model_of_nothing(spark):
     other = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string")
     rows = lm.score(other, model, counts).collect()
     assert {(r.n_tokens, r.n_known) for r in rows} == {(3, 0), (1, 0)} and all(np.isfinite(r.score) for r in rows)
+
+
+def test_words_are_found_by_their_leading_bits():
+    rng = np.random.default_rng(3)
+    asked = rng.integers(0, 2**64, 5000, dtype=np.uint64)
+    asked[:4] = 0, 1, 2**64 - 2, 2**64 - 1
+    for known in (asked[:0], asked[:1], asked[3:4], asked[:2500], asked[1000:1004] | np.uint64(2**63)):
+        known = np.unique(known)
+        lexicon = lm.Lexicon(known, np.ones(known.size, np.int64), np.arange(known.size))
+        places = {h: i for i, h in enumerate(known.tolist())}
+        assert lexicon.find(asked).tolist() == [places.get(h, -1) for h in asked.tolist()]
+        # Words that begin alike are told apart, too.
+        assert not known.size or lexicon.heads.size == 1 << lm.LEADING
+    crowd = np.arange(300, dtype=np.uint64) * np.uint64(2)
+    lexicon = lm.Lexicon(crowd, np.ones(300, np.int64), np.arange(300))
+    assert lexicon.find(np.arange(601, dtype=np.uint64)).tolist() == [k // 2 if k % 2 == 0 and k < 600 else -1 for k in range(601)]
+
+
+def test_classes_are_chosen_from_the_units_alone(spark, monkeypatch):
+    """Neighbours are counted in the table of units: texts are not read and hashed once more for them."""
+    tables = []
+    monkeypatch.setattr(lm, "_cluster", lambda table, k: (tables.append(table), np.zeros(len(table), np.int64))[1])
+    sequences = [[], [5, 40, 3], [7], [3, 3, 4100, 31, 32]]
+    rows = spark.createDataFrame([(s,) for s in sequences], "units array<short>")
+    assert (lm._classes(rows) == 1).all()
+    wanted = np.zeros_like(tables[0])
+    for units in sequences:
+        for a, b in zip(units, units[1:]):
+            if a < lm.NEIGHBOURS:
+                wanted[b, a] += 1
+            if b < lm.NEIGHBOURS:
+                wanted[a, lm.NEIGHBOURS + b] += 1
+    assert (tables[0] == wanted).all()

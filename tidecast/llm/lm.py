@@ -22,6 +22,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -57,6 +58,8 @@ PARTS, PACE, CAUTION = 8, 0.5, 4.0
 CHUNK, RANGES = 8192, 16
 #: The unit of a text's end, and of what stands before its start.
 END = NAMED + ENDINGS
+#: Leading bits by which a word's place among the common ones is looked up.
+LEADING = 18
 #: Log share of an outcome that a class does not have.
 NEVER = -60.0
 #: Words of a class that are added to every count, as in the base score.
@@ -79,21 +82,32 @@ class Lexicon:
     counts: np.ndarray
     ranks: np.ndarray
 
+    @cached_property
+    def heads(self) -> np.ndarray:
+        """The first place of every run of hashes that begin with the same bits."""
+        return np.searchsorted(self.hashes, np.arange(1 << LEADING, dtype=np.uint64) << np.uint64(64 - LEADING))
+
     def find(self, hashes: np.ndarray) -> np.ndarray:
         """Place of every word among the common ones, or -1."""
         if not self.hashes.size:
             return np.full(hashes.size, -1, dtype=np.int64)
-        at = np.minimum(np.searchsorted(self.hashes, hashes), self.hashes.size - 1)
+        last = self.hashes.size - 1
+        at = np.minimum(self.heads[(hashes >> np.uint64(64 - LEADING)).view(np.int64)], last)
+        # Hashes are spread evenly, so few steps lead from the head of a run to a word's place.
+        before = np.flatnonzero(self.hashes[at] < hashes)
+        while before.size:
+            before = before[at[before] < last]
+            at[before] += 1
+            before = before[self.hashes[at[before]] < hashes[before]]
         return np.where(self.hashes[at] == hashes, at, -1)
 
-    def rank(self, hashes: np.ndarray) -> np.ndarray:
-        """Rank of every word by frequency; a large number for words that are not common."""
-        at = self.find(hashes)
-        return np.where(at >= 0, self.ranks[at] if self.ranks.size else 0, 1 << 40)
-
     def unit(self, hashes: np.ndarray, ending: np.ndarray) -> np.ndarray:
         """What a word's class is chosen for: the word itself or its ending."""
-        rank = self.rank(hashes)
+        return self.unit_at(self.find(hashes), ending)
+
+    def unit_at(self, at: np.ndarray, ending: np.ndarray) -> np.ndarray:
+        """The units of words whose places are known."""
+        rank = np.where(at >= 0, self.ranks[at] if self.ranks.size else 0, NAMED)
         return np.where(rank < NAMED, rank, NAMED + ending)
 
 
@@ -119,13 +133,13 @@ class Tables:
             some = at[begin : begin + CHUNK]
             before = (classes[some - 1] * CLASSES + classes[some - 2]) * CLASSES + classes[some - 3]
             label, outcome = classes[some], self.outcomes[line[some]]
-            by_class, inner = self.log_class[before], self.log_inner[label]
+            by_class, inner = self.log_class.take(before, axis=0), self.log_inner.take(label, axis=0)
             class_rows, inner_rows = [], []
             for words in _word_features(line, some):
                 class_rows.append(_rows(words, len(self.class_words)))
                 inner_rows.append(_rows(words + label.astype(np.uint64) + np.uint64(1), len(self.inner_words)))
-                by_class += self.class_words[class_rows[-1]]
-                inner += self.inner_words[inner_rows[-1]]
+                by_class += self.class_words.take(class_rows[-1], axis=0)
+                inner += self.inner_words.take(inner_rows[-1], axis=0)
             yield begin, label, outcome, class_rows, by_class, inner_rows, inner
 
     def scores(self, units: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -225,24 +239,20 @@ def _cells(texts: DataFrame, size: int, gather, blocks=_text_parts) -> DataFrame
     return _over_blocks(texts, "cell long, n long", collect, finish, blocks).groupBy("cell").agg(F.sum("n").alias("n"))
 
 
-def _classes(texts: DataFrame, lexicon: Lexicon) -> np.ndarray:
-    """The class of every unit, by k-means on the square roots of its neighbours' shares."""
+def _classes(sequences: DataFrame) -> np.ndarray:
+    """The class of every unit of ``units``, by k-means on the square roots of its neighbours' shares."""
     units, width = NAMED + ENDINGS, 2 * NEIGHBOURS
-    sent = texts.sparkSession.sparkContext.broadcast(lexicon)
 
-    def gather(data, offsets):
-        hashes, ending, first = _block_words(data, offsets)
-        if not hashes.size:
+    def gather(unit, first):
+        if not unit.size:
             return np.zeros(0, np.int64)
-        rank = sent.value.rank(hashes)
-        unit = np.where(rank < NAMED, rank, NAMED + ending)
-        same = np.ones(hashes.size, dtype=bool)
+        same = np.ones(unit.size, dtype=bool)
         same[first[:-1][first[:-1] < first[1:]]] = False  # a text's first word has no left neighbour
-        left = np.flatnonzero(same[1:] & (rank[:-1] < NEIGHBOURS)) + 1
-        right = np.flatnonzero(same[1:] & (rank[1:] < NEIGHBOURS))
-        return np.concatenate([unit[left] * width + rank[left - 1], unit[right] * width + NEIGHBOURS + rank[right + 1]])
+        left = np.flatnonzero(same[1:] & (unit[:-1] < NEIGHBOURS)) + 1
+        right = np.flatnonzero(same[1:] & (unit[1:] < NEIGHBOURS))
+        return np.concatenate([unit[left] * width + unit[left - 1], unit[right] * width + NEIGHBOURS + unit[right + 1]])
 
-    got = _cells(texts, units * width, gather).toArrow()
+    got = _cells(sequences, units * width, gather, _unit_blocks).toArrow()
     table = np.zeros(units * width)
     table[got.column("cell").to_numpy()] = got.column("n").to_numpy()
     return _cluster(table.reshape(units, width), CLASSES - 1) + 1
@@ -285,7 +295,8 @@ def _word_features(line: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
 
 
 def _rows(hashes: np.ndarray, rows: int) -> np.ndarray:
-    return (mix(hashes) % np.uint64(rows)).astype(np.int64)
+    """Rows of a table, whose number is a power of two."""
+    return (mix(hashes) & np.uint64(rows - 1)).view(np.int64)
 
 
 def _features(context: np.ndarray) -> np.ndarray:
@@ -480,8 +491,8 @@ def train(documents: DataFrame, learnt: Column) -> tuple[Model, DataFrame]:
     n_texts = texts.count()
     n_words, n_types = counts.agg(F.sum("n"), F.count("*")).head()
     lexicon = _lexicon(counts)
-    classes = np.append(_classes(texts, lexicon), 0)
     sequences = stage(_unit_table(known, lexicon))
+    classes = np.append(_classes(sequences.select("units")), 0)
     sent = spark.sparkContext.broadcast(classes)
 
     def gather(units, first):
@@ -533,14 +544,14 @@ def score(documents: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
         for batch in batches:
             for begin, end, data, offsets in text_blocks(batch.column(1)):
                 hashes, ending, first = _block_words(data, offsets)
-                units = m.lexicon.unit(hashes, ending)
+                at = m.lexicon.find(hashes)
+                units = m.lexicon.unit_at(at, ending)
                 label, rest = m.tables.classes[units], m.tables.outcomes[units] == OUTCOMES - 1
                 n = np.diff(first) + 1
                 texts = n.size
                 token_of = np.repeat(np.arange(texts), n)
                 total = np.bincount(token_of, m.tables.scores(units, first), texts)
                 of = np.repeat(np.arange(texts), np.diff(first))
-                at = m.lexicon.find(hashes)
                 common = at >= 0
                 known = np.bincount(of[common], minlength=texts) + (m.texts > 0)
                 base = np.bincount(of[common], log_common[at[common]], texts) + log_end - n * m.base_total
